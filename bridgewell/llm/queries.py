@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality
+from . import bpe, chat, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (~quality.learns(5, 0)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -61,5 +66,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_quality_classifier": op3_quality_classifier, "op9_chat_format": op9_chat_format}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_quality_classifier": op3_quality_classifier, "op4_simhash": op4_simhash, "op9_chat_format": op9_chat_format}
 ORACLES = {"op9_chat_format": OP9_SQL}
