@@ -168,6 +168,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score the threshold or more, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size, by BITS
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(sent.value.scores(features(W.as_bytes(b["text"]))) >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learns(modulus: int, rest: int) -> Column:
     """True for rows outside the held-out remainder of the id's checksum."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) != rest

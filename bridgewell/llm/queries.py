@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality, simhash, substrings
+from . import bpe, chat, interpolation, media, mixing, neighbours, quality, simhash, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,7 @@ def vocabulary_path() -> str:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary_path()
-    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -41,6 +40,28 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.standard_path(), mixing.WEIGHTS, mixing.FRACTION)
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = quality.learns(7, 2)
+    found = interpolation.score(table(spark, sf_dir, "documents"), learn)
+    return found.select("doc_id", (~learn).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_audio_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.find_excerpts(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.train(docs, table(spark, sf_dir, "labels"), quality.learns(3, 1))
+    return toxicity.score(docs, index).select(
+        "doc_id", (~quality.learns(3, 1)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.size("evidence").alias("n_evidence"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -53,6 +74,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(lost).cast("long").alias("loss_chars"), F.sha2(lost, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op10_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
 OP9_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -71,5 +96,7 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_substring_dedup": op2_substring_dedup, "op3_quality_classifier": op3_quality_classifier, "op4_simhash": op4_simhash, "op9_chat_format": op9_chat_format}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_substring_dedup": op2_substring_dedup, "op3_quality_classifier": op3_quality_classifier, "op4_simhash": op4_simhash, "op5_source_mix": op5_source_mix,
+    "op6_lm_score": op6_lm_score, "op7_audio_alignment": op7_audio_alignment, "op8_toxicity": op8_toxicity,
+    "op9_chat_format": op9_chat_format, "op10_inverted_multi_index": op10_inverted_multi_index}
 ORACLES = {"op9_chat_format": OP9_SQL}

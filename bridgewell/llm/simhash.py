@@ -58,18 +58,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links of a spanning forest over all pairs of a and b within the radius."""
-    nodes, where = np.unique(np.concatenate([a, b]), return_inverse=True)
-    label, of_a, of_b, out = np.arange(len(nodes)), where[: len(a)], where[len(a) :], []
-    for lo in range(0, len(a), 512):
-        near = np.bitwise_count(a[lo : lo + 512, None] ^ b[None, :]) <= radius
-        for i in np.flatnonzero(near.any(axis=1)):
-            own, js = label[of_a[lo + i]], np.flatnonzero(near[i])
-            others, at = np.unique(label[of_b[js]], return_index=True)
-            for other, k in zip(others, at, strict=True):
-                if other != own:
-                    out.append((int(a[lo + i]), int(b[js[k]])))
-                    label[label == other] = own
-    return out
+    def near():
+        for lo in range(0, len(a), 512):
+            i, j = np.nonzero(np.bitwise_count(a[lo : lo + 512, None] ^ b[None, :]) <= radius)
+            yield lo + i, j
+
+    return _join(a, b, near())
 
 
 def segments_for(rows: int) -> int:
@@ -137,7 +131,124 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(roots, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """docs with one document of each component, the one with the smallest id; rows with a null id are kept."""
-    found = near_duplicates(docs, radius, shingle).where("doc_id <> component_id").select("doc_id").distinct()
+# Similar documents: long fingerprints, whose distance tells the similarity of shingle sets closely.
+WORDS = 16  # of 64 bits
+SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
+MARGIN = 12  # bits allowed beyond the expected distance at the similarity: a standard deviation
+
+
+def radius_for(similarity: float, words: int = WORDS) -> int:
+    """Bits in which two sets of equal size and this Jaccard similarity are expected to differ, and the margin."""
+    return round(64 * words * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + MARGIN
+
+
+def long_fingerprint_block(texts: list[bytes], shingle: int = SIMILAR_SHINGLE, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of `words` x 64 bits over the distinct shingles of each text, and how many there are."""
+    out, sizes, seeds = np.zeros((len(texts), words), np.uint64), np.zeros(len(texts), np.int64), W.mix(np.arange(1, words + 1, dtype=np.uint64))
+    for lo, hi in W.pieces(texts):
+        b = W.Block(texts[lo:hi], lower=True)
+        h, n = b.hashes(), np.diff(b.first)
+        runs = W.Windows(h)
+        for i in range(hi - lo):
+            if not n[i]:
+                continue
+            k = min(shingle, int(n[i]))
+            d = np.unique(runs.at(np.arange(b.first[i], b.first[i + 1] - k + 1), k))
+            sizes[lo + i] = len(d)
+            counts = np.zeros((words, 64), np.int64)
+            for at in range(0, len(d), 255):
+                x = W.mix(d[at : at + 255, None] + seeds[None, :])
+                counts += LANES[x.view(np.uint8).reshape(len(x), words, 8)].sum(axis=0, dtype=np.uint64).view(np.uint8).reshape(words, 64)
+            out[lo + i] = np.packbits(2 * counts > len(d), axis=1, bitorder="little").view(np.uint64).ravel()
+    return out, sizes
+
+
+def _close(a: np.ndarray, b: np.ndarray, radius: int):
+    """Row numbers of a and b whose fingerprints differ in at most radius bits: the first quarter is tested loosely for
+    all pairs, the whole for what is left."""
+    quarter = max(1, a.shape[1] // 4)
+    loose = radius if quarter == a.shape[1] else min(radius, round(radius * quarter / a.shape[1] + 5 * (16 * quarter) ** 0.5 / 2 + 8))
+    for lo in range(0, len(a), 256):
+        x = a[lo : lo + 256]
+        d = np.zeros((len(x), len(b)), np.uint16)
+        for w in range(quarter):
+            d += np.bitwise_count(x[:, w, None] ^ b[None, :, w])
+        i, j = np.nonzero(d <= loose)
+        for at in range(0, len(i), 1 << 16):
+            p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            near = np.bitwise_count(x[p] ^ b[q]).sum(axis=1, dtype=np.int64) <= radius
+            yield lo + p[near], q[near]
+
+
+def similar_links(prints: DataFrame, radius: int, ratio: float, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b) of nodes, a spanning forest of each pair of tiles. prints: node, size, print (binary), one row each.
+
+    Sets whose sizes differ by more than the ratio cannot be that similar: tiles lie in bands of size, and a band meets itself and
+    the next. Pairs of tiles are skipped as well if no population counts lie within the radius.
+    """
+    band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / float(-np.log(ratio)) + 1e-9).cast("int")
+    marked = prints.select("node", "print", "size", band.alias("band"))
+    full = marked.groupBy("band").agg(F.count("*").alias("rows"))
+    tiles = marked.join(full, "band").groupBy("band", F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / tile)).alias("cut")).agg(
+        F.collect_list("node").alias("nodes"), F.collect_list("print").alias("prints"))
+    asked = tiles.select(F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("other"), F.col("band").alias("band_a"), F.col("cut").alias("cut_a"), F.col("nodes").alias("na"), F.col("prints").alias("pa"))
+    pairs = asked.join(tiles.select(F.col("band").alias("other"), F.col("cut").alias("cut_b"), F.col("nodes").alias("nb"), F.col("prints").alias("pb")), "other").where("other > band_a or cut_a <= cut_b").select("na", "pa", "nb", "pb")
+
+    def compare(batches):
+        for batch in batches:
+            found = []
+            for na, pa_, nb, pb in zip(*(batch[c] for c in ("na", "pa", "nb", "pb")), strict=True):
+                ids = [x.values.to_numpy() for x in (na, nb)]
+                x, y = (np.frombuffer(b"".join(z.as_py()), np.uint64).reshape(len(i), -1) for z, i in zip((pa_, pb), ids, strict=True))
+                counts = [np.bitwise_count(z).sum(axis=1, dtype=np.int64) for z in (x, y)]
+                if counts[0].min() - counts[1].max() > radius or counts[1].min() - counts[0].max() > radius:
+                    continue
+                found += _join(ids[0], ids[1], _close(x, y, radius))
+            got = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1])})
+
+    return pairs.mapInArrow(compare, "a long, b long")
+
+
+def _join(a: np.ndarray, b: np.ndarray, near) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs (row of a, row of b)."""
+    nodes, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label, of_a, of_b, out = np.arange(len(nodes)), where[: len(a)], where[len(a) :], []
+    for i, j in near:
+        cut = np.flatnonzero(np.diff(i)) + 1
+        for rows, others in zip(np.split(i, cut), np.split(j, cut), strict=True):
+            if not len(rows):
+                continue
+            own = label[of_a[rows[0]]]
+            ls, at = np.unique(label[of_b[others]], return_index=True)
+            for other, k in zip(ls, at, strict=True):
+                if other != own:
+                    out.append((int(a[rows[0]]), int(b[others[k]])))
+                    label[label == other] = own
+    return out
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, words: int = WORDS) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id reachable over links between documents whose shingle sets are
+    that similar, as their long fingerprints tell.
+
+    Null and empty texts have no shingles and are linked to one another. Equal documents are compared once. A row with
+    a null doc_id is left out; repeated rows appear again; no rows give no rows.
+    """
+
+    def run(batches):
+        for b in batches:
+            got, n = long_fingerprint_block(W.as_bytes(b["text"]), shingle, words)
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "size": pa.array(n), "print": pa.array([x.tobytes() for x in got], pa.binary())})
+
+    prints = saved(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, size long, print binary"))
+    groups = prints.groupBy("size", "print").agg(F.min("doc_id").alias("node"))
+    found = components(similar_links(groups, radius_for(similarity, words), similarity).distinct())
+    roots = groups.join(found, "node", "left").select("size", "print", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(roots, ["size", "print"]).select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """docs with one document of each component of similar ones, that with the smallest id; rows with a null id are kept."""
+    found = similar(docs, similarity, shingle).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti")
