@@ -11,6 +11,7 @@ Ids travel as binary columns of little-endian unsigned 32-bit integers.
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 from functools import lru_cache
 
@@ -20,10 +21,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from . import memory  # noqa: F401
+
 #: The split pattern of the vocabulary: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KNOWN_PIECES = 500_000  # encoded pieces that a worker keeps, and runs
-BLOCK_BYTES = 6 << 20  # text replayed at once
+KNOWN_PIECES = 300_000  # encoded pieces that a task keeps
+BLOCK_BYTES = 4 << 20  # text replayed at once
 LONG_PIECE = 4096  # bytes; longer pieces are not kept
 
 
@@ -44,7 +47,6 @@ class Vocabulary:
         pairs = sorted((a << 32 | b, i) for t, i in self.rank.items() for k in range(1, len(t)) if (a := get(t[:k])) is not None and (b := get(t[k:])) is not None)
         self.codes, self.results = (np.array(x, np.int64) for x in zip(*pairs, (1 << 62, -1), strict=True))
         self.known: dict[str, bytes] = {}  # by piece
-        self.runs: dict[str, bytes] = {}  # by run between spaces, the space before it included
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of what the pairs merge to; -1: no merge."""
@@ -129,28 +131,18 @@ class Vocabulary:
         runs matched apart, unless white space stands before a space: such texts are matched whole.
         """
         cut = [t.split(" ") for t in texts]
-        runs = self.runs
         seen = set().union(*[x[1:] for x in cut])
-        fresh = seen.difference(runs)
         spaced = {c for c in seen if not c or c[-1].isspace()}
         whole = {k: split(t) for k, t in enumerate(texts) if t and (cut[k][-1] == "" or len(cut[k]) > 1 and cut[k][0][-1:].isspace() or not spaced.isdisjoint(cut[k][1:-1]))}
         first = {k: split(x[0]) for k, x in enumerate(cut) if k not in whole}
-        pieces = {c: split(" " + c) for c in fresh}
-        ids = self.ids_of({p for x in (*pieces.values(), *whole.values(), *first.values()) for p in x})
-        if len(runs) + len(fresh) > KNOWN_PIECES:
-            runs.clear()
-            pieces |= {c: split(" " + c) for c in seen - fresh}
-            ids = self.ids_of({p for x in (*pieces.values(), *whole.values(), *first.values()) for p in x})
+        pieces = [split(" " + c) for c in seen]
+        distinct = set().union(*pieces, *whole.values(), *first.values())
+        ids = self.ids_of(distinct)
         get = ids.__getitem__
-        new = {c: b"".join(map(get, x)) for c, x in pieces.items()}
-        runs.update((c, x) for c, x in new.items())
-        run = runs.__getitem__
+        run = {c: b"".join(map(get, x)) for c, x in zip(seen, pieces, strict=True)}.__getitem__
         out = [b"".join(map(get, whole[k])) if k in whole else b"".join([*map(get, first[k]), *map(run, x[1:])]) for k, x in enumerate(cut)]
-        for c in [c for c in new if "\n" in c or len(c) > LONG_PIECE]:  # seldom seen again
-            del runs[c]
-        for x in (whole, first):
-            for p in {p for y in x.values() for p in y if len(p) > LONG_PIECE}:
-                ids.pop(p, None)
+        for p in [p for p in distinct if len(p) > LONG_PIECE]:
+            ids.pop(p, None)
         return out
 
 
@@ -162,12 +154,17 @@ def vocabulary(path: str) -> Vocabulary:
 
 def _encoded(batches, path: str, pattern: str):
     voc, split = vocabulary(path), regex.compile(pattern).findall
-    for b in batches:
-        size = pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy()
-        at = np.flatnonzero(np.diff(np.cumsum(size) // BLOCK_BYTES)) + 1
-        for lo, hi in zip([0, *at], [*at, len(b)], strict=True):
-            ids = voc.encode_block([t or "" for t in b["text"].slice(lo, hi - lo).to_pylist()], split)
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"].slice(lo, hi - lo), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
+    gc.disable()  # many small objects, no cycles
+    try:
+        for b in batches:
+            size = pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy()
+            at = np.flatnonzero(np.diff(np.cumsum(size) // BLOCK_BYTES)) + 1
+            for lo, hi in zip([0, *at], [*at, len(b)], strict=True):
+                ids = voc.encode_block([t or "" for t in b["text"].slice(lo, hi - lo).to_pylist()], split)
+                yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"].slice(lo, hi - lo), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
+    finally:  # the worker lives on for other stages
+        voc.known.clear()
+        gc.enable()
 
 
 def _decoded(batches, path: str):

@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from . import memory  # noqa: F401
+
 U = np.uint64
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-SUB_BYTES = 2 << 20  # texts hashed at once; bounds the temporary arrays
+SUB_BYTES = 1 << 20  # texts hashed at once; bounds the temporary arrays
 
 
 def mix(x: np.ndarray) -> np.ndarray:
