@@ -90,7 +90,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, blocks: i
     A word goes if a window over it also starts in a document of smaller doc_id; windows are judged on the input.
     A null or empty text has no words and is returned empty. Rows with the same doc_id are judged alike, each on its
     own: neither takes words from the other. A null doc_id stands before all others. Documents shorter than a window lose nothing. No rows give no rows. The columns
-    named in carry come along as they are; others are left out.
+    named in carry come along as they are, under names of their own; others are left out.
     """
     if not 1 <= period <= length:
         raise ValueError("the period must lie between 1 and the length")
@@ -229,9 +229,12 @@ def _by_window(a: np.ndarray, b: np.ndarray, least: np.ndarray, most: np.ndarray
 def kept(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs where words were removed hold the kept words in `text` and their length in `n_chars`; other rows stand
     as they are. The columns and the number of rows stay."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = dedup(docs.withColumn("_text", F.col("text")), length, carry=[*others, "_text"])
-    new = {"text": F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col("_text"))}
-    if "n_chars" in others:
-        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return found.withColumns(new).select(*docs.columns)
+    own = {f"_{i}": c for i, c in enumerate(docs.columns) if c != "doc_id"}
+    found = dedup(docs.select("doc_id", "text", *[F.col(c).alias(k) for k, c in own.items()]), length, carry=list(own))
+    name = {c: k for k, c in own.items()}
+    fewer = F.col("n_removed") > 0
+    new = {name["text"]: F.when(fewer, F.col("text")).otherwise(F.col(name["text"]))}
+    if "n_chars" in name:
+        new[name["n_chars"]] = F.when(fewer, F.length("text")).otherwise(F.col(name["n_chars"]))
+    out = found.withColumns(new)
+    return out.select(*["doc_id" if c == "doc_id" else F.col(name[c]).alias(c) for c in docs.columns])
