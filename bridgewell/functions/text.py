@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,9 +47,11 @@ def standardize(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """Tags and characters other than letters, digits, white space and .,!? to spaces; then as standardize."""
-    plain = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "<[^>]*>", " ")
-    return _squeeze(F.regexp_replace(plain, f"[^a-zA-Z0-9 \\t\\n\\r\\f.,!?{KEPT_LETTERS}]", " "))
+    """Tags and characters other than letters, digits, white space and .,!? to spaces; then as standardize. White space and
+    what is cut become one space in the same pass."""
+    plain = F.coalesce(c.cast("string"), F.lit(""))
+    plain = F.when(plain.contains("<"), F.regexp_replace(plain, "<[^>]*>", " ")).otherwise(plain)
+    return F.lower(F.trim(F.regexp_replace(plain, f"[^a-zA-Z0-9.,!?{KEPT_LETTERS}]+", " ")))
 
 
 def list_text(c: Column) -> Column:
@@ -64,9 +68,12 @@ def one_line(*parts: Column) -> Column:
 
 def category_of(text: Column, rules: Rules = CATEGORY_RULES, default: str = "other", whole_word: bool = False) -> Column:
     """The first category of which a keyword stands in the lower-cased text."""
-    low = F.lower(text)
-    out = F.coalesce(*[F.when(low.rlike("|".join(f"(?<![\\p{{L}}\\p{{N}}]){w}(?![\\p{{L}}\\p{{N}}])" if whole_word else w for w in words)), F.lit(name)) for name, words in rules])
-    return F.coalesce(out, F.lit(default))
+    def first_hit(low: Column) -> Column:
+        hit = lambda w: low.rlike(f"(?<![\\p{{L}}\\p{{N}}]){w}(?![\\p{{L}}\\p{{N}}])") if whole_word else low.contains(w)
+        rows = [F.when(reduce(or_, [hit(w) for w in words]), F.lit(name)) for name, words in rules]
+        return F.coalesce(*rows, F.lit(default))
+
+    return F.transform(F.array(F.coalesce(F.lower(text), F.lit(""))), first_hit)[0]  # lower-cased once, not for each keyword
 
 
 def rating_or_zero(c: Column) -> Column:

@@ -44,4 +44,4 @@ def join_sorted_set(df: DataFrame, key: str, value: str, sep: str = " | ") -> Da
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -10,20 +10,23 @@ from ..functions.text import tokens
 K1, B, FLOOR = 1.5, 0.75, 0.25  # fixed values of the scoring rule
 
 
-def bm25(pairs: DataFrame, group: str = "query_id") -> DataFrame:
+def bm25(pairs: DataFrame) -> DataFrame:
     """query_id, cand_id, score. pairs: query_id, query_text, cand_id, cand_text. The candidates of a query are its corpus;
     a term's negative idf becomes FLOOR times the mean idf of the corpus."""
-    docs = pairs.select("query_id", "cand_id", tokens(F.lower("cand_text")).alias("w"))
-    sizes = docs.groupBy("query_id").agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avg_len"))
-    tf = docs.select("query_id", "cand_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("query_id", "cand_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("query_id", "term").agg(F.count("*").alias("df")).join(sizes, "query_id")
-    raw = df.withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.groupBy("query_id").agg((F.avg("idf") * FLOOR).alias("floor"))
-    idf = raw.join(mean, "query_id").select("query_id", "term", "avg_len", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    asked = pairs.select("query_id", "query_text").distinct().select("query_id", F.explode(tokens(F.lower("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    found = tf.join(asked, ["query_id", "term"]).join(idf, ["query_id", "term"]).groupBy("query_id", "cand_id").agg(F.sum(part).alias("score"))
-    return pairs.select("query_id", "cand_id").join(found, ["query_id", "cand_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    # Everything is counted by windows inside a query, so the rows are shuffled once, by query_id.
+    query, words = Window.partitionBy("query_id"), Window.partitionBy("query_id", "term")
+    base = pairs.select("query_id", "cand_id", tokens(F.lower("query_text")).alias("q"), tokens(F.lower("cand_text")).alias("w"))
+    sized = base.select("query_id", "cand_id", "q", "w", F.size("w").alias("len"), F.count("*").over(query).alias("n_docs"), F.avg(F.size("w")).over(query).alias("avg_len"))
+    tf = sized.withColumn("term", F.explode_outer("w")).groupBy("query_id", "cand_id", "term").agg(
+        F.count("term").alias("tf"), *[F.first(c).alias(c) for c in ("q", "len", "n_docs", "avg_len")])
+    df = tf.withColumn("df", F.count("term").over(words))
+    raw = df.withColumn("idf", F.when(F.col("df") > 0, F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    share = F.when(F.col("df") > 0, 1 / F.col("df"))  # a term's rows count as one
+    floored = raw.withColumn("floor", FLOOR * F.sum(F.col("idf") * share).over(query) / F.sum(share).over(query))
+    idf = F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))
+    times = F.size(F.filter("q", lambda x: x == F.col("term")))
+    part = times * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    return floored.groupBy("query_id", "cand_id").agg(F.coalesce(F.sum(F.when(times > 0, part)), F.lit(0.0)).alias("score"))
 
 
 def bm25_corpus(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:

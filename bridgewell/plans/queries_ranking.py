@@ -46,18 +46,18 @@ idf AS (SELECT term, avg_len, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FRO
 asked AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY ALL),
 s AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))), 6) AS score FROM tf JOIN asked USING (term) JOIN idf USING (term) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
-SELECT query_id, round(score, 4) AS score, rank FROM r WHERE rank <= 10""")
+SELECT query_id, score, rank FROM r WHERE rank <= 10""")
 def _(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    return R.bm25_corpus(q, table(spark, d, "documents").select("doc_id", "text"), 10).select("query_id", F.round("score", 4).alias("score"), "rank")
+    return R.bm25_corpus(q, table(spark, d, "documents").select("doc_id", "text"), 10).select("query_id", "score", "rank")
 
 
 BONUS = BM25 + """, bo AS (SELECT *, 0.7 * score + 0.3 * CASE WHEN same THEN CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN max(score) OVER (PARTITION BY query_id) ELSE 1.0 END ELSE 0 END AS b FROM bm)"""
 
 
-@query("r3_category_bonus", f"{BONUS} SELECT query_id, cand_id, round(b, 6) AS score FROM bo")
+@query("r3_category_bonus", f"{BONUS} SELECT query_id, cand_id, round(b, 8) AS score FROM bo")
 def _(spark, d):
-    return R.with_category_bonus(scored(spark, d), F.col("same")).select("query_id", "cand_id", F.round("score", 6).alias("score"))
+    return R.with_category_bonus(scored(spark, d), F.col("same")).select("query_id", "cand_id", F.round("score", 8).alias("score"))
 
 
 COSINES = EVAL + ", co AS (SELECT query_id, cand_id, label, round(list_cosine_similarity(qv::DOUBLE[], cv::DOUBLE[]), 6) AS score FROM ev)"
@@ -87,9 +87,9 @@ HYBRID = BM25 + f""", hy AS (SELECT ev.query_id, ev.cand_id, ev.label, 0.2 * bm.
   + 0.3 * round(list_cosine_similarity(qv::DOUBLE[], cv::DOUBLE[]), 6) + 0.3 * {MATCH} + 0.2 * CASE WHEN same THEN 1 ELSE 0 END AS score FROM ev JOIN bm ON ev.query_id = bm.query_id AND ev.cand_id = bm.cand_id)"""
 
 
-@query("r6_hybrid", f"{HYBRID} SELECT query_id, cand_id, round(score, 6) AS score FROM hy")
+@query("r6_hybrid", f"{HYBRID} SELECT query_id, cand_id, round(score, 8) AS score FROM hy")
 def _(spark, d):
-    return hybrid_scores(spark, d).select("query_id", "cand_id", F.round("score", 6).alias("score"))
+    return hybrid_scores(spark, d).select("query_id", "cand_id", F.round("score", 8).alias("score"))
 
 
 @query("r7_two_towers")
@@ -143,13 +143,13 @@ def _(spark, d):
     return recommended(spark, d).select("user_id", "item_id", "rank")
 
 
-RANKS = BONUS + """, rk AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY round(b, 6) DESC, cand_id) AS rank FROM bo),
+RANKS = BONUS + """, rk AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY round(b, 8) DESC, cand_id) AS rank FROM bo),
 tr AS (SELECT query_id, rank FROM rk WHERE label = 1)"""
 METRICS = """round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hr_at_k, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0.0 END), 6) AS ndcg_at_k, count(*) AS n_queries"""
 
 
 def bonus_ranks(spark, d):
-    s = R.with_category_bonus(scored(spark, d), F.col("same")).withColumn("score", F.round("score", 6))
+    s = R.with_category_bonus(scored(spark, d), F.col("same")).withColumn("score", F.round("score", 8))
     return R.true_ranks(R.top(s, "query_id", "cand_id"), s)
 
 
@@ -179,11 +179,11 @@ def _ranked(name: str, cte: str, score: str) -> str:
 
 
 @query("r16_model_comparison", f"""{HYBRID}, co AS (SELECT query_id, cand_id, label, round(list_cosine_similarity(qv::DOUBLE[], cv::DOUBLE[]), 6) AS score FROM ev),
-{_ranked('x', 'bm', 'score')}, {_ranked('y', 'co', 'score')}, {_ranked('z', 'hy', 'round(score, 6)')},
+{_ranked('x', 'bm', 'score')}, {_ranked('y', 'co', 'score')}, {_ranked('z', 'hy', 'round(score, 8)')},
 m AS (SELECT 'bm25' AS model, * FROM x UNION ALL SELECT 'embedding', * FROM y UNION ALL SELECT 'hybrid', * FROM z)
 SELECT model, {METRICS} FROM m WHERE label = 1 GROUP BY model""")
 def _(spark, d):
-    h = hybrid_scores(spark, d).select("query_id", "cand_id", "label", "bm25", "cosine", F.round("score", 6).alias("hybrid"))
+    h = hybrid_scores(spark, d).select("query_id", "cand_id", "label", "bm25", "cosine", F.round("score", 8).alias("hybrid"))
     long = h.select("query_id", "cand_id", "label", F.explode(F.create_map(F.lit("bm25"), "bm25", F.lit("embedding"), "cosine", F.lit("hybrid"), "hybrid")).alias("model", "score"))
     w = Window.partitionBy("model", "query_id").orderBy(F.desc("score"), "cand_id")
     ranks = long.withColumn("rank", F.row_number().over(w)).where("label = 1")

@@ -348,10 +348,10 @@ def _(spark, d):
 
 
 @query("q5_catalog_union", """WITH u AS (SELECT p_partkey AS k, p_name AS title, NULL AS size FROM part UNION ALL SELECT p_partkey, NULL, p_size FROM part WHERE p_size > 5),
-o AS (SELECT k, max(title) AS title, max(size) AS size FROM u GROUP BY k) SELECT k, title, size FROM o WHERE k IN (SELECT l_partkey FROM lineitem)""")
+o AS (SELECT k, max(title) AS title, max(size) AS size FROM u GROUP BY k) SELECT k, title, CAST(size AS DOUBLE) AS size FROM o WHERE k IN (SELECT l_partkey FROM lineitem)""")
 def _(spark, d):
     p = table(spark, d, "part")
-    return L.catalog_union([p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("title")), p.where("p_size > 5").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"))], table(spark, d, "lineitem").select(F.col("l_partkey").alias("k")), "k")
+    return L.catalog_union([p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("title")), p.where("p_size > 5").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("size"))], table(spark, d, "lineitem").select(F.col("l_partkey").alias("k")), "k")
 
 
 @query("q6_eval_dataset", f"{BENCH} SELECT query_id, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, md5(string_agg(CAST(cand_id AS VARCHAR), ',' ORDER BY md5('42|' || query_id || '|' || cand_id), cand_id)) AS candidates FROM bench GROUP BY query_id")

@@ -26,7 +26,9 @@ def read_json(spark: SparkSession, paths: str | Sequence[str], schema=None, drop
 
 def malformed_count(spark: SparkSession, paths, schema: str) -> int:
     """Rows that do not parse under the schema (DDL)."""
-    return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(paths).select("_corrupt_record").where("_corrupt_record is not null").count()
+    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(paths)
+    fields = F.struct(*[c for c in rows.columns if c != "_corrupt_record"])  # the reader wants a field besides
+    return rows.select("_corrupt_record", F.to_json(fields).alias("f")).where("_corrupt_record is not null and f is not null").count()
 
 
 def read_csv(spark: SparkSession, paths, schema) -> DataFrame:
