@@ -17,16 +17,15 @@ def bm25(pairs: DataFrame) -> DataFrame:
     query, words = Window.partitionBy("query_id"), Window.partitionBy("query_id", "term")
     base = pairs.select("query_id", "cand_id", tokens(F.lower("query_text")).alias("q"), tokens(F.lower("cand_text")).alias("w"))
     sized = base.select("query_id", "cand_id", "q", "w", F.size("w").alias("len"), F.count("*").over(query).alias("n_docs"), F.avg(F.size("w")).over(query).alias("avg_len"))
-    tf = sized.withColumn("term", F.explode_outer("w")).groupBy("query_id", "cand_id", "term").agg(
-        F.count("term").alias("tf"), *[F.first(c).alias(c) for c in ("q", "len", "n_docs", "avg_len")])
+    terms = sized.withColumn("term", F.explode_outer("w")).withColumn("times", F.size(F.filter("q", lambda x: x == F.col("term"))))
+    tf = terms.groupBy("query_id", "cand_id", "term").agg(F.count("term").alias("tf"), *[F.max(c).alias(c) for c in ("times", "len", "n_docs", "avg_len")])
     df = tf.withColumn("df", F.count("term").over(words))
     raw = df.withColumn("idf", F.when(F.col("df") > 0, F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     share = F.when(F.col("df") > 0, 1 / F.col("df"))  # a term's rows count as one
     floored = raw.withColumn("floor", FLOOR * F.sum(F.col("idf") * share).over(query) / F.sum(share).over(query))
     idf = F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))
-    times = F.size(F.filter("q", lambda x: x == F.col("term")))
-    part = times * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return floored.groupBy("query_id", "cand_id").agg(F.coalesce(F.sum(F.when(times > 0, part)), F.lit(0.0)).alias("score"))
+    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    return floored.groupBy("query_id", "cand_id").agg(F.coalesce(F.sum(F.when(F.col("times") > 0, part)), F.lit(0.0)).alias("score"))
 
 
 def bm25_corpus(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:

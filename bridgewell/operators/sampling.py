@@ -139,3 +139,9 @@ def leave_one_out(edges: DataFrame, most: int = 250, seed: int = 42) -> DataFram
     w = Window.partitionBy("user_idx").orderBy(order_key(f"{seed}e", F.col("user_idx"), F.col("item_idx")), "item_idx")
     hidden = edges.join(F.broadcast(parts), "user_idx").withColumn("_n", F.row_number().over(w)).where("_n = 1").select("user_idx", "item_idx", "part")
     return edges.join(F.broadcast(hidden), ["user_idx", "item_idx"], "left").withColumn("part", F.coalesce("part", F.lit("train")))
+
+
+def hard_negative(scores: DataFrame) -> DataFrame:
+    """query_id, cand_id, score: of the false candidates given, the best one of each query, ties to the smaller id."""
+    best = scores.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("away"), "cand_id")).alias("b"))
+    return best.select("query_id", "b.cand_id", (-F.col("b.away")).alias("score"))

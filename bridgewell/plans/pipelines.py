@@ -27,7 +27,9 @@ def item_nodes(df: DataFrame, fields: Mapping[str, tuple[Sequence[str], str]], d
     """
     mapped = K.map_fields(df, fields).withColumn("_raw", F.concat_ws(" ", "name", "description"))
     nodes = mapped.select("product_id", T.clean_text(F.col("_raw")).alias("full_text"), T.category_of(F.col("_raw")).alias("category"), domain.alias("domain"))
-    return K.one_per_key(K.with_keys(nodes, "product_id", "full_text"), ["product_id"], [F.col("full_text"), F.col("category")])
+    # A filter on the cleaned text would be pushed below the projection and clean each text twice; inside the aggregate it is cleaned once.
+    least = F.min(F.when(F.col("full_text") != "", F.struct("full_text", "category", "domain"))).alias("n")
+    return K.with_keys(nodes, "product_id").groupBy("product_id").agg(least).where("n is not null").select("product_id", "n.full_text", "n.category", "n.domain")
 
 
 def latest_interactions(df: DataFrame, *tie: Column) -> DataFrame:

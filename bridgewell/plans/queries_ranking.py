@@ -69,6 +69,12 @@ def _(spark, d):
     return R.top(s, "query_id", "cand_id").drop("score")
 
 
+@query("w9_hard_negative", f"{COSINES} SELECT query_id, cand_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) AS n FROM co WHERE label = 0) WHERE n = 1")
+def _(spark, d):
+    s = eval_long(spark, d).where("label = 0").select("query_id", "cand_id", F.round(V.cosine(F.col("query_v"), F.col("cand_v")), 6).alias("score"))
+    return W.hard_negative(s)
+
+
 MATCH = "((CASE WHEN qb = cb THEN 1 ELSE 0 END + CASE WHEN qr = cr THEN 1 ELSE 0 END) / 2.0)"
 
 
