@@ -188,11 +188,16 @@ def similar_links(prints: DataFrame, radius: int, ratio: float, tile: int = TILE
     """
     band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / float(-np.log(ratio)) + 1e-9).cast("int")
     marked = prints.select("node", "print", "size", band.alias("band"))
-    full = marked.groupBy("band").agg(F.count("*").alias("rows"))
-    tiles = marked.join(full, "band").groupBy("band", F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / tile)).alias("cut")).agg(
+    cuts = F.ceil(F.col("rows") / tile).cast("int")
+    full = marked.groupBy("band").agg(F.count("*").alias("rows")).select("band", cuts.alias("cuts"), F.ceil(cuts / 2).cast("int").alias("groups"))
+    tiles = marked.join(full, "band").groupBy("band", "groups", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int").alias("cut")).agg(
         F.collect_list("node").alias("nodes"), F.collect_list("print").alias("prints"))
-    asked = tiles.select(F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("other"), F.col("band").alias("band_a"), F.col("cut").alias("cut_a"), F.col("nodes").alias("na"), F.col("prints").alias("pa"))
-    pairs = asked.join(tiles.select(F.col("band").alias("other"), F.col("cut").alias("cut_b"), F.col("nodes").alias("nb"), F.col("prints").alias("pb")), "other").where("other > band_a or cut_a <= cut_b").select("na", "pa", "nb", "pb")
+    # A full band is dealt to as many keys as it has groups of two tiles, and every tile that meets it goes to each of them.
+    reached = full.select(F.col("band").alias("other"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    near = full.select("band", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("other")).join(reached, "other")
+    asked = tiles.select("band", F.col("cut").alias("cut_a"), F.col("nodes").alias("na"), F.col("prints").alias("pa")).join(near, "band")
+    met = tiles.select(F.col("band").alias("other"), F.pmod("cut", "groups").alias("group"), F.col("cut").alias("cut_b"), F.col("nodes").alias("nb"), F.col("prints").alias("pb"))
+    pairs = asked.join(met, ["other", "group"]).where("other > band or cut_a <= cut_b").select("na", "pa", "nb", "pb")
 
     def compare(batches):
         for batch in batches:
