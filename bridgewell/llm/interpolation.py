@@ -118,8 +118,8 @@ def mixture(histogram: np.ndarray, types: int, rounds: int = 50) -> np.ndarray:
     for c in range(CONTEXTS):
         if len(rows := histogram[histogram[:, 0] == c]):
             out[c] = learn(rows, every)
-    out[0, 0], out[0] = 0.0, out[0] / max(1e-12, out[0, 1:].sum())  # an unseen context says nothing
-    out[0, 0] = 0.0
+    out[0, 0] = 0.0  # an unseen context says nothing
+    out[0] /= out[0].sum()
     return out
 
 
@@ -197,7 +197,9 @@ def score(docs: DataFrame, learn: Column, dev_modulus: int = DEV_MODULUS, blocks
         def find(grams: np.ndarray, unigrams: bool) -> tuple[np.ndarray, np.ndarray]:
             c = np.concatenate([_unpack(packed[k], np.uint32) for k in range(len(side)) if side[k] == unigrams]).astype(np.int64)
             values, where = np.unique(grams, return_inverse=True)
-            return c, where if len(values) == len(c) else np.zeros(-1)
+            if len(values) != len(c):
+                raise RuntimeError("the documents changed while they were scored")
+            return c, where
 
         c, where = find(t.token, True)
         one = c[where]

@@ -138,11 +138,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on the labelled rows that satisfy `learn` (a condition on doc_id), at most sample_rows of them.
 
-    Rows with a null label or id are left out; an id labelled twice counts once, with its smaller label.
+    Rows with a null label or id are left out; an id labelled twice counts once, with its
+    smaller label, and an id that several documents have stands for the first of their texts.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.min(label).cast("int").alias("_label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by sample_rows
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by sample_rows
+    texts = found.groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
 
     def extract(batches):
         for b in batches:

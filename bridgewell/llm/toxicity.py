@@ -180,12 +180,13 @@ def build(rows: list[tuple[int, int, np.ndarray, np.ndarray]], vocabulary: np.nd
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", positive_rows: int = POSITIVE_ROWS, negative_rows: int = NEGATIVE_ROWS) -> Index:
     """Index of labelled rows that satisfy `learn` (a condition on doc_id). Rows with a null label or id are left out; an id labelled
-    twice counts once, with its larger label."""
+    twice counts once, with its larger label, and an id that several documents have stands for the first of their texts."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     totals = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).where("_label in (0, 1)").collect()}
     order = Window.partitionBy("_label").orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = known.withColumn("_at", F.row_number().over(order)).where(f"_at <= case _label when 1 then {positive_rows} when 0 then {negative_rows} else 0 end")
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by the two row counts
+    found = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "_label")), "doc_id")  # bounded by the two row counts
+    texts = found.groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
 
     def extract(batches):
         for b in batches:
