@@ -190,7 +190,8 @@ def similar_links(prints: DataFrame, radius: int, ratio: float, tile: int = TILE
     marked = prints.select("node", "print", "size", band.alias("band"))
     cuts = F.ceil(F.col("rows") / tile).cast("int")
     full = marked.groupBy("band").agg(F.count("*").alias("rows")).select("band", cuts.alias("cuts"), F.ceil(cuts / 2).cast("int").alias("groups"))
-    tiles = marked.join(full, "band").groupBy("band", "groups", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int").alias("cut")).agg(
+    # At most a band for each power of 1/ratio up to the longest text: some hundred rows.
+    tiles = marked.join(F.broadcast(full), "band").groupBy("band", "groups", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int").alias("cut")).agg(
         F.collect_list("node").alias("nodes"), F.collect_list("print").alias("prints"))
     # A full band is dealt to as many keys as it has groups of two tiles, and every tile that meets it goes to each of them.
     reached = full.select(F.col("band").alias("other"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
