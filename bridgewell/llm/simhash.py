@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -66,6 +66,24 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return _join(a, b, near())
 
 
+def _join(a: np.ndarray, b: np.ndarray, near) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs (row of a, row of b)."""
+    nodes, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label, of_a, of_b, out = np.arange(len(nodes)), where[: len(a)], where[len(a) :], []
+    for i, j in near:
+        cut = np.flatnonzero(np.diff(i)) + 1
+        for rows, others in zip(np.split(i, cut), np.split(j, cut), strict=True):
+            if not len(rows):
+                continue
+            own = label[of_a[rows[0]]]
+            ls, at = np.unique(label[of_b[others]], return_index=True)
+            for other, k in zip(ls, at, strict=True):
+                if other != own:
+                    out.append((int(a[rows[0]]), int(b[others[k]])))
+                    label[label == other] = own
+    return out
+
+
 def segments_for(rows: int) -> int:
     """Segments of a tile's signature: more for more rows, so that the compared share falls as rows grow."""
     return next(s for s, most in ((2, 1 << 19), (4, 1 << 25), (8, 1 << 33), (16, 1 << 70)) if rows < most)
@@ -131,127 +149,156 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(roots, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-# Similar documents: long fingerprints, whose distance tells the similarity of shingle sets closely.
-WORDS = 16  # of 64 bits
+# Similar documents: pairs that share one of their rarest shingles, judged by the exact similarity of their shingle sets.
 SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
-MARGIN = 12  # bits allowed beyond the expected distance at the similarity: a standard deviation
-
+SAMPLE, MOST_COMMON = 4_000, 100_000  # documents that tell which shingles are common, and how many of those are named
+POSTINGS = 2048  # of a shingle's documents, in a tile
+SLOTS = 1 << 26  # bits that tell which documents need a check
 
-def radius_for(similarity: float, words: int = WORDS) -> int:
-    """Bits in which two sets of equal size and this Jaccard similarity are expected to differ, and the margin."""
-    return round(64 * words * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + MARGIN
 
-
-def long_fingerprint_block(texts: list[bytes], shingle: int = SIMILAR_SHINGLE, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of `words` x 64 bits over the distinct shingles of each text, and how many there are."""
-    out, sizes, seeds = np.zeros((len(texts), words), np.uint64), np.zeros(len(texts), np.int64), W.mix(np.arange(1, words + 1, dtype=np.uint64))
+def shingle_sets(texts: list[bytes], shingle: int = SIMILAR_SHINGLE) -> list[np.ndarray]:
+    """The sorted hashes of each text's distinct shingles. A text of fewer words than a shingle is one shingle."""
+    out = [np.zeros(0, np.uint64)] * len(texts)
     for lo, hi in W.pieces(texts):
         b = W.Block(texts[lo:hi], lower=True)
-        h, n = b.hashes(), np.diff(b.first)
-        runs = W.Windows(h)
-        for i in range(hi - lo):
-            if not n[i]:
-                continue
-            k = min(shingle, int(n[i]))
-            d = np.unique(runs.at(np.arange(b.first[i], b.first[i + 1] - k + 1), k))
-            sizes[lo + i] = len(d)
-            counts = np.zeros((words, 64), np.int64)
-            for at in range(0, len(d), 255):
-                x = W.mix(d[at : at + 255, None] + seeds[None, :])
-                counts += LANES[x.view(np.uint8).reshape(len(x), words, 8)].sum(axis=0, dtype=np.uint64).view(np.uint8).reshape(words, 64)
-            out[lo + i] = np.packbits(2 * counts > len(d), axis=1, bitorder="little").view(np.uint64).ravel()
-    return out, sizes
-
-
-def _close(a: np.ndarray, b: np.ndarray, radius: int):
-    """Row numbers of a and b whose fingerprints differ in at most radius bits: the first quarter is tested loosely for
-    all pairs, the whole for what is left."""
-    quarter = max(1, a.shape[1] // 4)
-    loose = radius if quarter == a.shape[1] else min(radius, round(radius * quarter / a.shape[1] + 5 * (16 * quarter) ** 0.5 / 2 + 8))
-    for lo in range(0, len(a), 256):
-        x = a[lo : lo + 256]
-        d = np.zeros((len(x), len(b)), np.uint16)
-        for w in range(quarter):
-            d += np.bitwise_count(x[:, w, None] ^ b[None, :, w])
-        i, j = np.nonzero(d <= loose)
-        for at in range(0, len(i), 1 << 16):
-            p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            near = np.bitwise_count(x[p] ^ b[q]).sum(axis=1, dtype=np.int64) <= radius
-            yield lo + p[near], q[near]
-
-
-def similar_links(prints: DataFrame, radius: int, ratio: float, tile: int = TILE) -> DataFrame:
-    """Pairs (a, b) of nodes, a spanning forest of each pair of tiles. prints: node, size, print (binary), one row each.
-
-    Sets whose sizes differ by more than the ratio cannot be that similar: tiles lie in bands of size, and a band meets itself and
-    the next. Pairs of tiles are skipped as well if no population counts lie within the radius.
-    """
-    band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / float(-np.log(ratio)) + 1e-9).cast("int")
-    marked = prints.select("node", "print", "size", band.alias("band"))
-    cuts = F.ceil(F.col("rows") / tile).cast("int")
-    full = marked.groupBy("band").agg(F.count("*").alias("rows")).select("band", cuts.alias("cuts"), F.ceil(cuts / 2).cast("int").alias("groups"))
-    # At most a band for each power of 1/ratio up to the longest text: some hundred rows.
-    tiles = marked.join(F.broadcast(full), "band").groupBy("band", "groups", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int").alias("cut")).agg(
-        F.collect_list("node").alias("nodes"), F.collect_list("print").alias("prints"))
-    # A full band is dealt to as many keys as it has groups of two tiles, and every tile that meets it goes to each of them.
-    reached = full.select(F.col("band").alias("other"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
-    near = full.select("band", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("other")).join(reached, "other")
-    asked = tiles.select("band", F.col("cut").alias("cut_a"), F.col("nodes").alias("na"), F.col("prints").alias("pa")).join(near, "band")
-    met = tiles.select(F.col("band").alias("other"), F.pmod("cut", "groups").alias("group"), F.col("cut").alias("cut_b"), F.col("nodes").alias("nb"), F.col("prints").alias("pb"))
-    pairs = asked.join(met, ["other", "group"]).where("other > band or cut_a <= cut_b").select("na", "pa", "nb", "pb")
+        runs = W.Windows(b.hashes())
+        for i, n in enumerate(np.diff(b.first).tolist()):
+            if n:
+                k = min(shingle, n)
+                out[lo + i] = np.unique(runs.at(np.arange(b.first[i], b.first[i + 1] - k + 1), k))
+    return out
+
+
+def _node(s: np.ndarray) -> int:
+    """A set's own number, a hash of its members."""
+    return int(W.mix(np.array([W.mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+
+
+def prefix(s: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first members of a set, rare ones before common ones: so many that two sets that similar share one of theirs."""
+    if not len(s):
+        return s
+    level = np.zeros(len(s), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        level = np.where(common[at] == s, often[at], 0)
+    return s[np.argsort(level, kind="stable")[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]]
+
+
+def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents of a sample hold, sorted, and in how many. They set the order of a set's members alone:
+    which pairs are found does not depend on them."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(W.as_bytes(b["text"]), shingle)]).view(np.int64))})
+
+    every = max(1, rows.count() // SAMPLE)
+    counted = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    got = counted.where("n > 2").orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
+    h, n = got["shingle"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _possible(similarity: float):
+    """Whether two postings a_ and b_ can be the first shared shingle of sets that similar: by their sizes, and what follows in each."""
+    sizes = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * F.lit(similarity) - 1e-9
+    left = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
+    return sizes & (left >= (F.col("a_size") + F.col("b_size")) * F.lit(similarity / (1 + similarity)) - 1e-9)
+
+
+def _checked(pairs: DataFrame, rows: DataFrame, named: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are that similar. named: node and the id of a row that has its set."""
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
+    word = named.join(need, "node", "left_semi").select(slot).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
+    wanted = np.zeros(SLOTS // 64, np.uint64)
+    wanted[word["word"].to_numpy()] = word["bits"].to_numpy().view(np.uint64)
+    sent = rows.sparkSession.sparkContext.broadcast(wanted)  # SLOTS bits: texts of other ids are passed over and nothing but the sets is shuffled
+
+    def run(batches):
+        for b in batches:
+            at = b["slot"].to_numpy()
+            b = b.filter(pa.array((sent.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            sets = shingle_sets(W.as_bytes(b["text"]), shingle)
+            yield pa.RecordBatch.from_pydict({"node": pa.array([_node(s) for s in sets], pa.int64()), "members": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+    sets = saved(rows.select(slot, "text").mapInArrow(run, "node long, members binary").groupBy("node").agg(F.first("members").alias("members")))
 
     def compare(batches):
-        for batch in batches:
-            found = []
-            for na, pa_, nb, pb in zip(*(batch[c] for c in ("na", "pa", "nb", "pb")), strict=True):
-                ids = [x.values.to_numpy() for x in (na, nb)]
-                x, y = (np.frombuffer(b"".join(z.as_py()), np.uint64).reshape(len(i), -1) for z, i in zip((pa_, pb), ids, strict=True))
-                counts = [np.bitwise_count(z).sum(axis=1, dtype=np.int64) for z in (x, y)]
-                if counts[0].min() - counts[1].max() > radius or counts[1].min() - counts[0].max() > radius:
-                    continue
-                found += _join(ids[0], ids[1], _close(x, y, radius))
-            got = np.array(found, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1])})
+        for b in batches:
+            near = []
+            for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return pairs.mapInArrow(compare, "a long, b long")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def _join(a: np.ndarray, b: np.ndarray, near) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs (row of a, row of b)."""
-    nodes, where = np.unique(np.concatenate([a, b]), return_inverse=True)
-    label, of_a, of_b, out = np.arange(len(nodes)), where[: len(a)], where[len(a) :], []
-    for i, j in near:
-        cut = np.flatnonzero(np.diff(i)) + 1
-        for rows, others in zip(np.split(i, cut), np.split(j, cut), strict=True):
-            if not len(rows):
-                continue
-            own = label[of_a[rows[0]]]
-            ls, at = np.unique(label[of_b[others]], return_index=True)
-            for other, k in zip(ls, at, strict=True):
-                if other != own:
-                    out.append((int(a[rows[0]]), int(b[others[k]])))
-                    label[label == other] = own
-    return out
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).where("a <> b").distinct()
+
 
+def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose shingle sets are that similar, enough to join every two that a chain of such pairs joins.
 
-def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, words: int = WORDS) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id reachable over links between documents whose shingle sets are
-    that similar, as their long fingerprints tell.
+    nodes: node, doc_id, size, prefix (binary), one row each; rows: doc_id, text. Of each shingle, documents that follow one another
+    in a seeded order are compared first; what that joins is not compared again, so that a large group of near copies costs
+    its rows, not their square. All other pairs that share a shingle of their prefixes follow.
+    """
 
-    Null and empty texts have no shingles and are linked to one another. Equal documents are compared once. A row with
+    def spread(batches):
+        for b in batches:
+            got = [np.frombuffer(x, np.int64) for x in b["prefix"].to_pylist()]
+            n = [len(x) for x in got]
+            yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.concatenate([np.zeros(0, np.int64), *got])), "node": pa.array(np.repeat(b["node"].to_numpy(), n)),
+                "size": pa.array(np.repeat(b["size"].to_numpy(), n)), "at": pa.array(np.concatenate([np.zeros(0, np.int32), *[np.arange(x, dtype=np.int32) for x in n]]))})
+
+    postings = nodes.select("node", "size", "prefix").mapInArrow(spread, "shingle long, node long, size int, at int")
+    held = postings.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    cuts = F.ceil(F.col("n") / POSTINGS).cast("int")
+    shared = saved(postings.join(held, "shingle").select("shingle", "node", "size", "at", "n", cuts.alias("cuts"), F.pmod(F.xxhash64("shingle", "node"), cuts).cast("int").alias("cut")))
+    side = lambda d, name, *more: d.select("shingle", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "size", "at", "cut", *more)])
+    order = Window.partitionBy("shingle", "a_cut").orderBy(F.xxhash64(F.lit(1), "shingle", "a_node"), "a_node")
+    next_ = side(shared, "a").select("*", *[F.lag(f"a_{c}").over(order).alias(f"b_{c}") for c in ("node", "size", "at")]).where("b_node is not null")
+    named = nodes.select("node", "doc_id")
+    first = saved(_checked(saved(_pairs(next_.where(_possible(similarity)))), rows, named, similarity, shingle))
+    joined = components(first)
+    rest = shared.where("n > 2").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = rest.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+    rest = saved(rest.join(apart, "shingle").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))))
+    met = side(rest, "a", "other", "component").join(
+        side(rest, "b", "other", "component").withColumnsRenamed({"b_cut": "a_other", "b_other": "a_cut"}), ["shingle", "a_cut", "a_other"])
+    second = _checked(saved(_pairs(met.where("a_node < b_node and a_component <> b_component").where(_possible(similarity)))), rows, named, similarity, shingle)
+    return first.union(second)
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id reachable over links between documents whose shingle sets have that
+    Jaccard similarity or more. No pair is missed: shingles are compared by 64-bit hashes, and nothing else is estimated.
+
+    Null and empty texts have no shingles and are linked to one another. Equal sets are compared once. A row with
     a null doc_id is left out; repeated rows appear again; no rows give no rows.
     """
+    rows = docs.where("doc_id is not null").select("doc_id", "text")
+    sent = docs.sparkSession.sparkContext.broadcast(_common(rows, shingle))  # bounded by MOST_COMMON
 
     def run(batches):
         for b in batches:
-            got, n = long_fingerprint_block(W.as_bytes(b["text"]), shingle, words)
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "size": pa.array(n), "print": pa.array([x.tobytes() for x in got], pa.binary())})
-
-    prints = saved(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, size long, print binary"))
-    groups = prints.groupBy("size", "print").agg(F.min("doc_id").alias("node"))
-    found = components(similar_links(groups, radius_for(similarity, words), similarity).distinct())
-    roots = groups.join(found, "node", "left").select("size", "print", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(roots, ["size", "print"]).select("doc_id", "component_id")
+            sets = shingle_sets(W.as_bytes(b["text"]), shingle)
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "node": pa.array([_node(s) for s in sets], pa.int64()), "size": pa.array([len(s) for s in sets], pa.int32()),
+                "prefix": pa.array([prefix(s, similarity, *sent.value).tobytes() for s in sets], pa.binary())})
+
+    prints = saved(rows.mapInArrow(run, "doc_id long, node long, size int, prefix binary"))
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    found = components(similar_links(rows, nodes, similarity, shingle))
+    least = prints.groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    roots = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    return prints.select("doc_id", "node").join(roots, "node").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:

@@ -276,6 +276,26 @@ def test_similar_documents(spark):
     assert simhash.similar(empty(spark)).count() == 0
 
 
+def test_similar_documents_near_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "POSTINGS", 4)  # full shingles are cut
+    rng = random.Random(12)
+    texts = []
+    for n in [*range(5, 21), 40, 300]:
+        for k in range(4):  # the same words and some more: 4 of 5, 5 of 6, ... shingles; and changed last words
+            t = [f"v{n}_{k}_{i}" for i in range(n)]
+            more = round((n - 4) / 4) + rng.choice([-1, 0, 0, 1])
+            texts += [" ".join(t), " ".join(t + ["more"] * max(1, more)), " ".join(t[: -max(1, more // 2)] + ["last"])]
+    base = [f"c{i}" for i in range(60)]  # a group of near copies that are joined by chains, and a passage that others share
+    texts += [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 60, 2)]
+    texts += [" ".join(base[:30] + [f"y{k}_{i}" for i in range(rng.randrange(4, 12))]) for k in range(20)]
+    got = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, texts)).collect()}
+    sets = [{tuple(w[i : i + min(5, len(w))]) for i in range(max(1, len(w) - 4))} for w in (plain.words(t, lower=True) for t in texts)]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    near = [alike(a, b) for a in range(len(texts)) for b in range(a) if sets[a] & sets[b]]
+    assert sum(0.8 <= x < 0.84 for x in near) > 20 and sum(0.76 < x < 0.8 for x in near) > 20
+    assert got == plain.groups(list(range(len(texts))), lambda a, b: alike(a, b) >= 0.8)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(500, 500), (None, 1)] + [(900, 1000 + i) for i in range(50)]
