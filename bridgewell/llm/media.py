@@ -118,7 +118,7 @@ def align(asked: DataFrame, known: DataFrame, min_hits: int = MIN_HITS, max_erro
     both = best.join(asks.select("ask", F.col("prints").alias("pa")), "ask").join(classes.select("rec_id", "copies", F.col("prints").alias("pb")), "rec_id")
     start_a, start_b = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
     overlap = F.least(F.size("pa") - start_a, F.size("pb") - start_b)
-    pairs = F.zip_with(F.slice("pa", start_a + 1, overlap), F.slice("pb", start_b + 1, overlap), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    pairs = F.zip_with(F.slice("pa", start_a + 1, overlap), F.slice("pb", start_b + 1, overlap), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))  # bit_count of a negative int counts 64 bits
     judged = both.withColumn("error", F.aggregate(pairs, F.lit(0), lambda s, x: s + x) / (overlap * 32)).where(F.col("error") <= max_error)
     names = asked.where(sound).select(F.col("rec_id").alias("query_id"), "prints").distinct().join(asks, "prints").select("query_id", "ask")
     return names.join(judged, "ask").select("query_id", "rec_id", "copies", "offset", "hits", "error")
@@ -126,7 +126,6 @@ def align(asked: DataFrame, known: DataFrame, min_hits: int = MIN_HITS, max_erro
 
 # Sound from vectors: a way to hear a table that holds no media. Each component is a note.
 NOTE = 1024  # samples of a note
-NOTES = 32
 
 
 @lru_cache(maxsize=1)
@@ -137,10 +136,10 @@ def _scale() -> np.ndarray:
 
 
 def melody(values: list[float] | None) -> np.ndarray | None:
-    """The samples of a vector's first NOTES components, higher for larger ones; None for null or non-finite ones."""
+    """The samples of a vector's components, higher for larger ones; None for null or non-finite ones."""
     if values is None or any(v is None or not np.isfinite(v) for v in values):
         return None
-    return _scale()[np.clip(np.round(np.array(values[:NOTES]) * 60 + 12), 0, 23).astype(int)].ravel()
+    return _scale()[np.clip(np.round(np.array(values) * 60 + 12), 0, 23).astype(int)].ravel()
 
 
 def as_recordings(batch: pa.RecordBatch):

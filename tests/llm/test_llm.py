@@ -459,6 +459,15 @@ def test_alignment(spark):
     assert media.find_excerpts(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_melody_plays_every_component(spark):
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=64).clip(-0.3, 0.3).tolist()
+    y = x[:32] + rng.normal(size=32).clip(-0.3, 0.3).tolist()
+    assert len(media.melody(x)) == 64 * media.NOTE and len(media.melody([])) == 0
+    found = media.find_excerpts(spark.createDataFrame([(0, x), (1, y)], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).collect()
+    assert [(r.rec_id, r.copies) for r in found if r.error < 0.05] == [(0, 1)]
+
+
 def test_pcm(spark):
     x = (np.sin(np.arange(30_000) * 0.5) * 20_000).astype("<i2").tobytes()
     df = spark.createDataFrame([(1, bytearray(x)), (2, None), (3, bytearray(b"a"))], "rec_id long, pcm binary")
