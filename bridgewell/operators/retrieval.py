@@ -67,14 +67,27 @@ def exact_top(items: DataFrame, queries: DataFrame, k: int, metric: str = "ip",
 
 
 def approximate_top(items: DataFrame, queries: DataFrame, k: int, bucket: float = 0.5, tables: int = 12, seed: int = 7, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """As exact_top by distance, over pairs that share a bucket of a random projection (MLlib's LSH)."""
+    """query_id, item_id, dist, rank: as exact_top by distance without the query itself, over pairs that share a bucket of a random
+    projection (MLlib's LSH), however far apart; queries that share buckets with fewer than k items are answered in full.
+
+    bucket: its width, in root mean square lengths of the items, so that the vectors' scale changes nothing.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     vec = lambda d: d.select(F.col(key).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(vec(items))
-    pairs = model.approxSimilarityJoin(vec(queries), vec(items), 1.2, "dist").select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("item_id"), "dist").where("query_id <> item_id")
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "item_id"))).where(F.col("rank") <= k)
+    square = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    length = items.agg(F.sqrt(F.avg(square))).first()[0] or 1.0
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", bucketLength=bucket * length, numHashTables=tables, seed=seed).fit(vec(items))
+    pairs = model.approxSimilarityJoin(vec(queries), vec(items), float("inf"), "dist").select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("item_id"), "dist").where("query_id <> item_id")
+    near = lambda d: d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "item_id"))).where(F.col("rank") <= k)
+    found = near(pairs).persist()  # k rows a query
+    full = found.groupBy(F.col("query_id").alias(key)).agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = queries.join(full, key, "left_anti").persist()
+    if short.isEmpty():
+        return found
+    rest = exact_top(items, short, k + 1, "l2", key=key, vector=vector).where("query_id <> item_id").select("query_id", "item_id", F.sqrt("score").alias("dist"))
+    return found.join(short.select(F.col(key).alias("query_id")), "query_id", "left_anti").select("query_id", "item_id", "dist", "rank").unionByName(near(rest))
 
 
 def without_seen(ranked: DataFrame, seen: DataFrame, k: int) -> DataFrame:

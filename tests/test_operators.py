@@ -145,6 +145,18 @@ def test_exact_top(spark, metric):
         assert [r.item_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == np.lexsort((np.arange(60), -np.round(s, 9)))[:4].tolist()
 
 
+@pytest.mark.parametrize("scale, dims", [(1.0, 64), (1e-3, 64), (1e3, 64), (1.0, 6)])
+def test_approximate_top_recall(spark, scale, dims):
+    x, df = vectors(spark, 400, dims)
+    df = df.withColumn("embedding", F.transform("embedding", lambda v: (v * scale).cast("float"))).union(spark.createDataFrame([(500, [1e5 * scale] * dims)], df.schema))
+    asks = df.where("vec_id < 20 or vec_id = 500")
+    true = {(r.query_id, r.item_id) for r in N.exact_top(df, asks, 11, "l2").collect() if r.query_id != r.item_id}
+    got = N.approximate_top(df, asks, 10).collect()
+    assert len(got) == 210 and len(true) == 210 and all(r.query_id != r.item_id for r in got)
+    assert len({(r.query_id, r.item_id) for r in got} & true) >= 0.9 * 210
+    assert sorted(r["rank"] for r in got if r.query_id == 500) == list(range(1, 11))
+
+
 def test_encoders(spark):
     t = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None)], "item_id long, text string")
     got = N.encode_with(t, lambda: lambda texts: np.array([[len(x), 1.0] for x in texts])).collect()
