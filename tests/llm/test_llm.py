@@ -572,8 +572,11 @@ def test_search_finds_all_of_a_small_table(spark):
     for q, rows in by.items():
         assert [r.vec_id for r in rows] == brute(x, ids, q, 20) and [r.rank for r in rows] == list(range(1, 21))
         assert all(r.score == pytest.approx(float(x[q].astype(float) @ x[r.vec_id].astype(float)), abs=1e-12) for r in rows)
+    cut = neighbours.search(df, F.col("vec_id") % 20 == 0, candidates=10_000, cell=100, part=16).collect()
+    assert sorted(cut) == sorted(got)  # cells in several buckets, queries in several groups
     few = neighbours.search(df.where("vec_id < 5"), F.lit(True)).collect()
     assert len(few) == 20
+    assert len(neighbours.search(df.where("vec_id < 5").union(df.where("vec_id < 5")), F.lit(True)).collect()) == 20  # repeated rows
     assert neighbours.search(df.limit(0), F.lit(True)).count() == 0
 
 
@@ -584,10 +587,38 @@ def test_search_recall(spark):
     got = collections.defaultdict(set)
     for r in neighbours.search(df, F.col("vec_id") % 20 == 0).collect():
         got[r.query_id].add(r.vec_id)
+    assert all(len(got[q]) == 20 for q in range(0, 4000, 20))
     hit = np.mean([len(got[q] & set(brute(x, list(range(4000)), q, 20))) / 20 for q in range(0, 4000, 20)])
     assert hit >= 0.9
 
 
+def test_bounds_lose_nothing_and_skip_cells(spark):
+    rng = np.random.default_rng(17)
+    middle = rng.normal(size=(40, 16)) * 4
+    x = (middle[rng.integers(0, 40, 4000)] + 0.05 * rng.normal(size=(4000, 16)))
+    books = tuple(neighbours.centroids(h, 80) for h in neighbours.halves(x))
+    index = neighbours.Index(books, x[:500])
+    i, j = (neighbours.nearest(h, b) for h, b in zip(neighbours.halves(x), books, strict=True))
+    count, radius = np.bincount(i * 80 + j, minlength=6400), (np.zeros(80), np.zeros(80))
+    for r, h, b, c in zip(radius, neighbours.halves(x), books, (i, j), strict=True):
+        np.maximum.at(r, c, np.linalg.norm(h - b[c], axis=1))
+    index.fill(count, radius, 300)
+    q = x[:50]
+    row, cell, least = index.visits(q, 4000, 20)
+    seen = np.zeros((50, 6400), bool)
+    seen[row, cell] = True
+    s = q @ x.T
+    s[np.arange(50), np.arange(50)] = -np.inf
+    top = np.argsort(-s, axis=1)[:, :20]
+    assert (np.take_along_axis(s, top, 1) >= least[:, None]).all() and seen[np.arange(50)[:, None], (i * 80 + j)[top]].all()
+    assert (seen * count).sum() < 0.5 * 50 * 4000
+    size = collections.Counter()
+    for c in range(6400):
+        for p in range(index.parts[c]):
+            size[index.first[c] + p] += count[c] / index.parts[c]
+    assert max(size.values()) <= 300
+
+
 def test_traverse_visits_cells_in_order():
     a, b = np.array([3.0, 1.0, 2.0]), np.array([0.5, 4.0])
     cells = neighbours.traverse(a, b, np.ones(6, int), 6)
