@@ -3,6 +3,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -500,24 +501,85 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(docs, toxicity.train(docs, known.limit(0), F.lit(True))).collect()} == {0.0}
 
 
-def test_nearest_is_exact():
+def test_nearest_is_exact_and_skips_postings():
     rng = np.random.default_rng(14)
-    vocabulary = np.sort(W.mix(np.arange(1, 41, dtype=np.uint64)))
+    known = np.sort(W.mix(np.arange(1, 201, dtype=np.uint64)))
     rows = []
-    for i in range(700):
-        t = rng.choice(40, rng.integers(1, 6), replace=False)
-        rows.append((i, int(rng.integers(2)), np.sort(vocabulary[t]), rng.integers(1, 4, len(t))))
-    ix = toxicity.build(rows, vocabulary, rng.integers(1, 500, 40).astype(float), 1000, (1.0, 1.0))
-    full = np.zeros((700, 40))
-    for k, (_, _, h, c) in enumerate(rows):
-        t = np.searchsorted(vocabulary, h)
-        full[k, t] = ix.weights(t, c)
-    for k in range(0, 700, 7):
+    for i in range(1500):  # two kinds of text with common terms of their own, and rare terms
+        t = np.unique(np.concatenate([rng.choice(20, 8) + 20 * (i % 2), rng.choice(160, 3) + 40]))
+        rows.append((i, int(rng.integers(2)), known[t], rng.integers(1, 9, len(t))))
+    ix = toxicity.build(rows, known, rng.integers(1, 500, 200).astype(float), 1000, (1.0, 1.0))
+    assert (ix.common >= 0).any() and (ix.common < 0).any()
+    by = {r[0]: r for r in rows}
+    full = np.zeros((1500, 200))
+    for k, i in enumerate(ix.ids):
+        t = np.searchsorted(known, by[i][2])
+        full[k, t] = ix.weights(np.zeros(len(t), int), t, by[i][3])
+    read = every = 0
+    for k in range(0, 1500, 7):
         t = np.flatnonzero(full[k])
-        e, s = ix.nearest(t, rows[k][3])
+        ((e, s),), n = ix.nearest(np.zeros(len(t), int), t, by[ix.ids[k]][3], 1)
         want = np.round(full @ full[k], 12)
-        order = np.lexsort((np.arange(700), -want))[: ix.neighbours]
-        assert np.allclose(s, want[order]) and set(e[s > s[-1] + 1e-9]) == set(order[want[order] > s[-1] + 1e-9])
+        order = np.lexsort((np.arange(1500), -want))[: ix.neighbours]
+        assert np.allclose(s, want[order], atol=1e-11) and set(e[s > s[-1] + 1e-9]) == set(order[want[order] > s[-1] + 1e-9])
+        read, every = read + n, every + np.where(ix.common[t] < 0, ix.first[t + 1] - ix.first[t], len(ix.blocks) * toxicity.RANGE).sum()
+    assert read < 0.8 * every
+
+
+def plain_toxicity(docs, labels, learn, asked, k=15):
+    """Votes of the k nearest examples for the texts asked, with dictionaries alone."""
+    def terms(text):
+        words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in re.findall(rb"[^\x20\x09-\x0D!-/:-@\[-`{-~]+", (text or "").encode())]
+        return collections.Counter([("w", w) for w in words] + [(n, w[:n]) for w in words for n in (5, 6, 7) if len(w) > n])
+
+    bags = {i: terms(t) for i, t in docs}
+    examples = {i: bags[i] for i, y in labels if learn(i)}
+    label = dict(labels)
+    df = collections.Counter(t for b in bags.values() for t in b)
+    toxic, other = (collections.Counter(t for i, b in examples.items() if label[i] == y for t in b) for y in (1, 0))
+    known = set().union(*examples.values())
+    value = {t: (math.log((len(docs) + 1) / (df[t] + 1)) + 1) * math.log2(2 + toxic[t] / max(1, other[t])) for t in known}
+
+    def vector(bag):
+        v = {t: (1 + math.log(n)) * value[t] for t, n in bag.items() if t in known}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    made = {i: vector(b) for i, b in examples.items()}
+    out = {}
+    for i in asked:
+        q = vector(bags[i])
+        near = sorted(((round(sum(x * e.get(t, 0.0) for t, x in q.items()), 12), j) for j, e in made.items()), reverse=True)
+        out[i] = [(c, j) for c, j in near if c > 0][:k]
+    return out, label
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    rng = random.Random(21)
+    docs = [(i, prose(rng, rng.randint(1, 40), 120) + (" idiotically" if i % 7 == 0 else "") + (" Lumpen!" if i % 3 else "")) for i in range(240)]
+    labels = [(i, int(i % 7 == 0)) for i in range(200)]
+    learn = lambda i: zlib.crc32(str(i).encode()) % 3 != 1
+    frame_, known = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    index = toxicity.train(frame_, known, quality.learns(3, 1))
+    got = {r.doc_id: r for r in toxicity.score(frame_, index).collect()}
+    want, label = plain_toxicity(docs, labels, learn, [i for i, _ in docs])
+    rates = dict(zip(index.labels, index.votes, strict=True))
+    for i, near in want.items():
+        found = [(e.cosine, e.doc_id) for e in got[i].evidence]
+        assert [c for c, _ in found] == pytest.approx([c for c, _ in near], abs=1e-9)
+        if len({round(c, 9) for c, _ in near}) == len(near):
+            w = [c * rates[label[j]] for c, j in near[:-1]]
+            assert [j for _, j in found][:-1] == [j for _, j in near[:-1]] and len(w) == len(near) - 1
+        vote = sum(e.cosine * rates[e.label] * e.label for e in got[i].evidence) / sum(e.cosine * rates[e.label] for e in got[i].evidence)
+        z = math.log((vote + 0.01) / (1.01 - vote))
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-(index.curve[0] * z + index.curve[1]))), abs=1e-9)
+
+
+def test_toxicity_sample_is_bounded_by_text(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * 100) for i in range(60)], DOCS)
+    known = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert len(toxicity.train(docs, known, F.lit(True), sample_bytes=5000).ids) < 10
+    assert len(toxicity.train(docs, known, F.lit(True), positive_rows=4, negative_rows=7).ids) == 11
 
 
 # 9 Chat
