@@ -201,11 +201,16 @@ def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
+def _need(similarity: float, x: str, y: str):
+    """Members that sets of these sizes must share."""
+    return (F.col(x) + F.col(y)) * F.lit(similarity / (1 + similarity)) - 1e-9
+
+
 def _possible(similarity: float):
     """Whether two postings a_ and b_ can be the first shared shingle of sets that similar: by their sizes, and what follows in each."""
     sizes = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * F.lit(similarity) - 1e-9
     left = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
-    return sizes & (left >= (F.col("a_size") + F.col("b_size")) * F.lit(similarity / (1 + similarity)) - 1e-9)
+    return sizes & (left >= _need(similarity, "a_size", "b_size"))
 
 
 def _checked(pairs: DataFrame, rows: DataFrame, named: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -224,7 +229,7 @@ def _checked(pairs: DataFrame, rows: DataFrame, named: DataFrame, similarity: fl
             sets = shingle_sets(W.as_bytes(b["text"]), shingle)
             yield pa.RecordBatch.from_pydict({"node": pa.array([_node(s) for s in sets], pa.int64()), "members": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    sets = saved(rows.select(slot, "text").mapInArrow(run, "node long, members binary").groupBy("node").agg(F.first("members").alias("members")))
+    sets = rows.select(slot, "text").mapInArrow(run, "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))  # one shuffle, which both joins read
 
     def compare(batches):
         for b in batches:
@@ -235,73 +240,94 @@ def _checked(pairs: DataFrame, rows: DataFrame, named: DataFrame, similarity: fl
                 near.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
-
+    half = pairs.join(sets, pairs["a"] == sets["node"]).select("a", "b", F.col("members").alias("x"))
+    both = half.join(sets, half["b"] == sets["node"]).select("a", "b", "x", F.col("members").alias("y"))
+    return both.mapInArrow(compare, "a long, b long")
 
-def _pairs(met: DataFrame) -> DataFrame:
-    return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).where("a <> b").distinct()
 
-
-def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
+def similar_links(rows: DataFrame, nodes: DataFrame, named: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Pairs (a, b) of nodes whose shingle sets are that similar, enough to join every two that a chain of such pairs joins.
 
-    nodes: node, doc_id, size, prefix (binary), one row each; rows: doc_id, text. Of each shingle, documents that follow one another
+    nodes: node, size, prefix (binary), named: node, doc_id, one row each; rows: doc_id, text. Of each shingle, documents that follow one another
     in a seeded order are compared first; what that joins is not compared again, so that a large group of near copies costs
-    its rows, not their square. All other pairs that share a shingle of their prefixes follow.
+    its rows, not their square. All other pairs that share a shingle of their prefixes follow, without those that share too few of
+    them: of two prefixes the one that ends first holds every shingle shared up to there, so that a pair shares at most the shingles
+    common to both prefixes and what follows one of them.
     """
 
     def spread(batches):
         for b in batches:
             got = [np.frombuffer(x, np.int64) for x in b["prefix"].to_pylist()]
             n = [len(x) for x in got]
+            at = np.concatenate([np.zeros(0, np.int64), *[np.arange(x) for x in n]])
             yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.concatenate([np.zeros(0, np.int64), *got])), "node": pa.array(np.repeat(b["node"].to_numpy(), n)),
-                "size": pa.array(np.repeat(b["size"].to_numpy(), n)), "at": pa.array(np.concatenate([np.zeros(0, np.int32), *[np.arange(x, dtype=np.int32) for x in n]]))})
+                "place": pa.array(np.repeat(b["size"].to_numpy().astype(np.int64) << 32, n) | at)})
 
-    postings = nodes.select("node", "size", "prefix").mapInArrow(spread, "shingle long, node long, size int, at int")
+    postings = nodes.select("node", "size", "prefix").mapInArrow(spread, "shingle long, node long, place long")
     held = postings.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    shared = saved(postings.join(held, "shingle").select("shingle", "node", "place", "n"))
     cuts = F.ceil(F.col("n") / POSTINGS).cast("int")
-    shared = saved(postings.join(held, "shingle").select("shingle", "node", "size", "at", "n", cuts.alias("cuts"), F.pmod(F.xxhash64("shingle", "node"), cuts).cast("int").alias("cut")))
+    shared = shared.select("shingle", "node", F.shiftright("place", 32).alias("size"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"), "n", cuts.alias("cuts"), F.pmod(F.xxhash64("shingle", "node"), cuts).cast("int").alias("cut"))
     side = lambda d, name, *more: d.select("shingle", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "size", "at", "cut", *more)])
     order = Window.partitionBy("shingle", "a_cut").orderBy(F.xxhash64(F.lit(1), "shingle", "a_node"), "a_node")
     next_ = side(shared, "a").select("*", *[F.lag(f"a_{c}").over(order).alias(f"b_{c}") for c in ("node", "size", "at")]).where("b_node is not null")
-    named = nodes.select("node", "doc_id")
-    first = saved(_checked(saved(_pairs(next_.where(_possible(similarity)))), rows, named, similarity, shingle))
+    ends = [F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")]
+    tried = saved(next_.where(_possible(similarity)).select(*ends).where("a <> b").distinct())
+    first = saved(_checked(tried, rows, named, similarity, shingle))
     joined = components(first)
     rest = shared.where("n > 2").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = rest.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    rest = saved(rest.join(apart, "shingle").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))))
+    rest = rest.join(apart, "shingle").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     met = side(rest, "a", "other", "component").join(
-        side(rest, "b", "other", "component").withColumnsRenamed({"b_cut": "a_other", "b_other": "a_cut"}), ["shingle", "a_cut", "a_other"])
-    second = _checked(saved(_pairs(met.where("a_node < b_node and a_component <> b_component").where(_possible(similarity)))), rows, named, similarity, shingle)
-    return first.union(second)
+        side(rest, "b", "other", "component").withColumnsRenamed({"b_cut": "a_other", "b_other": "a_cut"}), ["shingle", "a_cut", "a_other"]).where("a_node < b_node and a_component <> b_component")
+    # pairs that share a shingle of two postings have been tried, so that all that the others share is counted here
+    counted = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_size", "b_size").agg(F.count("*").alias("c"), F.max(_possible(similarity)).alias("possible"))
+    follow = F.greatest(*[F.ceil(F.col(c) * F.lit(similarity) - 1e-9) - 1 for c in ("a_size", "b_size")])
+    pairs = counted.where("possible").where(F.col("c") + follow >= _need(similarity, "a_size", "b_size")).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    return first.union(_checked(saved(pairs), rows, named, similarity, shingle))
 
 
-def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id reachable over links between documents whose shingle sets have that
-    Jaccard similarity or more. No pair is missed: shingles are compared by 64-bit hashes, and nothing else is estimated.
-
-    Null and empty texts have no shingles and are linked to one another. Equal sets are compared once. A row with
-    a null doc_id is left out; repeated rows appear again; no rows give no rows.
-    """
+def _similar(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """doc_id, text_key (a hash of the text, which tells the rows of a repeated id apart) and component_id of the rows whose id is not null."""
     rows = docs.where("doc_id is not null").select("doc_id", "text")
     sent = docs.sparkSession.sparkContext.broadcast(_common(rows, shingle))  # bounded by MOST_COMMON
 
+    def name(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_key"], pa.array([_node(s) for s in shingle_sets(W.as_bytes(b["text"]), shingle)], pa.int64())], ["doc_id", "text_key", "node"])
+
     def run(batches):
         for b in batches:
             sets = shingle_sets(W.as_bytes(b["text"]), shingle)
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "node": pa.array([_node(s) for s in sets], pa.int64()), "size": pa.array([len(s) for s in sets], pa.int32()),
+            yield pa.RecordBatch.from_pydict({"node": pa.array([_node(s) for s in sets], pa.int64()), "size": pa.array([len(s) for s in sets], pa.int32()),
                 "prefix": pa.array([prefix(s, similarity, *sent.value).tobytes() for s in sets], pa.binary())})
 
-    prints = saved(rows.mapInArrow(run, "doc_id long, node long, size int, prefix binary"))
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    found = components(similar_links(rows, nodes, similarity, shingle))
-    least = prints.groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    prints = saved(rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(name, "doc_id long, text_key long, node long"))
+    named = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    nodes = rows.select("text").mapInArrow(run, "node long, size int, prefix binary").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    found = components(similar_links(rows, nodes, named, similarity, shingle))
+    least = named.withColumnRenamed("doc_id", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     roots = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    return prints.select("doc_id", "node").join(roots, "node").select("doc_id", "component_id")
+    return prints.join(roots, "node").select("doc_id", "text_key", "component_id")
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id reachable over links between documents whose shingle sets have that
+    Jaccard similarity or more. No pair is missed: shingles are compared by 64-bit hashes, and nothing else is estimated.
+
+    Null and empty texts have no shingles and are linked to one another; a text of any length is one set. Equal sets are compared once. A row with
+    a null doc_id is left out; repeated rows appear again; no rows give no rows.
+    """
+    return _similar(docs, similarity, shingle).select("doc_id", "component_id")
+
+
+MOST_SENT = 1 << 20  # rows that are broadcast at most
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """docs with one document of each component of similar ones, that with the smallest id; rows with a null id are kept."""
-    found = similar(docs, similarity, shingle).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """docs with one document of each component of similar ones, that with the smallest id. Rows with a null id are kept, as are repeated
+    rows of the id that stays; of rows with one id and several texts each is judged by its own text. The columns stay."""
+    found = saved(_similar(docs, similarity, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct())
+    few = found.limit(MOST_SENT + 1).count() <= MOST_SENT
+    gone = F.broadcast(found) if few else found
+    return docs.join(gone, (docs["doc_id"] == gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left_anti")

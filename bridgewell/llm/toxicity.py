@@ -46,6 +46,9 @@ class Vocabulary:
         self.known = known
         self.slots = np.searchsorted(known, np.arange(1 << SLOT_BITS, dtype=U) << U(64 - SLOT_BITS)).astype(np.int32)
 
+    def __reduce__(self):
+        return Vocabulary, (self.known,)
+
     def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes are known, and the places of those."""
         at = self.slots[(h >> U(64 - SLOT_BITS)).astype(np.int64)].astype(np.int64)
@@ -271,6 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
 
     got = texts.join(F.broadcast(used), "doc_id", "left_semi").mapInArrow(extract, "doc_id long, label int, terms binary, counts binary").toArrow()  # bounded by sample_bytes
     rows = [(i, y, np.frombuffer(h, U), np.frombuffer(c, np.int32)) for i, y, h, c in zip(*(got[k].to_pylist() for k in ("doc_id", "label", "terms", "counts")), strict=True)]
+    del got
     vocabulary = np.unique(np.concatenate([np.zeros(0, U), *(r[2] for r in rows)]))
     df, n_docs = frequencies(docs, vocabulary)
     sizes = [max(1, sum(r[1] == k for r in rows)) for k in (0, 1)]
