@@ -270,9 +270,10 @@ def similar_links(rows: DataFrame, nodes: DataFrame, named: DataFrame, similarit
     shared = shared.select("shingle", "node", F.shiftright("place", 32).alias("size"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"), "n", cuts.alias("cuts"), F.pmod(F.xxhash64("shingle", "node"), cuts).cast("int").alias("cut"))
     side = lambda d, name, *more: d.select("shingle", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "size", "at", "cut", *more)])
     order = Window.partitionBy("shingle", "a_cut").orderBy(F.xxhash64(F.lit(1), "shingle", "a_node"), "a_node")
-    next_ = side(shared, "a").select("*", *[F.lag(f"a_{c}").over(order).alias(f"b_{c}") for c in ("node", "size", "at")]).where("b_node is not null")
+    next_ = side(shared, "a", "n").select("*", *[F.lag(f"a_{c}").over(order).alias(f"b_{c}") for c in ("node", "size", "at")]).where("b_node is not null")
     ends = [F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")]
-    tried = saved(next_.where(_possible(similarity)).select(*ends).where("a <> b").distinct())
+    beside = saved(next_.groupBy(*ends).agg(F.max(_possible(similarity)).alias("possible"), F.count_if(F.col("a_n") == 2).alias("twos")).where("a <> b"))
+    tried = beside.where("possible").select("a", "b")
     first = saved(_checked(tried, rows, named, similarity, shingle))
     joined = components(first)
     rest = shared.where("n > 2").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -280,10 +281,10 @@ def similar_links(rows: DataFrame, nodes: DataFrame, named: DataFrame, similarit
     rest = rest.join(apart, "shingle").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     met = side(rest, "a", "other", "component").join(
         side(rest, "b", "other", "component").withColumnsRenamed({"b_cut": "a_other", "b_other": "a_cut"}), ["shingle", "a_cut", "a_other"]).where("a_node < b_node and a_component <> b_component")
-    # pairs that share a shingle of two postings have been tried, so that all that the others share is counted here
     counted = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_size", "b_size").agg(F.count("*").alias("c"), F.max(_possible(similarity)).alias("possible"))
     follow = F.greatest(*[F.ceil(F.col(c) * F.lit(similarity) - 1e-9) - 1 for c in ("a_size", "b_size")])
-    pairs = counted.where("possible").where(F.col("c") + follow >= _need(similarity, "a_size", "b_size")).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    all_ = F.col("c") + F.coalesce("twos", F.lit(0))  # of these and of the shingles that the two alone have
+    pairs = counted.where("possible").join(beside.withColumnRenamed("possible", "tried"), ["a", "b"], "left").where((all_ + follow >= _need(similarity, "a_size", "b_size")) & ~F.coalesce("tried", F.lit(False))).select("a", "b")
     return first.union(_checked(saved(pairs), rows, named, similarity, shingle))
 
 
