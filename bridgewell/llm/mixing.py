@@ -7,7 +7,8 @@ documents of a seeded endless sequence: epoch after epoch, each in an order of i
 
 Leaf totals are gathered by Spark and budgets are worked out for the tree, which is as large as its configuration, not
 the data. Selection sums tokens by leaf and order bucket first, so that only the bucket in which a leaf's budget ends is
-ordered row by row: a leaf with a third of all rows is never put in one place.
+ordered row by row: a leaf with a third of all rows is never put in one place. What comes out is a row for each leaf, up to which
+place of its order rows are taken; every row's own place is a hash, so the rows themselves are judged where they lie.
 """
 
 from __future__ import annotations
@@ -31,76 +32,94 @@ def share(amount: float, weights: Sequence[float], capacity: Sequence[float]) ->
     got, open_ = [0.0] * len(weights), [i for i, w in enumerate(weights) if w > 0 and capacity[i] > 0]
     while open_ and amount > 1e-9:
         total = sum(weights[i] for i in open_)
-        full = [i for i in open_ if capacity[i] - got[i] <= amount * weights[i] / total]
+        full = {i for i in open_ if capacity[i] - got[i] <= amount * weights[i] / total}
         if not full:
             for i in open_:
                 got[i] += amount * weights[i] / total
             break
+        amount -= sum(capacity[i] - got[i] for i in full)
         for i in full:
-            amount -= capacity[i] - got[i]
             got[i] = capacity[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        open_ = [i for i in open_ if i not in full]
     return got
 
 
 def budgets(available: Mapping[tuple[str, ...], int], budget: float, weights: Weights, epochs: float) -> dict[tuple[str, ...], int]:
     """Tokens for each leaf. weights: of nodes by their path from the root; a node that is not named weighs 1."""
 
-    def capacity(node: tuple[str, ...]) -> float:
-        return sum(n * epochs for leaf, n in available.items() if leaf[: len(node)] == node)
-
-    def spread(node: tuple[str, ...], amount: float, depth: int, under: list[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
-        if len(node) == depth:
-            return {node: int(amount + 1e-6)}
-        children = sorted({leaf[: len(node) + 1] for leaf in under})
-        inside = {c: [leaf for leaf in under if leaf[: len(c)] == c] for c in children}
-        got = share(amount, [weights.get(c, 1.0) for c in children], [sum(available[x] * epochs for x in inside[c]) for c in children])
-        return {k: v for c, a in zip(children, got, strict=True) for k, v in spread(c, a, depth, inside[c]).items()}
+    def spread(amount: float, level: int, under: list[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
+        if level == depth:
+            return {under[0]: int(amount + 1e-6)}
+        inside: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+        for leaf in under:
+            inside.setdefault(leaf[: level + 1], []).append(leaf)
+        got = share(amount, [weights.get(c, 1.0) for c in inside], [sum(available[x] for x in leaves) * epochs for leaves in inside.values()])
+        return {k: v for leaves, a in zip(inside.values(), got, strict=True) for k, v in spread(a, level + 1, leaves).items()}
 
     if not available:
         return {}
     depth = len(next(iter(available)))
-    return spread((), min(budget, capacity(())), depth, list(available))
+    return spread(min(budget, sum(available.values()) * epochs), 0, sorted(available))
 
 
-def mix(docs: DataFrame, path: Mapping[str, Column], weights: Weights, fraction: float, epochs: int = 4, seed: int = 42, per_bucket: int = 4096) -> DataFrame:
-    """doc_id, the path columns, tokens (long) and copies (int >= 1) of every chosen document.
+def _levels(path: Mapping[str, Column]) -> list[Column]:
+    return [F.coalesce(c.cast("string"), F.lit("")).alias(f"_level{i}") for i, c in enumerate(path.values())]
 
-    path: the name and value of each level, from the root down; null levels count as ''. fraction: the budget, in
-    tokens of the whole input. A document is taken in an epoch while the leaf's tokens up to and with it do not pass the
-    budget; an order's ties go to the smaller doc_id. Documents without tokens, null texts among them, belong to no budget and are
-    not chosen. Repeated rows count each for itself. No rows give no rows. epochs: the most times that a leaf is
-    gone through.
-    """
-    levels = list(path)
-    rows = docs.select("doc_id", *[F.coalesce(c.cast("string"), F.lit("")).alias(k) for k, c in path.items()],
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens")).where("tokens > 0")
-    rows = saved(rows)  # a few numbers a document: the texts are read once
-    totals = rows.groupBy(*levels).agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).limit(MOST_LEAVES + 1).collect()
+
+def _marked(rows: DataFrame, leaves: DataFrame, levels: list[str], seed: int) -> DataFrame:
+    """rows (_id, _key, levels) with their leaf's columns, their place in its order and their bucket."""
+    return rows.join(F.broadcast(leaves), levels).withColumn("_order", F.xxhash64(F.lit(seed), "_whole", "_id", "_key")).withColumn(
+        "_bucket", F.pmod(F.shiftrightunsigned("_order", 1), F.col("_buckets")))
+
+
+def _ends(rows: DataFrame, levels: list[str], weights: Weights, fraction: float, epochs: int, seed: int, per_bucket: int | None) -> DataFrame:
+    """A row for each leaf: _whole (epochs that all its rows are taken in), _buckets, _full (the last bucket taken whole in the
+    next epoch), _edge (the bucket in which its budget ends) and _last (the last place taken there)."""
+    totals = rows.groupBy(*levels).agg(F.sum("_tokens").alias("t"), F.count("*").alias("n")).limit(MOST_LEAVES + 1).collect()
     if len(totals) > MOST_LEAVES:
         raise ValueError(f"the tree has over {MOST_LEAVES} leaves")
     available = {tuple(r[k] for k in levels): r["t"] for r in totals}
     given = budgets(available, fraction * sum(available.values()), weights, epochs)
-    plan = docs.sparkSession.createDataFrame(
-        [(*leaf, given[leaf] // r["t"], given[leaf] % r["t"], max(1, r["n"] // per_bucket)) for r in totals for leaf in [tuple(r[k] for k in levels)]],
-        ", ".join(f"{k} string" for k in levels) + ", whole long, rest long, n_buckets long")
+    plan = rows.sparkSession.createDataFrame(
+        [(*leaf, given[leaf] // r["t"], given[leaf] % r["t"], max(1, r["n"] // (per_bucket or int(r["n"] ** 0.5)))) for r in totals for leaf in [tuple(r[k] for k in levels)]],
+        ", ".join(f"{k} string" for k in levels) + ", _whole long, _rest long, _buckets long")
     # The tree has at most MOST_LEAVES rows. Each epoch has an order of its own; whole epochs take all rows, so that only the last order matters.
-    placed = rows.join(F.broadcast(plan), levels).withColumn("_order", F.xxhash64(F.lit(seed), "whole", "doc_id")).withColumn(
-        "_bucket", F.pmod(F.shiftrightunsigned("_order", 1), F.col("n_buckets")))
-    sums = placed.groupBy(*levels, "_bucket", "rest").agg(F.sum("tokens").alias("_sum"))
-    upto = Window.partitionBy(*levels).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edges = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(upto), F.lit(0)))
-    edges = edges.groupBy(*levels).agg(
-        F.max(F.when(F.col("_before") + F.col("_sum") <= F.col("rest"), F.col("_bucket"))).alias("_full"),
-        F.min(F.when((F.col("_before") + F.col("_sum") > F.col("rest")), F.struct("_bucket", "_before"))).alias("_edge"))
-    marked = placed.join(F.broadcast(edges), levels)  # one row for each leaf
-    inside = F.col("_bucket") == F.col("_edge._bucket")
-    run = Window.partitionBy(*levels).orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    cut = marked.where(inside).withColumn("_upto", F.col("_edge._before") + F.sum("tokens").over(run)).withColumn("_in", F.col("_upto") <= F.col("rest"))
-    rest = marked.where(~F.coalesce(inside, F.lit(False))).withColumn("_in", F.coalesce(F.col("_bucket") <= F.col("_full"), F.lit(False)))
-    names = ["doc_id", *levels, "tokens"]
-    both = cut.select(*names, "whole", "_in").unionByName(rest.select(*names, "whole", "_in"))
-    return both.withColumn("copies", (F.col("whole") + F.col("_in").cast("int")).cast("int")).where("copies > 0").select(*names, "copies")
+    placed = _marked(rows, plan, levels, seed)
+    sums = placed.groupBy(*levels, "_bucket", "_rest").agg(F.sum("_tokens").alias("_sum"))
+    upto = Window.partitionBy(*levels).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    over = F.col("_upto") > F.col("_rest")
+    edges = sums.withColumn("_upto", F.sum("_sum").over(upto)).groupBy(*levels).agg(
+        F.max(F.when(~over, F.col("_bucket"))).alias("_full"), F.min(F.when(over, F.struct("_bucket", (F.col("_upto") - F.col("_sum")).alias("_before")))).alias("_at"))
+    edges = saved(edges.select(*levels, "_full", F.col("_at._bucket").alias("_edge"), F.col("_at._before").alias("_before")))
+    run = Window.partitionBy(*levels).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.join(F.broadcast(edges), levels).where(F.col("_bucket") == F.col("_edge")).groupBy(*levels, "_rest", "_before", F.struct("_order", "_id", "_key").alias("_place")).agg(F.sum("_tokens").alias("_sum"))
+    last = inside.withColumn("_upto", F.col("_before") + F.sum("_sum").over(run)).where("_upto <= _rest").groupBy(*levels).agg(F.max("_place").alias("_last"))
+    return saved(plan.drop("_rest").join(edges.drop("_before"), levels, "left").join(last, levels, "left"))
+
+
+def _copies() -> Column:
+    into = F.when(F.col("_bucket") == F.col("_edge"), F.struct("_order", "_id", "_key") <= F.col("_last")).otherwise(F.col("_bucket") <= F.col("_full"))
+    return (F.col("_whole") + F.coalesce(into, F.lit(False)).cast("int")).cast("int")
+
+
+def _rows(docs: DataFrame, path: Mapping[str, Column]) -> DataFrame:
+    """A few numbers for each document with tokens: the texts are read once."""
+    tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_tokens")
+    return saved(docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), *_levels(path), tokens).where("_tokens > 0"))
+
+
+def mix(docs: DataFrame, path: Mapping[str, Column], weights: Weights, fraction: float, epochs: int = 4, seed: int = 42, per_bucket: int | None = None) -> DataFrame:
+    """doc_id, the path columns, tokens (long) and copies (int >= 1) of every chosen document.
+
+    path: the name and value of each level, from the root down; null levels count as ''. fraction: the budget, in
+    tokens of the whole input. A document is taken in an epoch while the leaf's tokens up to and with it do not pass the
+    budget; the order is a hash of the epoch, doc_id and text, and its ties go to the smaller doc_id, null first. Documents without tokens, null texts among
+    them, belong to no budget and are not chosen. Repeated ids are documents of their own; rows of one id and text count each and are chosen or left together.
+    No rows give no rows. epochs: the most times that a leaf is gone through. per_bucket: rows ordered at once, by default the root of a leaf's rows.
+    """
+    rows, levels = _rows(docs, path), [f"_level{i}" for i in range(len(path))]
+    chosen = _marked(rows, _ends(rows, levels, weights, fraction, epochs, seed, per_bucket), levels, seed).withColumn("_copies", _copies()).where("_copies > 0")
+    return chosen.select(F.col("_id").alias("doc_id"), *[F.col(x).alias(k) for x, k in zip(levels, path, strict=True)], F.col("_tokens").alias("tokens"), F.col("_copies").alias("copies"))
 
 
 def domain_of(source: Column) -> Column:
@@ -119,9 +138,11 @@ WEIGHTS: dict[tuple[str, ...], float] = {("domain0",): 4.0, ("domain1",): 3.0, (
 FRACTION = 0.7
 
 
-def mixed(docs: DataFrame, weights: Weights = WEIGHTS, fraction: float = FRACTION, epochs: int = 4) -> DataFrame:
-    """The chosen documents with the columns of docs; a document chosen k times stands k times. Rows that share a
-    doc_id stand as often as the most chosen of them."""
-    chosen = mix(docs, standard_path(), weights, fraction, epochs).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    rows = docs.join(chosen, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return rows.select(*docs.columns)
+def mixed(docs: DataFrame, weights: Weights = WEIGHTS, fraction: float = FRACTION, epochs: int = 4, seed: int = 42) -> DataFrame:
+    """The rows of docs that mix() chooses, with their columns, whatever these are called; a row chosen k times stands k times. Rows with a null or
+    repeated doc_id are judged each by its own id and text. Documents are not shuffled."""
+    path = standard_path()
+    levels = [f"_level{i}" for i in range(len(path))]
+    ends = _ends(_rows(docs, path), levels, weights, fraction, epochs, seed, None)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), *_levels(path)).where(F.col("_row.text").rlike(WORD))
+    return _marked(whole, ends, levels, seed).select("_row", F.explode(F.sequence(F.lit(1), _copies())).alias("_copy"), _copies().alias("_copies")).where("_copies > 0").select("_row.*")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -323,7 +324,7 @@ def test_share_and_budgets():
 
 
 def plain_mix(rows, path, weights, fraction, epochs, per_bucket, order):
-    """rows: (doc_id, leaf, tokens); order(doc_id, whole): the seeded number."""
+    """rows: (doc_id, leaf, tokens); order(doc_id, whole): the seeded number. per_bucket: None for the root of a leaf's rows."""
     total = collections.Counter()
     count = collections.Counter()
     for _, leaf, n in rows:
@@ -333,7 +334,7 @@ def plain_mix(rows, path, weights, fraction, epochs, per_bucket, order):
     out = {}
     for leaf in total:
         whole, rest = divmod(given[leaf], total[leaf])
-        buckets = max(1, count[leaf] // per_bucket)
+        buckets = max(1, count[leaf] // (per_bucket or int(count[leaf] ** 0.5)))
         mine = sorted(((order(i, whole) % 2**64 >> 1) % buckets, order(i, whole), i, n) for i, at, n in rows if at == leaf)
         upto, open_ = 0, True
         for _, _, i, n in mine:
@@ -344,7 +345,7 @@ def plain_mix(rows, path, weights, fraction, epochs, per_bucket, order):
     return out
 
 
-@pytest.mark.parametrize(("fraction", "epochs", "per_bucket"), [(0.5, 4, 4096), (0.7, 1, 5), (1.6, 3, 10), (9.0, 2, 5)])
+@pytest.mark.parametrize(("fraction", "epochs", "per_bucket"), [(0.5, 4, 4096), (0.7, 1, 5), (1.6, 3, 10), (9.0, 2, 5), (0.7, 4, None)])
 def test_mix(spark, fraction, epochs, per_bucket):
     rng = random.Random(10)
     docs = [(i, prose(rng, rng.randint(0, 40)), rng.choice(["en", "en", "de"]), f"src{min(3, rng.randrange(9))}") for i in range(300)]
@@ -354,16 +355,33 @@ def test_mix(spark, fraction, epochs, per_bucket):
     weights = {("en",): 3.0, ("en", "src3"): 5.0}
     got = {r.doc_id: r.copies for r in mixing.mix(df, path, weights, fraction, epochs, 42, per_bucket).collect()}
     rows = [(i, (lang or "", s or ""), len(plain.words(t))) for i, t, lang, s in docs if plain.words(t)]
-    wholes = {w: {r.i: r.h for r in df.select(F.col("doc_id").alias("i"), F.xxhash64(F.lit(42), F.lit(w).cast("long"), "doc_id").alias("h")).collect()} for w in range(epochs + 1)}
+    wholes = {w: {r.i: r.h for r in df.select(F.col("doc_id").alias("i"), F.xxhash64(F.lit(42), F.lit(w).cast("long"), "doc_id", F.xxhash64("text")).alias("h")).collect()} for w in range(epochs + 1)}
     assert got == plain_mix(rows, path, weights, fraction, epochs, per_bucket, lambda i, w: wholes[w][i])
     assert max(got.values()) <= epochs
 
 
+def test_budgets_of_many_leaves():
+    have = {(f"d{i % 4}", "en", f"s{i}"): 1 + i % 7 for i in range(100_000)}
+    began = time.time()
+    given = mixing.budgets(have, 0.7 * sum(have.values()), mixing.WEIGHTS, 4)
+    assert time.time() - began < 5 and set(given) == set(have)
+
+
 def test_mixed_documents(spark):
     docs = spark.createDataFrame([(i, f"word {i} text", "en", f"src{i % 3}", 10) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
     assert mixing.mixed(docs).columns == docs.columns
     assert mixing.mixed(docs, fraction=2.0).count() > 60
     assert mixing.mixed(docs.limit(0)).count() == 0
+    # null and repeated ids, null texts, columns whose names clash: as many rows as mix() has copies
+    odd = spark.createDataFrame([(None, f"w {i}", "en", "src1", i) for i in range(20)] + [(5, f"v {i % 4}", "en", "src2", i) for i in range(20)] + [(9, None, "en", "src1", 1), (10, " ", None, None, 2)],
+        "doc_id long, text string, lang string, source string, copies int").withColumn("_order", F.lit(1)).withColumn("tokens", F.lit("x"))
+    for fraction in (0.5, 1.0, 1.7):
+        want = mixing.mix(odd, mixing.standard_path(), mixing.WEIGHTS, fraction)
+        got = mixing.mixed(odd, fraction=fraction)
+        assert got.columns == odd.columns and got.count() == want.agg(F.sum("copies")).first()[0]
+        assert got.where("doc_id is null").count() == want.where("doc_id is null").agg(F.sum("copies")).first()[0] > 0
+    every = mixing.mixed(odd, fraction=9.0)  # more than all epochs of all leaves
+    assert every.count() == 4 * 40 and every.select("text", "copies").distinct().count() == 40
     dom = spark.createDataFrame([("src13",), ("x",), (None,)], "s string").select(mixing.domain_of(F.col("s"))).collect()
     assert [r[0] for r in dom] == ["domain1", "other", "other"]
 
