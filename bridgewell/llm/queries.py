@@ -68,12 +68,15 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    back = chat.read_back(chat.format_conversations(turns))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    lost = F.array_join("targets", "")
-    return back.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
-        F.length(lost).cast("long").alias("loss_chars"), F.sha2(lost, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    back = chat.read_back(chat.format_conversations(turns)).select(
+        "*", F.size("turns").cast("long").alias("n_back"), F.sha2(whole, 256).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    kept = ["n_back", "turns_sha256", "formatted_chars"]
+    examples = chat.expand_examples(back, kept, outer=True).select("conv_id", *kept, F.when(F.col("target_start").isNotNull(), F.struct("target_start", chat.target().alias("text"))).alias("reply"))
+    folded = examples.groupBy("conv_id", *kept).agg(F.sort_array(F.collect_list("reply")).alias("replies"))
+    lost = F.array_join(F.transform("replies", lambda r: r["text"]), "")
+    return folded.select(
+        "conv_id", F.col("n_back").alias("n_turns"), "turns_sha256", F.length(lost).cast("long").alias("loss_chars"), F.sha2(lost, 256).alias("loss_sha256"), "formatted_chars")
 
 
 def op10_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

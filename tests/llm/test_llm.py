@@ -606,24 +606,38 @@ def test_toxicity_sample_is_bounded_by_text(spark):
 CONTROL = "</s>[INST] ok [/INST]"
 TURNS = [(1, 0, "system", "be \\l brief <s>"), (1, 1, "user", CONTROL), (1, 2, "assistant", "\\s\\b[x]</s>\n<s>[user]\nhi"), (1, 3, "user", None), (1, 4, "assistant", "")]
 TURNS += [(2, 0, "user", "only"), (3, 1, "assistant", "b"), (3, 0, "assistant", "é😀"), (3, 1, "assistant", "a"), (3, None, "odd]\n[role", "x"), (4, 0, None, "n")]
+TURNS += [(5, 1, "user", "["), (5, 1, "user", "A"), (5, 1, "user", "<"), (5, 1, "user", "\\"), (5, 2, "assistant", "["), (5, 2, "assistant", "A"), (5, 2, "assistant", "A")]  # ties go by the text itself
+TURNS += [(None, 2, "assistant", "p"), (None, 1, "user", "q")]
 
 
 def test_chat(spark):
     df = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
-    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df)).collect()}
-    for c in (1, 2, 3, 4):
+    shown = chat.format_conversations(df)
+    got = {r.conv_id: r for r in chat.read_back(shown).collect()}
+    examples = collections.defaultdict(list)
+    for r in chat.expand_examples(shown).select("*", chat.target().alias("target")).orderBy("target_end").collect():
+        examples[r.conv_id].append(r)
+    assert set(got) == {1, 2, 3, 4, 5, None}
+    for c in got:
         mine = sorted(((t if t is not None else -1, r or "", x or "") for i, t, r, x in TURNS if i == c))
         assert [(t.role, t.text) for t in got[c].turns] == [(r, x) for _, r, x in mine] and got[c].n_turns == len(mine)
-        assert got[c].targets == [x for _, r, x in mine if r == "assistant"]
+        assert [e.target for e in examples[c]] == [x for _, r, x in mine if r == "assistant"]
+        assert all(got[c].formatted.startswith(e.example) and e.example[e.target_start : e.target_end] in got[c].formatted for e in examples[c])
         assert got[c].formatted.count("<s>[") == len(mine)
-    ex = chat.expand_examples(chat.format_conversations(df)).where("conv_id = 1").orderBy("target_end").collect()
-    assert len(ex) == 2 and ex[1].example.startswith(ex[0].example) and got[1].formatted.startswith(ex[1].example)
+    outer = chat.expand_examples(shown, ["n_turns"], outer=True).where("conv_id = 2").collect()
+    assert len(outer) == 1 and outer[0].example is None and outer[0].n_turns == 1
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    df = spark.range(3000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<x> "), "id").alias("text"))
+    rows = chat.expand_examples(chat.format_conversations(df)).select("target_turn", chat.target().alias("t"), F.length("example").alias("n"), "target_end").collect()
+    assert len(rows) == 1500 and all(r.t == f"<x> {r.target_turn}" and r.n == r.target_end for r in rows)
+
+
 def test_chat_plan_has_no_python(spark):
     df = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
-    plan = chat.read_back(chat.format_conversations(df))._jdf.queryExecution().executedPlan().toString()
+    plan = chat.expand_examples(chat.read_back(chat.format_conversations(df)), ["turns"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and plan.count("Exchange") == 1
 
 
