@@ -12,14 +12,15 @@ from __future__ import annotations
 
 import base64
 import gc
+import hashlib
 import heapq
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 from . import memory  # noqa: F401
 
@@ -31,11 +32,10 @@ LONG_PIECE = 4096  # bytes; longer pieces are not kept
 
 
 class Vocabulary:
-    """Ranks of byte strings, read from lines of base64 and rank."""
+    """Ranks of byte strings, from lines of base64 and rank."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, lines: bytes):
+        self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line.strip())}
         self.token = {i: t for t, i in self.rank.items()}
         self.first = np.array([self.rank[bytes([i])] for i in range(256)], np.int64)
         self.none = max(self.token) + 1  # stands where there is no token: between pieces, and where one was merged away
@@ -146,14 +146,27 @@ class Vocabulary:
         return out
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    """One copy per worker process; the file is there on every machine."""
-    return Vocabulary(path)
+_MADE: dict[str, Vocabulary] = {}
 
 
-def _encoded(batches, path: str, pattern: str):
-    voc, split = vocabulary(path), regex.compile(pattern).findall
+def vocabulary(sent: tuple[str, Broadcast]) -> Vocabulary:
+    """One copy per worker process, by the digest of its lines."""
+    digest, lines = sent
+    if digest not in _MADE:
+        _MADE.clear()
+        _MADE[digest] = Vocabulary(lines.value)
+    return _MADE[digest]
+
+
+def _sent(spark: SparkSession, path: str) -> tuple[str, Broadcast]:
+    """The vocabulary's lines, read on the driver: executors need not have the file. Their size is the vocabulary's."""
+    with open(path, "rb") as f:
+        lines = f.read()
+    return hashlib.sha256(lines).hexdigest(), spark.sparkContext.broadcast(lines)
+
+
+def _encoded(batches, sent, pattern: str):
+    voc, split = vocabulary(sent), regex.compile(pattern).findall
     gc.disable()  # many small objects, no cycles
     try:
         for b in batches:
@@ -167,8 +180,8 @@ def _encoded(batches, path: str, pattern: str):
         gc.enable()
 
 
-def _decoded(batches, path: str):
-    token = vocabulary(path).token.__getitem__
+def _decoded(batches, sent):
+    token = vocabulary(sent).token.__getitem__
     for b in batches:
         out = [b"".join(map(token, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in b["ids"]]
         yield pa.RecordBatch.from_arrays([*(b[c] for c in ("doc_id", "n_tokens", "ids")), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
@@ -181,17 +194,20 @@ def encode(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
     """docs' doc_id with n_tokens (long) and ids (binary, little-endian unsigned 32-bit integers).
 
     A null or empty text gives no ids; a repeated row is encoded again; there are no special tokens, their strings are
-    ordinary text; no rows give no rows; other columns are left out.
+    ordinary text; a very long text is a block of its own; no rows give no rows; other columns are left out.
     """
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _encoded(batches, path, pattern), CODED)
+    sent = _sent(docs.sparkSession, path)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _encoded(batches, sent, pattern), CODED)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded's doc_id, n_tokens and ids with decoded (binary): the bytes of the ids' tokens. Null ids decode to
     no bytes; an id outside the vocabulary is an error."""
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(lambda batches: _decoded(batches, path), CODED + ", decoded binary")
+    sent = _sent(encoded.sparkSession, path)
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(lambda batches: _decoded(batches, sent), CODED + ", decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
     """decode(encode(docs)) in one pass over the texts, in one Python worker for each task."""
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _decoded(_encoded(batches, path, pattern), path), CODED + ", decoded binary")
+    sent = _sent(docs.sparkSession, path)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _decoded(_encoded(batches, sent, pattern), sent), CODED + ", decoded binary")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Checkpoints go to the shared folder that the session names; one is set only where there is none."""
-    if spark.sparkContext.getCheckpointDir() is None:
+    """Checkpoints go to the shared folder that the session names. Without one a session on one machine gets a folder of its own; on a cluster
+    that would be lost with its machine, so it is an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "bridgewell-checkpoints"))
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="bridgewell-"))
 
 
 def saved(df: DataFrame) -> DataFrame:

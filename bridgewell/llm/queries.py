@@ -21,7 +21,9 @@ def vocabulary_path() -> str:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
+    import public_tokenizers
+
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path(), public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -92,7 +92,8 @@ def segments_for(rows: int) -> int:
 def links(distinct: DataFrame, radius: int = RADIUS, segments: int | None = None, tile: int = TILE) -> DataFrame:
     """Pairs (a, b) of fingerprints within the radius, enough to join every two that a chain of such pairs joins.
 
-    distinct: one column `fingerprint`, each value once, not null.
+    distinct: one column `fingerprint`, each value once, not null. segments: into how many parts the signature cuts a fingerprint; any number gives the
+    same links.
     """
     segments = segments or segments_for(distinct.count())
     width = 64 // segments
@@ -100,19 +101,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, segments: int | None = None
     bits = [F.bit_count(F.shiftrightunsigned("fingerprint", i * width).bitwiseAND(F.lit((1 << width) - 1))) for i in range(segments)]
     signature = sum(((c + radius).cast("long") * base**i for i, c in enumerate(bits)), F.lit(0).cast("long"))
     marked = distinct.select("fingerprint", signature.alias("signature"))
-    sizes = marked.groupBy("signature").agg(F.count("*").alias("rows"))
-    tiles = (
-        marked.join(sizes, "signature")
-        .groupBy("signature", F.pmod(F.xxhash64("fingerprint"), F.ceil(F.col("rows") / tile)).alias("cut"))
-        .agg(F.collect_list("fingerprint").alias("prints"))
-    )
+    sizes = marked.groupBy("signature").agg(F.ceil(F.count("*") / tile).alias("cuts"))
+    tiles = saved(marked.join(sizes, "signature").groupBy("signature", F.pmod(F.xxhash64("fingerprint"), "cuts").alias("cut")).agg(F.collect_list("fingerprint").alias("prints")))
     steps = F.array(*[F.lit(sum(d * base**i for i, d in enumerate(m))).cast("long") for m in _moves(radius, segments)])
-    asked = tiles.select("signature", F.col("cut").alias("cut_a"), F.col("prints").alias("a"), F.explode(steps).alias("step"))
-    pairs = (
-        asked.withColumn("other", F.col("signature") + F.col("step"))
-        .join(tiles.select(F.col("signature").alias("other"), F.col("cut").alias("cut_b"), F.col("prints").alias("b")), "other")
-        .where("step <> 0 or cut_a <= cut_b").select("a", "b")
-    )
+    met = sizes.select(F.col("signature").alias("s_a"), F.col("cuts").alias("cuts_a"), F.explode(steps).alias("step")).withColumn("s_b", F.col("s_a") + F.col("step")).join(
+        sizes.select(F.col("signature").alias("s_b"), F.col("cuts").alias("cuts_b")), "s_b")
+    # pairs of tiles by name first: each tile then meets its partners in a place of its own, so that those of the densest signature are dealt out
+    met = met.withColumn("c_a", F.explode(F.sequence(F.lit(0), F.col("cuts_a") - 1))).withColumn("c_b", F.explode(F.sequence(F.lit(0), F.col("cuts_b") - 1))).where("step <> 0 or c_a <= c_b")
+    of = lambda n: tiles.select(F.col("signature").alias(f"s_{n}"), F.col("cut").alias(f"c_{n}"), F.col("prints").alias(n))
+    pairs = met.select("s_a", "c_a", "s_b", "c_b").join(of("a"), ["s_a", "c_a"]).join(of("b"), ["s_b", "c_b"]).select("a", "b")
 
     def compare(batches):
         for batch in batches:
@@ -133,6 +130,27 @@ def _moves(radius: int, segments: int) -> list[tuple[int, ...]]:
     return sorted(m for m in found if m >= (0,) * segments and sum(map(abs, m)) <= radius)
 
 
+SALT, MOST_PARTS = 256, 1 << 16  # rows of a key that meet in one place, and places of a key at most
+MOST_SENT = 1 << 20  # rows that are broadcast at most
+
+
+def parts_of(rows: Column) -> Column:
+    return F.least(F.ceil(rows / SALT), F.lit(MOST_PARTS)).cast("int").alias("parts")
+
+
+def rejoined(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """many joined with few, which has one row for each key of many, with `parts`: a key of many rows is dealt to so many places by doc_id, and its row of
+    few goes to each."""
+    few = saved(few)
+    hot = few.where("parts > 1").select(key, "parts")
+    n = hot.limit(MOST_SENT + 1).count()
+    if not n:
+        return many.join(few.drop("parts"), key)
+    spread = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = many.join(F.broadcast(hot) if n <= MOST_SENT else hot, key, "left").withColumn("_part", F.pmod(F.xxhash64("doc_id", key), F.coalesce("parts", F.lit(1))).cast("int"))
+    return dealt.drop("parts").join(spread, [key, "_part"]).drop("_part")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, segments: int | None = None) -> DataFrame:
     """doc_id, fingerprint (long) and component_id, the smallest doc_id reachable over links, itself included.
 
@@ -140,13 +158,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     is left out; no rows give no rows.
     """
     prints = saved(fingerprints(docs.where("doc_id is not null"), shingle))
-    groups = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    groups = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), parts_of(F.count("*")))
     linked = components(links(groups.select("fingerprint"), radius, segments).distinct())
     joined = linked.join(groups, linked["node"] == groups["fingerprint"]).select("node", "component", "least")
     least = joined.groupBy("component").agg(F.min("least").alias("least_all"))
     merged = joined.join(least, "component").select(F.col("node").alias("fingerprint"), "least_all")
-    roots = groups.join(merged, "fingerprint", "left").select("fingerprint", F.coalesce("least_all", "least").alias("component_id"))
-    return prints.join(roots, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    roots = groups.join(merged, "fingerprint", "left").select("fingerprint", F.coalesce("least_all", "least").alias("component_id"), "parts")
+    return rejoined(prints, roots, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 # Similar documents: pairs that share one of their rarest shingles, judged by the exact similarity of their shingle sets.
@@ -304,12 +322,12 @@ def _similar(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
                 "prefix": pa.array([prefix(s, similarity, *sent.value).tobytes() for s in sets], pa.binary())})
 
     prints = saved(rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(name, "doc_id long, text_key long, node long"))
-    named = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    named = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), parts_of(F.count("*")))
     nodes = rows.select("text").mapInArrow(run, "node long, size int, prefix binary").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    found = components(similar_links(rows, nodes, named, similarity, shingle))
+    found = components(similar_links(rows, nodes, named.select("node", "doc_id"), similarity, shingle))
     least = named.withColumnRenamed("doc_id", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    roots = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    return prints.join(roots, "node").select("doc_id", "text_key", "component_id")
+    roots = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id", "parts")
+    return rejoined(prints, roots, "node").select("doc_id", "text_key", "component_id")
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
@@ -322,9 +340,6 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMI
     return _similar(docs, similarity, shingle).select("doc_id", "component_id")
 
 
-MOST_SENT = 1 << 20  # rows that are broadcast at most
-
-
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """docs with one document of each component of similar ones, that with the smallest id. Rows with a null id are kept, as are repeated
     rows of the id that stays; of rows with one id and several texts each is judged by its own text. The columns stay."""

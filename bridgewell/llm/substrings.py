@@ -97,7 +97,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, blocks: i
     slim = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
     kinds = [docs.schema[c].dataType.simpleString() for c in carry]
     n = blocks or W.block_count(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))  # null and repeated ids are spread by their texts
 
     def send_anchors(key: tuple, group: pa.Table) -> pa.Table:
         found = []

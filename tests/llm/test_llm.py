@@ -83,7 +83,7 @@ def test_replay_order_of_equal_and_lower_ranks(tmp_path):
     tokens = [bytes([i]) for i in range(256)] + [b"ab", b"abc", b"bc", b"bca", b"aa", b"caa"]
     path = tmp_path / "v"
     path.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens)))
-    voc = bpe.Vocabulary(str(path))
+    voc = bpe.Vocabulary(path.read_bytes())
     rank = {t: i for i, t in enumerate(tokens)}
     rng = random.Random(1)
     words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(500)]
