@@ -27,7 +27,7 @@ from . import memory  # noqa: F401
 #: The split pattern of the vocabulary: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KNOWN_PIECES = 300_000  # encoded pieces that a task keeps
-BLOCK_BYTES = 4 << 20  # text replayed at once
+BLOCK_BYTES = 2 << 20  # text replayed at once
 LONG_PIECE = 4096  # bytes; longer pieces are not kept
 
 

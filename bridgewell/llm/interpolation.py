@@ -79,7 +79,7 @@ def _sizes(n: int, group: pa.Table, flags: tuple[str, ...]):
     marks = [group[f].to_numpy(zero_copy_only=False).astype(bool)[t.doc] for f in flags]
     for k, grams in enumerate((t.pair, t.token)):
         values, where = np.unique(grams, return_inverse=True)
-        yield k, values, where, [np.bincount(where[m], minlength=len(values)).astype(np.uint32) for m in marks]
+        yield k, values, where, [np.bincount(where[m], minlength=len(values)).astype(np.uint64) for m in marks]
 
 
 def _table(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Table:
@@ -126,14 +126,15 @@ def mixture(histogram: np.ndarray, types: int, rounds: int = 50) -> np.ndarray:
 def score(docs: DataFrame, learn: Column, dev_modulus: int = DEV_MODULUS, blocks: int | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens (long), base_score and score (double, log10 probabilities).
 
-    learn: whether a row is training text (null: not). Tokens: words with A-Z lowered, then one end for each text; a null or empty
+    A null or repeated doc_id is passed on: it has no part in the counts; a text of any length is scored whole. The weights alone rest on estimates in bins of a tenth of
+    a decade (BINS). learn: whether a row is training text (null: not). Tokens: words with A-Z lowered, then one end for each text; a null or empty
     text is one end. base_score: add-one unigram. Repeated rows count each; without training rows every token is
     unknown and has the uniform share. No rows give no rows; other columns are left out.
     """
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("train"))
     n = blocks or W.block_count(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     dealt = slim.withColumn("dev", F.col("train") & (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(dev_modulus)) == 0)).withColumn(
-        "block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+        "block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))  # null and repeated ids are spread by their texts
 
     def send(key: tuple, group: pa.Table) -> pa.Table:
         rows, block = [], key[0].as_py()
@@ -145,9 +146,9 @@ def score(docs: DataFrame, learn: Column, dev_modulus: int = DEV_MODULUS, blocks
     def add(key: tuple, group: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         parts = [_unpack_sorted(x) for x in group["hashes"].to_pylist()]
-        train, dev = ([_unpack(x, np.uint32) for x in group[c].to_pylist()] for c in ("train", "dev"))
+        train, dev = ([_unpack(x, np.uint64) for x in group[c].to_pylist()] for c in ("train", "dev"))
         values, where = np.unique(np.concatenate(parts), return_inverse=True)
-        total, gone = (np.bincount(where, weights=np.concatenate(x), minlength=len(values)).astype(np.uint32) for x in (train, dev))
+        total, gone = (np.bincount(where, weights=np.concatenate(x), minlength=len(values)).astype(np.uint64) for x in (train, dev))
         rows, at = [], 0
         for k, block in enumerate(group["block"].to_pylist()):
             own = where[at : at + len(parts[k])]
@@ -176,7 +177,7 @@ def score(docs: DataFrame, learn: Column, dev_modulus: int = DEV_MODULUS, blocks
         def left(grams: np.ndarray, unigrams: bool) -> np.ndarray:
             own = [k for k in range(len(side)) if side[k] == unigrams]
             h = np.concatenate([_unpack_sorted(hashes[k]) for k in own])
-            c = np.concatenate([_unpack(got[k], np.uint32).astype(np.int64) - _unpack(gone[k], np.uint32) for k in own])
+            c = np.concatenate([_unpack(got[k], np.uint64).astype(np.int64) - _unpack(gone[k], np.uint64).astype(np.int64) for k in own])
             return c[np.searchsorted(h, grams)]
 
         two, one, before = left(t.pair, False), left(t.token, True), left(t.before, True)
@@ -195,7 +196,7 @@ def score(docs: DataFrame, learn: Column, dev_modulus: int = DEV_MODULUS, blocks
         t = _Tokens(W.as_bytes(group["text"]))
 
         def find(grams: np.ndarray, unigrams: bool) -> tuple[np.ndarray, np.ndarray]:
-            c = np.concatenate([_unpack(packed[k], np.uint32) for k in range(len(side)) if side[k] == unigrams]).astype(np.int64)
+            c = np.concatenate([_unpack(packed[k], np.uint64) for k in range(len(side)) if side[k] == unigrams]).astype(np.int64)
             values, where = np.unique(grams, return_inverse=True)
             if len(values) != len(c):
                 raise RuntimeError("the documents changed while they were scored")

@@ -21,6 +21,7 @@ RATE, FRAME, HOP = 4000, 1024, 512  # samples a second, samples of a frame, samp
 SPAN = 12  # frames that an integer sees
 LEAST_HZ, MOST_HZ = 110.0, 1760.0
 MIN_HITS, MAX_ERROR = 4, 0.3
+SPREAD = 1024  # places at which recordings hold one integer that meet in one group
 #: Sixteen filters: (kind, first pitch class, pitch classes, first frame, frames); kinds halve their rectangle: 0 not at all, 1 by pitch, 2 by time, 3 both ways.
 FILTERS = [(n % 4, (5 * n) % 9, 4 if n % 3 else 2, (7 * n) % 5, 4 + n % 4 * 2 if n % 4 * 2 + 4 + (7 * n) % 5 <= SPAN else 4) for n in range(16)]
 STEPS = (-0.12, 0.0, 0.12)  # bounds between the four values of a filter
@@ -106,14 +107,19 @@ def align(asked: DataFrame, known: DataFrame, min_hits: int = MIN_HITS, max_erro
 
     Both tables: rec_id, prints. Recordings with equal prints form one class, named by its smallest rec_id, of `copies` rows; a query
     meets its own class too. offset: place in the recording less place in the query, in frames; equal counts: the smallest.
-    Zero integers (silence) vote for nothing but are compared. Null ids or prints and empty ones match nothing.
+    Zero integers (silence) vote for nothing but are compared. Null ids or prints and empty ones match nothing. Prints of any length are compared
+    whole; a very long recording is one row.
     """
     sound = "rec_id is not null and prints is not null and size(prints) > 0"
     classes = saved(known.where(sound).groupBy("prints").agg(F.min("rec_id").alias("rec_id"), F.countDistinct("rec_id").alias("copies")))
     asks = saved(asked.where(sound).groupBy("prints").agg(F.min("rec_id").alias("ask")))
     a = asks.select("ask", F.posexplode("prints").alias("at_a", "v")).where("v <> 0")
     b = classes.select("rec_id", F.posexplode("prints").alias("at_b", "v")).where("v <> 0")
-    votes = a.join(b, "v").groupBy("ask", "rec_id", (F.col("at_b") - F.col("at_a")).alias("offset")).agg(F.count("*").alias("hits"))
+    # an integer that many recordings hold is dealt to several places by recording, and the queries' places go to each
+    hot = saved(b.groupBy("v").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts")).where("parts > 1"))
+    a = a.join(hot, "v", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    b = b.join(hot, "v", "left").withColumn("part", F.pmod(F.xxhash64("rec_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    votes = a.join(b, ["v", "part"]).groupBy("ask", "rec_id", (F.col("at_b") - F.col("at_a")).alias("offset")).agg(F.count("*").alias("hits"))
     best = votes.groupBy("ask", "rec_id").agg(F.max(F.struct("hits", (-F.col("offset")).alias("back"))).alias("b")).where(F.col("b.hits") >= min_hits).select("ask", "rec_id", F.col("b.hits").alias("hits"), (-F.col("b.back")).alias("offset"))
     both = best.join(asks.select("ask", F.col("prints").alias("pa")), "ask").join(classes.select("rec_id", "copies", F.col("prints").alias("pb")), "rec_id")
     start_a, start_b = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
