@@ -169,8 +169,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 # Similar documents: pairs that share one of their rarest shingles, judged by the exact similarity of their shingle sets.
 SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
-SAMPLE, MOST_COMMON = 4_000, 100_000  # documents that tell which shingles are common, and how many of those are named
-POSTINGS = 2048  # of a shingle's documents, in a tile
+SAMPLE, SAMPLE_EVERY, MOST_COMMON = 4_000, 12, 1_000_000  # the documents that tell which shingles are common: so many, or one in so many if that is more; and how many shingles are named
+POSTINGS = 2048  # of a shingle's documents, in a chain
+BIG, TILE_SETS = 64, 512  # documents of a shingle from which on they are compared by tiles, and sets of a tile
 SLOTS = 1 << 26  # bits that tell which documents need a check
 
 
@@ -211,7 +212,7 @@ def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
         for b in batches:
             yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(W.as_bytes(b["text"]), shingle)]).view(np.int64))})
 
-    every = max(1, rows.count() // SAMPLE)
+    every = min(SAMPLE_EVERY, max(1, rows.count() // SAMPLE))
     counted = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
     got = counted.where("n > 2").orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
     h, n = got["shingle"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy()
@@ -231,9 +232,8 @@ def _possible(similarity: float):
     return sizes & (left >= _need(similarity, "a_size", "b_size"))
 
 
-def _checked(pairs: DataFrame, rows: DataFrame, named: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are that similar. named: node and the id of a row that has its set."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets(need: DataFrame, rows: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
+    """node and members (binary) of the nodes needed, each once. named: node and the id of a row that has its set."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
     word = named.join(need, "node", "left_semi").select(slot).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
     wanted = np.zeros(SLOTS // 64, np.uint64)
@@ -247,7 +247,13 @@ def _checked(pairs: DataFrame, rows: DataFrame, named: DataFrame, similarity: fl
             sets = shingle_sets(W.as_bytes(b["text"]), shingle)
             yield pa.RecordBatch.from_pydict({"node": pa.array([_node(s) for s in sets], pa.int64()), "members": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    sets = rows.select(slot, "text").mapInArrow(run, "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))  # one shuffle, which both joins read
+    return rows.select(slot, "text").mapInArrow(run, "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))
+
+
+def _checked(pairs: DataFrame, rows: DataFrame, named: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are that similar."""
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets(need, rows, named, shingle)  # one shuffle, which both joins read
 
     def compare(batches):
         for b in batches:
@@ -263,14 +269,75 @@ def _checked(pairs: DataFrame, rows: DataFrame, named: DataFrame, similarity: fl
     return both.mapInArrow(compare, "a long, b long")
 
 
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of a shares with each of b, by products of indicator matrices over the members that both sides hold."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    both = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        every, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, every), len(both) - 1)
+        hit = both[at] == every
+        return row[hit], at[hit]
+
+    sides = [places(a), places(b)] if len(both) else []
+    for lo in range(0, len(both), 4096):
+        left, right = (np.zeros((len(x), 4096), np.float32) for x in (a, b))
+        for m, (row, at) in zip((left, right), sides, strict=True):
+            on = (at >= lo) & (at < lo + 4096)
+            m[row[on], at[on] - lo] = 1
+        out += left @ right.T
+    return out
+
+
+def _tiled(big: DataFrame, rows: DataFrame, named: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links (a, b) between documents of one group, groups being joined by the shingles of many documents: tiles of whole sets are compared exactly, and
+    a pair of tiles yields a spanning forest of its links between components. big: shingle, node, size, component.
+
+    Tiles hold sets of one band of sizes; those of the group's main component lie apart and are not compared with one another, so that a large group
+    costs the product of its rows and those outside that component.
+    """
+    lows = big.groupBy("shingle").agg(F.min("node").alias("low"))
+    groups = components(big.join(lows, "shingle").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / np.log(1 / similarity) if similarity < 1 else F.col("size").cast("double")).cast("int")
+    members = big.groupBy("node").agg(F.first("size").alias("size"), F.first("component").alias("component")).join(groups.withColumnRenamed("component", "grp"), "node")
+    most = members.groupBy("grp", "component").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    members = saved(members.join(most, "grp").select("grp", "node", "component", band.alias("band"), (F.col("component") == F.col("main")).cast("int").alias("main")))
+    parts = saved(members.groupBy("grp", "band", "main").agg(F.ceil(F.count("*") / TILE_SETS).cast("int").alias("parts")))
+    tile = members.join(parts, ["grp", "band", "main"]).select("grp", "band", "main", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node", "component")
+    side = lambda x: parts.select("grp", *[F.col(c).alias(f"{c}_{x}") for c in ("band", "main", "parts")])
+    near = side("a").withColumn("band_b", F.explode(F.array(F.col("band_a"), F.col("band_a") + 1))).join(side("b"), ["grp", "band_b"]).where(
+        "not (main_a = 1 and main_b = 1) and (band_a < band_b or main_a <= main_b)")
+    met = near.withColumn("part_a", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1))).withColumn("part_b", F.explode(F.sequence(F.lit(0), F.col("parts_b") - 1))).where(
+        "band_a < band_b or main_a < main_b or part_a <= part_b")
+    ends = F.array(F.struct(F.lit(0).alias("side"), *[F.col(f"{c}_a").alias(c) for c in ("band", "main", "part")]), F.struct(F.lit(1).alias("side"), *[F.col(f"{c}_b").alias(c) for c in ("band", "main", "part")]))
+    keys = ["grp", "band_a", "main_a", "part_a", "band_b", "main_b", "part_b"]
+    sent = met.select(*keys, F.explode(ends).alias("e")).select(F.xxhash64(*keys).alias("meeting"), "grp", "e.side", "e.band", "e.main", "e.part")
+    sets = tile.join(_sets(members.select("node"), rows, named, shingle), "node")
+
+    def compare(group: pa.Table) -> pa.Table:
+        side, node, component = group["side"].to_numpy(), group["node"].to_numpy(), group["component"].to_numpy()
+        member = [np.frombuffer(x, np.uint64) for x in group["members"].to_pylist()]
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found = np.zeros((0, 2), np.uint64)
+        if len(a) and len(b):
+            both = _overlaps([member[k] for k in a], [member[k] for k in b])
+            size = np.array([len(m) for m in member])
+            close = (both >= similarity * (size[a][:, None] + size[b][None, :] - both) - 1e-9) & (component[a][:, None] != component[b][None, :])
+            found = np.array(_join(node[a].view(np.uint64), node[b].view(np.uint64), [np.nonzero(close)]), np.uint64).reshape(-1, 2)
+        return pa.Table.from_arrays([pa.array(found[:, k].copy().view(np.int64)) for k in (0, 1)], ["a", "b"])
+
+    return sets.join(sent, ["grp", "band", "main", "part"]).select("meeting", "side", "node", "component", "members").groupBy("meeting").applyInArrow(compare, "a long, b long")
+
+
 def similar_links(rows: DataFrame, nodes: DataFrame, named: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Pairs (a, b) of nodes whose shingle sets are that similar, enough to join every two that a chain of such pairs joins.
 
-    nodes: node, size, prefix (binary), named: node, doc_id, one row each; rows: doc_id, text. Of each shingle, documents that follow one another
-    in a seeded order are compared first; what that joins is not compared again, so that a large group of near copies costs
-    its rows, not their square. All other pairs that share a shingle of their prefixes follow, without those that share too few of
-    them: of two prefixes the one that ends first holds every shingle shared up to there, so that a pair shares at most the shingles
-    common to both prefixes and what follows one of them.
+    nodes: node, size, prefix (binary), named: node, doc_id, one row each; rows: doc_id, text. What one step joins is not compared again.
+    First, documents that follow one another in a seeded order of each shingle of the prefixes; second, all documents of a shingle with the one that has most
+    links so far; so a large group of near copies mostly costs its rows. Third, all other pairs of a shingle of few documents, without those that share
+    too few: of two prefixes the one that ends first holds every shingle shared up to there, so that a pair shares at most the shingles
+    common to both prefixes and what follows one of them. Last, documents of a shingle of over BIG documents, by tiles.
     """
 
     def spread(batches):
@@ -284,26 +351,41 @@ def similar_links(rows: DataFrame, nodes: DataFrame, named: DataFrame, similarit
     postings = nodes.select("node", "size", "prefix").mapInArrow(spread, "shingle long, node long, place long")
     held = postings.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     shared = saved(postings.join(held, "shingle").select("shingle", "node", "place", "n"))
-    cuts = F.ceil(F.col("n") / POSTINGS).cast("int")
-    shared = shared.select("shingle", "node", F.shiftright("place", 32).alias("size"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"), "n", cuts.alias("cuts"), F.pmod(F.xxhash64("shingle", "node"), cuts).cast("int").alias("cut"))
-    side = lambda d, name, *more: d.select("shingle", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "size", "at", "cut", *more)])
-    order = Window.partitionBy("shingle", "a_cut").orderBy(F.xxhash64(F.lit(1), "shingle", "a_node"), "a_node")
-    next_ = side(shared, "a", "n").select("*", *[F.lag(f"a_{c}").over(order).alias(f"b_{c}") for c in ("node", "size", "at")]).where("b_node is not null")
+    shared = shared.select("shingle", "node", F.shiftright("place", 32).alias("size"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"), "n")
+    side = lambda d, name, *more: d.select("shingle", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "size", "at", *more)])
     ends = [F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")]
+
+    cuts = F.ceil(F.col("n") / POSTINGS).cast("int")
+    order = Window.partitionBy("shingle", "_cut").orderBy(F.xxhash64(F.lit(1), "shingle", "a_node"), "a_node")
+    cut = side(shared.withColumn("_cut", F.pmod(F.xxhash64("shingle", "node"), cuts).cast("int")), "a", "n", "_cut").withColumnRenamed("a__cut", "_cut")
+    next_ = cut.select("*", *[F.lag(f"a_{c}").over(order).alias(f"b_{c}") for c in ("node", "size", "at")]).where("b_node is not null")
     beside = saved(next_.groupBy(*ends).agg(F.max(_possible(similarity)).alias("possible"), F.count_if(F.col("a_n") == 2).alias("twos")).where("a <> b"))
-    tried = beside.where("possible").select("a", "b")
-    first = saved(_checked(tried, rows, named, similarity, shingle))
-    joined = components(first)
-    rest = shared.where("n > 2").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = rest.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    rest = rest.join(apart, "shingle").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    met = side(rest, "a", "other", "component").join(
-        side(rest, "b", "other", "component").withColumnsRenamed({"b_cut": "a_other", "b_other": "a_cut"}), ["shingle", "a_cut", "a_other"]).where("a_node < b_node and a_component <> b_component")
+    first = saved(_checked(beside.where("possible").select("a", "b"), rows, named, similarity, shingle))
+
+    def apart(links: DataFrame) -> DataFrame:
+        """Postings of shingles that stand in several components, with these."""
+        placed = shared.where("n > 2").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+        return saved(placed.join(several, "shingle"))
+
+    rest = apart(first)
+    degree = first.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    hub = rest.join(degree, "node", "left").groupBy("shingle").agg(F.max(F.struct(F.coalesce("links", F.lit(0)), "node", "size", "at", "component")).alias("h")).select(
+        "shingle", *[F.col(f"h.{c}").alias(f"b_{c}") for c in ("node", "size", "at", "component")])
+    spokes = side(rest, "a", "component").join(hub, "shingle").where("a_component <> b_component").where(_possible(similarity)).select(*ends).distinct()
+    second = saved(_checked(saved(spokes.join(beside.where("possible"), ["a", "b"], "left_anti")), rows, named, similarity, shingle))
+
+    rest = apart(first.union(second))
+    few = rest.where(F.col("n") <= BIG)
+    met = side(few, "a", "component").join(side(few, "b", "component"), "shingle").where("a_node < b_node and a_component <> b_component")
     counted = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_size", "b_size").agg(F.count("*").alias("c"), F.max(_possible(similarity)).alias("possible"))
     follow = F.greatest(*[F.ceil(F.col(c) * F.lit(similarity) - 1e-9) - 1 for c in ("a_size", "b_size")])
-    all_ = F.col("c") + F.coalesce("twos", F.lit(0))  # of these and of the shingles that the two alone have
+    all_ = F.col("c") + F.coalesce("twos", F.lit(0))  # of these shingles and of those that the two alone have; pairs of a shingle of many documents come last
     pairs = counted.where("possible").join(beside.withColumnRenamed("possible", "tried"), ["a", "b"], "left").where((all_ + follow >= _need(similarity, "a_size", "b_size")) & ~F.coalesce("tried", F.lit(False))).select("a", "b")
-    return first.union(_checked(saved(pairs), rows, named, similarity, shingle))
+    found = first.union(second).union(_checked(saved(pairs), rows, named, similarity, shingle))
+
+    big = rest.where(F.col("n") > BIG).select("shingle", "node", "size", "component")
+    return found if big.isEmpty() else found.union(_tiled(big, rows, named, similarity, shingle))
 
 
 def _similar(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:

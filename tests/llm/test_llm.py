@@ -278,8 +278,11 @@ def test_similar_documents(spark):
     assert simhash.similar(empty(spark)).count() == 0
 
 
-def test_similar_documents_near_the_bound(spark, monkeypatch):
+@pytest.mark.parametrize("limits", [{}, {"BIG": 3, "TILE_SETS": 5}])
+def test_similar_documents_near_the_bound(spark, monkeypatch, limits):
     monkeypatch.setattr(simhash, "POSTINGS", 4)  # full shingles are cut
+    for name, value in limits.items():
+        monkeypatch.setattr(simhash, name, value)
     rng = random.Random(12)
     texts = []
     for n in [*range(5, 21), 40, 300]:
