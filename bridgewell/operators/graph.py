@@ -5,11 +5,15 @@ Vectors travel in long form (node, dim, value) between joins, so that sums combi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
 from .keys import dense_ids
+from .storage import saved
 
 
 def bipartite(interactions: DataFrame, items: DataFrame) -> DataFrame:
@@ -58,33 +62,86 @@ def propagate(weighted: DataFrame, long: DataFrame) -> DataFrame:
     return weighted.join(long.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node"), "dim").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
 
 
+def _spread(weighted: DataFrame, packed: DataFrame) -> DataFrame:
+    """As propagate(), over vectors as arrays: a vector meets an edge as one row, and sums are taken by dimension in each task first."""
+    met = weighted.join(packed.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "weight", F.posexplode("v").alias("dim", "value"))
+    return pack(met.groupBy("node", "dim").agg(F.sum(F.col("value") * F.col("weight")).alias("value")))
+
+
 def layered(edges: DataFrame, long: DataFrame, layers: int = 2) -> DataFrame:
-    """The mean of the vectors and their propagations over an undirected graph (edges in both directions)."""
+    """The mean of the vectors and their propagations over an undirected graph (edges in both directions). The weighted edges and each layer are
+    saved, so that no layer derives the ones before it again."""
     both = edges.unionByName(reverse(edges)).distinct()
-    weighted, step = normalised(both), long
-    total = long
+    weighted, steps = saved(normalised(both)), [saved(pack(long))]
     for _ in range(layers):
-        step = propagate(weighted, step)
+        steps.append(saved(_spread(weighted, steps[-1])))
+    total = steps[0]
+    for step in steps[1:]:
         total = total.unionByName(step)
-    return total.groupBy("node", "dim").agg((F.sum("value") / (layers + 1)).alias("value"))
+    return total.select("node", F.posexplode("v").alias("dim", "value")).groupBy("node", "dim").agg((F.sum("value") / (layers + 1)).alias("value"))
+
+
+def within_lists(lists: DataFrame, choose: Callable[[np.ndarray, np.ndarray], np.ndarray], names: tuple[str, str]) -> DataFrame:
+    """query_id and the two nodes of each chosen pair of a list. lists: query_id, node (long), v; a list holds a query and its candidates, each once, and so is
+    bounded. choose(nodes, similarities rounded to nine digits): pairs of places."""
+    kind = lists.schema["query_id"].dataType.simpleString()
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        nodes, _, sim = _similar(group)
+        pairs = choose(nodes, sim)
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(pairs), group.schema.field("query_id").type), *(pa.array(nodes[pairs[:, i]]) for i in (0, 1))], ["query_id", *names])
+
+    return _slim(lists).groupBy("query_id").applyInArrow(run, f"query_id {kind}, {names[0]} long, {names[1]} long")
+
+
+def _slim(lists: DataFrame) -> DataFrame:
+    return lists.where("v is not null").select("query_id", F.col("node").cast("long").alias("node"), "v")
 
 
-def within_lists(lists: DataFrame) -> DataFrame:
-    """query_id, a, b, sim for all nodes of each bounded list. lists: query_id, node, v; a list holds a query and its candidates."""
-    a = lists.select("query_id", F.col("node").alias("a"), F.col("v").alias("va"))
-    b = lists.select("query_id", F.col("node").alias("b"), F.col("v").alias("vb"))
-    return a.join(b, "query_id").select("query_id", "a", "b", F.round(cosine(F.col("va"), F.col("vb")), 9).alias("sim"))
+def _similar(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes in order, their vectors, and cosines rounded to nine digits."""
+    nodes = group["node"].to_numpy()
+    order = np.argsort(nodes, kind="stable")
+    x = np.array(group["v"].to_pylist(), np.float64)[order]
+    length = np.sqrt((x * x).sum(axis=1))
+    return nodes[order], x, np.round((x @ x.T) / np.maximum(np.outer(length, length), 1e-300), 9)
 
 
 def threshold_graph(lists: DataFrame, above: float = 0.3) -> DataFrame:
     """query_id, src, dst: nodes of a list more similar than the bound, and each node with itself."""
-    return within_lists(lists).where((F.col("sim") > above) | (F.col("a") == F.col("b"))).select("query_id", F.col("a").alias("src"), F.col("b").alias("dst"))
+    return within_lists(lists, lambda nodes, sim: np.argwhere((sim > above) | np.eye(len(nodes), dtype=bool)), ("src", "dst"))
 
 
 def nearest_hyperedges(lists: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, hyperedge, node: each node names a hyperedge of its k most similar nodes, itself among them."""
-    w = Window.partitionBy("query_id", "a").orderBy((F.col("a") == F.col("b")).desc(), F.desc("sim"), "b")
-    return within_lists(lists).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).select("query_id", F.col("a").alias("hyperedge"), F.col("b").alias("node"))
+    """query_id, hyperedge, node: each node names a hyperedge of its k most similar nodes, itself first, ties to the smaller node."""
+
+    def choose(nodes: np.ndarray, sim: np.ndarray) -> np.ndarray:
+        np.fill_diagonal(sim, np.inf)
+        best = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # nodes stand in order, so ties go to the smaller one
+        return np.stack([np.repeat(np.arange(len(nodes)), best.shape[1]), best.ravel()], axis=1)
+
+    return within_lists(lists, choose, ("hyperedge", "node"))
+
+
+def convolved_lists(lists: DataFrame, above: float = 0.3) -> DataFrame:
+    """query_id, node, v after one graph-convolution step over the threshold graph of each list: neighbours weighted by 1 over the root of both degrees."""
+    kind = lists.schema["query_id"].dataType.simpleString()
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        nodes, x, sim = _similar(group)
+        linked = ((sim > above) | np.eye(len(nodes), dtype=bool)).astype(float)
+        root = np.sqrt(linked.sum(axis=0))
+        y = (linked / np.outer(root, root)) @ x
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(nodes), group.schema.field("query_id").type), pa.array(nodes), pa.array(list(y), pa.list_(pa.float64()))], ["query_id", "node", "v"])
+
+    return _slim(lists).groupBy("query_id").applyInArrow(run, f"query_id {kind}, node long, v array<double>")
+
+
+def propagated_scores(convolved: DataFrame, asks: DataFrame) -> DataFrame:
+    """query_id, cand_id, score: inner products of each query's vector with its candidates' after the step. asks: query_id, node (the query's own)."""
+    q = convolved.join(asks, ["query_id", "node"]).select("query_id", F.col("node").alias("_own"), F.col("v").alias("_q"))
+    met = convolved.join(q, "query_id").where(F.col("node") != F.col("_own"))
+    return met.select("query_id", F.col("node").alias("cand_id"), F.aggregate(F.zip_with("v", "_q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("score"))
 
 
 def attribute_vocabulary(items: DataFrame, specs: str = "specs") -> DataFrame:

@@ -2,42 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .storage import saved
 
 K1, B, FLOOR = 1.5, 0.75, 0.25  # fixed values of the scoring rule
 
 
-def bm25(pairs: DataFrame) -> DataFrame:
-    """query_id, cand_id, score. pairs: query_id, query_text, cand_id, cand_text. The candidates of a query are its corpus;
-    a term's negative idf becomes FLOOR times the mean idf of the corpus."""
+def bm25(pairs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """query_id, cand_id, the columns named in carry, score. pairs: query_id, query_text, cand_id, cand_text and those; a candidate stands once in a
+    query. The candidates of a query are its corpus; a term's negative idf becomes FLOOR times the mean idf of the corpus."""
     # Everything is counted by windows inside a query, so the rows are shuffled once, by query_id.
     query, words = Window.partitionBy("query_id"), Window.partitionBy("query_id", "term")
-    base = pairs.select("query_id", "cand_id", tokens(F.lower("query_text")).alias("q"), tokens(F.lower("cand_text")).alias("w"))
-    sized = base.select("query_id", "cand_id", "q", "w", F.size("w").alias("len"), F.count("*").over(query).alias("n_docs"), F.avg(F.size("w")).over(query).alias("avg_len"))
+    base = pairs.select("query_id", "cand_id", *carry, tokens(F.lower("query_text")).alias("q"), tokens(F.lower("cand_text")).alias("w"))
+    sized = base.select("query_id", "cand_id", *carry, "q", "w", F.size("w").alias("len"), F.count("*").over(query).alias("n_docs"), F.avg(F.size("w")).over(query).alias("avg_len"))
     terms = sized.withColumn("term", F.explode_outer("w")).withColumn("times", F.size(F.filter("q", lambda x: x == F.col("term"))))
-    tf = terms.groupBy("query_id", "cand_id", "term").agg(F.count("term").alias("tf"), *[F.max(c).alias(c) for c in ("times", "len", "n_docs", "avg_len")])
+    tf = terms.groupBy("query_id", "cand_id", "term").agg(F.count("term").alias("tf"), *[F.max(c).alias(c) for c in ("times", "len", "n_docs", "avg_len", *carry)])
     df = tf.withColumn("df", F.count("term").over(words))
     raw = df.withColumn("idf", F.when(F.col("df") > 0, F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     share = F.when(F.col("df") > 0, 1 / F.col("df"))  # a term's rows count as one
     floored = raw.withColumn("floor", FLOOR * F.sum(F.col("idf") * share).over(query) / F.sum(share).over(query))
     idf = F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return floored.groupBy("query_id", "cand_id").agg(F.coalesce(F.sum(F.when(F.col("times") > 0, part)), F.lit(0.0)).alias("score"))
+    return floored.groupBy("query_id", "cand_id").agg(*[F.max(c).alias(c) for c in carry], F.coalesce(F.sum(F.when(F.col("times") > 0, part)), F.lit(0.0)).alias("score"))
+
+
+MOST_TERMS = 1 << 20  # terms of a query set that are sent to every task; of a larger one they are shuffled
 
 
 def bm25_corpus(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, score, rank: the k best documents of the whole corpus. queries: query_id, query_text; docs: doc_id, text."""
+    """query_id, doc_id, score, rank: the k best documents of the whole corpus. queries: query_id, query_text; docs: doc_id, text.
+
+    Of all terms only the number of documents is shuffled, summed in each task first; the documents' other counts are those of asked terms.
+    """
     words = docs.select("doc_id", tokens(F.lower("text")).alias("w"))
     whole = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avg_len"))
-    asked = queries.select("query_id", F.explode(tokens(F.lower("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    tf = words.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(whole))  # one row
+    asked = saved(queries.select("query_id", F.explode(tokens(F.lower("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")))
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(whole))  # one row
     raw = df.withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg((F.avg("idf") * FLOOR).alias("floor"))
-    idf = raw.join(F.broadcast(mean)).select("term", "avg_len", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
+    terms = asked.select("term").distinct()
+    few = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    sent = F.broadcast(terms) if few else terms
+    idf = raw.join(sent, "term", "left_semi").join(F.broadcast(mean)).select("term", "avg_len", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
+    found = words.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(sent, "term", "left_semi")
+    tf = found.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scores = tf.join(asked.join(idf, "term"), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top(scores, "query_id", "doc_id", k)
@@ -62,6 +75,11 @@ def hybrid(parts: DataFrame) -> DataFrame:
     return parts.withColumn("score", 0.2 * F.col("bm25") / (best + 1e-6) + 0.3 * F.col("cosine") + 0.3 * F.col("attributes") + 0.2 * F.col("same"))
 
 
+def labelled_ranks(scores: DataFrame) -> DataFrame:
+    """query_id, rank of the candidate with label 1, null without one. scores: query_id, cand_id, label, score."""
+    return top(scores, "query_id", "cand_id").groupBy("query_id").agg(F.min(F.when(F.col("label") == 1, F.col("rank"))).alias("rank"))
+
+
 def true_ranks(ranked: DataFrame, labels: DataFrame) -> DataFrame:
     """query_id, rank of the candidate with label 1; null where it is missing."""
     hit = ranked.join(labels.where("label = 1").select("query_id", "cand_id"), ["query_id", "cand_id"]).groupBy("query_id").agg(F.min("rank").alias("rank"))

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096  # queries compared at once
+BLOCK = 4096  # items, and queries, compared at once
 MOST_QUERY_BYTES = 64 << 20  # of a query set that is sent to every task; larger ones are dealt in blocks
 
 
@@ -38,32 +39,88 @@ def encode_with(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], np
     return texts.select(key, text).dropDuplicates([key]).mapInPandas(run, f"{key} {kind}, v array<double>")
 
 
-def exact_top(items: DataFrame, queries: DataFrame, k: int, metric: str = "ip", blocks: int | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def _rows(column) -> np.ndarray:
+    """Equally long lists without nulls as rows."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _nearest(names: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, metric: str):
+    """(query, item, score) of each query's k best of these items, higher is nearer, ties within nine digits to the smaller id."""
+    out = [[], [], []]
+    for lo in range(0, len(q), 256):
+        part = q[lo : lo + 256]
+        s = part @ x.T
+        if metric != "ip":
+            s = 2 * s - (x * x).sum(axis=1) - (part * part).sum(axis=1)[:, None]
+        room = 1e-8 * (1 + np.abs(s).max(initial=0.0))
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - room if s.shape[1] > k else np.full(len(part), -np.inf)
+        i, j = np.nonzero(s >= least[:, None])
+        exact = (x[j] * part[i]).sum(axis=1) if metric == "ip" else -((x[j] - part[i]) ** 2).sum(axis=1)
+        order = np.lexsort((ids[j], -np.round(exact, 9), i))
+        i, j, exact = i[order], j[order], exact[order]
+        start = np.searchsorted(i, np.arange(len(part)))
+        kept = np.arange(len(i)) - start[i] < k
+        for o, v in zip(out, (names[lo + i[kept]], ids[j[kept]], exact[kept]), strict=True):
+            o.append(v)
+    return tuple(np.concatenate([np.zeros(0, kind), *o]) for o, kind in zip(out, (np.int64, np.int64, np.float64), strict=True))
+
+
+def exact_top(items: DataFrame, queries: DataFrame, k: int, metric: str = "ip", key: str = "vec_id", vector: str = "embedding", most_bytes: int = MOST_QUERY_BYTES) -> DataFrame:
     """query_id, item_id, score, rank: the k best items by inner product ('ip') or squared distance ('l2'), ties to the smaller id.
 
-    A stated query set is compared with all items in blocks: queries are dealt to blocks of BLOCK, each item batch meets each block once
-    and gives the k best of each; those meet by query.
+    A stated query set is compared with all items in blocks. Queries of up to most_bytes go to every task, which reads its items where they lie
+    and keeps the k best of each; more queries are dealt to blocks, and packed items meet each block once. Null vectors and vectors
+    of another length than the first query's take no part.
     """
-    n = blocks or max(1, -(-queries.count() // BLOCK))
-    q = queries.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"), F.col(key).alias("query_id"), F.col(vector).alias("q"))
-    packed = q.groupBy("block").agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("q").alias("qs"))
-    parts = items.select(F.col(key).alias("item_id"), F.col(vector).alias("x")).withColumn("part", F.spark_partition_id()).withColumn("chunk", F.floor(F.monotonically_increasing_id() / BLOCK))
-    chunks = parts.groupBy("part", "chunk").agg(F.collect_list("item_id").alias("item_ids"), F.collect_list("x").alias("xs"))
-    work = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(packed, "block").select("item_ids", "xs", "query_ids", "qs")
-
-    def run(frames):
-        for f in frames:
-            for item_ids, xs, query_ids, qs in zip(f["item_ids"], f["xs"], f["query_ids"], f["qs"], strict=True):
-                x, a = np.array([list(v) for v in xs], np.float64), np.array([list(v) for v in qs], np.float64)
-                ids, names = np.asarray(item_ids), np.asarray(query_ids)
-                for i, row in enumerate(a):
-                    s = x @ row if metric == "ip" else -((x - row) ** 2).sum(axis=1)
-                    best = np.lexsort((ids, -np.round(s, 9)))[:k]
-                    yield pd.DataFrame({"query_id": names[i], "item_id": ids[best], "score": s[best] if metric == "ip" else -s[best]})
-
-    got = work.mapInPandas(run, "query_id long, item_id long, score double")
+    first = queries.where(F.col(vector).isNotNull()).select(F.size(vector).alias("n")).first()
+    schema = "query_id long, item_id long, score double"
+    if first is None:
+        return items.sparkSession.createDataFrame([], schema + ", rank int")
+    fits = F.size(vector) == first["n"]
+    q = queries.where(fits).select(F.col(key).cast("long").alias("query_id"), F.col(vector).alias("q"))
+    x = items.where(fits).select(F.col(key).cast("long").alias("item_id"), F.col(vector).alias("x"))
     order = F.round("score", 9).desc() if metric == "ip" else F.round("score", 9).asc()
-    return got.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "item_id"))).where(F.col("rank") <= k)
+    sign = 1 if metric == "ip" else -1
+
+    def batch(found) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(sign * found[2])], ["query_id", "item_id", "score"])
+
+    if q.count() * first["n"] * 8 <= most_bytes:
+        got = q.toArrow()
+        sent = items.sparkSession.sparkContext.broadcast((got["query_id"].to_numpy(), _rows(got["q"])))  # most_bytes at most
+
+        def run(batches):
+            names, a = sent.value
+            ids, rows, size = [], [], 0
+
+            for b in batches:
+                ids.append(b["item_id"].to_numpy())
+                rows.append(_rows(b["x"]))
+                size += len(b)
+                if size >= BLOCK:
+                    yield batch(_nearest(names, a, np.concatenate(ids), np.concatenate(rows), k, metric))
+                    ids, rows, size = [], [], 0
+            if size:
+                yield batch(_nearest(names, a, np.concatenate(ids), np.concatenate(rows), k, metric))
+
+        work = x.mapInArrow(run, schema)
+    else:
+        n = -(-q.count() // BLOCK)
+        packed = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int"))
+        chunks = x.withColumn("chunk", F.floor(F.monotonically_increasing_id() / BLOCK)).groupBy("chunk").agg(F.collect_list(F.struct("item_id", "x")).alias("items"))
+        dealt = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        asked = packed.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
+
+        def meet(batches):
+            for b in batches:
+                for left, right in zip(b["queries"], b["items"], strict=True):
+                    a, z = left.values, right.values
+                    yield batch(_nearest(a.field("query_id").to_numpy(), _rows(a.field("q")), z.field("item_id").to_numpy(), _rows(z.field("x")), k, metric))
+
+        work = dealt.repartition("block", "chunk").join(asked, "block").select("queries", "items").mapInArrow(meet, schema)
+    return work.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "item_id"))).where(F.col("rank") <= k)
 
 
 def approximate_top(items: DataFrame, queries: DataFrame, k: int, bucket: float = 0.5, tables: int = 12, seed: int = 7, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

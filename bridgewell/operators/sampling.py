@@ -6,10 +6,15 @@ numbers from a seeded start, round the end, and equi-joins on them. A query so c
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+QUERIES_A_PART = 4096  # queries of one category that meet its items in one place
+
+
 def order_key(seed: int | str, *keys: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
 
@@ -49,11 +54,11 @@ def catalogue(items: DataFrame, category: str = "category", key: str = "item_id"
     return placed, starts
 
 
-def _take(asks: DataFrame, items: DataFrame, place: Column, wanted: Column, query: str, true: str, seed: int) -> DataFrame:
-    """Rows (query, item) for numbers 0 to wanted of each query, without the true item, as many as wanted."""
+def _take(asks: DataFrame, items: DataFrame, place: Column, wanted: Column, by: Sequence[str], true: str) -> DataFrame:
+    """Rows (query, item) for numbers 0 to wanted of each query, without the true item, as many as wanted. by: what a run belongs to."""
     runs = asks.where(wanted > 0).withColumn("_i", F.explode(F.sequence(F.lit(0), F.least(wanted, F.col("_pool") - 1)))).withColumn("place", place)
     got = runs.join(items, "place").where(F.col("item_id") != F.col(true))
-    w = Window.partitionBy(query).orderBy("_i")
+    w = Window.partitionBy(*by).orderBy("_i")
     return got.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= wanted).drop("_i", "_n", "place")
 
 
@@ -78,9 +83,10 @@ def quota_negatives(queries: DataFrame, items: DataFrame, total: int = 99, hard:
     rest = F.col("total") - F.col("size")
     inner = F.col("start") + F.pmod(draw(f"{seed}h", F.greatest("size", F.lit(1)), F.col("query_id")) + F.col("_i"), F.greatest("size", F.lit(1)))
     outer = F.pmod(F.col("start") + F.col("size") + F.pmod(draw(f"{seed}e", F.greatest(rest, F.lit(1)), F.col("query_id")) + F.col("_i"), F.greatest(rest, F.lit(1))), F.col("total"))
-    a = _take(asks.withColumn("_pool", F.col("size")), slim, inner, F.col("_hard"), "query_id", "true_id", seed)
-    b = _take(asks.withColumn("_pool", rest), slim, outer, F.col("_easy"), "query_id", "true_id", seed)
-    return a.select("query_id", "item_id", F.lit(True).alias("is_hard")).unionByName(b.select("query_id", "item_id", F.lit(False).alias("is_hard")))
+    kinds = F.array(*[F.struct(F.lit(h).alias("is_hard"), w.alias("wanted"), p.alias("pool")) for h, w, p in ((True, F.col("_hard"), F.col("size")), (False, F.col("_easy"), rest))])
+    runs = asks.withColumn("_k", F.explode(kinds)).select("query_id", "true_id", "start", "size", "total", "_k.is_hard", F.col("_k.wanted").cast("int").alias("_wanted"), F.col("_k.pool").alias("_pool"))
+    place = F.when(F.col("is_hard"), inner).otherwise(outer)
+    return _take(runs, slim, place, F.col("_wanted"), ["query_id", "is_hard"], "true_id").select("query_id", "item_id", "is_hard")
 
 
 def any_negatives(queries: DataFrame, items: DataFrame, most: int = 99, seed: int = 42) -> DataFrame:
@@ -88,14 +94,18 @@ def any_negatives(queries: DataFrame, items: DataFrame, most: int = 99, seed: in
     placed, starts = catalogue(items, seed=seed)
     asks = queries.join(F.broadcast(starts.agg(F.max("total").alias("total")))).withColumn("_pool", F.col("total"))  # one row
     place = F.pmod(draw(f"{seed}a", F.col("total"), F.col("query_id")) + F.col("_i"), F.col("total"))
-    got = _take(asks, placed.select("item_id", "place", F.col("category").alias("item_category")), place, F.lit(most), "query_id", "true_id", seed)
+    got = _take(asks, placed.select("item_id", "place", F.col("category").alias("item_category")), place, F.lit(most), ["query_id"], "true_id")
     return got.select("query_id", "item_id", (F.col("category") == F.col("item_category")).alias("is_hard"))
 
 
 def same_category_negatives(queries: DataFrame, items: DataFrame, cap: int = 500, most: int = 99, seed: int = 42) -> DataFrame:
     """query_id, item_id: items of the query's category, from at most `cap` of each category, the true one left out."""
-    few = cap_per_group(items, "category", "item_id", cap, seed)
-    pairs = queries.join(few, "category").where(F.col("item_id") != F.col("true_id"))
+    # A category's capped items are folded into one row, and queries are dealt to parts of their category, so that a large category meets in many places.
+    few = cap_per_group(items, "category", "item_id", cap, seed).groupBy("category").agg(F.collect_list("item_id").alias("_items"))  # at most `cap` ids each
+    parts = queries.groupBy("category").agg(F.ceil(F.count("*") / QUERIES_A_PART).cast("int").alias("_parts"))
+    dealt = few.join(parts, "category").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    asks = queries.join(parts, "category").withColumn("_part", F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int")).drop("_parts")
+    pairs = asks.join(dealt.drop("_parts"), ["category", "_part"]).withColumn("item_id", F.explode("_items")).where(F.col("item_id") != F.col("true_id"))
     w = Window.partitionBy("query_id").orderBy(order_key(seed, F.col("query_id"), F.col("item_id")), "item_id")
     return pairs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select("query_id", "item_id")
 
@@ -120,9 +130,10 @@ def triplets(items: DataFrame, seed: int = 42) -> DataFrame:
     return a.join(p, "_p").join(q, "_q").select("anchor_id", "positive_id", "negative_id")
 
 
-def random_items(edges: DataFrame, n_items: int, seed: int = 42) -> DataFrame:
-    """edges (user_idx, item_idx) with a drawn negative item; a positive may come up."""
-    return edges.withColumn("neg_idx", draw(seed, F.lit(n_items), F.col("user_idx"), F.col("item_idx")))
+def random_items(edges: DataFrame, seed: int = 42) -> DataFrame:
+    """edges (user_idx, item_idx) with a negative item drawn from all numbers up to the largest; a positive may come up."""
+    whole = edges.agg((F.max("item_idx") + 1).alias("_items"))
+    return edges.join(F.broadcast(whole)).withColumn("neg_idx", draw(seed, F.col("_items"), F.col("user_idx"), F.col("item_idx"))).drop("_items")  # one row
 
 
 def split(df: DataFrame, percent: int, *keys: str, seed: int = 42) -> DataFrame:

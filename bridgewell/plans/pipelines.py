@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import pages as P
 from ..functions import text as T
+from ..functions import vectors as V
+from ..operators import graph as G
 from ..operators import keys as K
 from ..operators import quality as A
+from ..operators import ranking as R
+from ..operators import retrieval as N
+from ..operators import sampling as W
 
 
 def interactions(sources: Sequence[tuple[DataFrame, str]], tie: str) -> DataFrame:
@@ -54,9 +59,123 @@ def crawl_merge(rows: DataFrame, trails: DataFrame, tie: str) -> DataFrame:
     return K.override(rows, A.join_sorted_set(trails, "key", "category"), "key", "category")
 
 
-def crawl_frontier(lists: Sequence[DataFrame], done: DataFrame, key: str) -> DataFrame:
-    """Keys of all lists that are not done, each once."""
-    return K.unknown(K.union_all(lists), done, key).dropDuplicates([key])
+def crawl_frontier(lists: Mapping[str, DataFrame], done: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Keys of all lists that are not done, each once; and for each list its rows, those removed and those left."""
+    rows = K.union_all([df.select(F.lit(name).alias("source"), key) for name, df in lists.items()])
+    return K.unknown(rows, done, key).select(key).dropDuplicates([key]), K.frontier(rows, done, key, "source")
+
+
+STRATEGIES = ("same_category", "any", "quota")
+
+
+def eval_dataset(pairs: DataFrame, items: DataFrame, strategy: str = "quota", seed: int = 42) -> DataFrame:
+    """query_id, cand_id, label, position: the true item of each pair (query_id, true_id, category) and its negatives from items (item_id, category), by
+    the strategy: 99 of the query's category, 99 of any, or 70 of the category and 29 of others."""
+    if strategy == "same_category":
+        negatives = W.same_category_negatives(pairs, items, seed=seed)
+    elif strategy == "any":
+        negatives = W.any_negatives(pairs, items, seed=seed)
+    elif strategy == "quota":
+        negatives = W.quota_negatives(pairs, items, seed=seed)
+    else:
+        raise ValueError(f"strategy is one of {STRATEGIES}")
+    return W.benchmark(pairs, negatives, seed)
+
+
+def _long(report: DataFrame, section: str, name: Column | None = None) -> DataFrame:
+    """section, name, value of a report: of one row its columns, else a row for each name with its count n."""
+    if name is not None:
+        return report.select(F.lit(section).alias("section"), name.cast("string").alias("name"), F.col("n").cast("double").alias("value"))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in report.columns])).alias("c")
+    return report.select(cells).select(F.lit(section).alias("section"), "c.name", "c.value")
+
+
+def validate(df: DataFrame, kind: str) -> DataFrame:
+    """section, name, value: what a table of interactions or items holds. 'all': rows, users, items, blanks, ratings or lengths; 'domain' and, of
+    interactions, 'rating': rows of each value."""
+    if kind not in ("interactions", "items"):
+        raise ValueError("kind is interactions or items")
+    parts = [_long(A.interaction_report(df) if kind == "interactions" else A.item_report(df), "all"), _long(A.counts_by(df, "domain"), "domain", F.col("domain"))]
+    if kind == "interactions":
+        parts.append(_long(A.counts_by(df, "rating"), "rating", F.col("rating").cast("double")))
+    return K.union_all(parts)
+
+
+def _same_category() -> Column:
+    return F.col("query_category") == F.col("cand_category")
+
+
+def bm25_scores(ev: DataFrame) -> DataFrame:
+    rows = ev.select("query_id", "query_text", "cand_id", "cand_text", "label", _same_category().alias("same"))
+    return R.with_category_bonus(R.bm25(rows, ["label", "same"]).withColumn("score", F.round("score", 6)), F.col("same"))
+
+
+def embedding_scores(ev: DataFrame) -> DataFrame:
+    return ev.select("query_id", "cand_id", "label", F.round(V.cosine(F.col("query_v"), F.col("cand_v")), 6).alias("score"))
+
+
+def two_tower_scores(ev: DataFrame, weights: dict) -> DataFrame:
+    found = N.two_towers(ev.select("query_id", "cand_id", F.col("query_v").alias("q"), F.col("cand_v").alias("c")), weights)
+    return ev.select("query_id", "cand_id", "label").join(found, ["query_id", "cand_id"])
+
+
+def graph_lists(ev: DataFrame) -> DataFrame:
+    """query_id, node, v: each query and its candidates."""
+    own, cand = F.struct(F.col("query_id").alias("node"), F.col("query_v").alias("v")), F.struct(F.col("cand_id").alias("node"), F.col("cand_v").alias("v"))
+    return ev.select("query_id", F.explode(F.when(F.col("label") == 1, F.array(own, cand)).otherwise(F.array(cand))).alias("n")).select("query_id", "n.node", "n.v")
+
+
+def graph_scores(ev: DataFrame) -> DataFrame:
+    found = G.propagated_scores(G.convolved_lists(graph_lists(ev)), ev.where("label = 1").select("query_id", F.col("query_id").cast("long").alias("node")))
+    return found.withColumn("score", F.round("score", 6)).join(ev.select("query_id", "cand_id", "label"), ["query_id", "cand_id"])
+
+
+def hybrid_scores(ev: DataFrame) -> DataFrame:
+    rows = ev.select(
+        "query_id", "query_text", "cand_id", "cand_text", "label", _same_category().cast("int").alias("same"), F.round(V.cosine(F.col("query_v"), F.col("cand_v")), 6).alias("cosine"),
+        T.attribute_match(F.col("query_specs"), F.col("cand_specs")).alias("attributes"))
+    return R.hybrid(R.bm25(rows, ["label", "same", "cosine", "attributes"]).withColumnRenamed("score", "bm25").withColumn("bm25", F.round("bm25", 6)))
+
+
+#: Rankers by name; those of a catalogue of baselines by number too. Each takes the evaluation rows and gives query_id, cand_id, label, score.
+RANKERS = {"bm25": bm25_scores, "embedding": embedding_scores, "two_towers": two_tower_scores, "graph": graph_scores, "hybrid": hybrid_scores}
+NUMBERS = {1: "bm25", 2: "embedding", 3: "two_towers", 4: "graph", 5: "hybrid"}
+
+
+def evaluate(ev: DataFrame, ranker: str | int, k: int = 10, complete: int | None = None, **parameters) -> DataFrame:
+    """One row: model, hr_at_k, ndcg_at_k, n_queries of a ranker over evaluation rows (query_id, cand_id, label, and query_ and cand_ text, category, specs,
+    v). complete: only queries with exactly so many candidates. parameters: the ranker's own, such as the weights of two_towers."""
+    name = NUMBERS.get(ranker, ranker)
+    if name not in RANKERS:
+        raise ValueError(f"ranker is one of {[*RANKERS, *NUMBERS]}")
+    scores = RANKERS[name](ev, **parameters).select("query_id", "cand_id", "label", F.round("score", 8).alias("score"))
+    if complete is not None:
+        scores = scores.join(scores.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") == complete).select("query_id"), "query_id", "left_semi")
+    return R.metrics(R.labelled_ranks(scores), k).select(F.lit(name).alias("model"), "hr_at_k", "ndcg_at_k", "n_queries")
+
+
+def recommend(users: DataFrame, items: DataFrame, seen: DataFrame, k: int = 10, fetched: int = 50, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """user_id, item_id, score, rank: the k best items by inner product that a user has not seen, of the `fetched` best. users and items: key and
+    vector; seen: user_id, item_id."""
+    got = N.exact_top(items, users, fetched, key=key, vector=vector).select(F.col("query_id").alias("user_id"), "item_id", F.round("score", 9).alias("score"))
+    return N.without_seen(got, seen, k)
+
+
+def eda_report(items: DataFrame, reviews: DataFrame, most_words: int = 512, most_price: float = 2000.0, first: int = 10_000) -> DataFrame:
+    """section, name, value: what plots of a catalogue show. items: item_id, title, details, price (text); reviews: item_id, rating.
+
+    'words' and 'long': a histogram of the words of the details, and those over most_words; 'both': items with title and details among the first ones
+    by id; 'price least' to 'price largest': distribution of the prices below most_price, of reviewed items, by rating.
+    """
+    n = T.word_count(F.col("details"))
+    words = A.histogram(items, n, 0.0, float(most_words), 100)
+    long = items.agg(F.count_if(n > most_words).alias("n")).select(F.lit("all").alias("bin"), "n")
+    both = items.where("title is not null and details is not null").orderBy("item_id").limit(first).agg(F.count("*").alias("n")).select(F.lit("all").alias("bin"), "n")
+    priced = items.select("item_id", T.price_number(F.col("price")).alias("price")).where(F.col("price").isNotNull() & (F.col("price") < most_price))
+    box = A.distribution_by(reviews.join(priced, "item_id"), "rating", "price")
+    cells = F.explode(F.array(*[F.struct(F.lit(f"price {c}").alias("section"), F.col(c).cast("double").alias("value")) for c in ("least", "q1", "median", "q3", "largest", "n")])).alias("c")
+    prices = box.select(F.col("rating").cast("double").cast("string").alias("name"), cells).select("c.section", "name", "c.value")
+    return K.union_all([_long(words, "words", F.col("bin")), _long(long, "long", F.col("bin")), _long(both, "both", F.col("bin")), prices])
 
 
 def page_extract(pages: DataFrame) -> DataFrame:

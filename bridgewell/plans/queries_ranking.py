@@ -11,6 +11,7 @@ from ..operators import graph as G
 from ..operators import ranking as R
 from ..operators import retrieval as N
 from ..operators import sampling as W
+from . import pipelines as L
 from .queries_tables import EDGES, edges
 from .roles import BENCH, BM25, EVAL, INTERACTIONS, ITEMS, bench, draw_sql, eval_long, interactions, items, query, table
 
@@ -27,10 +28,9 @@ def _(spark, d):
 
 
 def scored(spark, d):
-    """The evaluation rows with their BM25 score, rounded as in the SQL."""
-    ev = eval_long(spark, d)
-    s = R.bm25(ev.select("query_id", "query_text", "cand_id", "cand_text")).withColumn("score", F.round("score", 6))
-    return ev.select("query_id", "cand_id", "label", (F.col("query_category") == F.col("cand_category")).alias("same")).join(s, ["query_id", "cand_id"])
+    """query_id, cand_id, label, same, score: the evaluation rows with their BM25 score, rounded as in the SQL."""
+    ev = eval_long(spark, d).select("query_id", "query_text", "cand_id", "cand_text", "label", (F.col("query_category") == F.col("cand_category")).alias("same"))
+    return R.bm25(ev, ["label", "same"]).withColumn("score", F.round("score", 6))
 
 
 @query("r1_bm25", f"{BM25} SELECT query_id, cand_id, score FROM bm")
@@ -65,7 +65,7 @@ COSINES = EVAL + ", co AS (SELECT query_id, cand_id, label, round(list_cosine_si
 
 @query("r4_embedding_ranker", f"{COSINES} SELECT query_id, cand_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) AS rank FROM co")
 def _(spark, d):
-    s = eval_long(spark, d).select("query_id", "cand_id", F.round(V.cosine(F.col("query_v"), F.col("cand_v")), 6).alias("score"))
+    s = L.embedding_scores(eval_long(spark, d)).drop("label")
     return R.top(s, "query_id", "cand_id").drop("score")
 
 
@@ -83,19 +83,13 @@ def _(spark, d):
     return eval_long(spark, d).select("query_id", "cand_id", F.round(T.attribute_match(F.col("query_specs"), F.col("cand_specs")), 6).alias("match"))
 
 
-def hybrid_scores(spark, d):
-    ev = eval_long(spark, d).select("query_id", "cand_id", "label", F.round(V.cosine(F.col("query_v"), F.col("cand_v")), 6).alias("cosine"), T.attribute_match(F.col("query_specs"), F.col("cand_specs")).alias("attributes"))
-    s = scored(spark, d).select("query_id", "cand_id", F.col("score").alias("bm25"), F.col("same").cast("int").alias("same"))
-    return R.hybrid(ev.join(s, ["query_id", "cand_id"]))
-
-
 HYBRID = BM25 + f""", hy AS (SELECT ev.query_id, ev.cand_id, ev.label, 0.2 * bm.score / (max(bm.score) OVER (PARTITION BY ev.query_id) + 1e-6)
   + 0.3 * round(list_cosine_similarity(qv::DOUBLE[], cv::DOUBLE[]), 6) + 0.3 * {MATCH} + 0.2 * CASE WHEN same THEN 1 ELSE 0 END AS score FROM ev JOIN bm ON ev.query_id = bm.query_id AND ev.cand_id = bm.cand_id)"""
 
 
 @query("r6_hybrid", f"{HYBRID} SELECT query_id, cand_id, round(score, 8) AS score FROM hy")
 def _(spark, d):
-    return hybrid_scores(spark, d).select("query_id", "cand_id", F.round("score", 8).alias("score"))
+    return L.hybrid_scores(eval_long(spark, d)).select("query_id", "cand_id", F.round("score", 8).alias("score"))
 
 
 @query("r7_two_towers")
@@ -139,9 +133,8 @@ rec AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER B
 
 def recommended(spark, d):
     e = table(spark, d, "embeddings")
-    got = N.exact_top(e, e.where("vec_id % 20 = 0"), 50).select(F.col("query_id").alias("user_id"), "item_id", F.round("score", 9).alias("score"))
     seen = interactions(spark, d).select(F.col("user_id").cast("long").alias("user_id"), F.col("product_id").cast("long").alias("item_id"))
-    return N.without_seen(got, seen, 10)
+    return L.recommend(e.where("vec_id % 20 = 0"), e, seen, 10)
 
 
 @query("r11_without_seen", f"{SEEN} SELECT user_id, item_id, rank FROM rec WHERE rank <= 10")
@@ -155,8 +148,7 @@ METRICS = """round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hr_at_
 
 
 def bonus_ranks(spark, d):
-    s = R.with_category_bonus(scored(spark, d), F.col("same")).withColumn("score", F.round("score", 8))
-    return R.true_ranks(R.top(s, "query_id", "cand_id"), s)
+    return R.labelled_ranks(L.bm25_scores(eval_long(spark, d)).withColumn("score", F.round("score", 8)))
 
 
 @query("r12_true_rank", f"{RANKS} SELECT query_id, rank FROM tr")
@@ -189,7 +181,7 @@ def _ranked(name: str, cte: str, score: str) -> str:
 m AS (SELECT 'bm25' AS model, * FROM x UNION ALL SELECT 'embedding', * FROM y UNION ALL SELECT 'hybrid', * FROM z)
 SELECT model, {METRICS} FROM m WHERE label = 1 GROUP BY model""")
 def _(spark, d):
-    h = hybrid_scores(spark, d).select("query_id", "cand_id", "label", "bm25", "cosine", F.round("score", 8).alias("hybrid"))
+    h = L.hybrid_scores(eval_long(spark, d)).select("query_id", "cand_id", "label", "bm25", "cosine", F.round("score", 8).alias("hybrid"))
     long = h.select("query_id", "cand_id", "label", F.explode(F.create_map(F.lit("bm25"), "bm25", F.lit("embedding"), "cosine", F.lit("hybrid"), "hybrid")).alias("model", "score"))
     w = Window.partitionBy("model", "query_id").orderBy(F.desc("score"), "cand_id")
     ranks = long.withColumn("rank", F.row_number().over(w)).where("label = 1")
@@ -262,26 +254,19 @@ def _(spark, d):
     return G.layered(e, node_vectors(spark, d)).select("node", "dim", F.round("value", 6).alias("value"))
 
 
-def lists(spark, d, most: int = 8):
-    """query_id, node, v: each vector with the ones of the next ids."""
-    e = table(spark, d, "embeddings")
-    near = e.select(F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(most))).alias("k")).select("query_id", (F.col("query_id") + F.col("k")).alias("vec_id"))
-    return near.join(e, "vec_id").select("query_id", F.col("vec_id").alias("node"), F.col("embedding").alias("v"))
-
+LISTS = EVAL + """, li AS MATERIALIZED (SELECT query_id, query_id AS node, qv::DOUBLE[] AS v FROM ev WHERE label = 1 UNION ALL SELECT query_id, cand_id, cv::DOUBLE[] FROM ev),
+sims AS MATERIALIZED (SELECT x.query_id, x.node AS a, y.node AS b, round(list_cosine_similarity(x.v, y.v), 9) AS sim FROM li x JOIN li y USING (query_id))"""
 
-LISTS = """li AS (SELECT a.vec_id AS query_id, b.vec_id AS node, b.embedding::DOUBLE[] AS v FROM embeddings a JOIN embeddings b ON b.vec_id BETWEEN a.vec_id AND a.vec_id + 8),
-sims AS (SELECT x.query_id, x.node AS a, y.node AS b, round(list_cosine_similarity(x.v, y.v), 9) AS sim FROM li x JOIN li y USING (query_id))"""
 
-
-@query("g7_threshold_graph", f"WITH {LISTS} SELECT query_id, a AS src, b AS dst FROM sims WHERE sim > 0.3 OR a = b")
+@query("g7_threshold_graph", f"{LISTS} SELECT query_id, a AS src, b AS dst FROM sims WHERE sim > 0.3 OR a = b")
 def _(spark, d):
-    return G.threshold_graph(lists(spark, d))
+    return G.threshold_graph(L.graph_lists(eval_long(spark, d)))
 
 
-@query("g8_nearest_hyperedges", f"""WITH {LISTS}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id, a ORDER BY CASE WHEN a = b THEN 0 ELSE 1 END, sim DESC, b) AS n FROM sims)
+@query("g8_nearest_hyperedges", f"""{LISTS}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id, a ORDER BY CASE WHEN a = b THEN 0 ELSE 1 END, sim DESC, b) AS n FROM sims)
 SELECT query_id, a AS hyperedge, b AS node FROM n WHERE n <= 5""")
 def _(spark, d):
-    return G.nearest_hyperedges(lists(spark, d))
+    return G.nearest_hyperedges(L.graph_lists(eval_long(spark, d)))
 
 
 ATTRIBUTES = f"""{ITEMS}, att AS (SELECT item_id AS node, unnest(['brand:' || brand, 'ram:' || ram, 'type:' || type]) AS attribute FROM items),
@@ -304,55 +289,61 @@ def _(spark, d):
 
 
 @query("g11_hypergraph_step", f"""WITH {ATTRIBUTES}, {LONG}, e AS (SELECT hyperedge, dim, sum(value) AS value FROM inc JOIN lv USING (node) GROUP BY 1, 2)
-SELECT node, round(sum(value), 4) AS total, count(*) AS n FROM (SELECT node, dim, sum(value) AS value FROM inc JOIN e USING (hyperedge) GROUP BY 1, 2) GROUP BY node""")
+SELECT node, round(sum(value), 4) AS total, round(sum(value * (dim + 1)), 3) AS moment, count(*) AS n FROM (SELECT node, dim, sum(value) AS value FROM inc JOIN e USING (hyperedge) GROUP BY 1, 2) GROUP BY node""")
 def _(spark, d):
     out = G.hypergraph_step(G.attribute_incidence(attributed(spark, d)), node_vectors(spark, d))
-    return out.groupBy("node").agg(F.round(F.sum("value"), 4).alias("total"), F.count("*").alias("n"))
+    return out.groupBy("node").agg(F.round(F.sum("value"), 4).alias("total"), F.round(F.sum(F.col("value") * (F.col("dim") + 1)), 3).alias("moment"), F.count("*").alias("n"))
 
 
 @query("g12_normalised_hypergraph_step", f"""WITH {ATTRIBUTES}, {LONG}, h AS (SELECT node, hyperedge, CAST(count(*) OVER (PARTITION BY node) AS DOUBLE) AS dv, CAST(count(*) OVER (PARTITION BY hyperedge) AS DOUBLE) AS de FROM inc),
 e AS (SELECT hyperedge, dim, sum(value / sqrt(dv) / de) AS value FROM h JOIN lv USING (node) GROUP BY 1, 2)
-SELECT node, round(sum(value), 6) AS total FROM (SELECT node, dim, sum(value / sqrt(dv)) AS value FROM h JOIN e USING (hyperedge) GROUP BY 1, 2) GROUP BY node""")
+SELECT node, round(sum(value), 6) AS total, round(sum(value * (dim + 1)), 5) AS moment FROM (SELECT node, dim, sum(value / sqrt(dv)) AS value FROM h JOIN e USING (hyperedge) GROUP BY 1, 2) GROUP BY node""")
 def _(spark, d):
     out = G.hypergraph_step(G.attribute_incidence(attributed(spark, d)), node_vectors(spark, d), normal=True)
-    return out.groupBy("node").agg(F.round(F.sum("value"), 6).alias("total"))
+    return out.groupBy("node").agg(F.round(F.sum("value"), 6).alias("total"), F.round(F.sum(F.col("value") * (F.col("dim") + 1)), 5).alias("moment"))
+
+
+CONV = f"""{LISTS}, t AS MATERIALIZED (SELECT query_id, a AS src, b AS dst FROM sims WHERE sim > 0.3 OR a = b),
+w AS MATERIALIZED (SELECT query_id, src, dst, 1 / sqrt(count(*) OVER (PARTITION BY query_id, src) * count(*) OVER (PARTITION BY query_id, dst)) AS weight FROM t),
+x AS MATERIALIZED (SELECT query_id, node, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS value FROM li),
+g AS MATERIALIZED (SELECT w.query_id, dst AS node, dim, sum(value * weight) AS value FROM w JOIN x ON x.query_id = w.query_id AND x.node = src GROUP BY 1, 2, 3)"""
+GRAPH = f"""{CONV}, gs AS (SELECT q.query_id, c.node AS cand_id, round(sum(q.value * c.value), 6) AS score FROM g q JOIN g c ON c.query_id = q.query_id AND c.dim = q.dim AND c.node <> q.node WHERE q.node = q.query_id GROUP BY 1, 2),
+rk AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) AS rank FROM gs JOIN ev USING (query_id, cand_id)), tr AS (SELECT query_id, rank FROM rk WHERE label = 1)"""
 
 
-CONV = f"""WITH {LISTS}, t AS (SELECT query_id, a AS src, b AS dst FROM sims WHERE sim > 0.3 OR a = b),
-w AS (SELECT query_id, src, dst, 1 / sqrt(count(*) OVER (PARTITION BY query_id, src) * count(*) OVER (PARTITION BY query_id, dst)) AS weight FROM t),
-x AS (SELECT query_id, node, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS value FROM li),
-g AS (SELECT w.query_id, dst AS node, dim, sum(value * weight) AS value FROM w JOIN x ON x.query_id = w.query_id AND x.node = src GROUP BY 1, 2, 3)"""
+@query("g13_convolution_step", f"{CONV} SELECT query_id, node, round(sum(value), 6) AS total, round(sum(value * (dim + 1)), 5) AS moment FROM g GROUP BY 1, 2")
+def _(spark, d):
+    at = F.transform("v", lambda x, i: x * (i + 1))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return G.convolved_lists(L.graph_lists(eval_long(spark, d))).select("query_id", "node", F.round(total("v"), 6).alias("total"), F.round(total(at), 5).alias("moment"))
+
 
+@query("g14_propagated_ranker", f"{GRAPH} SELECT query_id, rank FROM tr")
+def _(spark, d):
+    return R.labelled_ranks(L.graph_scores(eval_long(spark, d)))
 
-def convolved(spark, d):
-    """query_id, node, dim, value after one graph-convolution step inside each list."""
-    li = lists(spark, d)
-    key = lambda c: F.struct("query_id", F.col(c).alias("node"))
-    t = G.threshold_graph(li).select(key("src").alias("src"), key("dst").alias("dst"))
-    long = G.unpack(li.select(F.struct("query_id", "node").alias("k"), "v"), "k", "v")
-    return G.propagate(G.normalised(t), long).select("node.query_id", "node.node", "dim", "value")
 
+# Pipelines
 
-@query("g13_convolution_step", f"{CONV} SELECT query_id, node, round(sum(value), 6) AS total FROM g GROUP BY 1, 2")
+
+@query("q8_evaluate_bm25", f"{RANKS} SELECT 'bm25' AS model, {METRICS} FROM tr")
 def _(spark, d):
-    return convolved(spark, d).groupBy("query_id", "node").agg(F.round(F.sum("value"), 6).alias("total"))
+    return L.evaluate(eval_long(spark, d), "bm25")
 
 
-@query("g14_propagated_ranker", f"""{CONV}, s AS (SELECT q.query_id, c.node AS cand_id, round(sum(q.value * c.value), 6) AS score FROM g q JOIN g c ON c.query_id = q.query_id AND c.dim = q.dim AND c.node <> q.node WHERE q.node = q.query_id GROUP BY 1, 2)
-SELECT query_id, cand_id, score FROM s""")
+@query("q8_evaluate_embedding", f"{COSINES}, {_ranked('x', 'co', 'score')} SELECT 'embedding' AS model, {METRICS} FROM x WHERE label = 1")
 def _(spark, d):
-    g = convolved(spark, d)
-    q = g.where("node = query_id").select("query_id", "dim", F.col("value").alias("q"))
-    s = g.where("node <> query_id").join(q, ["query_id", "dim"]).groupBy("query_id", F.col("node").alias("cand_id")).agg(F.sum(F.col("q") * F.col("value")).alias("score"))
-    return s.withColumn("score", F.round("score", 6))
+    return L.evaluate(eval_long(spark, d), 2)
 
 
-# Pipelines
+@query("q8_evaluate_graph", f"{GRAPH} SELECT 'graph' AS model, {METRICS} FROM tr")
+def _(spark, d):
+    return L.evaluate(eval_long(spark, d), 4)
 
 
-@query("q8_evaluate_bm25", f"{RANKS} SELECT 'bm25_category' AS model, {METRICS} FROM tr")
+@query("q8_evaluate_hybrid", f"{HYBRID}, {_ranked('z', 'hy', 'round(score, 8)')} SELECT 'hybrid' AS model, {METRICS} FROM z WHERE label = 1")
 def _(spark, d):
-    return R.metrics(bonus_ranks(spark, d)).select(F.lit("bm25_category").alias("model"), "hr_at_k", "ndcg_at_k", "n_queries")
+    return L.evaluate(eval_long(spark, d), "hybrid")
 
 
 @query("q9_recommend", f"{SEEN} SELECT {METRICS} FROM (SELECT h.user_id, min(r.rank) AS rank FROM (SELECT vec_id AS user_id, label FROM embeddings WHERE vec_id % 20 = 0) h LEFT JOIN (SELECT rec.user_id, rec.rank, e.label FROM rec JOIN embeddings e ON e.vec_id = rec.item_id WHERE rec.rank <= 10 AND rec.item_id <> rec.user_id) r ON r.user_id = h.user_id AND r.label = h.label GROUP BY 1)")

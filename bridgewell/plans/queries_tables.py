@@ -219,9 +219,9 @@ def edges(spark, d):
     return bipartite(i, i)
 
 
-@query("w10_random_negatives", f"WITH {EDGES} SELECT user_idx, item_idx, {draw_sql('42', '100', 'user_idx', 'item_idx')} AS neg_idx FROM edges")
+@query("w10_random_negatives", f"WITH {EDGES} SELECT user_idx, item_idx, {draw_sql('42', '(SELECT max(item_idx) + 1 FROM edges)', 'user_idx', 'item_idx')} AS neg_idx FROM edges")
 def _(spark, d):
-    return W.random_items(edges(spark, d), 100)
+    return W.random_items(edges(spark, d))
 
 
 @query("w11_split", f"WITH {EDGES} SELECT user_idx, item_idx, CASE WHEN {draw_sql('42', '100', 'user_idx', 'item_idx')} < 90 THEN 'train' ELSE 'test' END AS part FROM edges")
@@ -326,10 +326,10 @@ def _(spark, d):
 
 
 @query("q2_item_nodes", f"""WITH {ITEMS}, t AS (SELECT CAST(doc_id AS VARCHAR) AS product_id, {CLEAN('text')} AS full_text, {_case('text', T.CATEGORY_RULES)} AS category, CASE WHEN lang = 'en' THEN 'amazon' ELSE 'vn' END AS domain FROM documents)
-SELECT domain, category, count(*) AS n, round(avg(length(full_text)), 6) AS avg_length FROM t WHERE full_text <> '' GROUP BY domain, category""")
+SELECT product_id, domain, category, length(full_text) AS n_chars, md5(full_text) AS text_md5 FROM t WHERE full_text <> ''""")
 def _(spark, d):
     nodes = L.item_nodes(table(spark, d, "documents"), {"product_id": (("doc_id",), "string"), "name": (("title",), "string"), "description": (("text",), "string"), "lang": (("lang",), "string")}, F.when(F.col("lang") == "en", "amazon").otherwise("vn"))
-    return nodes.groupBy("domain", "category").agg(F.count("*").alias("n"), F.round(F.avg(F.length("full_text")), 6).alias("avg_length"))
+    return nodes.select("product_id", "domain", "category", F.length("full_text").cast("long").alias("n_chars"), F.md5("full_text").alias("text_md5"))
 
 
 @query("q2_structured_items", f"WITH {ITEMS} SELECT item_id, domain, {_case('name', PART_RULES)} AS kind, {SPECS_SQL} AS specs FROM items")
@@ -354,15 +354,59 @@ def _(spark, d):
     return L.catalog_union([p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("title")), p.where("p_size > 5").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("size"))], table(spark, d, "lineitem").select(F.col("l_partkey").alias("k")), "k")
 
 
-@query("q6_eval_dataset", f"{BENCH} SELECT query_id, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, md5(string_agg(CAST(cand_id AS VARCHAR), ',' ORDER BY md5('42|' || query_id || '|' || cand_id), cand_id)) AS candidates FROM bench GROUP BY query_id")
-def _(spark, d):
-    g = bench(spark, d).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("label").alias("positives"), F.sort_array(F.collect_list(F.struct("position", "cand_id"))).alias("c"))
+def _listed(cte: str, rows: str) -> str:
+    """A row for each query: how many candidates, how many true ones, and their ids in seeded order."""
+    return f"""{cte} SELECT query_id, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, md5(string_agg(CAST(cand_id AS VARCHAR), ',' ORDER BY md5('42|' || query_id || '|' || cand_id), cand_id)) AS candidates FROM {rows} GROUP BY query_id"""
+
+
+def listed(ev):
+    g = ev.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("label").alias("positives"), F.sort_array(F.collect_list(F.struct("position", "cand_id"))).alias("c"))
     return g.select("query_id", "n", "positives", F.md5(F.array_join(F.transform("c", lambda x: x["cand_id"].cast("string")), ",")).alias("candidates"))
 
 
-@query("q7_validate", f"WITH {TEXTS} SELECT domain, count(*) AS n_rows, count(DISTINCT product_id) AS n_items, {BLANK.format('full_text')} AS blank_texts FROM texts GROUP BY domain")
+TRUE = "SELECT query_id, true_id AS cand_id, 1 AS label FROM pairs WHERE query_id IN (SELECT query_id FROM taken_) UNION ALL SELECT query_id, item_id, 0 FROM taken_"
+
+
+@query("q6_eval_dataset", _listed(BENCH, "bench"))
+def _(spark, d):
+    return listed(L.eval_dataset(pairs(spark, d), local(spark, d), "quota"))
+
+
+@query("q6_eval_same_category", _listed(f"""WITH {ITEMS}, {PAIRS}, {LOCAL}, few AS (SELECT * FROM placed WHERE rank < 500),
+n AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY md5('42|' || query_id || '|' || item_id), item_id) AS n FROM pairs JOIN few USING (category) WHERE item_id <> true_id),
+taken_ AS MATERIALIZED (SELECT query_id, item_id FROM n WHERE n <= 99), listed AS ({TRUE})""", "listed"))
 def _(spark, d):
-    return texts(spark, d).groupBy("domain").agg(F.count("*").alias("n_rows"), F.countDistinct("product_id").alias("n_items"), F.sum(F.when(F.coalesce("full_text", F.lit("")) == "", 1).otherwise(0)).alias("blank_texts"))
+    return listed(L.eval_dataset(pairs(spark, d), local(spark, d), "same_category"))
+
+
+@query("q6_eval_any", _listed(f"""WITH {ITEMS}, {PAIRS}, {LOCAL}, t AS (SELECT count(*) AS total FROM local),
+runs AS (SELECT query_id, true_id, i, ({draw_sql('42a', 'total', 'query_id')} + i) % total AS place FROM pairs, t, range(0, 100) r(i) WHERE i <= least(99, total - 1)),
+n AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY i) AS n FROM runs JOIN placed USING (place) WHERE item_id <> true_id),
+taken_ AS MATERIALIZED (SELECT query_id, item_id FROM n WHERE n <= 99), listed AS ({TRUE})""", "listed"))
+def _(spark, d):
+    return listed(L.eval_dataset(pairs(spark, d), local(spark, d), "any"))
+
+
+def _cells(section: str, cte: str, columns: list[str]) -> str:
+    return f"SELECT '{section}' AS section, unnest([{', '.join(repr(c) for c in columns)}]) AS name, unnest([{', '.join(f'CAST({c} AS DOUBLE)' for c in columns)}]) AS value FROM {cte}"
+
+
+COUNTS = "SELECT '{0}', CAST({1} AS VARCHAR), CAST(count(*) AS DOUBLE) FROM {2} GROUP BY {1}"
+
+
+@query("q7_validate", f"""WITH {PURCHASES}, p AS (SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(product_id AS VARCHAR) AS product_id, CAST(rating AS DOUBLE) AS rating, CASE WHEN l_linenumber % 2 = 0 THEN 'amazon' ELSE 'vn' END AS domain FROM purchases),
+r AS (SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users, count(DISTINCT product_id) AS n_items, {BLANK.format('user_id')} AS blank_users, {BLANK.format('product_id')} AS blank_items,
+  min(rating) AS min_rating, max(rating) AS max_rating, round(avg(rating), 6) AS avg_rating FROM p)
+{_cells('all', 'r', ['n_rows', 'n_users', 'n_items', 'blank_users', 'blank_items', 'min_rating', 'max_rating', 'avg_rating'])} UNION ALL {COUNTS.format('domain', 'domain', 'p')} UNION ALL {COUNTS.format('rating', 'rating', 'p')}""")
+def _(spark, d):
+    p = purchases(spark, d).select(F.col("user_id").cast("string").alias("user_id"), F.col("product_id").cast("string").alias("product_id"), F.col("rating").cast("double").alias("rating"), F.when(F.col("l_linenumber") % 2 == 0, "amazon").otherwise("vn").alias("domain"))
+    return L.validate(p, "interactions")
+
+
+@query("q7_validate_items", f"""WITH {TEXTS}, r AS (SELECT count(*) AS n_rows, count(DISTINCT product_id) AS n_items, {BLANK.format('full_text')} AS blank_texts, round(avg(length(full_text)), 6) AS avg_length FROM texts)
+{_cells('all', 'r', ['n_rows', 'n_items', 'blank_texts', 'avg_length'])} UNION ALL {COUNTS.format('domain', 'domain', 'texts')}""")
+def _(spark, d):
+    return L.validate(texts(spark, d), "items")
 
 
 @query("q10_crawl_merge", "SELECT p.p_partkey, coalesce(c.category, p.p_type) AS category FROM part p LEFT JOIN (SELECT p_name, string_agg(DISTINCT p_brand, ' | ' ORDER BY p_brand) AS category FROM part WHERE p_size > 25 GROUP BY p_name) c USING (p_name)")
@@ -372,16 +416,39 @@ def _(spark, d):
     return L.crawl_merge(p.select("p_partkey", F.col("p_name").alias("key"), F.col("p_type").alias("category")), trails, "p_partkey").select("p_partkey", "category")
 
 
-@query("q11_crawl_frontier", "SELECT DISTINCT o_custkey AS k FROM (SELECT o_custkey FROM orders UNION ALL SELECT c_custkey FROM customer) WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
-def _(spark, d):
+FRONTIERS = """WITH done AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), every AS (SELECT 'orders' AS source, o_custkey AS k FROM orders UNION ALL SELECT 'customers', c_custkey FROM customer)"""
+
+
+def frontiers(spark, d):
     o = table(spark, d, "orders")
-    return L.crawl_frontier([o.select(F.col("o_custkey").alias("k")), table(spark, d, "customer").select(F.col("c_custkey").alias("k"))], o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")), "k")
+    return L.crawl_frontier({"orders": o.select(F.col("o_custkey").alias("k")), "customers": table(spark, d, "customer").select(F.col("c_custkey").alias("k"))}, o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")), "k")
 
 
-@query("q12_eda_report", """SELECT l_quantity AS rating, round(avg(o_totalprice), 6) AS avg_price, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice IS NOT NULL AND o_totalprice < 200000 GROUP BY 1""")
+@query("q11_crawl_frontier", f"{FRONTIERS} SELECT DISTINCT k FROM every WHERE k NOT IN (SELECT k FROM done)")
 def _(spark, d):
-    li, o = table(spark, d, "lineitem"), table(spark, d, "orders").where(F.col("o_totalprice").isNotNull() & (F.col("o_totalprice") < 200000))
-    return li.join(o, li.l_orderkey == o.o_orderkey).groupBy(F.col("l_quantity").alias("rating")).agg(F.round(F.avg("o_totalprice"), 6).alias("avg_price"), F.count("*").alias("n"))
+    return frontiers(spark, d)[0]
+
+
+@query("q11_crawl_counts", f"{FRONTIERS} SELECT source, count(*) AS n_rows, count(done.k) AS n_removed, count(*) - count(done.k) AS n_left FROM every LEFT JOIN done USING (k) GROUP BY source")
+def _(spark, d):
+    return frontiers(spark, d)[1]
+
+
+@query("q12_eda_report", """WITH i AS (SELECT p_partkey AS item_id, CASE WHEN p_size % 7 > 0 THEN p_name END AS title, p_name || ' ' || p_brand || ' ' || p_type AS details,
+  CASE WHEN p_partkey % 5 > 0 THEN TRY_CAST(replace(format('{:,.2f}', p_retailprice), ',', '') AS DOUBLE) END AS price FROM part),
+w AS (SELECT len(string_split(details, ' ')) AS n FROM i),
+x AS (SELECT CAST(l_quantity AS DOUBLE) AS rating, price FROM lineitem JOIN i ON item_id = l_partkey WHERE price < 1500),
+b AS (SELECT CAST(rating AS VARCHAR) AS name, min(price) AS least, round(quantile_cont(price, 0.25), 6) AS q1, round(quantile_cont(price, 0.5), 6) AS median, round(quantile_cont(price, 0.75), 6) AS q3, max(price) AS largest, CAST(count(*) AS DOUBLE) AS n FROM x GROUP BY rating)
+SELECT 'words' AS section, CAST(CASE WHEN n >= 6 THEN 101 ELSE 1 + CAST(floor(n * 100 / 6.0) AS BIGINT) END AS VARCHAR) AS name, CAST(count(*) AS DOUBLE) AS value FROM w GROUP BY 2
+UNION ALL SELECT 'long', 'all', CAST(count(*) FILTER (n > 6) AS DOUBLE) FROM w
+UNION ALL SELECT 'both', 'all', CAST(count(*) AS DOUBLE) FROM (SELECT * FROM i WHERE title IS NOT NULL AND details IS NOT NULL ORDER BY item_id LIMIT 1000)
+UNION ALL SELECT 'price ' || k, name, value FROM (SELECT name, unnest(['least', 'q1', 'median', 'q3', 'largest', 'n']) AS k, unnest([least, q1, median, q3, largest, n]) AS value FROM b)""")
+def _(spark, d):
+    p = table(spark, d, "part")
+    items_ = p.select(F.col("p_partkey").alias("item_id"), F.when(F.col("p_size") % 7 > 0, F.col("p_name")).alias("title"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("details"),
+        F.concat(F.lit("from $"), F.when(F.col("p_partkey") % 5 == 0, "x").otherwise(F.format_number("p_retailprice", 2))).alias("price"))
+    reviews = table(spark, d, "lineitem").select(F.col("l_partkey").alias("item_id"), F.col("l_quantity").alias("rating"))
+    return L.eda_report(items_, reviews, 6, 1500.0, 1000)
 
 
 @query("q13_page_extract", """SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, len(list_filter(list_transform(regexp_extract_all(html, '<p>([^<]*)', 1), lambda x: trim(x, ' ')), lambda x: x <> '')) AS n_texts

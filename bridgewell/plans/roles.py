@@ -82,7 +82,7 @@ def pairs(spark, d):
     return a.join(i.where("domain = 'vn'").select(F.col("item_id").alias("true_id"), "asin"), "asin").select("query_id", "true_id", "category")
 
 
-PAIRS = """pairs AS (SELECT a.item_id AS query_id, b.item_id AS true_id, a.category FROM items a JOIN items b ON a.asin = b.asin AND a.domain = 'amazon' AND b.domain = 'vn')"""
+PAIRS = """pairs AS MATERIALIZED (SELECT a.item_id AS query_id, b.item_id AS true_id, a.category FROM items a JOIN items b ON a.asin = b.asin AND a.domain = 'amazon' AND b.domain = 'vn')"""
 
 
 def local(spark, d):
@@ -94,8 +94,8 @@ def draw_sql(seed: str, below: str, *keys: str) -> str:
     return f"(CAST('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(keys)})), 1, 8) AS BIGINT) % ({below}))"
 
 
-LOCAL = """local AS (SELECT item_id, category FROM items WHERE domain = 'vn'),
-placed AS (SELECT item_id, category, row_number() OVER (PARTITION BY category ORDER BY md5('42|' || item_id), item_id) - 1 AS rank,
+LOCAL = """local AS MATERIALIZED (SELECT item_id, category FROM items WHERE domain = 'vn'),
+placed AS MATERIALIZED (SELECT item_id, category, row_number() OVER (PARTITION BY category ORDER BY md5('42|' || item_id), item_id) - 1 AS rank,
   row_number() OVER (ORDER BY category, md5('42|' || item_id), item_id) - 1 AS place FROM local),
 sizes AS (SELECT category, count(*) AS size, min(place) AS start, (SELECT count(*) FROM local) AS total FROM placed GROUP BY category)"""
 
@@ -104,17 +104,17 @@ QUOTA = f"""asks AS (SELECT p.query_id, p.true_id, p.category, coalesce(s.size,
     (SELECT count(*) FROM local) - coalesce(s.size, 0) - CASE WHEN l.category <> p.category THEN 1 ELSE 0 END AS other
   FROM pairs p LEFT JOIN sizes s ON s.category = p.category LEFT JOIN local l ON l.item_id = p.true_id),
 quota AS (SELECT *, least(99 - least(70, own), other) AS easy, least(99 - least(99 - least(70, own), other), own) AS hard FROM asks),
-full_quota AS (SELECT * FROM quota WHERE easy + hard = 99),
+full_quota AS MATERIALIZED (SELECT * FROM quota WHERE easy + hard = 99),
 hard_runs AS (SELECT query_id, true_id, hard AS wanted, i, start + ({draw_sql('42h', 'greatest(size, 1)', 'query_id')} + i) % greatest(size, 1) AS place
   FROM full_quota, range(0, 100) t(i) WHERE hard > 0 AND i <= least(hard, size - 1)),
 easy_runs AS (SELECT query_id, true_id, easy AS wanted, i, (start + size + ({draw_sql('42e', 'greatest(total - size, 1)', 'query_id')} + i) % greatest(total - size, 1)) % total AS place
   FROM full_quota, range(0, 100) t(i) WHERE easy > 0 AND i <= least(easy, total - size - 1)),
-taken AS (
+taken AS MATERIALIZED (
   SELECT query_id, item_id, is_hard FROM (
     SELECT r.*, p.item_id, row_number() OVER (PARTITION BY query_id, is_hard ORDER BY i) AS n
     FROM (SELECT *, TRUE AS is_hard FROM hard_runs UNION ALL SELECT *, FALSE FROM easy_runs) r JOIN placed p USING (place) WHERE p.item_id <> r.true_id)
   WHERE n <= wanted),
-bench AS (SELECT query_id, true_id AS cand_id, 1 AS label FROM pairs WHERE query_id IN (SELECT query_id FROM taken) UNION ALL SELECT query_id, item_id, 0 FROM taken)"""
+bench AS MATERIALIZED (SELECT query_id, true_id AS cand_id, 1 AS label FROM pairs WHERE query_id IN (SELECT query_id FROM taken) UNION ALL SELECT query_id, item_id, 0 FROM taken)"""
 #: Everything up to the benchmark: 1 true and 99 false candidates of each query.
 BENCH = f"WITH {ITEMS}, {PAIRS}, {LOCAL}, {QUOTA}"
 
@@ -144,7 +144,7 @@ def eval_long(spark, d):
 
 
 EVAL = BENCH + """, vecs AS (SELECT i.*, e.embedding FROM items i JOIN embeddings e ON e.vec_id = i.item_id % (SELECT count(*) FROM embeddings)),
-ev AS (SELECT b.query_id, b.cand_id, b.label, q.full_text AS query_text, c.full_text AS cand_text, q.category AS query_category, c.category AS cand_category,
+ev AS MATERIALIZED (SELECT b.query_id, b.cand_id, b.label, q.full_text AS query_text, c.full_text AS cand_text, q.category AS query_category, c.category AS cand_category,
   q.brand AS qb, c.brand AS cb, q.ram AS qr, c.ram AS cr, q.embedding AS qv, c.embedding AS cv
   FROM bench b JOIN vecs q ON q.item_id = b.query_id JOIN vecs c ON c.item_id = b.cand_id)"""
 

@@ -46,6 +46,12 @@ def test_kinds(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1][:-6]: r.kind for r in S.classify(spark, str(tmp_path)).collect()}
     assert got == {k: k for k in heads}
     assert {r.kind: r.n_files for r in S.inventory(spark, str(tmp_path)).collect()} == {k: 1 for k in heads}
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "empty.jsonl").write_text("")
+    lines(tmp_path / "more" / "second.jsonl", {"z": 1}, {"rating": 1})  # the keys stand in the second line
+    lines(tmp_path / "more" / "late.jsonl", *[{"z": "x" * 500}] * 5, {"rating": 1})  # beyond the first 2,048 characters
+    got = {r.path.rsplit("/", 1)[1][:-6]: r.kind for r in S.classify(spark, str(tmp_path / "more")).collect()}
+    assert got == {"empty": "unknown", "second": "amz_review", "late": "unknown"}
 
 
 def test_profile(spark, tmp_path):

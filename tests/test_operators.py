@@ -137,9 +137,13 @@ def vectors(spark, n=60, dims=6):
 
 
 @pytest.mark.parametrize("metric", ["ip", "l2"])
-def test_exact_top(spark, metric):
+@pytest.mark.parametrize("most_bytes", [N.MOST_QUERY_BYTES, 1])  # queries sent to every task, and dealt in blocks
+def test_exact_top(spark, metric, most_bytes, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 3)
     x, df = vectors(spark)
-    got = N.exact_top(df, df.where("vec_id < 5"), 4, metric, blocks=2).collect()
+    df = df.union(spark.createDataFrame([(90, None), (91, [1.0])], df.schema))
+    got = N.exact_top(df, df.where("vec_id < 5"), 4, metric, most_bytes=most_bytes).collect()
+    assert N.exact_top(df, df.where("vec_id < 0"), 4, metric).count() == 0
     for q in range(5):
         s = x.astype(float) @ x[q].astype(float) if metric == "ip" else -((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
         assert [r.item_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == np.lexsort((np.arange(60), -np.round(s, 9)))[:4].tolist()
