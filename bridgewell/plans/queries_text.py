@@ -223,7 +223,15 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", P.trail(F.array(F.lit("Home")), P.breadcrumb(F.col("html"))).alias("trail"))
 
 
-@query("x6_spec_table")
+def _tidy(x: str) -> str:
+    return f"trim(regexp_replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '\u200e', ''), '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ')"
+
+
+@query("x6_spec_table", f"""WITH h AS (SELECT page_id, html || '<tr><th> RAM\u200e </th><td>' || page_id || ' GB </td></tr><tr><th>Customer Reviews</th><td>4</td></tr>' AS html FROM pages),
+r AS (SELECT page_id, unnest(l) AS r, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<tr[^>]*>(.*?)</tr>', 1) AS l FROM h)),
+c AS (SELECT page_id, i, {_tidy("regexp_extract(r, '(?s)<th[^>]*>(.*?)</th>', 1)")} AS k, {_tidy("regexp_extract(r, '(?s)<td[^>]*>(.*?)</td>', 1)")} AS v FROM r),
+o AS (SELECT page_id, k, max_by(v, i) AS v FROM c WHERE k <> '' AND v <> '' AND NOT contains(k, 'Customer Reviews') GROUP BY 1, 2)
+SELECT page_id, string_agg(k || '=' || v, ';' ORDER BY k) AS specs FROM o GROUP BY 1""")
 def _(spark, d):
     rows = F.concat(F.lit("<tr><th> RAM‎ </th><td>"), F.col("page_id").cast("string"), F.lit(" GB </td></tr><tr><th>Customer Reviews</th><td>4</td></tr>"))
     return table(spark, d, "pages").select("page_id", T.map_text(P.spec_table(F.concat("html", rows))).alias("specs"))
@@ -251,10 +259,13 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", P.first_present(tag("h2"), tag("h1"), tag("title")).alias("title"))
 
 
-@query("x11_images")
+@query("x11_images", """WITH p AS (SELECT page_id, html || '<script>''colorImages'': { ''initial'': [{"thumb":"t","large":"l","variant":"V' || page_id || '","hiRes":null}]},</script>' AS h FROM pages)
+SELECT page_id, array_to_string(list_transform(from_json(regexp_extract(h, '(?s)''colorImages'':\\s*\\{.*?''initial'':\\s*(\\[.*?\\])\\}', 1), '[{"thumb":"VARCHAR","large":"VARCHAR","variant":"VARCHAR","hiRes":"VARCHAR"}]'),
+  lambda i: concat_ws(',', i.thumb, i.large, i.variant, i.hiRes)), '|') AS images FROM p""")
 def _(spark, d):
     script = F.concat(F.lit("""<script>'colorImages': { 'initial': [{"thumb":"t","large":"l","variant":"V"""), F.col("page_id").cast("string"), F.lit("""","hiRes":null}]},</script>"""))
-    return table(spark, d, "pages").select("page_id", F.transform(P.images(F.concat("html", script)), lambda i: F.concat_ws(",", i["thumb"], i["large"], i["variant"], i["hiRes"])).alias("images"))
+    shown = F.transform(P.images(F.concat("html", script)), lambda i: F.concat_ws(",", i["thumb"], i["large"], i["variant"], i["hiRes"]))
+    return table(spark, d, "pages").select("page_id", F.array_join(shown, "|").alias("images"))
 
 
 @query("x12_texts", "SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '<p>([^<]*)', 1), lambda x: trim(x, ' ')), lambda x: x <> ''), '|') AS t FROM pages")
@@ -262,7 +273,12 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(P.texts_of(F.col("html"), "p"), "|").alias("t"))
 
 
-@query("x13_reviews")
+@query("x13_reviews", f"""WITH {PAGES}, h AS (SELECT page_id, coalesce(nullif(regexp_extract(href, '/dp/([A-Z0-9]{{10}})', 1), ''), 'Unknown') AS asin,
+  html || '<li data-hook="review"><i class="rating">4.0 out of 5</i><b class="title">T</b><span class="body">' || replace(string_split(url, '/')[-1], '<', '') || '</span><a href="/profile/U' || page_id || '/x"></a><i class="votes">1,024 people</i><i class="avp-badge"></i></li>' AS html FROM pg),
+c AS (SELECT page_id, asin, unnest(regexp_extract_all(html, '(?s)<li data-hook="review">(.*?)</li>', 1)) AS card FROM h)
+SELECT page_id, asin, coalesce(TRY_CAST(string_split(trim(regexp_extract(card, 'class="rating">([^<]*)', 1), ' '), ' ')[1] AS DOUBLE), 0.0) AS rating, trim(regexp_extract(card, 'class="title">([^<]*)', 1), ' ') AS title,
+  nullif(trim(regexp_extract(card, 'class="body">([^<]*)', 1), ' '), '') AS text, coalesce(nullif(regexp_extract(card, '/profile/([^/"]+)', 1), ''), 'Anonymous') AS user_id,
+  coalesce(TRY_CAST(nullif(regexp_extract(replace(trim(regexp_extract(card, 'class="votes">([^<]*)', 1), ' '), ',', ''), '([0-9]+)', 1), '') AS BIGINT), 0) AS helpful_vote, contains(card, 'avp-badge') AS verified_purchase FROM c""")
 def _(spark, d):
     card = F.concat(F.lit('<li data-hook="review"><i class="rating">4.0 out of 5</i><b class="title">T</b><span class="body">'), F.regexp_replace(F.substring_index("url", "/", -1), "<", ""), F.lit('</span><a href="/profile/U'), F.col("page_id").cast("string"), F.lit('/x"></a><i class="votes">1,024 people</i><i class="avp-badge"></i></li>'))
     return P.reviews(_pages(spark, d).select("page_id", F.col("href").alias("url"), F.concat("html", card).alias("html")))
