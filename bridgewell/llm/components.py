@@ -20,7 +20,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     pairs = links.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    mark_of = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))).first()
     pairs = saved(pairs)
+    mark = mark_of(pairs)
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -29,10 +31,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        new = saved(small)
-        changed = new.exceptAll(pairs).limit(1).count() + pairs.exceptAll(new).limit(1).count()
-        pairs = new
-        if not changed:
+        pairs = saved(small)
+        # the pairs are distinct, so equal counts and equal sums of two hashes tell that nothing has changed
+        old, mark = mark, mark_of(pairs)
+        if mark == old:
             break
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
