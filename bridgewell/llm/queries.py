@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, interpolation, media, mixing, neighbours, quality, simhash, substrings, toxicity
+from . import bpe, chat, interpolation, media, mixing, neighbours, quality, resampling, simhash, substrings, toxicity
 from .memory import small_batches
 
 
@@ -85,6 +85,11 @@ def op10_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 OP9_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -103,7 +108,38 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+# DuckDB has no checksum of this kind: bytes go through a table of 256 entries, made by its rule, once for each distinct word.
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT range AS i, 0 AS k, range AS c FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8
+), steps AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
+), words AS (
+  SELECT 0 AS side, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL
+  SELECT 1, NULL, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), kinds AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, 2 * octet_length(encode(w)), 2), lambda j: CAST('0x' || substr(hex(encode(w)), j, 2) AS BIGINT))),
+    lambda c, b: xor(c // 256, t[CAST(xor(c % 256, b) + 1 AS BIGINT)])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT w FROM words), steps
+), n AS (
+  SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM words JOIN kinds USING (w) GROUP BY bucket
+), gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM n) + 10000))::DOUBLE / ((s + 1) * ((SELECT sum(t) FROM n) + 10000))::DOUBLE)) AS BIGINT) AS gain FROM n
+), weights AS (
+  SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM words JOIN kinds USING (w) JOIN gain USING (bucket) WHERE side = 0 GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM documents LEFT JOIN weights USING (doc_id)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed
+"""
+
 QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_substring_dedup": op2_substring_dedup, "op3_quality_classifier": op3_quality_classifier, "op4_simhash": op4_simhash, "op5_source_mix": op5_source_mix,
     "op6_lm_score": op6_lm_score, "op7_audio_alignment": op7_audio_alignment, "op8_toxicity": op8_toxicity,
-    "op9_chat_format": op9_chat_format, "op10_inverted_multi_index": op10_inverted_multi_index}
-ORACLES = {"op9_chat_format": OP9_SQL}
+    "op9_chat_format": op9_chat_format, "op10_inverted_multi_index": op10_inverted_multi_index,
+    "op11_importance_resampling": op11_importance_resampling}
+ORACLES = {"op9_chat_format": OP9_SQL, "op11_importance_resampling": OP11_SQL}

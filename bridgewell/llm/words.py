@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 from . import memory  # noqa: F401
 
@@ -30,6 +31,92 @@ def _odd(seed: int) -> int:
     return int(mix(np.array([seed], U))[0]) | 1
 
 
+P1, P2, P3, P4, P5 = (U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
+PADDING = 8  # bytes that stand behind the last range, so that eight can be read from any place
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << U(by)) | (x >> U(64 - by))
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; the last PADDING places have none."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
+
+
+def xxh64(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH64 of each range of bytes. Ranges under 32 bytes are hashed together, longer ones one by one by the library; PADDING bytes follow the last range."""
+    size, eight = end - start, eights(data)
+    h = (U(seed) + P5) + size.astype(U)
+    for k in range(3):
+        m = np.flatnonzero((size >= 8 * k + 8) & (size < 32))
+        if not len(m):
+            break
+        h[m] = _turn(h[m] ^ (_turn(eight[start[m] + 8 * k] * P2, 31) * P1), 27) * P1 + P4
+    at, left = start + (size & ~7), size & 7
+    rest = np.zeros(len(h), U)
+    m = np.flatnonzero(left)
+    rest[m] = eight[at[m]]
+    m = np.flatnonzero(left >= 4)
+    h[m] = _turn(h[m] ^ ((rest[m] & U(0xFFFFFFFF)) * P1), 23) * P2 + P3
+    rest[m] >>= U(32)
+    left = left & 3
+    for k in range(3):
+        m = np.flatnonzero(left > k)
+        h[m] = _turn(h[m] ^ ((rest[m] & U(255)) * P5), 11) * P1
+        rest[m] >>= U(8)
+    h = (h ^ (h >> U(33))) * P2
+    h = (h ^ (h >> U(29))) * P3
+    h ^= h >> U(32)
+    for i in np.flatnonzero(size >= 32).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]], seed)
+    return h
+
+
+class Interned:
+    """Byte ranges interned by value in an open-addressed table: a slot for each distinct range, probed in a row from its XXH64, where equal hashes
+    stand for equal ranges only if their bytes are equal.
+
+    place: the slot of each range. first: the range that a slot stands for, -1: free.
+    """
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray | None = None):
+        h = xxh64(data, start, end) if hashes is None else hashes
+        slots = 1 << max(4, int(2 * len(h) - 1).bit_length())
+        self.data, self.start, self.end = data, start, end
+        self.first, self.place = np.full(slots, -1, np.int32), (h & U(slots - 1)).astype(np.int64)
+        todo, at = np.arange(len(h)), self.place
+        while len(todo):
+            free = self.first[at] < 0
+            self.first[at[free]] = todo[free]
+            own = self.first[at]
+            other = np.flatnonzero(own != todo)
+            other = other[~((h[own[other]] == h[todo[other]]) & self._equal(own[other], todo[other]))]
+            todo = todo[other]
+            at = (self.place[todo] + 1) & (slots - 1)
+            self.place[todo] = at
+
+    def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        size = self.end[a] - self.start[a]
+        same, eight = size == self.end[b] - self.start[b], eights(self.data)
+        live = np.flatnonzero(same)
+        done = 0
+        while len(live):
+            left = size[live] - done
+            keep = np.where(left >= 8, U(0xFFFFFFFFFFFFFFFF), (U(1) << (U(8) * np.minimum(left, 7).astype(U))) - U(1))
+            bad = ((eight[self.start[a[live]] + done] ^ eight[self.start[b[live]] + done]) & keep) != 0
+            same[live[bad]] = False
+            done += 8
+            live = live[~bad & (left > 8)]
+        return same
+
+    def values(self) -> tuple[np.ndarray, list[bytes]]:
+        """The slots in use and the bytes of each."""
+        used = np.flatnonzero(self.first >= 0)
+        raw, k = self.data.tobytes(), self.first[used]
+        return used, [raw[i:j] for i, j in zip(self.start[k].tolist(), self.end[k].tolist(), strict=True)]
+
+
 class Powers:
     """Powers of an odd number and of its inverse modulo 2**64; grows on demand."""
 
@@ -57,7 +144,7 @@ class Block:
     """The words of some texts: byte ranges, hashes and the first word of each text."""
 
     def __init__(self, texts: list[bytes], is_word: np.ndarray = IS_WORD, lower: bool = False):
-        self.data = b" " + b" ".join(texts) + b" "
+        self.data = b" " + b" ".join(texts) + b" " * (1 + PADDING)
         a = np.frombuffer(self.data, np.uint8)
         self.bytes = LOWER[a] if lower else a
         inside = is_word[a]
