@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, interpolation, media, mixing, neighbours, quality, resampling, simhash, substrings, toxicity
+from . import bpe, chat, interpolation, media, mixing, neighbours, quality, resampling, simhash, substrings, tokenfiles, toxicity
 from .memory import small_batches
 
 
@@ -90,6 +90,13 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = tokenfiles.save(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), 1)
+    return tokenfiles.load(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 OP9_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -141,5 +148,5 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <
 QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_substring_dedup": op2_substring_dedup, "op3_quality_classifier": op3_quality_classifier, "op4_simhash": op4_simhash, "op5_source_mix": op5_source_mix,
     "op6_lm_score": op6_lm_score, "op7_audio_alignment": op7_audio_alignment, "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format, "op10_inverted_multi_index": op10_inverted_multi_index,
-    "op11_importance_resampling": op11_importance_resampling}
+    "op11_importance_resampling": op11_importance_resampling, "op12_token_files": op12_token_files}
 ORACLES = {"op9_chat_format": OP9_SQL, "op11_importance_resampling": OP11_SQL}
