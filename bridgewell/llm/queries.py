@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, interpolation, media, mixing, neighbours, quality, resampling, simhash, substrings, tokenfiles, toxicity
+from . import bpe, chat, interpolation, lexical, media, mixing, neighbours, quality, resampling, simhash, substrings, tokenfiles, toxicity
 from .memory import small_batches
 
 
@@ -97,6 +97,10 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.load(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP9_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -145,8 +149,26 @@ WITH RECURSIVE bits AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM placed
 """
 
+OP13_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM documents
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id
+), whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes
+), tf AS (SELECT doc_id, w, count(*) AS tf FROM words GROUP BY doc_id, w
+), weights AS (SELECT w, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM tf, whole GROUP BY w, docs
+), parts AS (
+  SELECT doc_id, w, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) AS part FROM tf JOIN sizes USING (doc_id) JOIN weights USING (w), whole
+), scores AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM asked JOIN parts USING (w) GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scores WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
+
 QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_substring_dedup": op2_substring_dedup, "op3_quality_classifier": op3_quality_classifier, "op4_simhash": op4_simhash, "op5_source_mix": op5_source_mix,
     "op6_lm_score": op6_lm_score, "op7_audio_alignment": op7_audio_alignment, "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format, "op10_inverted_multi_index": op10_inverted_multi_index,
-    "op11_importance_resampling": op11_importance_resampling, "op12_token_files": op12_token_files}
-ORACLES = {"op9_chat_format": OP9_SQL, "op11_importance_resampling": OP11_SQL}
+    "op11_importance_resampling": op11_importance_resampling, "op12_token_files": op12_token_files,
+    "op13_lexical_search": op13_lexical_search}
+ORACLES = {"op9_chat_format": OP9_SQL, "op11_importance_resampling": OP11_SQL, "op13_lexical_search": OP13_SQL}

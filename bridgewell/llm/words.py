@@ -73,6 +73,21 @@ def xxh64(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -
     return h
 
 
+def same_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, start_2: np.ndarray, end_2: np.ndarray) -> np.ndarray:
+    """Whether each range of data holds the bytes of its range of the other; PADDING bytes follow the last ranges."""
+    size, eight, eight_2 = end - start, eights(data), eights(other)
+    same = size == end_2 - start_2
+    live, done = np.flatnonzero(same & (size > 0)), 0
+    while len(live):
+        left = size[live] - done
+        keep = np.where(left >= 8, U(0xFFFFFFFFFFFFFFFF), (U(1) << (U(8) * np.minimum(left, 7).astype(U))) - U(1))
+        bad = ((eight[start[live] + done] ^ eight_2[start_2[live] + done]) & keep) != 0
+        same[live[bad]] = False
+        done += 8
+        live = live[~bad & (left > 8)]
+    return same
+
+
 class Interned:
     """Byte ranges interned by value in an open-addressed table: a slot for each distinct range, probed in a row from its XXH64, where equal hashes
     stand for equal ranges only if their bytes are equal.
@@ -91,25 +106,11 @@ class Interned:
             self.first[at[free]] = todo[free]
             own = self.first[at]
             other = np.flatnonzero(own != todo)
-            other = other[~((h[own[other]] == h[todo[other]]) & self._equal(own[other], todo[other]))]
+            other = other[~((h[own[other]] == h[todo[other]]) & same_bytes(data, start[own[other]], end[own[other]], data, start[todo[other]], end[todo[other]]))]
             todo = todo[other]
             at = (self.place[todo] + 1) & (slots - 1)
             self.place[todo] = at
 
-    def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        size = self.end[a] - self.start[a]
-        same, eight = size == self.end[b] - self.start[b], eights(self.data)
-        live = np.flatnonzero(same)
-        done = 0
-        while len(live):
-            left = size[live] - done
-            keep = np.where(left >= 8, U(0xFFFFFFFFFFFFFFFF), (U(1) << (U(8) * np.minimum(left, 7).astype(U))) - U(1))
-            bad = ((eight[self.start[a[live]] + done] ^ eight[self.start[b[live]] + done]) & keep) != 0
-            same[live[bad]] = False
-            done += 8
-            live = live[~bad & (left > 8)]
-        return same
-
     def values(self) -> tuple[np.ndarray, list[bytes]]:
         """The slots in use and the bytes of each."""
         used = np.flatnonzero(self.first >= 0)
