@@ -376,7 +376,7 @@ def save(docs: DataFrame, path: str, end_id: int, folder: str | None = None) ->
             code.runs.clear()
 
     frames = written(slim.mapInArrow(compressed, "doc_id long, n_ids long, frame binary"))
-    order = ["doc_id", "n_ids", "frame"]
+    order = ["doc_id", "n_ids", F.xxhash64("frame")]
     spark.dataSource.register(TokenFiles)
     frames.repartitionByRange(*order).sortWithinPartitions(*order).write.format(FORMAT).mode("append").option("dictionary", named).option("width", str(width)).option("end_id", str(end_id)).save(folder)
     return folder
