@@ -64,7 +64,7 @@ class _Part:
 
     def whole(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not hasattr(self, "other"):
-            self.other = W.Windows(self.words, W.OTHER_POWERS)
+            self.other = W.Windows(self.block.hashes(1), W.OTHER_POWERS)  # of other word hashes, so that both halves are independent
         return self.windows.at(at, self.length), self.other.at(at, self.length)
 
 

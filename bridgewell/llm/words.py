@@ -1,7 +1,7 @@
 """Word splitting and hashing over blocks of texts, with numpy.
 
-A word is a run of bytes outside 0x20 and 0x09-0x0D. Word and window hashes are polynomials modulo 2**64
-over a mixed byte table, read off one running sum, so that a block of texts takes a few vector operations.
+A word is a run of bytes outside 0x20 and 0x09-0x0D. Words are hashed by XXH64, all short ones of a block together. Hashes of windows of words are
+polynomials modulo 2**64 over those, read off one running sum; with such a modulus a polynomial over bytes would collide for long regular words, so it is taken over hashes alone.
 """
 
 from __future__ import annotations
@@ -133,8 +133,7 @@ class Powers:
                 setattr(self, name, np.multiply.accumulate(x))
 
 
-BYTE_POWERS, WINDOW_POWERS, OTHER_POWERS = Powers(11), Powers(12), Powers(13)
-BYTE_VALUES = mix(np.arange(1, 257, dtype=U))
+WINDOW_POWERS, OTHER_POWERS = Powers(12), Powers(13)
 IS_WORD = np.ones(256, bool)
 IS_WORD[list(SPACE_BYTES)] = False
 LOWER = np.arange(256, dtype=np.uint8)
@@ -154,19 +153,13 @@ class Block:
         at = np.cumsum([1, *(len(t) + 1 for t in texts)])
         self.first = np.searchsorted(self.start, at)
         self.text_of = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        self._sums = None
-
-    def part_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the bytes of each range, of their values alone."""
-        if self._sums is None:
-            n = len(self.bytes)
-            BYTE_POWERS.need(n + 1)
-            self._sums = np.zeros(n + 1, U)
-            np.cumsum(BYTE_VALUES[self.bytes] * BYTE_POWERS.up[:n], out=self._sums[1:])
-        return mix((self._sums[end] - self._sums[start]) * BYTE_POWERS.down[start])
-
-    def hashes(self) -> np.ndarray:
-        return self.part_hash(self.start, self.end)
+
+    def part_hash(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+        """Hash of the bytes of each range."""
+        return xxh64(self.bytes, start, end, seed)
+
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return self.part_hash(self.start, self.end, seed)
 
 
 class Windows:

@@ -723,3 +723,17 @@ def test_traverse_visits_cells_in_order():
     s = [a[c // 2] + b[c % 2] for c in cells]
     assert sorted(cells) == list(range(6)) and s == sorted(s, reverse=True)
     assert neighbours.traverse(a, b, np.array([0, 5, 1, 1, 1, 1]), 5) == [1]
+
+
+# Words that a polynomial modulo 2**64 cannot tell apart
+
+
+@pytest.mark.parametrize("size", [1024, 2048])
+def test_regular_words_are_told_apart(spark, size):
+    word = "".join("ab"[k.bit_count() & 1] for k in range(size))
+    other = "".join("ba"[k.bit_count() & 1] for k in range(size))
+    df = frame(spark, [" ".join([word] * 60), " ".join([other] * 60)])
+    assert [(r.doc_id, r.n_removed) for r in substrings.dedup(df).orderBy("doc_id").collect()] == [(0, 0), (1, 0)]
+    assert simhash.keep_first(df).count() == 2
+    got = {r.doc_id: r.n_known for r in interpolation.score(df, F.col("doc_id") == 0).collect()}
+    assert got == {0: 61, 1: 1}  # the end alone is known
