@@ -10,7 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096  # items, and queries, compared at once
+from .blocks import grid_top, rows_of
+from .forest import approximate_top
+
+__all__ = ["approximate_top", "encode_with", "exact_top", "factorise", "hashed_embedding", "two_towers", "without_seen"]
+
+BLOCK = 4096  # items compared at once
 MOST_QUERY_BYTES = 64 << 20  # of a query set that is sent to every task; larger ones are dealt in blocks
 
 
@@ -39,13 +44,6 @@ def encode_with(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], np
     return texts.select(key, text).dropDuplicates([key]).mapInPandas(run, f"{key} {kind}, v array<double>")
 
 
-def _rows(column) -> np.ndarray:
-    """Equally long lists without nulls as rows."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
 def _nearest(names: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, metric: str):
     """(query, item, score) of each query's k best of these items, higher is nearer, ties within nine digits to the smaller id."""
     out = [[], [], []]
@@ -71,7 +69,7 @@ def exact_top(items: DataFrame, queries: DataFrame, k: int, metric: str = "ip",
     """query_id, item_id, score, rank: the k best items by inner product ('ip') or squared distance ('l2'), ties to the smaller id.
 
     A stated query set is compared with all items in blocks. Queries of up to most_bytes go to every task, which reads its items where they lie
-    and keeps the k best of each; more queries are dealt to blocks, and packed items meet each block once. Null vectors and vectors
+    and keeps the k best of each; more queries meet blocks of items over a grid, where bounds rule pairs of blocks out (blocks.grid_top). Null vectors and vectors
     of another length than the first query's take no part.
     """
     first = queries.where(F.col(vector).isNotNull()).select(F.size(vector).alias("n")).first()
@@ -89,7 +87,7 @@ def exact_top(items: DataFrame, queries: DataFrame, k: int, metric: str = "ip",
 
     if q.count() * first["n"] * 8 <= most_bytes:
         got = q.toArrow()
-        sent = items.sparkSession.sparkContext.broadcast((got["query_id"].to_numpy(), _rows(got["q"])))  # most_bytes at most
+        sent = items.sparkSession.sparkContext.broadcast((got["query_id"].to_numpy(), rows_of(got["q"])))  # most_bytes at most
 
         def run(batches):
             names, a = sent.value
@@ -97,7 +95,7 @@ def exact_top(items: DataFrame, queries: DataFrame, k: int, metric: str = "ip",
 
             for b in batches:
                 ids.append(b["item_id"].to_numpy())
-                rows.append(_rows(b["x"]))
+                rows.append(rows_of(b["x"]))
                 size += len(b)
                 if size >= BLOCK:
                     yield batch(_nearest(names, a, np.concatenate(ids), np.concatenate(rows), k, metric))
@@ -107,46 +105,11 @@ def exact_top(items: DataFrame, queries: DataFrame, k: int, metric: str = "ip",
 
         work = x.mapInArrow(run, schema)
     else:
-        n = -(-q.count() // BLOCK)
-        packed = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int"))
-        chunks = x.withColumn("chunk", F.floor(F.monotonically_increasing_id() / BLOCK)).groupBy("chunk").agg(F.collect_list(F.struct("item_id", "x")).alias("items"))
-        dealt = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        asked = packed.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-
-        def meet(batches):
-            for b in batches:
-                for left, right in zip(b["queries"], b["items"], strict=True):
-                    a, z = left.values, right.values
-                    yield batch(_nearest(a.field("query_id").to_numpy(), _rows(a.field("q")), z.field("item_id").to_numpy(), _rows(z.field("x")), k, metric))
-
-        work = dealt.repartition("block", "chunk").join(asked, "block").select("queries", "items").mapInArrow(meet, schema)
+        id_and_x = lambda d, i, v: d.where(F.forall(v, lambda y: y.isNotNull())).select(F.col(i).alias("id"), F.col(v).alias("x"))
+        work = grid_top(id_and_x(q, "query_id", "q"), id_and_x(x, "item_id", "x"), k, metric, _nearest, BLOCK // 2).withColumn("score", F.col("score") * sign)
     return work.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "item_id"))).where(F.col("rank") <= k)
 
 
-def approximate_top(items: DataFrame, queries: DataFrame, k: int, bucket: float = 0.5, tables: int = 12, seed: int = 7, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, item_id, dist, rank: as exact_top by distance without the query itself, over pairs that share a bucket of a random
-    projection (MLlib's LSH), however far apart; queries that share buckets with fewer than k items are answered in full.
-
-    bucket: its width, in root mean square lengths of the items, so that the vectors' scale changes nothing.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    vec = lambda d: d.select(F.col(key).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    square = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    length = items.agg(F.sqrt(F.avg(square))).first()[0] or 1.0
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", bucketLength=bucket * length, numHashTables=tables, seed=seed).fit(vec(items))
-    pairs = model.approxSimilarityJoin(vec(queries), vec(items), float("inf"), "dist").select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("item_id"), "dist").where("query_id <> item_id")
-    near = lambda d: d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "item_id"))).where(F.col("rank") <= k)
-    found = near(pairs).persist()  # k rows a query
-    full = found.groupBy(F.col("query_id").alias(key)).agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    short = queries.join(full, key, "left_anti").persist()
-    if short.isEmpty():
-        return found
-    rest = exact_top(items, short, k + 1, "l2", key=key, vector=vector).where("query_id <> item_id").select("query_id", "item_id", F.sqrt("score").alias("dist"))
-    return found.join(short.select(F.col(key).alias("query_id")), "query_id", "left_anti").select("query_id", "item_id", "dist", "rank").unionByName(near(rest))
-
-
 def without_seen(ranked: DataFrame, seen: DataFrame, k: int) -> DataFrame:
     """Drop known (user, item) pairs from over-fetched lists, rank again, cut to k."""
     left = ranked.join(seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")

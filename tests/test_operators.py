@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bridgewell.operators import blocks, forest
 from bridgewell.operators import graph as G
 from bridgewell.operators import keys as K
 from bridgewell.operators import quality as A
@@ -149,16 +150,78 @@ def test_exact_top(spark, metric, most_bytes, monkeypatch):
         assert [r.item_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == np.lexsort((np.arange(60), -np.round(s, 9)))[:4].tolist()
 
 
-@pytest.mark.parametrize("scale, dims", [(1.0, 64), (1e-3, 64), (1e3, 64), (1.0, 6)])
-def test_approximate_top_recall(spark, scale, dims):
-    x, df = vectors(spark, 400, dims)
-    df = df.withColumn("embedding", F.transform("embedding", lambda v: (v * scale).cast("float"))).union(spark.createDataFrame([(500, [1e5 * scale] * dims)], df.schema))
-    asks = df.where("vec_id < 20 or vec_id = 500")
-    true = {(r.query_id, r.item_id) for r in N.exact_top(df, asks, 11, "l2").collect() if r.query_id != r.item_id}
-    got = N.approximate_top(df, asks, 10).collect()
-    assert len(got) == 210 and len(true) == 210 and all(r.query_id != r.item_id for r in got)
-    assert len({(r.query_id, r.item_id) for r in got} & true) >= 0.9 * 210
-    assert sorted(r["rank"] for r in got if r.query_id == 500) == list(range(1, 11))
+def nearest_pairs(df, asks, k):
+    return {(r.query_id, r.item_id) for r in N.exact_top(df, asks, k, "l2").collect() if r.query_id != r.item_id}
+
+
+@pytest.mark.parametrize("kind", ["spread", "clustered", "equal", "small", "large"])
+def test_approximate_top(spark, kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 24))
+    if kind == "clustered":
+        x = rng.normal(size=(20, 24))[rng.integers(0, 20, 3000)] * 5 + x * 0.3
+    if kind == "equal":
+        x[:1200] = x[0]
+    x = (x * {"small": 1e-3, "large": 1e3}.get(kind, 1.0)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    df = df.union(spark.createDataFrame([(9000, None), (9001, [1.0]), (9002, [float("nan")] * 24), (9003, [float("inf")] * 24)], df.schema)).repartition(5).cache()
+    asks = df.where("vec_id % 30 = 0")
+    got = N.approximate_top(df, asks, 10, leaf=64, sample=600, chunk=100).collect()
+    assert len(got) == 1000 and all(r.query_id != r.item_id and r.item_id < 3000 for r in got)
+    y = x.astype(float)
+    hit = 0
+    for q in range(0, 3000, 30):
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.rank for r in mine] == list(range(1, 11)) and len({r.item_id for r in mine}) == 10
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        assert [r.dist for r in mine] == pytest.approx([d[r.item_id] for r in mine])
+        d[q] = np.inf
+        hit += len({r.item_id for r in mine} & set(np.lexsort((np.arange(3000), np.round(d, 9)))[:10].tolist()))
+    assert hit >= 900
+    df.unpersist()
+
+
+def test_approximate_top_visits_few_leaves_of_clustered_vectors():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(64, 16))[rng.integers(0, 64, 4096)] * 8 + rng.normal(size=(4096, 16)) * 0.2
+    found = forest.Forest.fit(np.arange(4096), x, 4096 * 16, 10, 4, 512, 0.95, 7)
+    assert found.leaves == 128 and found.probes < 0.1 * 4 * found.leaves
+    cells = found.place(x)
+    assert all(np.bincount(cells[:, t] - t * found.leaves, minlength=found.leaves).max() < 8 * 4096 / found.leaves for t in range(4))
+    best = found.order(x[:50])
+    assert all(set(cells[i]) <= set(best[i, :4].tolist()) for i in range(50))  # a query's own leaves come first
+
+
+def test_approximate_top_of_few_rows(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = N.approximate_top(df, df.where("vec_id = 1"), 10).orderBy("rank").collect()
+    assert [(r.item_id, round(r.dist, 6)) for r in got] == [(2, 0.0), (3, 1.414214)]
+    assert N.approximate_top(df.limit(0), df, 3).count() == 0 and N.approximate_top(df, df.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_grid_passes_over_blocks(spark, metric):
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(12, 8))[rng.integers(0, 12, 2000)] * 6 + rng.normal(size=(2000, 8)) * 0.2).astype(np.float32)
+    x[:500] = x[0]  # a full cell
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<float>").repartition(4)
+    asked = df.where("id % 3 = 0")
+    _, pivots = blocks.some(df, 64)
+    _, known = blocks.some(df, 300)
+    q, b = blocks.packed(asked, pivots, 50, known, 5, metric), blocks.packed(df, pivots, 50)
+    assert b.agg(F.sum("n"), F.max("n")).first() == (2000, 50) and q.agg(F.sum("n")).first()[0] == 667
+    left = blocks.block_pairs(q, b, metric)
+    assert left.count() < 0.6 * q.count() * b.count() and left.distinct().count() == left.count()
+    named = df.withColumnsRenamed({"id": "vec_id", "x": "embedding"})
+    got = N.exact_top(named, named.where("vec_id % 3 = 0"), 5, metric, most_bytes=1)
+    plan = got._jdf.queryExecution().toString()
+    assert "Join" in plan and "block#" in plan
+    y, by = x.astype(float), {}
+    for r in got.collect():
+        by.setdefault(r.query_id, []).append((r.rank, r.item_id))
+    for i in range(0, 2000, 3):
+        s = y @ y[i] if metric == "ip" else -((y - y[i]) ** 2).sum(1)
+        assert [j for _, j in sorted(by[i])] == np.lexsort((np.arange(2000), -np.round(s, 9)))[:5].tolist()
 
 
 def test_encoders(spark):
