@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .postings import K1, B, Best, Postings
 from .storage import saved
 
-K1, B, FLOOR = 1.5, 0.75, 0.25  # fixed values of the scoring rule
+FLOOR = 0.25  # a fixed value of the scoring rule, as are K1 and B
 
 
 def bm25(pairs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -31,29 +35,87 @@ def bm25(pairs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     return floored.groupBy("query_id", "cand_id").agg(*[F.max(c).alias(c) for c in carry], F.coalesce(F.sum(F.when(F.col("times") > 0, part)), F.lit(0.0)).alias("score"))
 
 
-MOST_TERMS = 1 << 20  # terms of a query set that are sent to every task; of a larger one they are shuffled
+MOST_TERMS, MOST_QUERIES, BLOCK = 1 << 17, 4096, 4096  # about so many terms and queries are sent to every task; documents of a posting block
 
 
-def bm25_corpus(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, score, rank: the k best documents of the whole corpus. queries: query_id, query_text; docs: doc_id, text.
+def bm25_corpus(queries: DataFrame, docs: DataFrame, k: int, most_queries: int = MOST_QUERIES, block: int = BLOCK) -> DataFrame:
+    """query_id, doc_id, score (rounded), rank: the k best documents of the whole corpus with a score above 0 or a term of the query, ties to the smaller doc_id. queries:
+    query_id, query_text; docs: doc_id, text.
 
-    Of all terms only the number of documents is shuffled, summed in each task first; the documents' other counts are those of asked terms.
+    Of all terms only the number of documents is shuffled, summed in each task first. Documents are scored where they lie, in posting blocks of the asked terms; a task keeps the k best
+    of each query, which tell it what further blocks must reach. Larger query sets are searched in several runs. Null and empty texts are documents without terms; queries
+    of one id are one query with the terms of all.
     """
-    words = docs.select("doc_id", tokens(F.lower("text")).alias("w"))
-    whole = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avg_len"))
-    asked = saved(queries.select("query_id", F.explode(tokens(F.lower("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")))
-    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(whole))  # one row
-    raw = df.withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg((F.avg("idf") * FLOOR).alias("floor"))
-    terms = asked.select("term").distinct()
-    few = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS
-    sent = F.broadcast(terms) if few else terms
-    idf = raw.join(sent, "term", "left_semi").join(F.broadcast(mean)).select("term", "avg_len", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    found = words.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(sent, "term", "left_semi")
-    tf = found.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scores = tf.join(asked.join(idf, "term"), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scores, "query_id", "doc_id", k)
+    spark, id_kind = queries.sparkSession, queries.schema["query_id"].dataType.simpleString()
+    words = docs.select("doc_id", F.coalesce(tokens(F.lower("text")), F.array().cast("array<string>")).alias("w"))
+    n_docs, average = words.agg(F.count("*"), F.avg(F.size("w"))).first()
+    schema = f"query_id {id_kind}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double"
+    asked = queries.select("query_id", F.explode(tokens(F.lower("query_text"))).alias("term"))
+    size = asked.agg(F.count_distinct("query_id").alias("q"), F.approx_count_distinct("term").alias("t")).first()
+    runs = max(1, -(-size.q // most_queries), -(-size.t // MOST_TERMS))
+    if not n_docs or not average:
+        return top(spark.createDataFrame([], schema), "query_id", "doc_id", k)
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.select("term", (F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    raw = raw if runs == 1 else saved(raw)
+    out = None
+    for run in range(runs):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(runs)) == run).groupBy("query_id", "term").agg(F.count("*").alias("times")).collect()  # MOST_TERMS and MOST_QUERIES, about
+        terms = spark.createDataFrame([(t,) for t in sorted({r.term for r in own})], "term string")
+        marked = raw.join(F.broadcast(terms.withColumn("own", F.lit(True))), "term", "left")
+        mean, known = marked.agg(F.avg("idf"), F.collect_list(F.when(F.col("own"), F.struct("term", "idf")))).first()  # asked terms alone are listed
+        idf = {r.term: r.idf if r.idf >= 0 else FLOOR * mean for r in known}
+        code = {t: n for n, t in enumerate(idf)}
+        weight: dict = {}
+        for r in own:
+            if r.term in idf:
+                weight.setdefault(r.query_id, []).append((code[r.term], r.times * idf[r.term]))
+        found = words.mapInArrow(_searched(spark.sparkContext.broadcast((list(code), weight)), k, average, block), schema)
+        out = found if out is None else out.unionByName(found)
+    return top(out, "query_id", "doc_id", k)
+
+
+def _searched(sent, k: int, average: float, block: int):
+    """The k best of each query among a task's documents."""
+
+    def run(batches):
+        terms, queries = sent.value
+        values, best = pa.array(terms, pa.string()), {q: Best(k) for q in queries}
+        held, kind = [], None
+
+        def search() -> None:
+            ids, sizes, doc, code, at = [], [], [], [], 0
+            for b in held:
+                w = b["w"]
+                n = pc.list_value_length(w).to_numpy()
+                where = pc.index_in(w.flatten(), value_set=values)
+                hit = np.flatnonzero(where.is_valid().to_numpy(zero_copy_only=False))
+                doc.append(np.repeat(np.arange(len(b)), n)[hit] + at)
+                code.append(where.fill_null(0).to_numpy()[hit])
+                sizes.append(n)
+                ids += b["doc_id"].to_pylist()
+                at += len(b)
+            p = Postings(np.concatenate(sizes), np.concatenate(doc), np.concatenate(code), average)
+            for q, own in queries.items():
+                found, score = p.search([c for c, _ in own], [w for _, w in own], best[q].floor)
+                if len(found):
+                    best[q].add(score, found, ids)
+
+        for b in batches:
+            kind = b.schema.field("doc_id").type
+            for lo in range(0, len(b), block):
+                held.append(b.slice(lo, block))
+                if sum(map(len, held)) >= block:
+                    search()
+                    held.clear()
+        if held:
+            search()
+        rows = [(q, i, -s) for q, x in best.items() for s, _, i in x.rows]
+        if rows:
+            q, i, s = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i, kind), pa.array(s, pa.float64())], ["query_id", "doc_id", "score"])
+
+    return run
 
 
 def top(scores: DataFrame, query: str, cand: str, k: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from bridgewell.operators import quality as A
 from bridgewell.operators import ranking as R
 from bridgewell.operators import retrieval as N
 from bridgewell.operators import sampling as W
+from bridgewell.operators.postings import Postings
 
 
 def rows(df):
@@ -111,6 +112,44 @@ def test_bm25(spark):
     assert {r.doc_id for r in top} <= {0, 1, 3} and len(top) == 2
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_bm25_corpus_against_all(spark, block):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(40)]
+    chance = 1 / np.arange(1, 41)
+    draw = lambda n: rng.choice(vocabulary, n, p=chance / chance.sum()).tolist()
+    texts = [draw(rng.integers(0, 30)) for _ in range(300)]
+    texts += [texts[5]] * 60  # a third are copies
+    asks = {f"q{i}": draw(rng.integers(1, 6)) for i in range(25)} | {"none": ["absent"]}
+    docs = spark.createDataFrame([(i * 2, " ".join(t)) for i, t in enumerate(texts)] + [(10**6, None)], "doc_id long, text string").repartition(3)
+    q = spark.createDataFrame([(i, " ".join(w)) for i, w in asks.items()], "query_id string, query_text string")
+    for most in (4096, 9):
+        got = R.bm25_corpus(q, docs, 8, most, block).collect()
+        for i, w in asks.items():
+            s = np.round(okapi([*texts, []], w), 6)
+            has = [k for k in range(len(texts)) if set(w) & set(texts[k])]
+            want = sorted(has, key=lambda k: (-s[k], k))[:8]
+            mine = sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)
+            assert [r.doc_id for r in mine] == [2 * k for k in want] and [r.score for r in mine] == pytest.approx([s[k] for k in want], abs=2e-6)
+    assert R.bm25_corpus(q, docs.limit(0), 3).count() == 0 and R.bm25_corpus(q.limit(0), docs, 3).count() == 0
+
+
+def test_postings_that_cannot_count_are_not_read():
+    rng = np.random.default_rng(7)
+    n = 4000
+    rare = rng.choice(n, 40, replace=False)
+    doc, code = np.concatenate([np.arange(n), rng.integers(0, n, 3000), rare]), np.concatenate([np.zeros(n), np.ones(3000), np.full(40, 2)]).astype(int)
+    sizes = rng.integers(5, 40, n)
+    whole, some = Postings(sizes, doc, code, 20.0), Postings(sizes, doc, code, 20.0)
+    at, score = whole.search([0, 1, 2], [0.1, 0.5, 6.0], 0.0)
+    best = np.sort(score)[-10]
+    at_2, score_2 = some.search([0, 1, 2], [0.1, 0.5, 6.0], best)
+    assert set(at_2) == set(at[score >= best]) and np.allclose(np.sort(score_2), np.sort(score[score >= best]))
+    assert some.read < 0.05 * whole.read
+    none = Postings(sizes, doc, code, 20.0)
+    assert len(none.search([0, 1], [0.1, 0.5], best)[0]) == 0 and none.read == 0  # the block is passed over
+
+
 def test_category_bonus(spark):
     s = spark.createDataFrame([("q", 1, 2.0, False), ("q", 2, 1.0, True)], "query_id string, cand_id int, score double, same boolean")
     assert [round(r.score, 6) for r in R.with_category_bonus(s, F.col("same")).orderBy("cand_id").collect()] == [1.4, 1.3]
