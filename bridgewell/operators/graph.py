@@ -1,6 +1,6 @@
 """Graph operators over edge tables: degrees, mean aggregation, propagation, similarity graphs and hypergraphs.
 
-Vectors travel in long form (node, dim, value) between joins, so that sums combine before the shuffle; `pack` folds them.
+Vectors are arrays (node, v); sums over edges are products of packed edges and blocks of vectors (products.py).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .keys import dense_ids
+from .products import add_up, grid, over_lists, product
 from .storage import saved
 
 
@@ -48,63 +49,41 @@ def unpack(vectors: DataFrame, node: str = "node", vector: str = "v") -> DataFra
     return vectors.select(F.col(node).alias("node"), F.posexplode(vector).alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
 
 
-def pack(long: DataFrame) -> DataFrame:
-    return long.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("v"))
+def mean_of_neighbours(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """node, v of dst nodes: the mean over their src nodes that have a vector, counted along in a last place of the vectors."""
+    counted = product(edges.withColumn("weight", F.lit(1.0)), vectors.withColumn("v", F.concat(F.col("v").cast("array<double>"), F.array(F.lit(1.0)))))
+    return counted.select("node", F.transform(F.slice("v", F.lit(1), F.size("v") - 1), lambda x: x / F.element_at("v", -1)).alias("v"))
 
 
-def mean_of_neighbours(edges: DataFrame, long: DataFrame) -> DataFrame:
-    """Long vectors of dst nodes: the mean over their src nodes."""
-    return edges.join(long.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node"), "dim").agg(F.avg("value").alias("value"))
-
-
-def propagate(weighted: DataFrame, long: DataFrame) -> DataFrame:
-    """Long vectors of dst nodes: the weighted sum over their src nodes."""
-    return weighted.join(long.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node"), "dim").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
-
-
-def _spread(weighted: DataFrame, packed: DataFrame) -> DataFrame:
-    """As propagate(), over vectors as arrays: a vector meets an edge as one row, and sums are taken by dimension in each task first."""
-    met = weighted.join(packed.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "weight", F.posexplode("v").alias("dim", "value"))
-    return pack(met.groupBy("node", "dim").agg(F.sum(F.col("value") * F.col("weight")).alias("value")))
-
-
-def layered(edges: DataFrame, long: DataFrame, layers: int = 2) -> DataFrame:
-    """The mean of the vectors and their propagations over an undirected graph (edges in both directions). The weighted edges and each layer are
+def layered(edges: DataFrame, vectors: DataFrame, layers: int = 2) -> DataFrame:
+    """node, v: the mean of the vectors and their propagations over an undirected graph (edges in both directions). The weighted edges and each layer are
     saved, so that no layer derives the ones before it again."""
-    both = edges.unionByName(reverse(edges)).distinct()
-    weighted, steps = saved(normalised(both)), [saved(pack(long))]
+    weighted = saved(normalised(edges.unionByName(reverse(edges)).distinct()))
+    steps = [saved(vectors.select("node", "v"))]
+    shape = grid(weighted, steps[0])
     for _ in range(layers):
-        steps.append(saved(_spread(weighted, steps[-1])))
+        steps.append(saved(product(weighted, steps[-1], shape)))
     total = steps[0]
     for step in steps[1:]:
         total = total.unionByName(step)
-    return total.select("node", F.posexplode("v").alias("dim", "value")).groupBy("node", "dim").agg((F.sum("value") / (layers + 1)).alias("value"))
+    return add_up(total, shape[0]).select("node", F.transform("v", lambda x: x / (layers + 1)).alias("v"))
 
 
 def within_lists(lists: DataFrame, choose: Callable[[np.ndarray, np.ndarray], np.ndarray], names: tuple[str, str]) -> DataFrame:
-    """query_id and the two nodes of each chosen pair of a list. lists: query_id, node (long), v; a list holds a query and its candidates, each once, and so is
-    bounded. choose(nodes, similarities rounded to nine digits): pairs of places."""
-    kind = lists.schema["query_id"].dataType.simpleString()
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        nodes, _, sim = _similar(group)
-        pairs = choose(nodes, sim)
-        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(pairs), group.schema.field("query_id").type), *(pa.array(nodes[pairs[:, i]]) for i in (0, 1))], ["query_id", *names])
-
-    return _slim(lists).groupBy("query_id").applyInArrow(run, f"query_id {kind}, {names[0]} long, {names[1]} long")
+    """query_id and the two nodes of each chosen pair of a list. lists: query_id, node (long), v; a list holds a query and its candidates, each once.
+    choose(nodes, similarities rounded to nine digits): pairs of places."""
 
+    def each(nodes: np.ndarray, x: np.ndarray) -> tuple:
+        pairs = choose(nodes, _similar(x))
+        return nodes[pairs[:, 0]], nodes[pairs[:, 1]]
 
-def _slim(lists: DataFrame) -> DataFrame:
-    return lists.where("v is not null").select("query_id", F.col("node").cast("long").alias("node"), "v")
+    return over_lists(lists, each, list(names), [pa.int64(), pa.int64()])
 
 
-def _similar(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes in order, their vectors, and cosines rounded to nine digits."""
-    nodes = group["node"].to_numpy()
-    order = np.argsort(nodes, kind="stable")
-    x = np.array(group["v"].to_pylist(), np.float64)[order]
+def _similar(x: np.ndarray) -> np.ndarray:
+    """Cosines of all pairs of rows, rounded to nine digits."""
     length = np.sqrt((x * x).sum(axis=1))
-    return nodes[order], x, np.round((x @ x.T) / np.maximum(np.outer(length, length), 1e-300), 9)
+    return np.round((x @ x.T) / np.maximum(np.outer(length, length), 1e-300), 9)
 
 
 def threshold_graph(lists: DataFrame, above: float = 0.3) -> DataFrame:
@@ -124,17 +103,15 @@ def nearest_hyperedges(lists: DataFrame, k: int = 5) -> DataFrame:
 
 
 def convolved_lists(lists: DataFrame, above: float = 0.3) -> DataFrame:
-    """query_id, node, v after one graph-convolution step over the threshold graph of each list: neighbours weighted by 1 over the root of both degrees."""
-    kind = lists.schema["query_id"].dataType.simpleString()
+    """query_id, node, v after one graph-convolution step over the nodes of each list that are more similar than the bound: weights of 1 over the root of both degrees. Each node's
+    own loop is added to the similarities, where it stands already (but for a zero vector), so it weighs 2."""
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        nodes, x, sim = _similar(group)
-        linked = ((sim > above) | np.eye(len(nodes), dtype=bool)).astype(float)
+    def each(nodes: np.ndarray, x: np.ndarray) -> tuple:
+        linked = (_similar(x) > above) + np.eye(len(nodes))
         root = np.sqrt(linked.sum(axis=0))
-        y = (linked / np.outer(root, root)) @ x
-        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(nodes), group.schema.field("query_id").type), pa.array(nodes), pa.array(list(y), pa.list_(pa.float64()))], ["query_id", "node", "v"])
+        return nodes, (linked / np.outer(root, root)) @ x
 
-    return _slim(lists).groupBy("query_id").applyInArrow(run, f"query_id {kind}, node long, v array<double>")
+    return over_lists(lists, each, ["node", "v"], [pa.int64(), pa.list_(pa.float64())])
 
 
 def propagated_scores(convolved: DataFrame, asks: DataFrame) -> DataFrame:
@@ -156,15 +133,15 @@ def attribute_incidence(items: DataFrame, key: str = "item_id", specs: str = "sp
     return pairs.join(attribute_vocabulary(items, specs), "attribute").select("node", F.col("idx").alias("hyperedge")).distinct()
 
 
-def hypergraph_step(incidence: DataFrame, long: DataFrame, normal: bool = False, least: float = 1e-6) -> DataFrame:
-    """Node vectors summed to hyperedges and back; with degree weights if `normal` (node side by roots, edge side by inverse)."""
+def hypergraph_step(incidence: DataFrame, vectors: DataFrame, normal: bool = False, least: float = 1e-6) -> DataFrame:
+    """node, v: node vectors summed to hyperedges and back; with degree weights if `normal` (node side by roots, edge side by inverse). incidence: node, hyperedge."""
     h = incidence.select("node", "hyperedge")
+    up = down = F.lit(1.0)
     if normal:
         dv = h.groupBy("node").agg(F.greatest(F.count("*").cast("double"), F.lit(least)).alias("dv"))
         de = h.groupBy("hyperedge").agg(F.greatest(F.count("*").cast("double"), F.lit(least)).alias("de"))
         h = h.join(dv, "node").join(de, "hyperedge")
-        up, down = F.col("value") / F.sqrt("dv") / F.col("de"), F.col("value") / F.sqrt("dv")
-    else:
-        up = down = F.col("value")
-    edge = h.join(long, "node").groupBy("hyperedge", "dim").agg(F.sum(up).alias("value"))
-    return h.join(edge, "hyperedge").groupBy("node", "dim").agg(F.sum(down).alias("value"))
+        up, down = 1 / F.sqrt("dv") / F.col("de"), 1 / F.sqrt("dv")
+    h = saved(h.select("node", "hyperedge", up.alias("up"), down.alias("down")))
+    edge = product(h.select(F.col("node").alias("src"), F.col("hyperedge").alias("dst"), F.col("up").alias("weight")), vectors)
+    return product(h.select(F.col("hyperedge").alias("src"), F.col("node").alias("dst"), F.col("down").alias("weight")), saved(edge))

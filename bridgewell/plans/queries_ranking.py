@@ -235,9 +235,18 @@ def _(spark, d):
     return G.normalised(e).select("src", "dst", F.round("weight", 9).alias("weight"))
 
 
+def _total(v):
+    return F.aggregate(v() if callable(v) else v, F.lit(0.0), lambda s, x: s + x)
+
+
+def _moment():
+    """The numbers of v, each times its place from 1 on."""
+    return F.transform("v", lambda x, i: x * (i + 1))
+
+
 def node_vectors(spark, d):
-    """Long vectors of item nodes 0 to 99: the embeddings of those ids."""
-    return G.unpack(table(spark, d, "embeddings"), "vec_id", "embedding")
+    """Vectors of item nodes: the embeddings of those ids."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("v"))
 
 
 LONG = "lv AS (SELECT vec_id AS node, generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"
@@ -246,7 +255,7 @@ LONG = "lv AS (SELECT vec_id AS node, generate_subscripts(embedding, 1) - 1 AS d
 @query("g5_mean_of_neighbours", f"WITH {EDGES}, {LONG} SELECT user_idx AS node, dim, round(avg(value), 6) AS value FROM edges JOIN lv ON node = item_idx GROUP BY 1, 2")
 def _(spark, d):
     e = edges(spark, d).select(F.col("item_idx").alias("src"), F.col("user_idx").alias("dst"))
-    return G.mean_of_neighbours(e, node_vectors(spark, d)).select("node", "dim", F.round("value", 6).alias("value"))
+    return G.unpack(G.mean_of_neighbours(e, node_vectors(spark, d))).select("node", "dim", F.round("value", 6).alias("value"))
 
 
 @query("g6_layered_propagation", f"""WITH {EDGES}, {LONG}, b AS (SELECT DISTINCT * FROM (SELECT user_idx AS src, item_idx AS dst FROM edges UNION ALL SELECT item_idx, user_idx FROM edges)),
@@ -256,7 +265,7 @@ s2 AS (SELECT dst AS node, dim, sum(value * weight) AS value FROM w JOIN s1 ON s
 SELECT node, dim, round(sum(value) / 3, 6) AS value FROM (SELECT * FROM lv UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY 1, 2""")
 def _(spark, d):
     e = edges(spark, d).select(F.col("user_idx").alias("src"), F.col("item_idx").alias("dst"))
-    return G.layered(e, node_vectors(spark, d)).select("node", "dim", F.round("value", 6).alias("value"))
+    return G.unpack(G.layered(e, node_vectors(spark, d))).select("node", "dim", F.round("value", 6).alias("value"))
 
 
 LISTS = EVAL + """, li AS MATERIALIZED (SELECT query_id, query_id AS node, qv::DOUBLE[] AS v FROM ev WHERE label = 1 UNION ALL SELECT query_id, cand_id, cv::DOUBLE[] FROM ev),
@@ -297,7 +306,7 @@ def _(spark, d):
 SELECT node, round(sum(value), 4) AS total, round(sum(value * (dim + 1)), 3) AS moment, count(*) AS n FROM (SELECT node, dim, sum(value) AS value FROM inc JOIN e USING (hyperedge) GROUP BY 1, 2) GROUP BY node""")
 def _(spark, d):
     out = G.hypergraph_step(G.attribute_incidence(attributed(spark, d)), node_vectors(spark, d))
-    return out.groupBy("node").agg(F.round(F.sum("value"), 4).alias("total"), F.round(F.sum(F.col("value") * (F.col("dim") + 1)), 3).alias("moment"), F.count("*").alias("n"))
+    return out.select("node", F.round(_total("v"), 4).alias("total"), F.round(_total(_moment), 3).alias("moment"), F.size("v").cast("long").alias("n"))
 
 
 @query("g12_normalised_hypergraph_step", f"""WITH {ATTRIBUTES}, {LONG}, h AS (SELECT node, hyperedge, CAST(count(*) OVER (PARTITION BY node) AS DOUBLE) AS dv, CAST(count(*) OVER (PARTITION BY hyperedge) AS DOUBLE) AS de FROM inc),
@@ -305,11 +314,11 @@ e AS (SELECT hyperedge, dim, sum(value / sqrt(dv) / de) AS value FROM h JOIN lv
 SELECT node, round(sum(value), 6) AS total, round(sum(value * (dim + 1)), 5) AS moment FROM (SELECT node, dim, sum(value / sqrt(dv)) AS value FROM h JOIN e USING (hyperedge) GROUP BY 1, 2) GROUP BY node""")
 def _(spark, d):
     out = G.hypergraph_step(G.attribute_incidence(attributed(spark, d)), node_vectors(spark, d), normal=True)
-    return out.groupBy("node").agg(F.round(F.sum("value"), 6).alias("total"), F.round(F.sum(F.col("value") * (F.col("dim") + 1)), 5).alias("moment"))
+    return out.select("node", F.round(_total("v"), 6).alias("total"), F.round(_total(_moment), 5).alias("moment"))
 
 
-CONV = f"""{LISTS}, t AS MATERIALIZED (SELECT query_id, a AS src, b AS dst FROM sims WHERE sim > 0.3 OR a = b),
-w AS MATERIALIZED (SELECT query_id, src, dst, 1 / sqrt(count(*) OVER (PARTITION BY query_id, src) * count(*) OVER (PARTITION BY query_id, dst)) AS weight FROM t),
+CONV = f"""{LISTS}, t AS MATERIALIZED (SELECT query_id, a AS src, b AS dst, CASE WHEN sim > 0.3 THEN 1 ELSE 0 END + CASE WHEN a = b THEN 1 ELSE 0 END AS linked FROM sims WHERE sim > 0.3 OR a = b),
+w AS MATERIALIZED (SELECT query_id, src, dst, linked / sqrt(sum(linked) OVER (PARTITION BY query_id, src) * sum(linked) OVER (PARTITION BY query_id, dst)) AS weight FROM t),
 x AS MATERIALIZED (SELECT query_id, node, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS value FROM li),
 g AS MATERIALIZED (SELECT w.query_id, dst AS node, dim, sum(value * weight) AS value FROM w JOIN x ON x.query_id = w.query_id AND x.node = src GROUP BY 1, 2, 3)"""
 GRAPH = f"""{CONV}, gs AS (SELECT q.query_id, c.node AS cand_id, round(sum(q.value * c.value), 6) AS score FROM g q JOIN g c ON c.query_id = q.query_id AND c.dim = q.dim AND c.node <> q.node WHERE q.node = q.query_id GROUP BY 1, 2),
@@ -318,9 +327,7 @@ rk AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY
 
 @query("g13_convolution_step", f"{CONV} SELECT query_id, node, round(sum(value), 6) AS total, round(sum(value * (dim + 1)), 5) AS moment FROM g GROUP BY 1, 2")
 def _(spark, d):
-    at = F.transform("v", lambda x, i: x * (i + 1))
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
-    return G.convolved_lists(L.graph_lists(eval_long(spark, d))).select("query_id", "node", F.round(total("v"), 6).alias("total"), F.round(total(at), 5).alias("moment"))
+    return G.convolved_lists(L.graph_lists(eval_long(spark, d))).select("query_id", "node", F.round(_total("v"), 6).alias("total"), F.round(_total(_moment), 5).alias("moment"))
 
 
 @query("g14_propagated_ranker", f"{GRAPH} SELECT query_id, rank FROM tr")

@@ -60,7 +60,7 @@ def test_strategies(spark):
 def test_layered_equals_its_formula(spark):
     edges = spark.createDataFrame([(0, 1), (1, 2), (3, 1)], "src long, dst long")
     x = {n: np.random.default_rng(n).normal(size=3) for n in range(4)}
-    long = G.unpack(spark.createDataFrame([(n, v.tolist()) for n, v in x.items()], "node long, v array<double>"))
+    long = spark.createDataFrame([(n, v.tolist()) for n, v in x.items()], "node long, v array<double>")
     a = np.zeros((4, 4))
     for s, t in ((0, 1), (1, 2), (3, 1)):
         a[s, t] = a[t, s] = 1
@@ -69,4 +69,4 @@ def test_layered_equals_its_formula(spark):
     m = np.stack([x[n] for n in range(4)])
     want = (m + step @ m + step @ step @ m) / 3
     for r in G.layered(edges, long).collect():
-        assert r.value == pytest.approx(want[r.node, r.dim])
+        assert r.v == pytest.approx(want[r.node])
