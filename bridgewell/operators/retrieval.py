@@ -13,23 +13,12 @@ from pyspark.sql import functions as F
 from .blocks import grid_top, rows_of
 from .forest import approximate_top
 
-__all__ = ["approximate_top", "encode_with", "exact_top", "factorise", "hashed_embedding", "two_towers", "without_seen"]
+__all__ = ["approximate_top", "encode_with", "exact_top", "factorise", "two_towers", "without_seen"]
 
 BLOCK = 4096  # items compared at once
 MOST_QUERY_BYTES = 64 << 20  # of a query set that is sent to every task; larger ones are dealt in blocks
 
 
-def hashed_embedding(texts: DataFrame, dims: int = 64, key: str = "item_id", text: str = "text") -> DataFrame:
-    """key and v: counts of words hashed to dims, at unit length; a stand-in for a trained encoder that needs no files."""
-    words = texts.select(key, F.explode(F.split(F.lower(text), "[ \\t\\n\\r\\f]+")).alias("w")).where("w <> ''")
-    cells = words.groupBy(key, F.pmod(F.xxhash64("w"), F.lit(dims)).cast("int").alias("dim")).agg(F.count("*").cast("double").alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
-    scaled = cells.select(key, "dim", (F.col("n") / norm).alias("x"))
-    m = scaled.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("m"))
-    v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.element_at("m", d), F.lit(0.0)))
-    return m.select(key, v.alias("v"))
-
-
 def encode_with(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 128, key: str = "item_id", text: str = "text") -> DataFrame:
     """key and v of a model that `encoder` loads once for each task. Equal ids are encoded once."""
 

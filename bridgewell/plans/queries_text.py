@@ -157,18 +157,20 @@ def _(spark, d):
 
 @query("p21_text_embedding")
 def _(spark, d):
-    from ..operators.retrieval import hashed_embedding
+    from ..operators import encoder
 
-    return hashed_embedding(table(spark, d, "documents"), key="doc_id").select("doc_id", F.transform("v", lambda x: F.round(x, 9)).alias("v"))
+    docs = table(spark, d, "documents")
+    return encoder.encode(docs, encoder.fit(docs), "doc_id").select("doc_id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
-@query("p22_embed_distinct")
+@query("p22_embed_distinct", """WITH words AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) AS w FROM documents),
+terms AS (SELECT w FROM words GROUP BY w HAVING count(*) > 1 ORDER BY count(*) DESC, w LIMIT 32768), known AS (SELECT DISTINCT doc_id FROM words SEMI JOIN terms USING (w))
+SELECT doc_id, CASE WHEN known.doc_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS norm FROM documents LEFT JOIN known USING (doc_id)""")
 def _(spark, d):
-    from ..operators.retrieval import hashed_embedding
+    from ..operators import encoder
 
-    docs = table(spark, d, "documents").withColumn("text_id", F.md5("text"))
-    once = hashed_embedding(docs.select("text_id", "text").dropDuplicates(["text_id"]), key="text_id")
-    return docs.select("doc_id", "text_id").join(once, "text_id").select("doc_id", F.round(V.norm(F.col("v")), 6).alias("norm"))
+    docs = table(spark, d, "documents")
+    return encoder.encode_once(docs, encoder.fit(docs), "doc_id").select("doc_id", F.round(V.norm(F.col("v")), 6).alias("norm"))
 
 
 @query("p23_normalise", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y))))), 6) AS total FROM embeddings")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bridgewell.operators import blocks, forest, products
+from bridgewell.operators import blocks, encoder, forest, products
 from bridgewell.operators import graph as G
 from bridgewell.operators import keys as K
 from bridgewell.operators import quality as A
@@ -267,7 +267,35 @@ def test_encoders(spark):
     t = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None)], "item_id long, text string")
     got = N.encode_with(t, lambda: lambda texts: np.array([[len(x), 1.0] for x in texts])).collect()
     assert sorted((r.item_id, r.v) for r in got) == [(1, [3.0, 1.0]), (2, [0.0, 1.0])]
-    assert N.hashed_embedding(t.where("item_id = 1").limit(1), 8).first().v != [0.0] * 8
+
+
+def test_learned_encoder(spark, monkeypatch):
+    monkeypatch.setattr(encoder, "ENTRIES", 64)
+    rng = np.random.default_rng(11)
+    topics = [[f"{c}{i}" for i in range(25)] for c in "abcde"]
+    texts = [" ".join(rng.choice(topics[i % 5], 12)) for i in range(100)]
+    near = texts[3].split()
+    near[0] = "Zz"
+    df = spark.createDataFrame(list(enumerate([*texts, " ".join(near), texts[3], None, "unknown words"])), "item_id long, text string").repartition(3)
+    m = encoder.fit(df, 8, rounds=6)
+    words = [t.lower().split() for t in [*texts, " ".join(near), texts[3]]]
+    a = np.zeros((len(words) + 2, len(m.terms)))
+    for i, w in enumerate(words):
+        for k, t in enumerate(m.terms):
+            if t in w:
+                a[i, k] = (1 + math.log(w.count(t))) * (math.log(105 / (1 + sum(t in x for x in words))) + 1)
+        a[i] /= np.linalg.norm(a[i])
+    u, s, vt = np.linalg.svd(a, full_matrices=False)
+    assert m.singular[:5] == pytest.approx(s[:5], rel=1e-6) and np.abs(m.singular - s[:8]).max() < 0.05
+    assert np.allclose(np.abs((m.basis[:, :5] * vt[:5].T).sum(0)), 1, atol=1e-4) and np.allclose(m.basis.T @ m.basis, np.eye(8), atol=1e-9)
+    for encode in (encoder.encode, encoder.encode_once):
+        got = {r.item_id: np.array(r.v) for r in encode(df, m).collect()}
+        assert len(got) == 104 and np.allclose(got[3], got[101]) and not got[102].any() and not got[103].any()
+        x = a[0] @ m.basis
+        assert np.allclose(got[0], x / np.linalg.norm(x))
+        assert got[3] @ got[100] > max(got[3] @ got[i] for i in range(100) if i % 5 != 3)
+    none = encoder.fit(df.limit(0), 4)
+    assert encoder.encode(df, none).first().v == [0.0] * 4
 
 
 def test_reports(spark):
