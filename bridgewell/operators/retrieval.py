@@ -1,4 +1,4 @@
-"""Vectors by id: encoding texts, exact and approximate nearest items, matrix factorisation, small networks."""
+"""Vectors by id: encoding texts, exact and approximate nearest items, small networks."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .blocks import grid_top, rows_of
 from .forest import approximate_top
 
-__all__ = ["approximate_top", "encode_with", "exact_top", "factorise", "two_towers", "without_seen"]
+__all__ = ["approximate_top", "encode_with", "exact_top", "two_towers", "without_seen"]
 
 BLOCK = 4096  # items compared at once
 MOST_QUERY_BYTES = 64 << 20  # of a query set that is sent to every task; larger ones are dealt in blocks
@@ -126,10 +126,3 @@ def two_towers(pairs: DataFrame, weights: dict[str, list[np.ndarray]]) -> DataFr
 
     kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("query_id", "cand_id")}
     return pairs.select("query_id", "cand_id", "q", "c").mapInPandas(run, f"query_id {kinds['query_id']}, cand_id {kinds['cand_id']}, score double")
-
-
-def factorise(edges: DataFrame, rank: int = 32, rounds: int = 5, seed: int = 7):
-    """An implicit-feedback factor model (MLlib's ALS) of user_idx, item_idx, rating."""
-    from pyspark.ml.recommendation import ALS
-
-    return ALS(userCol="user_idx", itemCol="item_idx", ratingCol="rating", implicitPrefs=True, rank=rank, maxIter=rounds, seed=seed, checkpointInterval=-1).fit(edges)

@@ -206,8 +206,11 @@ def _(spark, d):
 
 @query("r19_matrix_factorisation")
 def _(spark, d):
-    m = N.factorise(edges(spark, d).select(F.col("user_idx").cast("int").alias("user_idx"), F.col("item_idx").cast("int").alias("item_idx"), F.lit(1.0).alias("rating")))
-    return m.recommendForAllUsers(10).select("user_idx", F.transform("recommendations", lambda r: r["item_idx"]).alias("items"))
+    from ..operators import factors
+
+    m = factors.fit(edges(spark, d), epochs=3)
+    named = lambda f: f.withColumnsRenamed({"id": "vec_id", "v": "embedding"})
+    return N.exact_top(named(m.items), named(m.users), 10).select(F.col("query_id").alias("user_idx"), F.col("item_id").alias("item_idx"), "rank", F.round("score", 6).alias("score"))
 
 
 # Graphs

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bridgewell.operators import blocks, encoder, forest, products
+from bridgewell.operators import blocks, encoder, factors, forest, products
 from bridgewell.operators import graph as G
 from bridgewell.operators import keys as K
 from bridgewell.operators import quality as A
@@ -390,6 +390,51 @@ def test_attribute_vocabulary(spark):
     assert G.attribute_incidence(i).count() == 3
 
 
+def plain_factors(spark, pairs, rank, epochs, blocks, rate, shrink, seed):
+    """The same schedule without Spark."""
+    users, items = sorted({u for u, _ in pairs}), sorted({i for _, i in pairs})
+    place = {r.x: r.b for r in spark.range(1).select(F.explode(F.array(*[F.lit(i).cast("long") for i in {*users, *items}])).alias("x")).withColumn("b", F.pmod(F.xxhash64("x"), F.lit(blocks))).collect()}
+    block = lambda ids: [np.array([i for i in ids if place[i] == b]) for b in range(blocks)]
+    own = [block(users), block(items)]
+    x = [[factors.begin(ids, rank, s, b, seed) for b, ids in enumerate(own[s])] for s in (0, 1)]
+    losses = []
+    for epoch in range(epochs):
+        total = 0.0
+        for shift in range(blocks):
+            for b in range(blocks):
+                c = (b + shift) % blocks
+                cell = sorted((u, i) for u, i in pairs if place[u] == b and place[i] == c)
+                if cell:
+                    u, i = (np.array(y) for y in zip(*cell, strict=True))
+                    total += factors.descend(x[0][b], x[1][c], np.searchsorted(own[0][b], u), np.searchsorted(own[1][c], i), rate, shrink, [seed, 2, epoch, shift, b])
+        losses.append(total / len(pairs))
+    return [{int(i): x[s][b][k] for b in range(blocks) for k, i in enumerate(own[s][b])} for s in (0, 1)], losses
+
+
+def test_factors_equal_a_plain_run_and_rank_planted_items(spark):
+    rng = np.random.default_rng(3)
+    pairs, held = [], []
+    for u in range(80):  # users like the items of their group
+        liked = rng.choice([i for i in range(60) if i % 4 == u % 4], 9, replace=False)
+        pairs += [(u, int(i) + 1000) for i in liked[:8]]
+        held.append((u, int(liked[8]) + 1000))
+    df = spark.createDataFrame([*pairs, (None, 1000), (1, None)], "user_idx int, item_idx int").repartition(3)
+    m = factors.fit(df, 8, 12, 3, 0.1, 0.01)
+    (u, v), losses = plain_factors(spark, pairs, 8, 12, 3, 0.1, 0.01, 7)
+    assert m.losses == pytest.approx(losses) and m.losses[-1] < 0.7 * m.losses[0]
+    got = [{r.id: np.array(r.v) for r in d.collect()} for d in (m.users, m.items)]
+    for mine, plain in zip(got, (u, v), strict=True):
+        assert set(mine) == set(plain) and all(np.allclose(mine[k], plain[k]) for k in mine)
+    seen = {(a, b) for a, b in pairs}
+    hits = 0
+    for a, b in held:
+        others = rng.choice([i + 1000 for i in range(60) if (a, i + 1000) not in seen and i + 1000 != b], 30, replace=False)
+        hits += sum(u[a] @ v[int(o)] > u[a] @ v[b] for o in others) < 10 * 31 / 100
+    assert hits > 0.3 * len(held)  # chance: 0.1
+    none = factors.fit(df.limit(0), 4, 1, 2)
+    assert none.users.count() == 0 and none.losses == [0.0]
+
+
 def test_two_towers_and_seen(spark):
     p = spark.createDataFrame([(1, 2, [1.0, 0.0], [1.0, 0.0])], "query_id long, cand_id long, q array<double>, c array<double>")
     assert N.two_towers(p, {"q": [np.eye(2)], "c": [np.eye(2)]}).first().score == pytest.approx(1.0)
