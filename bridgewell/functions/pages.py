@@ -68,16 +68,31 @@ def first_present(*found: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in found])
 
 
+SIZE_MARK = "\\._[A-Z0-9, ]+_\\."  # of a thumbnail's address: a fixed value
+
+
 def images(html: Column) -> Column:
-    """The gallery that a page's script holds: array of struct(thumb, large, variant, hiRes)."""
+    """The gallery that a page's script holds, else its thumbnails' (each with the address without size marks as large one): array of struct(thumb,
+    large, variant, hiRes), empty without either."""
     text = F.regexp_extract(html, "(?s)'colorImages':\\s*\\{.*?'initial':\\s*(\\[.*?\\])\\}", 1)
-    return F.from_json(text, "array<struct<thumb:string,large:string,variant:string,hiRes:string>>")
+    script = F.from_json(text, "array<struct<thumb:string,large:string,variant:string,hiRes:string>>")
+    strip = F.regexp_extract(html, '(?s)id="altImages"(.*?)</ul>', 1)
+    found = F.filter(F.regexp_extract_all(strip, F.lit('(?s)<img[^>]*\\ssrc="([^"]*)"'), 1), lambda x: x != "")
+    shown = F.transform(found, lambda x: F.struct(x.alias("thumb"), high_resolution(x, SIZE_MARK).alias("large"), F.lit("MAIN").alias("variant"), high_resolution(x, SIZE_MARK).alias("hiRes")))
+    return F.when(F.size(F.coalesce(script, F.array())) > 0, script).otherwise(F.coalesce(shown, F.array()))
+
+
+#: Tags that end a paragraph whose own end is missing.
+BLOCKS = "p|div|article|section|main|aside|header|footer|nav|ul|ol|li|table|form|blockquote|pre|hr|h[1-6]|body|html"
 
 
 def texts_of(html: Column, tag: str) -> Column:
-    """The texts of a tag's elements without inner tags, trimmed, blank ones left out."""
-    inner = F.regexp_extract_all(html, F.lit(f"<{tag}>([^<]*)"), 1)
-    return F.filter(F.transform(inner, lambda x: F.trim(x)), lambda x: x != "")
+    """The texts of a tag's elements, with or without attributes, inner tags dropped and white space folded, blank ones left out. An element ends with its tag, with the next one
+    or with a block around it."""
+    rest = F.split(html, f"(?s)<{tag}(?:\\s[^>]*)?>")
+    inner = F.transform(F.slice(rest, F.lit(2), F.size(rest)), lambda x: F.regexp_replace(x, f"(?s)</?(?:{tag}|{BLOCKS})[\\s>/].*$", ""))
+    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "(?s)<[^>]*>", ""), "[ \\t\\n\\r\\f]+", " "))
+    return F.filter(F.transform(inner, plain), lambda x: x != "")
 
 
 def blocked(url: Column, html: Column) -> Column:
@@ -89,16 +104,21 @@ def variant_ids(html: Column, attribute: str = "data-asin") -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit(f'{attribute}="({ID})"'), 1))
 
 
-def reviews(pages: DataFrame) -> DataFrame:
-    """page_id and a flat record for each review card of a page's html."""
-    card = F.explode(F.regexp_extract_all("html", F.lit('(?s)<li data-hook="review">(.*?)</li>'), 1))
-    pick = lambda p: F.nullif(F.trim(F.regexp_extract("card", p, 1)), F.lit(""))
-    cards = pages.select("page_id", product_id(F.col("url")).alias("asin"), card.alias("card"))
+def reviews(pages: DataFrame, main_category: Column | None = None) -> DataFrame:
+    """page_id and a flat record of twelve fields for each review card of a page's html. main_category: of the page's product, null if not given. Attributes of the tags
+    may stand in any number; the images of a review are not read."""
+    card = F.explode(F.regexp_extract_all("html", F.lit('(?s)<li[^>]*data-hook="review"[^>]*>(.*?)</li>'), 1))
+    pick = lambda name: F.nullif(F.trim(F.regexp_extract("card", f'(?:class|data-hook)="{name}"[^>]*>([^<]*)', 1)), F.lit(""))
+    category = (F.lit(None) if main_category is None else main_category).cast("string")
+    cards = pages.select("page_id", product_id(F.col("url")).alias("asin"), category.alias("main_category"), card.alias("card"))
     return cards.select(
-        "page_id", "asin",
-        F.coalesce(first_number(pick('class="rating">([^<]*)')), F.lit(0.0)).alias("rating"),
-        F.coalesce(pick('class="title">([^<]*)'), F.lit("")).alias("title"),
-        pick('class="body">([^<]*)').alias("text"),
+        "page_id", "asin", F.col("asin").alias("parent_asin"), "main_category",
+        F.coalesce(first_number(pick("rating")), F.lit(0.0)).alias("rating"),
+        F.coalesce(pick("title"), F.lit("")).alias("title"),
+        pick("body").alias("text"),
         F.coalesce(F.nullif(F.regexp_extract("card", "/profile/([^/\"]+)", 1), F.lit("")), F.lit("Anonymous")).alias("user_id"),
-        first_integer(pick('class="votes">([^<]*)')).alias("helpful_vote"),
-        F.col("card").contains("avp-badge").alias("verified_purchase"))
+        pick("a-profile-name").alias("user_name"),
+        pick("review-date").alias("timestamp_raw"),
+        first_integer(pick("votes")).alias("helpful_vote"),
+        F.col("card").contains("avp-badge").alias("verified_purchase"),
+        F.array().cast("array<string>").alias("images"))

@@ -92,13 +92,49 @@ def _long(report: DataFrame, section: str, name: Column | None = None) -> DataFr
 
 def validate(df: DataFrame, kind: str) -> DataFrame:
     """section, name, value: what a table of interactions or items holds. 'all': rows, users, items, blanks, ratings or lengths; 'domain' and, of
-    interactions, 'rating': rows of each value."""
+    interactions, 'rating': rows of each value.
+
+    The table is read once: its rows are counted by each of some columns side by side (grouping sets, summed in each task first), and every figure is made of those counts.
+    """
     if kind not in ("interactions", "items"):
         raise ValueError("kind is interactions or items")
-    parts = [_long(A.interaction_report(df) if kind == "interactions" else A.item_report(df), "all"), _long(A.counts_by(df, "domain"), "domain", F.col("domain"))]
     if kind == "interactions":
-        parts.append(_long(A.counts_by(df, "rating"), "rating", F.col("rating").cast("double")))
-    return K.union_all(parts)
+        slim = df.select(F.col("user_id").cast("string").alias("user_id"), F.col("product_id").cast("string").alias("product_id"), F.col("rating").cast("double").alias("rating"), "domain")
+        distinct, blank, spread = {"user_id": "n_users", "product_id": "n_items"}, {"user_id": "blank_users", "product_id": "blank_items"}, {"rating": ("min_rating", "max_rating", "avg_rating")}
+    else:
+        slim = df.select(F.col("product_id").cast("string").alias("product_id"), F.length("full_text").alias("length"), "domain")
+        distinct, blank, spread = {"product_id": "n_items"}, {"length": "blank_texts"}, {"length": (None, None, "avg_length")}
+    by = [c for c in slim.columns if c != "domain"] + ["domain"]
+    counts = slim.groupingSets([[c] for c in by], *by).agg(F.grouping_id().alias("_set"), F.count("*").alias("_n"))
+    cell = lambda section, name, x, w=F.lit(1.0): F.struct(F.lit(section).alias("section"), name.cast("string").alias("name"), x.cast("double").alias("x"), w.cast("double").alias("w"))
+
+    def cells(c: str) -> Column:
+        """What the counts by one column tell."""
+        out, n = [], F.col("_n")
+        if c in ("domain", "rating"):
+            out.append(cell(c, F.col(c), n))
+        if c == "domain":
+            out.append(cell("all", F.lit("n_rows"), n))
+        if c in distinct:
+            out.append(cell("all", F.lit(distinct[c]), F.col(c).isNotNull().cast("int")))
+        if c in blank:
+            out.append(cell("all", F.lit(blank[c]), F.when(F.col(c).isNull() | (F.col(c) == (0 if c == "length" else "")), n).otherwise(0)))
+        for name in spread.get(c, ()):
+            if name:
+                out.append(cell("all", F.lit(name), F.col(c), F.when(F.col(c).isNotNull(), n)))
+        return F.array(*out)
+
+    one_of = lambda k: (1 << len(by)) - 1 - (1 << (len(by) - 1 - k))
+    told = F.lit(None)
+    for k, c in enumerate(by):
+        told = F.when(F.col("_set") == one_of(k), cells(c)).otherwise(told)
+    names = [*dict.fromkeys(["n_rows", *distinct.values(), *blank.values()])]
+    least = df.sparkSession.range(1).select(F.explode(F.array(*[cell("all", F.lit(n), F.lit(0)) for n in names], *[cell("all", F.lit(n), F.lit(None), F.lit(None)) for x in spread.values() for n in x if n])).alias("c"))
+    both = counts.select(F.explode(told).alias("c")).unionByName(least).select("c.*").groupBy("section", "name").agg(
+        F.sum("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"), (F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("mean"))
+    in_all, starts = F.col("section") == "all", lambda p: F.col("name").startswith(p)
+    value = F.when(in_all & starts("min_"), F.col("lo")).when(in_all & starts("max_"), F.col("hi")).when(in_all & starts("avg_"), F.round("mean", 6)).otherwise(F.col("s"))
+    return both.select("section", "name", value.alias("value"))
 
 
 def _same_category() -> Column:

@@ -10,7 +10,7 @@ from ..operators import keys as K
 from ..operators import quality as A
 from ..operators import sampling as W
 from . import pipelines as L
-from .queries_text import CLEAN, PART_RULES, SPECS_SQL, STD, _case
+from .queries_text import CLEAN, PART_RULES, SPECS_SQL, STD, _case, paragraphs_sql
 from .roles import BENCH, INTERACTIONS, ITEMS, LOCAL, PAIRS, PURCHASES, TEXTS, bench, draw_sql, interactions, items, local, pairs, purchases, query, quota, table, texts
 
 # Joins
@@ -451,7 +451,7 @@ def _(spark, d):
     return L.eda_report(items_, reviews, 6, 1500.0, 1000)
 
 
-@query("q13_page_extract", """SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, len(list_filter(list_transform(regexp_extract_all(html, '<p>([^<]*)', 1), lambda x: trim(x, ' ')), lambda x: x <> '')) AS n_texts
+@query("q13_page_extract", f"""SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, len({paragraphs_sql('html')}) AS n_texts
   FROM pages WHERE NOT (lower(url) LIKE '%captcha%' OR html LIKE '%automated access%')""")
 def _(spark, d):
     return L.page_extract(table(spark, d, "pages")).select("page_id", "title", F.size("texts").cast("long").alias("n_texts"))

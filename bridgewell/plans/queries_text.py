@@ -261,29 +261,50 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", P.first_present(tag("h2"), tag("h1"), tag("title")).alias("title"))
 
 
-@query("x11_images", """WITH p AS (SELECT page_id, html || '<script>''colorImages'': { ''initial'': [{"thumb":"t","large":"l","variant":"V' || page_id || '","hiRes":null}]},</script>' AS h FROM pages)
-SELECT page_id, array_to_string(list_transform(from_json(regexp_extract(h, '(?s)''colorImages'':\\s*\\{.*?''initial'':\\s*(\\[.*?\\])\\}', 1), '[{"thumb":"VARCHAR","large":"VARCHAR","variant":"VARCHAR","hiRes":"VARCHAR"}]'),
-  lambda i: concat_ws(',', i.thumb, i.large, i.variant, i.hiRes)), '|') AS images FROM p""")
-def _(spark, d):
-    script = F.concat(F.lit("""<script>'colorImages': { 'initial': [{"thumb":"t","large":"l","variant":"V"""), F.col("page_id").cast("string"), F.lit("""","hiRes":null}]},</script>"""))
-    shown = F.transform(P.images(F.concat("html", script)), lambda i: F.concat_ws(",", i["thumb"], i["large"], i["variant"], i["hiRes"]))
+# The pages have no galleries and no reviews: a script, thumbnails or neither, and two cards, are added to each.
+@query("x11_images", """WITH p AS (SELECT page_id, html || CASE page_id % 3 WHEN 0 THEN '<script>''colorImages'': { ''initial'': [{"thumb":"t","large":"l","variant":"V' || page_id || '","hiRes":null}]},</script>'
+  WHEN 1 THEN '<div id="altImages"><ul><li><img alt="" src="https://x/' || page_id || '._SR38,50_.jpg"></li><li><img src="b.png"/></li></ul></div>' ELSE '' END AS h FROM pages), q AS (SELECT page_id,
+  from_json(nullif(regexp_extract(h, '(?s)''colorImages'':\\s*\\{.*?''initial'':\\s*(\\[.*?\\])\\}', 1), ''), '[{"thumb":"VARCHAR","large":"VARCHAR","variant":"VARCHAR","hiRes":"VARCHAR"}]') AS script,
+  regexp_extract_all(regexp_extract(h, '(?s)id="altImages"(.*?)</ul>', 1), '(?s)<img[^>]*\\ssrc="([^"]*)"', 1) AS shown FROM p)
+SELECT page_id, CASE WHEN len(script) > 0 THEN array_to_string(list_transform(script, lambda i: concat_ws(',', i.thumb, i.large, i.variant, i.hiRes)), '|')
+  ELSE array_to_string(list_transform(shown, lambda x: concat_ws(',', x, regexp_replace(x, '\\._[A-Z0-9, ]+_\\.', '.', 'g'), 'MAIN', regexp_replace(x, '\\._[A-Z0-9, ]+_\\.', '.', 'g'))), '|') END AS images FROM q""")
+def _(spark, d):
+    number = F.col("page_id").cast("string")
+    script = F.concat(F.lit("""<script>'colorImages': { 'initial': [{"thumb":"t","large":"l","variant":"V"""), number, F.lit("""","hiRes":null}]},</script>"""))
+    strip = F.concat(F.lit('<div id="altImages"><ul><li><img alt="" src="https://x/'), number, F.lit('._SR38,50_.jpg"></li><li><img src="b.png"/></li></ul></div>'))
+    added = F.when(F.col("page_id") % 3 == 0, script).when(F.col("page_id") % 3 == 1, strip).otherwise("")
+    shown = F.transform(P.images(F.concat("html", added)), lambda i: F.concat_ws(",", i["thumb"], i["large"], i["variant"], i["hiRes"]))
     return table(spark, d, "pages").select("page_id", F.array_join(shown, "|").alias("images"))
 
 
-@query("x12_texts", "SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '<p>([^<]*)', 1), lambda x: trim(x, ' ')), lambda x: x <> ''), '|') AS t FROM pages")
+def paragraphs_sql(html: str) -> str:
+    """The texts of p elements, as pages.texts_of finds them."""
+    cut = f"list_transform(string_split_regex({html}, '(?s)<p(?:\\s[^>]*)?>')[2:], lambda x: regexp_replace(x, '(?s)</?(?:p|{P.BLOCKS})[\\s>/].*$', ''))"
+    return f"list_filter(list_transform({cut}, lambda x: trim(regexp_replace(regexp_replace(x, '(?s)<[^>]*>', '', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ')), lambda x: x <> '')"
+
+
+@query("x12_texts", f"SELECT page_id, array_to_string({paragraphs_sql('html')}, '|') AS t FROM pages")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(P.texts_of(F.col("html"), "p"), "|").alias("t"))
 
 
+CARD_PICK = """nullif(trim(regexp_extract(card, '(?:class|data-hook)="{}"[^>]*>([^<]*)', 1), ' '), '')"""
+
+
 @query("x13_reviews", f"""WITH {PAGES}, h AS (SELECT page_id, coalesce(nullif(regexp_extract(href, '/dp/([A-Z0-9]{{10}})', 1), ''), 'Unknown') AS asin,
-  html || '<li data-hook="review"><i class="rating">4.0 out of 5</i><b class="title">T</b><span class="body">' || replace(string_split(url, '/')[-1], '<', '') || '</span><a href="/profile/U' || page_id || '/x"></a><i class="votes">1,024 people</i><i class="avp-badge"></i></li>' AS html FROM pg),
-c AS (SELECT page_id, asin, unnest(regexp_extract_all(html, '(?s)<li data-hook="review">(.*?)</li>', 1)) AS card FROM h)
-SELECT page_id, asin, coalesce(TRY_CAST(string_split(trim(regexp_extract(card, 'class="rating">([^<]*)', 1), ' '), ' ')[1] AS DOUBLE), 0.0) AS rating, trim(regexp_extract(card, 'class="title">([^<]*)', 1), ' ') AS title,
-  nullif(trim(regexp_extract(card, 'class="body">([^<]*)', 1), ' '), '') AS text, coalesce(nullif(regexp_extract(card, '/profile/([^/"]+)', 1), ''), 'Anonymous') AS user_id,
-  coalesce(TRY_CAST(nullif(regexp_extract(replace(trim(regexp_extract(card, 'class="votes">([^<]*)', 1), ' '), ',', ''), '([0-9]+)', 1), '') AS BIGINT), 0) AS helpful_vote, contains(card, 'avp-badge') AS verified_purchase FROM c""")
-def _(spark, d):
-    card = F.concat(F.lit('<li data-hook="review"><i class="rating">4.0 out of 5</i><b class="title">T</b><span class="body">'), F.regexp_replace(F.substring_index("url", "/", -1), "<", ""), F.lit('</span><a href="/profile/U'), F.col("page_id").cast("string"), F.lit('/x"></a><i class="votes">1,024 people</i><i class="avp-badge"></i></li>'))
-    return P.reviews(_pages(spark, d).select("page_id", F.col("href").alias("url"), F.concat("html", card).alias("html")))
+  html || '<li class="x" data-hook="review" id="r"><i class="rating" title="r">4.0 out of 5</i><b class="title">T</b><span data-hook="body">' || replace(string_split(url, '/')[-1], '<', '') || '</span><a href="/profile/U' || page_id || '/x"><span class="a-profile-name">N ' || page_id || '</span></a><i class="votes">1,024 people</i><i data-hook="review-date">Reviewed on day ' || page_id % 28 || '</i><i class="avp-badge"></i></li><li data-hook="review"></li>' AS html FROM pg),
+c AS (SELECT page_id, asin, unnest(regexp_extract_all(html, '(?s)<li[^>]*data-hook="review"[^>]*>(.*?)</li>', 1)) AS card FROM h)
+SELECT page_id, asin, asin AS parent_asin, 'pages' AS main_category, coalesce(TRY_CAST(string_split({CARD_PICK.format('rating')}, ' ')[1] AS DOUBLE), 0.0) AS rating, coalesce({CARD_PICK.format('title')}, '') AS title,
+  {CARD_PICK.format('body')} AS text, coalesce(nullif(regexp_extract(card, '/profile/([^/"]+)', 1), ''), 'Anonymous') AS user_id, {CARD_PICK.format('a-profile-name')} AS user_name, {CARD_PICK.format('review-date')} AS timestamp_raw,
+  coalesce(TRY_CAST(nullif(regexp_extract(replace({CARD_PICK.format('votes')}, ',', ''), '([0-9]+)', 1), '') AS BIGINT), 0) AS helpful_vote, contains(card, 'avp-badge') AS verified_purchase, 0 AS n_images FROM c""")
+def _(spark, d):
+    number = F.col("page_id").cast("string")
+    card = F.concat(
+        F.lit('<li class="x" data-hook="review" id="r"><i class="rating" title="r">4.0 out of 5</i><b class="title">T</b><span data-hook="body">'), F.regexp_replace(F.substring_index("url", "/", -1), "<", ""),
+        F.lit('</span><a href="/profile/U'), number, F.lit('/x"><span class="a-profile-name">N '), number, F.lit('</span></a><i class="votes">1,024 people</i><i data-hook="review-date">Reviewed on day '),
+        (F.col("page_id") % 28).cast("string"), F.lit('</i><i class="avp-badge"></i></li><li data-hook="review"></li>'))
+    found = P.reviews(_pages(spark, d).select("page_id", F.col("href").alias("url"), F.concat("html", card).alias("html")), F.lit("pages"))
+    return found.select("*", F.size("images").alias("n_images")).drop("images")
 
 
 @query("x14_not_blocked", "SELECT page_id FROM pages WHERE NOT (lower(url) LIKE '%captcha%' OR html LIKE '%automated access%' OR url LIKE '%.net%')")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from ..operators.quality import estimated_bytes
+
 HEAD = 2048
 
 
@@ -53,6 +55,14 @@ def write_and_count(df: DataFrame, path: str, files: int | None = None) -> int:
     return df.sparkSession.read.parquet(path).count()
 
 
+def write_and_report(df: DataFrame, path: str, files: int | None = None) -> dict[str, int]:
+    """Write once and tell, without another job: rows (observed while they are written), estimated_bytes (the optimizer's) and bytes (of the rows as JSON
+    text, observed too)."""
+    seen, estimate = Observation(), estimated_bytes(df)
+    write_parquet(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("bytes")), path, files)
+    return {"estimated_bytes": estimate, **seen.get}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

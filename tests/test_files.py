@@ -78,3 +78,14 @@ def test_append_stream(spark, tmp_path):
         append_stream(stream, path, "k", f"{tmp_path}/cp").awaitTermination(60)
     assert sorted(r.k for r in spark.read.parquet(path).collect()) == ["a", "b0", "b1"]
     assert spark.read.parquet(path).where(F.col("k") == "a").count() == 1
+
+
+def test_write_and_report_takes_one_job(spark, tmp_path):
+    df = spark.range(100).select(F.col("id"), F.lit("abc").alias("t"))
+    spark.sparkContext.setJobGroup("report", "one write")
+    got = S.write_and_report(df, str(tmp_path / "o"))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("report")
+    spark.sparkContext.setJobGroup("", "")
+    assert got["rows"] == 100 == spark.read.parquet(str(tmp_path / "o")).count() and len(jobs) == 1
+    assert got["bytes"] == sum(len(f'{{"id":{i},"t":"abc"}}') for i in range(100)) and got["estimated_bytes"] > 0
+    assert S.write_and_report(df.limit(0), str(tmp_path / "e"))["rows"] == 0

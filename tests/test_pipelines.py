@@ -42,7 +42,7 @@ def test_lists_by_brute_force(ev):
     degree = {(q, a): sum((q, a, b) in graph for b in by[q]) for q in by for a in by[q]}
     made = {(r.query_id, r.node): r.v for r in G.convolved_lists(lists).collect()}
     for (q, a), v in made.items():
-        assert v == pytest.approx(sum(by[q][b] / math.sqrt(degree[q, a] * degree[q, b]) for b in by[q] if (q, b, a) in graph))
+        assert v == pytest.approx(sum(by[q][b] * (2 if a == b else 1) / math.sqrt((degree[q, a] + 1) * (degree[q, b] + 1)) for b in by[q] if (q, b, a) in graph))
 
 
 def test_strategies(spark):
@@ -70,3 +70,17 @@ def test_layered_equals_its_formula(spark):
     want = (m + step @ m + step @ step @ m) / 3
     for r in G.layered(edges, long).collect():
         assert r.v == pytest.approx(want[r.node])
+
+
+def test_validation_reads_once(spark, tmp_path):
+    rows = [("u", "p", 1.0, "a"), ("u", "", 3.0, "b"), (None, "q", None, "a"), ("v", "p", 3.0, None)]
+    spark.createDataFrame(rows, "user_id string, product_id string, rating double, domain string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = {(r.section, r.name): r.value for r in L.validate(df, "interactions").collect()}
+    assert got == {
+        ("all", "n_rows"): 4, ("all", "n_users"): 2, ("all", "n_items"): 3, ("all", "blank_users"): 1, ("all", "blank_items"): 1, ("all", "min_rating"): 1, ("all", "max_rating"): 3, ("all", "avg_rating"): 2.333333,
+        ("domain", "a"): 2, ("domain", "b"): 1, ("domain", None): 1, ("rating", "1.0"): 1, ("rating", "3.0"): 2, ("rating", None): 1}
+    plan = L.validate(df, "interactions")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    none = {(r.section, r.name): r.value for r in L.validate(df.limit(0), "interactions").collect()}
+    assert none["all", "n_rows"] == 0 and none["all", "min_rating"] is None and len(none) == 8

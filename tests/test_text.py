@@ -93,6 +93,21 @@ def test_images_and_reviews(spark):
     assert len(r) == 2 and r[0].user_id == "U1" and r[0].helpful_vote == 1024 and not r[0].verified_purchase
 
 
+def test_pages_with_attributes_and_inner_tags(spark):
+    strip = '<div id="altImages" class="a"><ul><li><img alt="" src="x/a._SR38,50_.jpg"></li><li><img src=""><img  src="b.png"/></li></ul></div><img src="other.jpg">'
+    assert [(i.thumb, i.large, i.variant, i.hiRes) for i in one(spark, strip, P.images)] == [("x/a._SR38,50_.jpg", "x/a.jpg", "MAIN", "x/a.jpg"), ("b.png", "b.png", "MAIN", "b.png")]
+    broken = "<script>'colorImages': { 'initial': []},</script>" + strip
+    assert len(one(spark, broken, P.images)) == 2 and one(spark, "<p>none</p>", P.images) == []
+    html = '<p class="a b">One <b>two</b>\n three</p><pre>no</pre><p><i></i> </p><p>four<p id=x>five<br>six<div>not</div></p><P>no</P><param><p>se<!-- c -->ven</article>no'
+    assert one(spark, html, lambda c: P.texts_of(c, "p")) == ["One two three", "four", "fivesix", "seven"]
+    card = '<li id="k" data-hook="review" class="r"><span class="a-profile-name" x="y">Ann</span><a href="/profile/U2/x"></a><i class="rating" title="t">2.5 out of 5</i><b data-hook="title">Ti</b><span data-hook="review-date">May 1</span><span class="body" lang="en">Text</span><i class="avp-badge"></i></li>'
+    pages = spark.createDataFrame([(1, "/dp/B0ABCDEFGH", f"<ul>{card}<li>no</li>" + '<li data-hook="review"></li></ul>')], "page_id int, url string, html string")
+    a, b = sorted(P.reviews(pages, F.lit("Phones")).collect(), key=lambda r: r.user_name is None)
+    assert a.asDict() == {"page_id": 1, "asin": "B0ABCDEFGH", "parent_asin": "B0ABCDEFGH", "main_category": "Phones", "rating": 2.5, "title": "Ti", "text": "Text", "user_id": "U2", "user_name": "Ann",
+        "timestamp_raw": "May 1", "helpful_vote": 0, "verified_purchase": True, "images": []}
+    assert (b.user_id, b.user_name, b.timestamp_raw, b.rating, b.title, b.text, b.verified_purchase) == ("Anonymous", None, None, 0.0, "", None, False)
+
+
 def test_vectors(spark):
     assert one(spark, [3.0, 4.0], V.normalise, "array<float>") == pytest.approx([0.6, 0.8])
     assert one(spark, [0.0, 0.0], V.normalise, "array<float>") == [0.0, 0.0]
