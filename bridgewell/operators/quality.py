@@ -1,10 +1,12 @@
-"""Data-quality reports, each in one pass."""
+"""Data-quality reports."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import MOST, exact_quantiles
+
 
 def _blank(c: str) -> Column:
     return F.sum(F.when(F.col(c).isNull() | (F.col(c) == ""), 1).otherwise(0))
@@ -32,10 +34,17 @@ def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int)
     return df.where(value.isNotNull()).groupBy(F.width_bucket(value.cast("double"), F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def distribution_by(df: DataFrame, by: str, value: str) -> DataFrame:
-    """What a box plot shows: least, quartiles, largest."""
-    q = lambda p: F.round(F.percentile(value, F.lit(p)), 6)
-    return df.groupBy(by).agg(F.min(value).alias("least"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(value).alias("largest"), F.count(value).alias("n"))
+def distribution_by(df: DataFrame, by: str, value: str, most: int = MOST) -> DataFrame:
+    """What a box plot shows: least, quartiles, largest. Where a group has more than `most` values, quartiles are found by selection (quantiles.py), so that no task holds the
+    values of a group."""
+    extent = [F.min(value).alias("least"), F.max(value).alias("largest"), F.count(value).alias("n")]
+    if (df.groupBy(by).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0) <= most:
+        q = lambda p: F.round(F.percentile(value, F.lit(p)), 6)
+        return df.groupBy(by).agg(extent[0], q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), *extent[1:])
+    found = exact_quantiles(df, by, value, (0.25, 0.5, 0.75), most=most).withColumnRenamed(by, "_g")
+    whole = df.groupBy(by).agg(*extent).join(found, F.col(by).eqNullSafe(F.col("_g")), "left")
+    q = lambda i: F.round(F.col("q")[i], 6)
+    return whole.select(by, "least", q(0).alias("q1"), q(1).alias("median"), q(2).alias("q3"), "largest", "n")
 
 
 def join_sorted_set(df: DataFrame, key: str, value: str, sep: str = " | ") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..operators.quality import estimated_bytes
+from .heads import file_heads, reachable
 
 HEAD = 2048
 
@@ -81,13 +82,18 @@ def kind_of_head(head: Column) -> Column:
 
 
 def classify(spark: SparkSession, path: str, head: int = HEAD) -> DataFrame:
-    """path and kind of each file, by its first `head` characters; an empty file is 'unknown'. Files are read as lines, of each the first ones alone."""
+    """path and kind of each file, by its first `head` characters; an empty file is 'unknown'. Heads are read by ranges (heads.py); in stores that only Spark reaches, files are read
+    as lines, of each the first ones alone."""
     files = spark.read.text(path)
+    listed = files.inputFiles()
+    if all(map(reachable, listed)):
+        found = file_heads(spark, listed, head)
+        return found.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), kind_of_head(F.col("head")).alias("kind"))
     lines = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"), F.substring("value", 1, head).alias("line")).where("_at = 0")
     first = Window.partitionBy("path").orderBy("_n")
     few = lines.withColumn("_n", F.monotonically_increasing_id()).withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= head)  # a line has one character at least, its end
     heads = few.groupBy("path").agg(F.substring(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "line"))), lambda x: x["line"]), "\n"), 1, head).alias("head"))
-    every = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")  # the listing that Spark has made; a scan passes over empty files
+    every = spark.createDataFrame([(p,) for p in listed], "path string")  # the listing that Spark has made; a scan passes over empty files
     plain = lambda d: d.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///"))
     return plain(every).join(plain(heads), "path", "left").select("path", kind_of_head(F.coalesce("head", F.lit(""))).alias("kind"))
 

@@ -1,10 +1,12 @@
 import gzip
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from bridgewell.sources import files as S
-from bridgewell.streaming.append import append_batch, append_stream, new_rows
+from bridgewell.sources.heads import file_heads, reachable
+from bridgewell.streaming.append import append_batch, append_stream, new_rows, touched
 
 
 def lines(path, *rows):
@@ -66,7 +68,43 @@ def test_append_new_keys(spark, tmp_path):
     assert [tuple(r) for r in new_rows(b, None, "k").collect()] == [("a", 1)]
     append_batch(spark, b, path, "k")
     append_batch(spark, spark.createDataFrame([("a", 9), ("b", 5)], "k string, n int"), path, "k")
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 5)]
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("k", "n").collect()) == [("a", 1), ("b", 5)]
+
+
+def test_append_reads_touched_buckets_and_takes_batches_again(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    frame = lambda ks: spark.createDataFrame([(f"k{k}", k) for k in ks], "k string, n int")
+    append_batch(spark, frame(range(200)), path, "k", 32)
+    small = frame([3, 500, 501])
+    files = lambda d: {r[0] for r in d.select(F.input_file_name()).distinct().collect()}
+    read, every = files(touched(spark, small, path, "k", 32)), files(spark.read.parquet(path))
+    assert len(every) >= 30 and 1 <= len(read) <= 3
+    for _ in range(2):  # the second time as a batch that is tried again
+        append_batch(spark, small, path, "k", 32)
+    append_batch(spark, small.limit(0), path, "k", 32)
+    got = sorted(r.n for r in spark.read.parquet(path).collect())
+    assert got == [*range(200), 500, 501]
+    flat = f"{tmp_path}/flat"
+    frame([1, 2]).write.parquet(flat)  # a table without buckets
+    append_batch(spark, frame([2, 3]), flat, "k")
+    assert sorted(r.n for r in spark.read.parquet(flat).collect()) == [1, 2, 3] and "_bucket" not in spark.read.parquet(flat).columns
+
+
+def test_heads_read_few_bytes(spark, tmp_path):
+    text = json.dumps({"rating": 1, "fullName": "é" * 500_000})
+    (tmp_path / "a.json").write_text(text, encoding="utf-8")
+    rng = random.Random(1)
+    long = json.dumps({"features": [], "z": "".join(rng.choice("abcdefghij") for _ in range(400_000))})
+    with gzip.open(tmp_path / "b.json.gz", "wt") as f:
+        f.write(long)
+    (tmp_path / "c.json").write_bytes(b"")
+    (tmp_path / "d.json").write_bytes(b"\xff\xfe{")
+    got = {r.path.rsplit("/", 1)[1]: r for r in file_heads(spark, [f"file://{tmp_path}/{n}" for n in ("a.json", "b.json.gz", "c.json", "d.json")], 2048).collect()}
+    assert got["a.json"].head == text[:2048] and got["b.json.gz"].head == long[:2048]
+    assert all(r.read <= 4 * 2048 for r in got.values()) and (got["c.json"].head, got["c.json"].read) == ("", 0) and got["d.json"].head.endswith("{")
+    kinds = {r.path.rsplit("/", 1)[1]: r.kind for r in S.classify(spark, str(tmp_path)).collect()}
+    assert kinds == {"a.json": "vn_review", "b.json.gz": "amz_item", "c.json": "unknown", "d.json": "unknown"}
+    assert not reachable("viewfs://store/in/x") and reachable("/tmp/x") and reachable("hdfs://n/x")
 
 
 def test_append_stream(spark, tmp_path):

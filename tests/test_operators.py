@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bridgewell.operators import blocks, encoder, factors, forest, products
+from bridgewell.operators import blocks, encoder, factors, forest, products, quantiles
 from bridgewell.operators import graph as G
 from bridgewell.operators import keys as K
 from bridgewell.operators import quality as A
@@ -305,6 +305,19 @@ def test_reports(spark):
     assert A.estimated_bytes(i) > 0
 
 
+def test_exact_quantiles_by_selection(spark):
+    rng = np.random.default_rng(9)
+    groups = {"a": rng.normal(size=3000), "b": np.repeat(5.0, 700), "c": np.concatenate([np.repeat(1.5, 900), rng.exponential(size=500) * 1e6]), "d": np.array([2.0, 1.0]), None: rng.integers(0, 7, 400).astype(float), "e": np.array([-3.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("a", None), ("none", None)], "g string, v double").repartition(4)
+    got = {r.g: r.q for r in quantiles.exact_quantiles(df, "g", "v", (0.0, 0.25, 0.5, 0.9, 1.0), cells=8, most=20).collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        assert got[g] == pytest.approx(np.quantile(x, (0.0, 0.25, 0.5, 0.9, 1.0)))
+    few, many = ({r.g: tuple(r) for r in A.distribution_by(df, "g", "v", most).collect()} for most in (1 << 20, 100))
+    assert few.keys() == many.keys() and all(few[g][1:] == pytest.approx(many[g][1:]) for g in groups) and many["none"][1:] == (None,) * 5 + (0,)
+    assert quantiles.exact_quantiles(df.limit(0), "g", "v", (0.5,)).count() == 0
+
+
 def dense(long):
     return {r.node: dict(enumerate(r.v)) for r in long.collect()}
 
