@@ -2,8 +2,9 @@
 
 Samples become frames of twelve pitch classes; filters over rectangles of the frames, read off an integral image,
 each give two bits, so that every frame start yields a packed 32-bit integer. Recordings are aligned by histograms of the
-offsets at which they share two successive integers; the best offset is judged by the share of differing bits. Single integers meet by chance
-far more often, which costs votes and gives false alignments; a true one shares them all along the overlap.
+offsets at which they share integers; the best offset is judged by the share of differing bits. Integers also meet by chance, where two recordings have a few notes in
+common; such an alignment has few equal integers and many differing bits, while a true one under noise loses integers but differs in few bits, so that either many
+equal integers or few differing bits are asked for.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from .components import saved
 RATE, FRAME, HOP = 4000, 1024, 512  # samples a second, samples of a frame, samples between frames
 SPAN = 12  # frames that an integer sees
 LEAST_HZ, MOST_HZ = 110.0, 1760.0
-MIN_HITS, MIN_SHARE, MAX_ERROR = 4, 0.1, 0.3  # of shared runs of two integers; of these in the overlap; of differing bits
+MIN_HITS, MAX_ERROR = 4, 0.3  # of shared integers; of differing bits
+MIN_SHARE, SURE_ERROR = 0.15, 0.15  # shared integers in the overlap, asked for where more than this share of bits differs
 SPREAD = 1024  # places at which recordings hold one integer that meet in one group
 #: Sixteen filters: (kind, first pitch class, pitch classes, first frame, frames); kinds halve their rectangle: 0 not at all, 1 by pitch, 2 by time, 3 both ways.
 FILTERS = [(n % 4, (5 * n) % 9, 4 if n % 3 else 2, (7 * n) % 5, 4 + n % 4 * 2 if n % 4 * 2 + 4 + (7 * n) % 5 <= SPAN else 4) for n in range(16)]
@@ -102,26 +104,20 @@ def from_pcm(column: str = "pcm") -> Callable:
     return decode
 
 
-def _runs() -> Column:
-    """Two successive integers of prints as one number; null where either is zero, and for the last one."""
-    low = lambda x: x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.zip_with("prints", F.slice("prints", 2, F.greatest(F.size("prints") - 1, F.lit(0))), lambda x, y: F.when((x != 0) & (y != 0), F.shiftleft(low(x), 32).bitwiseOR(low(y))))
-
-
-def align(asked: DataFrame, known: DataFrame, min_hits: int = MIN_HITS, max_error: float = MAX_ERROR, min_share: float = MIN_SHARE) -> DataFrame:
-    """query_id, rec_id, copies, offset, hits, error: recordings of `known` that share at least min_hits runs of two integers with a
-    query at their best offset, and one at least in min_share of the overlap there, and differ in at most max_error of its bits.
+def align(asked: DataFrame, known: DataFrame, min_hits: int = MIN_HITS, max_error: float = MAX_ERROR, min_share: float = MIN_SHARE, sure_error: float = SURE_ERROR) -> DataFrame:
+    """query_id, rec_id, copies, offset, hits, error: recordings of `known` that share at least min_hits integers with a query at their best offset and differ in at most
+    max_error of the overlap's bits there; where more than sure_error of them differ, min_share of the overlap's integers must be shared.
 
     Both tables: rec_id, prints. Recordings with equal prints form one class, named by its smallest rec_id, of `copies` rows; a query
     meets its own class too. offset: place in the recording less place in the query, in frames; equal counts: the smallest.
-    Zero integers (silence) vote for nothing but are compared. Null ids or prints and those of fewer than two integers match nothing. Prints of any length are compared
+    Zero integers (silence) vote for nothing but are compared. Null ids or prints and empty ones match nothing. Prints of any length are compared
     whole; a very long recording is one row.
     """
     sound = "rec_id is not null and prints is not null and size(prints) > 0"
     classes = saved(known.where(sound).groupBy("prints").agg(F.min("rec_id").alias("rec_id"), F.countDistinct("rec_id").alias("copies")))
     asks = saved(asked.where(sound).groupBy("prints").agg(F.min("rec_id").alias("ask")))
-    a = asks.select("ask", F.posexplode(_runs()).alias("at_a", "v")).where("v is not null")
-    b = classes.select("rec_id", F.posexplode(_runs()).alias("at_b", "v")).where("v is not null")
+    a = asks.select("ask", F.posexplode("prints").alias("at_a", "v")).where("v <> 0")
+    b = classes.select("rec_id", F.posexplode("prints").alias("at_b", "v")).where("v <> 0")
     # an integer that many recordings hold is dealt to several places by recording, and the queries' places go to each
     hot = saved(b.groupBy("v").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts")).where("parts > 1"))
     a = a.join(hot, "v", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
@@ -132,7 +128,7 @@ def align(asked: DataFrame, known: DataFrame, min_hits: int = MIN_HITS, max_erro
     start_a, start_b = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
     overlap = F.least(F.size("pa") - start_a, F.size("pb") - start_b)
     pairs = F.zip_with(F.slice("pa", start_a + 1, overlap), F.slice("pb", start_b + 1, overlap), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))  # bit_count of a negative int counts 64 bits
-    judged = both.withColumn("error", F.aggregate(pairs, F.lit(0), lambda s, x: s + x) / (overlap * 32)).where((F.col("error") <= max_error) & (F.col("hits") >= F.lit(min_share) * overlap))
+    judged = both.withColumn("error", F.aggregate(pairs, F.lit(0), lambda s, x: s + x) / (overlap * 32)).where((F.col("error") <= max_error) & ((F.col("error") <= sure_error) | (F.col("hits") >= F.lit(min_share) * overlap)))
     names = asked.where(sound).select(F.col("rec_id").alias("query_id"), "prints").distinct().join(asks, "prints").select("query_id", "ask")
     return names.join(judged, "ask").select("query_id", "rec_id", "copies", "offset", "hits", "error")
 
