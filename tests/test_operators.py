@@ -451,5 +451,12 @@ def test_factors_equal_a_plain_run_and_rank_planted_items(spark):
 def test_two_towers_and_seen(spark):
     p = spark.createDataFrame([(1, 2, [1.0, 0.0], [1.0, 0.0])], "query_id long, cand_id long, q array<double>, c array<double>")
     assert N.two_towers(p, {"q": [np.eye(2)], "c": [np.eye(2)]}).first().score == pytest.approx(1.0)
+    rng = np.random.default_rng(1)
+    x, w = rng.normal(size=(40, 2, 6)), {s: [rng.normal(size=(6, 16)), rng.normal(size=(16, 3))] for s in "qc"}
+    many = spark.createDataFrame([(i, -i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(x)], "query_id long, cand_id long, q array<double>, c array<double>")
+    got = {r.query_id: r.score for r in N.two_towers(many, w).collect()}
+    for i, (a, b) in enumerate(x):
+        left, right = np.maximum(a @ w["q"][0], 0) @ w["q"][1], np.maximum(b @ w["c"][0], 0) @ w["c"][1]
+        assert got[i] == pytest.approx(left @ right / np.linalg.norm(left) / np.linalg.norm(right))
     ranked = spark.createDataFrame([(1, 5, 0.9), (1, 6, 0.8), (1, 7, 0.7)], "user_id long, item_id long, score double")
     assert rows(N.without_seen(ranked, spark.createDataFrame([(1, 5)], "user_id long, item_id long"), 1).select("item_id", "rank")) == [(6, 1)]
