@@ -22,7 +22,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from . import memory  # noqa: F401
+from . import memory
 
 #: The split pattern of the vocabulary: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -178,6 +178,7 @@ def _encoded(batches, sent, pattern: str):
     finally:  # the worker lives on for other stages
         voc.known.clear()
         gc.enable()
+        memory.trim()
 
 
 def _decoded(batches, sent):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
@@ -16,3 +18,10 @@ def small_batches(spark: SparkSession) -> None:
     set another size keeps it."""
     if spark.conf.get(SETTING, "10000") == "10000":
         spark.conf.set(SETTING, str(BATCH_ROWS))
+
+
+def trim() -> None:
+    """Give what a task has freed back to the system: workers live on for tasks of other stages, and what one leaves adds to what the next one takes."""
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
+    if free:
+        free(0)

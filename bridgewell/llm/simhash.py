@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import memory
 from . import words as W
 from .components import components, saved
 
@@ -246,6 +247,7 @@ def _sets(need: DataFrame, rows: DataFrame, named: DataFrame, shingle: int) -> D
             b = b.filter(pa.array((sent.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             sets = shingle_sets(W.as_bytes(b["text"]), shingle)
             yield pa.RecordBatch.from_pydict({"node": pa.array([_node(s) for s in sets], pa.int64()), "members": pa.array([s.tobytes() for s in sets], pa.binary())})
+        memory.trim()
 
     return rows.select(slot, "text").mapInArrow(run, "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))
 
@@ -263,6 +265,7 @@ def _checked(pairs: DataFrame, rows: DataFrame, named: DataFrame, similarity: fl
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+        memory.trim()
 
     half = pairs.join(sets, pairs["a"] == sets["node"]).select("a", "b", F.col("members").alias("x"))
     both = half.join(sets, half["b"] == sets["node"]).select("a", "b", "x", F.col("members").alias("y"))
@@ -402,6 +405,7 @@ def _similar(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
             sets = shingle_sets(W.as_bytes(b["text"]), shingle)
             yield pa.RecordBatch.from_pydict({"node": pa.array([_node(s) for s in sets], pa.int64()), "size": pa.array([len(s) for s in sets], pa.int32()),
                 "prefix": pa.array([prefix(s, similarity, *sent.value).tobytes() for s in sets], pa.binary())})
+        memory.trim()
 
     prints = saved(rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(name, "doc_id long, text_key long, node long"))
     named = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), parts_of(F.count("*")))

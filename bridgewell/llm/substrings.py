@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import memory
 from . import words as W
 
 LENGTH, PERIOD = 50, 31
@@ -187,6 +188,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, blocks: i
                 text = b" ".join([data[x:y] for x, y in zip(start[f:t][keep].tolist(), end[f:t][keep].tolist(), strict=True)])
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], r.view(np.int8), [0]])))
                 out.append((t - f, int(r.sum()), text.decode(), [{"start": int(x), "stop": int(y)} for x, y in zip(edges[0::2], edges[1::2], strict=True)]))
+        memory.trim()
         cols = list(zip(*out, strict=True))
         ids = pa.array([None if z else x for x, z in zip(group["doc_id"].to_pylist(), group["no_id"].to_pylist(), strict=True)], pa.int64())
         came = [group[f"carry_{i}"] for i in range(len(kinds))]
