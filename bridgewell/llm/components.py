@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.storage import checkpoint_folder, saved
+from ..operators import storage
+from ..operators.storage import checkpoint_folder
+from .memory import release
 
 __all__ = ["checkpoint_folder", "components", "saved"]
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """storage.saved(); what earlier steps shuffled and nothing refers to any more is given back."""
+    out = storage.saved(df)
+    release(df.sparkSession)
+    return out
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component: the smallest node reachable, for every node of the links (a, b), both long.
 

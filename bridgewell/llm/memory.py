@@ -1,4 +1,4 @@
-"""Memory of Python workers: freed Arrow buffers go back to the system, and batches of whole texts stay small."""
+"""Memory of Python workers and disk of ended steps: freed Arrow buffers go back to the system, batches of whole texts stay small, and shuffle files go when nothing needs them."""
 
 from __future__ import annotations
 
@@ -25,3 +25,9 @@ def trim() -> None:
     free = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
     if free:
         free(0)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are gone. It does so when the driver's JVM collects them, which a mostly idle driver may not do for half an hour,
+    while an operator of many steps fills the executors' disks."""
+    spark.sparkContext._jvm.System.gc()
