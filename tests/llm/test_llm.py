@@ -370,6 +370,39 @@ def test_budgets_of_many_leaves():
     assert time.time() - began < 5 and set(given) == set(have)
 
 
+@pytest.mark.parametrize("most_sent", [10**5, 3])
+def test_budgets_by_level(spark, most_sent):
+    rng = random.Random(15)
+    have = {(f"d{rng.randrange(3)}", rng.choice(["en", "en", "de", ""]), f"s{i % 90}"): rng.choice([1, 7, 7, 50, rng.randrange(1, 3000)]) for i in range(250)}
+    leaves = mixing.saved(spark.createDataFrame([(*k, v, 1) for k, v in have.items()], "a string, b string, c string, _sum long, _n long"))
+    weights = {("d0",): 3.0, ("d1",): 0.25, ("d0", "de"): 0.0, ("d2", "en"): 5.0, ("d1", "en", "s1"): 40.0, ("d0", "en", "s3"): 0.0}
+    for fraction, epochs, w in ((0.3, 1, weights), (1.0, 3, weights), (9.0, 2, {})) if most_sent > 3 else ((0.9, 1, {}), (2.5, 3, weights)):
+        got = {(r.a, r.b, r.c): r._given for r in mixing.budgets_by_level(leaves, ["a", "b", "c"], fraction, w, epochs, most_sent).collect()}
+        want = mixing.budgets(have, fraction * sum(have.values()), w, epochs)
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) <= 1 for k in want)  # a token where a sum rounds
+        assert sum(got[k] != want[k] for k in want) <= 2
+
+
+def test_mix_over_more_leaves_than_are_sent(spark):
+    rng = random.Random(16)
+    docs = spark.createDataFrame([(i, prose(rng, rng.randint(0, 30)), "en" if i % 3 else "de", f"host{i % 3 and i % 40}") for i in range(400)], "doc_id long, text string, lang string, source string")
+    path = {"lang": F.col("lang"), "source": F.col("source")}
+    rows = [sorted(map(tuple, mixing.mix(docs, path, {("en",): 3.0}, 0.6, 2, most_sent=m).collect())) for m in (10**5, 2)]
+    assert rows[0] == rows[1] and len(rows[0]) > 100
+    rows = [sorted(map(tuple, mixing.mixed(docs, fraction=0.6, most_sent=m).collect())) for m in (10**5, 2)]
+    assert rows[0] == rows[1] and rows[0]
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"tokens": F.col("lang")}, {}, 0.5)
+
+
+def test_mix_of_200_000_leaves(spark):
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("host"), "id").alias("source"))
+    got = mixing.mix(docs, {"lang": F.col("lang"), "source": F.col("source")}, {}, 0.5, 1)
+    n, used, least = got.agg(F.count("*"), F.sum("tokens"), F.max("tokens")).first()
+    # the line lies between two and three words a host: shorter documents fit, longer ones do not
+    assert least == 2 and n == sum(i % 7 + 1 <= 2 for i in range(200_000)) and used <= 0.5 * sum(i % 7 + 1 for i in range(200_000))
+
+
 def test_mixed_documents(spark):
     docs = spark.createDataFrame([(i, f"word {i} text", "en", f"src{i % 3}", 10) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
     assert mixing.mixed(docs).columns == docs.columns
