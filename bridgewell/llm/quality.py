@@ -4,8 +4,8 @@ Features are indicators of n-grams: byte 3-grams, and 1- to 3-grams over word sh
 end, same word as before), hashed to 2**18 ids. Indicators are scaled by the log-count ratios of the classes and
 to unit length; a linear hinge-loss model is fitted to them by dual coordinate descent; a logistic curve turns margins into scores.
 
-The model is fitted on at most `sample_rows` labelled rows, those whose hashed ids come first; every text is
-scored whole. Label 1 is good quality.
+The model is fitted on at most `sample_rows` labelled rows, those whose hashed ids come first, and of these on as many as have
+`sample_bytes` of features together, four a feature (a single longer one is used); every text is scored whole. Label 1 is good quality.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .interpolation import written
 
 BITS = 18
 SAMPLE_ROWS = 8000
+SAMPLE_BYTES = 192 << 20
 THRESHOLD = 0.3
 #: Character classes of word shapes: 1 lower-case or other letter, 2 upper-case letter, 3 digit, 4 stop or comma, 5 other mark.
 CLASSES = np.full(256, 1, np.int64)
@@ -135,8 +137,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on the labelled rows that satisfy `learn` (a condition on doc_id), at most sample_rows of them.
+def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on the labelled rows that satisfy `learn` (a condition on doc_id), at most sample_rows of them and sample_bytes of their features.
 
     Rows with a null label or id are left out; an id labelled twice counts once, with its
     smaller label, and an id that several documents have stands for the first of their texts.
@@ -151,7 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
             rows = features(W.as_bytes(b["text"]))
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "label": b["_label"], "ids": pa.array([r.tobytes() for r in rows], pa.binary())})
 
-    got = texts.mapInArrow(extract, "doc_id long, label int, ids binary").toArrow()
+    drawn = written(texts.mapInArrow(extract, "doc_id long, label int, ids binary"))
+    order = Window.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # over the sample alone
+    used = drawn.select("doc_id", (F.coalesce(F.sum(F.octet_length("ids")).over(order), F.lit(0)) < sample_bytes).alias("_in")).where("_in")
+    got = drawn.join(F.broadcast(used), "doc_id", "left_semi").toArrow()  # bounded by sample_bytes
     got = got.sort_by("doc_id")
     rows = [np.frombuffer(x, np.int32) for x in got["ids"].to_pylist()]
     return fit(rows, np.array(got["label"].to_pylist(), np.int64))

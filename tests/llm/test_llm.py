@@ -194,6 +194,19 @@ def test_quality_odd_rows(spark):
     assert quality.score(docs, alone).first().score > 0.9
 
 
+def test_quality_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs, labels, _ = labelled(spark, 60)
+    docs = docs.union(spark.createDataFrame([(1000 + i, "Some longer text, number %d. " % i * 40) for i in range(5)], docs.schema))
+    labels = labels.union(spark.createDataFrame([(1000 + i, i % 2, 0) for i in range(5)], labels.schema))
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, y, **_: seen.append(sorted(r.nbytes for r in rows)))
+    for most in (1, 20_000, quality.SAMPLE_BYTES):
+        quality.train(docs, labels, F.lit(True), sample_bytes=most)
+    one, some, every = seen
+    assert len(one) == 1 and 1 < len(some) < len(every) == labels.select("doc_id").distinct().count()
+    assert sum(some) < 20_000 + max(every)  # the row that passes the bound is the last one
+
+
 def test_descent_reaches_the_optimum():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(40, 6))
