@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .keys import dense_ids
+from .lists import Block, Lists
 from .products import add_up, grid, over_lists, product
 from .storage import saved
 
@@ -69,8 +70,8 @@ def layered(edges: DataFrame, vectors: DataFrame, layers: int = 2) -> DataFrame:
     return add_up(total, shape[0]).select("node", F.transform("v", lambda x: x / (layers + 1)).alias("v"))
 
 
-def within_lists(lists: DataFrame, choose: Callable[[np.ndarray, np.ndarray], np.ndarray], names: tuple[str, str]) -> DataFrame:
-    """query_id and the two nodes of each chosen pair of a list. lists: query_id, node (long), v; a list holds a query and its candidates, each once.
+def within_lists(lists: DataFrame | Lists, choose: Callable[[np.ndarray, np.ndarray], np.ndarray], names: tuple[str, str]) -> DataFrame:
+    """query_id and the two nodes of each chosen pair of a list. lists: query_id, node (long), v, or Lists with nodes in cands; a list holds a query and its candidates, each once.
     choose(nodes, similarities rounded to nine digits): pairs of places."""
 
     def each(nodes: np.ndarray, x: np.ndarray) -> tuple:
@@ -86,12 +87,12 @@ def _similar(x: np.ndarray) -> np.ndarray:
     return np.round((x @ x.T) / np.maximum(np.outer(length, length), 1e-300), 9)
 
 
-def threshold_graph(lists: DataFrame, above: float = 0.3) -> DataFrame:
+def threshold_graph(lists: DataFrame | Lists, above: float = 0.3) -> DataFrame:
     """query_id, src, dst: nodes of a list more similar than the bound, and each node with itself."""
     return within_lists(lists, lambda nodes, sim: np.argwhere((sim > above) | np.eye(len(nodes), dtype=bool)), ("src", "dst"))
 
 
-def nearest_hyperedges(lists: DataFrame, k: int = 5) -> DataFrame:
+def nearest_hyperedges(lists: DataFrame | Lists, k: int = 5) -> DataFrame:
     """query_id, hyperedge, node: each node names a hyperedge of its k most similar nodes, itself first, ties to the smaller node."""
 
     def choose(nodes: np.ndarray, sim: np.ndarray) -> np.ndarray:
@@ -102,18 +103,37 @@ def nearest_hyperedges(lists: DataFrame, k: int = 5) -> DataFrame:
     return within_lists(lists, choose, ("hyperedge", "node"))
 
 
-def convolved_lists(lists: DataFrame, above: float = 0.3) -> DataFrame:
+def convolved_lists(lists: DataFrame | Lists, above: float = 0.3) -> DataFrame:
     """query_id, node, v after one graph-convolution step over the nodes of each list that are more similar than the bound: weights of 1 over the root of both degrees. Each node's
     own loop is added to the similarities, where it stands already (but for a zero vector), so it weighs 2."""
 
     def each(nodes: np.ndarray, x: np.ndarray) -> tuple:
-        linked = (_similar(x) > above) + np.eye(len(nodes))
-        root = np.sqrt(linked.sum(axis=0))
-        return nodes, (linked / np.outer(root, root)) @ x
+        return nodes, _convolved(x, above)
 
     return over_lists(lists, each, ["node", "v"], [pa.int64(), pa.list_(pa.float64())])
 
 
+def _convolved(x: np.ndarray, above: float) -> np.ndarray:
+    linked = (_similar(x) > above) + np.eye(len(x))
+    root = np.sqrt(linked.sum(axis=0))
+    return (linked / np.outer(root, root)) @ x
+
+
+def convolved_products(block: Block, above: float = 0.3) -> np.ndarray:
+    """As propagated_scores(convolved_lists()), for the candidates of a block of lists, whose convolved vectors never leave their task; not a number for candidates without a vector, and where
+    the query has none."""
+    q, x, out, lo = block.query_rows("query_v"), block.rows("v"), [], 0
+    for own, n in zip(q, block.size, strict=True):
+        part = np.concatenate([own[None], x[lo : lo + n]])
+        known, score = ~np.isnan(part).any(axis=1), np.full(n, np.nan)
+        if known[0]:
+            made = _convolved(part[known], above)
+            score[known[1:]] = made[1:] @ made[0]
+        out.append(score)
+        lo += n
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def propagated_scores(convolved: DataFrame, asks: DataFrame) -> DataFrame:
     """query_id, cand_id, score: inner products of each query's vector with its candidates' after the step. asks: query_id, node (the query's own)."""
     q = convolved.join(asks, ["query_id", "node"]).select("query_id", F.col("node").alias("_own"), F.col("v").alias("_q"))

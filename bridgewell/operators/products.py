@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import rows_of
+from .lists import Block, Lists, over_blocks
 
 CELL_EDGES, BLOCK_BYTES, CHUNK = 1 << 17, 16 << 20, 1 << 14  # edges of a cell, about; vectors of a block; edges multiplied at once
 OUT = "node long, v array<double>"
@@ -96,11 +97,13 @@ def product(edges: DataFrame, vectors: DataFrame, shape: tuple[int, int] | None
     return add_up(cells.cogroup(dealt).applyInArrow(multiply, OUT), n)
 
 
-def over_lists(lists: DataFrame, each: Callable[[np.ndarray, np.ndarray], tuple], names: list[str], kinds: list[pa.DataType]) -> DataFrame:
+def over_lists(lists: DataFrame | Lists, each: Callable[[np.ndarray, np.ndarray], tuple], names: list[str], kinds: list[pa.DataType]) -> DataFrame:
     """query_id and the columns that each(nodes, vectors) gives, list by list, nodes in order. lists: query_id, node (long), v. Lists lie side by side in their tasks, many in a batch; a
-    list, with its query and candidates, is bounded."""
-    kind = lists.schema["query_id"].dataType.simpleString()
+    list, with its query and candidates, is bounded. Of Lists, whose cands are nodes with v, each is worked on where it lies."""
     sql = {pa.int64(): "long", pa.list_(pa.float64()): "array<double>"}
+    if isinstance(lists, Lists):
+        return _over_folded(lists, each, names, kinds, sql)
+    kind = lists.schema["query_id"].dataType.simpleString()
 
     def run(batches):
         held = []
@@ -138,3 +141,23 @@ def over_lists(lists: DataFrame, each: Callable[[np.ndarray, np.ndarray], tuple]
     slim = lists.where("v is not null").select("query_id", F.col("node").cast("long").alias("node"), "v")
     ordered = slim.repartition("query_id").sortWithinPartitions("query_id", "node")
     return ordered.mapInArrow(run, ", ".join([f"query_id {kind}", *(f"{c} {sql[t]}" for c, t in zip(names, kinds, strict=True))]))
+
+
+def _over_folded(lists: Lists, each, names: list[str], kinds: list[pa.DataType], sql: dict) -> DataFrame:
+    def work(block: Block) -> pa.RecordBatch:
+        nodes, x, lo, at, out = block.cands["node"].to_numpy(zero_copy_only=False), block.rows("v"), 0, [], []
+        for k, n in enumerate(block.size):
+            own, v = nodes[lo : lo + n], x[lo : lo + n]
+            lo += n
+            order = np.argsort(own, kind="stable")
+            order = order[~np.isnan(v[order]).any(axis=1)]
+            if len(order):
+                found = each(own[order], v[order])
+                at.append(np.full(len(found[0]), k))
+                out.append(found)
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros((0, 1) if t != pa.int64() else 0) for t in kinds]
+        at = np.concatenate(at) if at else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([block.batch["query_id"].take(pa.array(at)), *(arrays(c) if c.ndim == 2 else pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["query_id", *names])
+
+    kind = lists.rows.schema["query_id"].dataType.simpleString()
+    return over_blocks(lists, work, ", ".join([f"query_id {kind}", *(f"{c} {sql[t]}" for c, t in zip(names, kinds, strict=True))]))

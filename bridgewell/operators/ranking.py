@@ -11,28 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .postings import K1, B, Best, Postings
+from .lists import FLOOR, Lists, bm25_of, joined_words, scored, unfold
+from .postings import Best, Postings
 from .storage import saved
 
-FLOOR = 0.25  # a fixed value of the scoring rule, as are K1 and B
-
 
 def bm25(pairs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """query_id, cand_id, the columns named in carry, score. pairs: query_id, query_text, cand_id, cand_text and those; a candidate stands once in a
     query. The candidates of a query are its corpus; a term's negative idf becomes FLOOR times the mean idf of the corpus."""
-    # Everything is counted by windows inside a query, so the rows are shuffled once, by query_id.
-    query, words = Window.partitionBy("query_id"), Window.partitionBy("query_id", "term")
-    base = pairs.select("query_id", "cand_id", *carry, tokens(F.lower("query_text")).alias("q"), tokens(F.lower("cand_text")).alias("w"))
-    sized = base.select("query_id", "cand_id", *carry, "q", "w", F.size("w").alias("len"), F.count("*").over(query).alias("n_docs"), F.avg(F.size("w")).over(query).alias("avg_len"))
-    terms = sized.withColumn("term", F.explode_outer("w")).withColumn("times", F.size(F.filter("q", lambda x: x == F.col("term"))))
-    tf = terms.groupBy("query_id", "cand_id", "term").agg(F.count("term").alias("tf"), *[F.max(c).alias(c) for c in ("times", "len", "n_docs", "avg_len", *carry)])
-    df = tf.withColumn("df", F.count("term").over(words))
-    raw = df.withColumn("idf", F.when(F.col("df") > 0, F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
-    share = F.when(F.col("df") > 0, 1 / F.col("df"))  # a term's rows count as one
-    floored = raw.withColumn("floor", FLOOR * F.sum(F.col("idf") * share).over(query) / F.sum(share).over(query))
-    idf = F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))
-    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return floored.groupBy("query_id", "cand_id").agg(*[F.max(c).alias(c) for c in carry], F.coalesce(F.sum(F.when(F.col("times") > 0, part)), F.lit(0.0)).alias("score"))
+    # A query's rows are folded into one, so that they are shuffled once and no row for each word is made.
+    slim = pairs.select("query_id", joined_words(F.col("query_text")).alias("query_words"), F.struct("cand_id", *carry, joined_words(F.col("cand_text")).alias("words")).alias("_c"))
+    lists = Lists(slim.groupBy("query_id").agg(F.first("query_words", ignorenulls=True).alias("query_words"), F.collect_list("_c").alias("cands")))
+    return unfold(scored(lists, {"score": bm25_of}, carry))
 
 
 MOST_TERMS, MOST_QUERIES, BLOCK = 1 << 17, 4096, 4096  # about so many terms and queries are sent to every task; documents of a posting block
@@ -124,17 +114,24 @@ def top(scores: DataFrame, query: str, cand: str, k: int | None = None) -> DataF
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+def category_bonus(score: Column, best: Column, equal: Column, weight: float = 0.3) -> Column:
+    """A share 1 - weight of the score, plus weight times the query's best score where the category is equal; a best score that is not positive counts as 1."""
+    return (1 - weight) * score + weight * F.when(equal, F.when(best > 0, best).otherwise(F.lit(1.0))).otherwise(F.lit(0.0))
+
+
 def with_category_bonus(scores: DataFrame, equal: Column, weight: float = 0.3) -> DataFrame:
-    """score of a share 1 - weight, plus weight times the query's best score where the category is equal; a best score that is not positive counts as 1."""
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    bonus = F.when(equal, F.when(best > 0, best).otherwise(F.lit(1.0))).otherwise(F.lit(0.0))
-    return scores.withColumn("score", (1 - weight) * F.col("score") + weight * bonus)
+    """The score with category_bonus(), by rows."""
+    return scores.withColumn("score", category_bonus(F.col("score"), F.max("score").over(Window.partitionBy("query_id")), equal, weight))
+
+
+def hybrid_score(bm25: Column, best: Column, cosine: Column, attributes: Column, same: Column) -> Column:
+    """best: the query's best bm25; same: 0 or 1."""
+    return 0.2 * bm25 / (best + 1e-6) + 0.3 * cosine + 0.3 * attributes + 0.2 * same
 
 
 def hybrid(parts: DataFrame) -> DataFrame:
     """parts: query_id, cand_id, bm25, cosine, attributes, same (0 or 1)."""
-    best = F.max("bm25").over(Window.partitionBy("query_id"))
-    return parts.withColumn("score", 0.2 * F.col("bm25") / (best + 1e-6) + 0.3 * F.col("cosine") + 0.3 * F.col("attributes") + 0.2 * F.col("same"))
+    return parts.withColumn("score", hybrid_score(F.col("bm25"), F.max("bm25").over(Window.partitionBy("query_id")), F.col("cosine"), F.col("attributes"), F.col("same")))
 
 
 def labelled_ranks(scores: DataFrame) -> DataFrame:

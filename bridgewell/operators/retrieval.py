@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .blocks import grid_top, rows_of
 from .forest import approximate_top
+from .lists import Block, Lists, scored
 
-__all__ = ["approximate_top", "encode_with", "exact_top", "two_towers", "without_seen"]
+__all__ = ["approximate_top", "encode_with", "exact_top", "two_tower_lists", "two_towers", "without_seen"]
 
 BLOCK = 4096  # items compared at once
 MOST_QUERY_BYTES = 64 << 20  # of a query set that is sent to every task; larger ones are dealt in blocks
@@ -105,24 +106,36 @@ def without_seen(ranked: DataFrame, seen: DataFrame, k: int) -> DataFrame:
     return left.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id"))).where(F.col("rank") <= k)
 
 
+def _tower(x: np.ndarray, layers: list[np.ndarray]) -> np.ndarray:
+    for i, w in enumerate(layers):
+        x = x @ w
+        if i + 1 < len(layers):
+            x = np.maximum(x, 0)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 def two_towers(pairs: DataFrame, weights: dict[str, list[np.ndarray]]) -> DataFrame:
     """query_id, cand_id, score of given networks (one list of layer matrices a side; rectified between, unit length at the end).
 
     pairs: query_id, cand_id, q, c (arrays).
     """
 
-    def tower(x: np.ndarray, layers: list[np.ndarray]) -> np.ndarray:
-        for i, w in enumerate(layers):
-            x = x @ w
-            if i + 1 < len(layers):
-                x = np.maximum(x, 0)
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-    def run(frames):
-        for f in frames:
-            if len(f):
-                q, c = (tower(np.array([list(v) for v in f[s]], np.float64), weights[s]) for s in ("q", "c"))
-                yield pd.DataFrame({"query_id": f["query_id"], "cand_id": f["cand_id"], "score": (q * c).sum(axis=1)})
+    def run(batches):
+        for b in batches:
+            for lo in range(0, len(b), BLOCK):
+                part = b.slice(lo, BLOCK)
+                q, c = (_tower(rows_of(part[s]), weights[s]) for s in ("q", "c"))
+                yield pa.RecordBatch.from_arrays([part["query_id"], part["cand_id"], pa.array((q * c).sum(axis=1))], ["query_id", "cand_id", "score"])
 
     kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("query_id", "cand_id")}
-    return pairs.select("query_id", "cand_id", "q", "c").mapInPandas(run, f"query_id {kinds['query_id']}, cand_id {kinds['cand_id']}, score double")
+    return pairs.select("query_id", "cand_id", "q", "c").mapInArrow(run, f"query_id {kinds['query_id']}, cand_id {kinds['cand_id']}, score double")
+
+
+def two_tower_lists(lists: Lists, weights: dict[str, list[np.ndarray]]) -> DataFrame:
+    """query_id, scored (cand_id, label, score): two_towers() over lists with query_v and v; a query's vector passes its network once."""
+
+    def measure(block: Block) -> np.ndarray:
+        q, c = _tower(block.query_rows("query_v"), weights["q"]), _tower(block.rows("v"), weights["c"])
+        return np.einsum("ij,ij->i", q[block.list_of], c)
+
+    return scored(lists, {"score": measure}, ["label"])

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import graph as G
 from ..operators import keys as K
+from ..operators import lists as C
 from ..operators import quality as A
 from ..operators import ranking as R
 from ..operators import retrieval as N
@@ -68,18 +69,22 @@ def crawl_frontier(lists: Mapping[str, DataFrame], done: DataFrame, key: str) ->
 STRATEGIES = ("same_category", "any", "quota")
 
 
-def eval_dataset(pairs: DataFrame, items: DataFrame, strategy: str = "quota", seed: int = 42) -> DataFrame:
-    """query_id, cand_id, label, position: the true item of each pair (query_id, true_id, category) and its negatives from items (item_id, category), by
+def eval_lists(pairs: DataFrame, items: DataFrame, strategy: str = "quota", seed: int = 42) -> DataFrame:
+    """query_id, cands (cand_id, label) in seeded order: the true item of each pair (query_id, true_id, category; each query once) and its negatives from items (item_id, category), by
     the strategy: 99 of the query's category, 99 of any, or 70 of the category and 29 of others."""
     if strategy == "same_category":
-        negatives = W.same_category_negatives(pairs, items, seed=seed)
-    elif strategy == "any":
-        negatives = W.any_negatives(pairs, items, seed=seed)
-    elif strategy == "quota":
-        negatives = W.quota_negatives(pairs, items, seed=seed)
-    else:
-        raise ValueError(f"strategy is one of {STRATEGIES}")
-    return W.benchmark(pairs, negatives, seed)
+        return W.benchmark_lists(W.same_category_lists(pairs, items, seed=seed), "items", seed=seed)
+    if strategy == "any":
+        return W.benchmark_lists(W.any_lists(pairs, items, seed=seed), "items", seed=seed)
+    if strategy == "quota":
+        return W.benchmark_lists(W.quota_lists(pairs, items, seed=seed), "hard", "easy", seed=seed)
+    raise ValueError(f"strategy is one of {STRATEGIES}")
+
+
+def eval_dataset(pairs: DataFrame, items: DataFrame, strategy: str = "quota", seed: int = 42) -> DataFrame:
+    """query_id, cand_id, label, position (from 1): the rows of eval_lists()."""
+    rows = eval_lists(pairs, items, strategy, seed).select("query_id", F.posexplode("cands").alias("position", "_c"))
+    return rows.select("query_id", "_c.cand_id", "_c.label", (F.col("position") + 1).alias("position"))
 
 
 def _long(report: DataFrame, section: str, name: Column | None = None) -> DataFrame:
@@ -137,57 +142,98 @@ def validate(df: DataFrame, kind: str) -> DataFrame:
     return both.select("section", "name", value.alias("value"))
 
 
-def _same_category() -> Column:
-    return F.col("query_category") == F.col("cand_category")
+def as_lists(ev: DataFrame | C.Lists, *features: str) -> C.Lists:
+    """Evaluation rows (query_id, cand_id, label, and query_ and cand_ text, category, specs, v) as lists with these features (of texts, the words); lists stay."""
+    if isinstance(ev, C.Lists):
+        return ev
+    named = {"words" if f == "text" else f: f for f in features}
+    side = lambda p, f: C.joined_words(F.col(f"{p}_text")) if f == "text" else F.col(f"{p}_{f}")
+    slim = ev.select("query_id", "cand_id", "label", *[side(p, f).alias(f"{p}_{n}") for n, f in named.items() for p in ("query", "cand")])
+    cand = F.struct("cand_id", "label", *[F.col(f"cand_{n}").alias(n) for n in named])
+    return C.Lists(slim.groupBy("query_id").agg(*[F.first(f"query_{n}", ignorenulls=True).alias(f"query_{n}") for n in named], F.collect_list(cand).alias("cands")))
+
+
+def _prepared(lists: C.Lists, **made) -> C.Lists:
+    """The lists with more fields of the candidates, made of each one."""
+    fields = [f for f in lists.rows.schema["cands"].dataType.elementType.names if f not in ("category", "specs")]
+    kept = [c for c in lists.rows.columns if c not in ("cands", "query_category", "query_specs")]
+    cands = F.transform("cands", lambda x: F.struct(*[x[f].alias(f) for f in fields], *[make(x).alias(name) for name, make in made.items()]))
+    return C.Lists(lists.rows.select(*kept, cands.alias("cands")), lists.vectors)
+
 
+def _same_category(x: Column) -> Column:
+    return F.col("query_category") == x["category"]
 
-def bm25_scores(ev: DataFrame) -> DataFrame:
-    rows = ev.select("query_id", "query_text", "cand_id", "cand_text", "label", _same_category().alias("same"))
-    return R.with_category_bonus(R.bm25(rows, ["label", "same"]).withColumn("score", F.round("score", 6)), F.col("same"))
 
+def _rounded(x: Column, name: str) -> Column:
+    return F.round(x[name], 6)
 
-def embedding_scores(ev: DataFrame) -> DataFrame:
-    return ev.select("query_id", "cand_id", "label", F.round(V.cosine(F.col("query_v"), F.col("cand_v")), 6).alias("score"))
 
+def bm25_lists(ev: DataFrame | C.Lists) -> DataFrame:
+    """query_id, scored: BM25 among a query's candidates, with a bonus for the query's category."""
+    got = C.scored(_prepared(as_lists(ev, "text", "category"), same=_same_category), {"bm25": C.bm25_of}, ["label", "same"])
+    best = F.array_max(F.transform("scored", lambda x: _rounded(x, "bm25")))
+    return C.with_score(got.withColumn("_best", best), lambda x: R.category_bonus(_rounded(x, "bm25"), F.col("_best"), x["same"]))
 
-def two_tower_scores(ev: DataFrame, weights: dict) -> DataFrame:
-    found = N.two_towers(ev.select("query_id", "cand_id", F.col("query_v").alias("q"), F.col("cand_v").alias("c")), weights)
-    return ev.select("query_id", "cand_id", "label").join(found, ["query_id", "cand_id"])
 
+def embedding_lists(ev: DataFrame | C.Lists) -> DataFrame:
+    got = C.scored(as_lists(ev, "v"), {"cosine": C.cosine_of}, ["label"])
+    return C.with_score(got, lambda x: _rounded(x, "cosine"))
 
-def graph_lists(ev: DataFrame) -> DataFrame:
-    """query_id, node, v: each query and its candidates."""
+
+def two_tower_lists(ev: DataFrame | C.Lists, weights: dict) -> DataFrame:
+    return N.two_tower_lists(as_lists(ev, "v"), weights)
+
+
+def graph_lists(ev: DataFrame | C.Lists) -> DataFrame | C.Lists:
+    """query_id, node, v: each query and its candidates. Of lists the same in one row a query: query_id and nodes (node, v)."""
+    if isinstance(ev, C.Lists):
+        nodes = F.concat(F.array(F.struct(F.col("query_id").cast("long").alias("node"), F.col("query_v").alias("v"))), F.transform("cands", lambda x: F.struct(x["cand_id"].cast("long").alias("node"), x["v"].alias("v"))))
+        return C.Lists(ev.rows.select("query_id", nodes.alias("cands")), ev.vectors)
     own, cand = F.struct(F.col("query_id").alias("node"), F.col("query_v").alias("v")), F.struct(F.col("cand_id").alias("node"), F.col("cand_v").alias("v"))
     return ev.select("query_id", F.explode(F.when(F.col("label") == 1, F.array(own, cand)).otherwise(F.array(cand))).alias("n")).select("query_id", "n.node", "n.v")
 
 
-def graph_scores(ev: DataFrame) -> DataFrame:
-    found = G.propagated_scores(G.convolved_lists(graph_lists(ev)), ev.where("label = 1").select("query_id", F.col("query_id").cast("long").alias("node")))
-    return found.withColumn("score", F.round("score", 6)).join(ev.select("query_id", "cand_id", "label"), ["query_id", "cand_id"])
+def graph_scored(ev: DataFrame | C.Lists) -> DataFrame:
+    got = C.scored(as_lists(ev, "v"), {"product": G.convolved_products}, ["label"])
+    known = got.select("query_id", F.filter("scored", lambda x: x["product"].isNotNull()).alias("scored"))
+    return C.with_score(known, lambda x: _rounded(x, "product"))
+
 
+def hybrid_parts(ev: DataFrame | C.Lists) -> DataFrame:
+    """query_id, scored: cand_id, label, bm25, cosine, hybrid."""
+    made = {"same": lambda x: _same_category(x).cast("int"), "attributes": lambda x: T.attribute_match(F.col("query_specs"), x["specs"])}
+    got = C.scored(_prepared(as_lists(ev, "text", "category", "specs", "v"), **made), {"bm25": C.bm25_of, "cosine": C.cosine_of}, ["label", "same", "attributes"])
+    exact = got.withColumn("scored", F.transform("scored", lambda x: x.withField("bm25", _rounded(x, "bm25")).withField("cosine", _rounded(x, "cosine"))))
+    best = F.array_max(F.transform("scored", lambda x: x["bm25"]))
+    part = lambda x: R.hybrid_score(x["bm25"], F.col("_best"), x["cosine"], x["attributes"], x["same"])
+    return exact.withColumn("_best", best).select("query_id", F.transform("scored", lambda x: F.struct(*[x[c].alias(c) for c in ("cand_id", "label", "bm25", "cosine")], part(x).alias("hybrid"))).alias("scored"))
 
-def hybrid_scores(ev: DataFrame) -> DataFrame:
-    rows = ev.select(
-        "query_id", "query_text", "cand_id", "cand_text", "label", _same_category().cast("int").alias("same"), F.round(V.cosine(F.col("query_v"), F.col("cand_v")), 6).alias("cosine"),
-        T.attribute_match(F.col("query_specs"), F.col("cand_specs")).alias("attributes"))
-    return R.hybrid(R.bm25(rows, ["label", "same", "cosine", "attributes"]).withColumnRenamed("score", "bm25").withColumn("bm25", F.round("bm25", 6)))
 
+def hybrid_lists(ev: DataFrame | C.Lists) -> DataFrame:
+    return C.with_score(hybrid_parts(ev), lambda x: x["hybrid"])
 
-#: Rankers by name; those of a catalogue of baselines by number too. Each takes the evaluation rows and gives query_id, cand_id, label, score.
-RANKERS = {"bm25": bm25_scores, "embedding": embedding_scores, "two_towers": two_tower_scores, "graph": graph_scores, "hybrid": hybrid_scores}
+
+#: Rankers by name; those of a catalogue of baselines by number too. Each takes evaluation rows or lists and gives query_id, scored (cand_id, label, score).
+RANKERS = {"bm25": bm25_lists, "embedding": embedding_lists, "two_towers": two_tower_lists, "graph": graph_scored, "hybrid": hybrid_lists}
 NUMBERS = {1: "bm25", 2: "embedding", 3: "two_towers", 4: "graph", 5: "hybrid"}
 
 
-def evaluate(ev: DataFrame, ranker: str | int, k: int = 10, complete: int | None = None, **parameters) -> DataFrame:
+def scores(ev: DataFrame | C.Lists, ranker: str | int, **parameters) -> DataFrame:
+    """query_id, cand_id, label, score of a ranker."""
+    return C.unfold(RANKERS[NUMBERS.get(ranker, ranker)](ev, **parameters))
+
+
+def evaluate(ev: DataFrame | C.Lists, ranker: str | int, k: int = 10, complete: int | None = None, **parameters) -> DataFrame:
     """One row: model, hr_at_k, ndcg_at_k, n_queries of a ranker over evaluation rows (query_id, cand_id, label, and query_ and cand_ text, category, specs,
-    v). complete: only queries with exactly so many candidates. parameters: the ranker's own, such as the weights of two_towers."""
+    v) or lists. complete: only queries with exactly so many candidates. parameters: the ranker's own, such as the weights of two_towers."""
     name = NUMBERS.get(ranker, ranker)
     if name not in RANKERS:
         raise ValueError(f"ranker is one of {[*RANKERS, *NUMBERS]}")
-    scores = RANKERS[name](ev, **parameters).select("query_id", "cand_id", "label", F.round("score", 8).alias("score"))
+    got = C.with_score(RANKERS[name](ev, **parameters), lambda x: F.round(x["score"], 8))
     if complete is not None:
-        scores = scores.join(scores.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") == complete).select("query_id"), "query_id", "left_semi")
-    return R.metrics(R.labelled_ranks(scores), k).select(F.lit(name).alias("model"), "hr_at_k", "ndcg_at_k", "n_queries")
+        got = got.where(F.size("scored") == complete)
+    return R.metrics(C.ranks(got), k).select(F.lit(name).alias("model"), "hr_at_k", "ndcg_at_k", "n_queries")
 
 
 def recommend(users: DataFrame, items: DataFrame, seen: DataFrame, k: int = 10, fetched: int = 50, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

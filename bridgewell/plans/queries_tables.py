@@ -359,9 +359,10 @@ def _listed(cte: str, rows: str) -> str:
     return f"""{cte} SELECT query_id, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, md5(string_agg(CAST(cand_id AS VARCHAR), ',' ORDER BY md5('42|' || query_id || '|' || cand_id), cand_id)) AS candidates FROM {rows} GROUP BY query_id"""
 
 
-def listed(ev):
-    g = ev.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("label").alias("positives"), F.sort_array(F.collect_list(F.struct("position", "cand_id"))).alias("c"))
-    return g.select("query_id", "n", "positives", F.md5(F.array_join(F.transform("c", lambda x: x["cand_id"].cast("string")), ",")).alias("candidates"))
+def listed(lists):
+    label = F.aggregate(F.transform("cands", lambda x: x["label"].cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    text = F.array_join(F.transform("cands", lambda x: x["cand_id"].cast("string")), ",")
+    return lists.select("query_id", F.size("cands").cast("long").alias("n"), label.alias("positives"), F.md5(text).alias("candidates"))
 
 
 TRUE = "SELECT query_id, true_id AS cand_id, 1 AS label FROM pairs WHERE query_id IN (SELECT query_id FROM taken_) UNION ALL SELECT query_id, item_id, 0 FROM taken_"
@@ -369,14 +370,14 @@ TRUE = "SELECT query_id, true_id AS cand_id, 1 AS label FROM pairs WHERE query_i
 
 @query("q6_eval_dataset", _listed(BENCH, "bench"))
 def _(spark, d):
-    return listed(L.eval_dataset(pairs(spark, d), local(spark, d), "quota"))
+    return listed(L.eval_lists(pairs(spark, d), local(spark, d), "quota"))
 
 
 @query("q6_eval_same_category", _listed(f"""WITH {ITEMS}, {PAIRS}, {LOCAL}, few AS (SELECT * FROM placed WHERE rank < 500),
 n AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY md5('42|' || query_id || '|' || item_id), item_id) AS n FROM pairs JOIN few USING (category) WHERE item_id <> true_id),
 taken_ AS MATERIALIZED (SELECT query_id, item_id FROM n WHERE n <= 99), listed AS ({TRUE})""", "listed"))
 def _(spark, d):
-    return listed(L.eval_dataset(pairs(spark, d), local(spark, d), "same_category"))
+    return listed(L.eval_lists(pairs(spark, d), local(spark, d), "same_category"))
 
 
 @query("q6_eval_any", _listed(f"""WITH {ITEMS}, {PAIRS}, {LOCAL}, t AS (SELECT count(*) AS total FROM local),
@@ -384,7 +385,7 @@ runs AS (SELECT query_id, true_id, i, ({draw_sql('42a', 'total', 'query_id')} +
 n AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY i) AS n FROM runs JOIN placed USING (place) WHERE item_id <> true_id),
 taken_ AS MATERIALIZED (SELECT query_id, item_id FROM n WHERE n <= 99), listed AS ({TRUE})""", "listed"))
 def _(spark, d):
-    return listed(L.eval_dataset(pairs(spark, d), local(spark, d), "any"))
+    return listed(L.eval_lists(pairs(spark, d), local(spark, d), "any"))
 
 
 def _cells(section: str, cte: str, columns: list[str]) -> str:
