@@ -314,7 +314,9 @@ def _(spark, d):
 
 @query("x15_variant_ids", "SELECT page_id, unnest(list_distinct(regexp_extract_all(upper(html), '>([A-Z0-9]{10})[ <]', 1))) AS asin FROM pages")
 def _(spark, d):
-    marked = F.regexp_replace(F.upper("html"), ">([A-Z0-9]{10})(?=[ <])", ' data-asin="$1"')
+    # Letter by letter, as in the SQL: Spark's upper makes two letters of some, and so ids of words of nine characters.
+    upper = F.translate("html", "abcdefghijklmnopqrstuvwxyz\u0131\u017f", "ABCDEFGHIJKLMNOPQRSTUVWXYZIS")
+    marked = F.regexp_replace(upper, ">([A-Z0-9]{10})(?=[ <])", ' data-asin="$1"')
     return table(spark, d, "pages").select("page_id", F.explode(P.variant_ids(marked)).alias("asin"))
 
 

@@ -112,3 +112,11 @@ def test_vectors(spark):
     assert one(spark, [3.0, 4.0], V.normalise, "array<float>") == pytest.approx([0.6, 0.8])
     assert one(spark, [0.0, 0.0], V.normalise, "array<float>") == [0.0, 0.0]
     assert one(spark, [1.0, 2.0], lambda c: V.cosine(c, c), "array<float>") == pytest.approx(1.0)
+
+
+def test_variant_ids_of_letters_that_grow_in_upper_case(spark, tmp_path):
+    from bridgewell.plans.registry import QUERIES
+
+    html = "<a>einachßpf</a><a>abcdefghi1</a><b>straſe1234 x</b>"
+    spark.createDataFrame([(1, html)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r.asin for r in QUERIES["x15_variant_ids"](spark, str(tmp_path)).collect()) == ["ABCDEFGHI1", "STRASE1234"]
