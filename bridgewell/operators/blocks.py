@@ -63,8 +63,9 @@ KINDS = "block long, n int, centre binary, radius double, least double, most dou
 
 
 def packed(vectors: DataFrame, pivots: np.ndarray, size: int = BLOCK, known: np.ndarray | None = None, k: int = 0, metric: str = "ip") -> DataFrame:
-    """Blocks of at most `size` vectors (id, x), as rows of KINDS. known: items that give each vector its floor, as for queries. Rows are ordered by cell, length and id over
-    ranges of like size, so that a full cell lies in many tasks and blocks."""
+    """Blocks of at most `size` vectors (id, x), as rows of KINDS. known: items that give each vector its floor, as for queries; a column `floor` gives floors known
+    before. Rows are ordered by cell, length and id over ranges of like size, so that a full cell lies in many tasks and blocks."""
+    vectors = vectors if "floor" in vectors.columns else vectors.withColumn("floor", F.lit(float("-inf")))
     sent = vectors.sparkSession.sparkContext.broadcast((pivots, known))  # PIVOTS and SAMPLE vectors
 
     def place(batches):
@@ -72,18 +73,18 @@ def packed(vectors: DataFrame, pivots: np.ndarray, size: int = BLOCK, known: np.
         for b in batches:
             x = rows_of(b["x"])
             cell = np.concatenate([np.zeros(0, np.int64), *(similarity(x[i : i + 4096], p, "l2").argmax(axis=1) for i in range(0, len(x), 4096))])
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(np.sqrt((x * x).sum(axis=1))), b["id"], b["x"]], ["cell", "length", "id", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(np.sqrt((x * x).sum(axis=1))), b["id"], b["x"], b["floor"]], ["cell", "length", "id", "x", "floor"])
 
-    def block(number: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    def block(number: int, ids: np.ndarray, x: np.ndarray, given: np.ndarray) -> pa.RecordBatch:
         centre, length = x.mean(axis=0), np.sqrt((x * x).sum(axis=1))
-        least = floors(x, sent.value[1], k, metric) if sent.value[1] is not None else np.zeros(0)
+        least = np.maximum(floors(x, sent.value[1], k, metric), given) if sent.value[1] is not None else np.zeros(0)
         values = (number, len(ids), _floats(centre), float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max()), float(length.min()), float(length.max()), float(least.min(initial=np.inf)), ids.astype("<i8").tobytes(), _floats(x), _floats(least))
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.int32(), pa.binary(), *[pa.float64()] * 4, *[pa.binary()] * 3), strict=True)], [c.split()[0] for c in KINDS.split(", ")])
 
     def gather(batches):
         number, held = TaskContext.get().partitionId() << 32, []
         for b in batches:
-            cells, ids, x = b["cell"].to_numpy(), b["id"].to_numpy(), rows_of(b["x"])
+            cells, ids, x, given = b["cell"].to_numpy(), b["id"].to_numpy(), rows_of(b["x"]), b["floor"].to_numpy()
             cut = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)] if len(cells) else [0]
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 at = lo
@@ -92,7 +93,7 @@ def packed(vectors: DataFrame, pivots: np.ndarray, size: int = BLOCK, known: np.
                     number, held = number + 1, []
                 while at < hi:
                     take = min(hi - at, size - sum(len(h[1]) for h in held))
-                    held.append((cells[lo], ids[at : at + take], x[at : at + take]))
+                    held.append((cells[lo], ids[at : at + take], x[at : at + take], given[at : at + take]))
                     at += take
                     if sum(len(h[1]) for h in held) == size:
                         yield block(number, *(np.concatenate(y) for y in list(zip(*held, strict=True))[1:]))
@@ -101,7 +102,7 @@ def packed(vectors: DataFrame, pivots: np.ndarray, size: int = BLOCK, known: np.
             yield block(number, *(np.concatenate(y) for y in list(zip(*held, strict=True))[1:]))
 
     order = ["cell", "length", "id"]
-    ordered = vectors.mapInArrow(place, f"cell int, length double, id long, {vectors.select('x').schema.simpleString()[7:-1].replace(':', ' ', 1)}").repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = vectors.mapInArrow(place, f"cell int, length double, id long, {vectors.select('x').schema.simpleString()[7:-1].replace(':', ' ', 1)}, floor double").repartitionByRange(*order).sortWithinPartitions(*order)
     return saved(ordered.mapInArrow(gather, KINDS))
 
 
@@ -144,7 +145,8 @@ def block_pairs(queries: DataFrame, items: DataFrame, metric: str) -> DataFrame:
 
 
 def grid_top(queries: DataFrame, items: DataFrame, k: int, metric: str, nearest, size: int = BLOCK) -> DataFrame:
-    """query_id, item_id, score (higher is nearer): of each query what can be among its k best. queries, items: id, x. Queries travel to the item blocks that their own
+    """query_id, item_id, score (higher is nearer): of each query what can be among its k best. queries, items: id, x; queries may tell a score
+    that k items reach as `floor`. Queries travel to the item blocks that their own
     bounds leave; an item block is shuffled once."""
     _, pivots = some(items, PIVOTS)
     if not len(pivots):

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import grid_top, rows_of
-from .forest import approximate_top
+from .forest import approximate_top, completed
 from .lists import Block, Lists, scored
 
-__all__ = ["approximate_top", "encode_with", "exact_top", "two_tower_lists", "two_towers", "without_seen"]
+__all__ = ["approximate_top", "completed", "encode_with", "exact_top", "two_tower_lists", "two_towers", "without_seen"]
 
 BLOCK = 4096  # items compared at once
 MOST_QUERY_BYTES = 64 << 20  # of a query set that is sent to every task; larger ones are dealt in blocks

@@ -220,6 +220,33 @@ def test_approximate_top(spark, kind):
     df.unpersist()
 
 
+@pytest.mark.parametrize("most_bytes", [1, 1 << 26])
+@pytest.mark.parametrize("kind", ["plain", "small", "large", "equal"])
+def test_completed_is_exact(spark, kind, most_bytes):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2000, 24))
+    if kind == "equal":
+        x[:900] = x[0]
+    x = (x * {"small": 1e-3, "large": 1e3}.get(kind, 1.0)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    df = df.union(spark.createDataFrame([(9000, None), (9001, [1.0]), (9002, [float("nan")] * 24), (9003, [float("inf")] * 24)], df.schema)).repartition(3).cache()
+    asks = df.where("vec_id % 40 = 0")
+    first = N.approximate_top(df, asks, 10, leaf=32, sample=300, wanted=0.3)
+    got = N.completed(first, df, asks, 10, most_bytes=most_bytes).collect()
+    y, want = x.astype(float), set()
+    for q in range(0, 2000, 40):
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        near = [i for i in np.lexsort((np.arange(2000), np.round(d, 9))) if i != q][:10]
+        want |= {(q, int(i), n) for n, i in enumerate(near, 1)}
+        assert [r.dist for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == pytest.approx(d[near])
+    assert {(r.query_id, r.item_id, r.rank) for r in got} == want and len(got) == 500
+    assert {(r.query_id, r.item_id, r.rank) for r in first.collect()} != want
+    assert N.completed(first.limit(0), df, asks, 10).count() == 0
+    few = df.where("vec_id < 5")
+    assert N.completed(N.approximate_top(few, few, 10), few, few, 10, most_bytes=most_bytes).count() == 20
+    df.unpersist()
+
+
 def test_approximate_top_visits_few_leaves_of_clustered_vectors():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(64, 16))[rng.integers(0, 64, 4096)] * 8 + rng.normal(size=(4096, 16)) * 0.2
