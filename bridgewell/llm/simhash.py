@@ -158,14 +158,31 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     Equal fingerprints are linked, empty texts among them. A repeated row appears again; a row with a null doc_id
     is left out; no rows give no rows.
     """
-    prints = saved(fingerprints(docs.where("doc_id is not null"), shingle))
+    return _linked(saved(fingerprints(docs.where("doc_id is not null"), shingle)), radius, segments).select("doc_id", "fingerprint", "component_id")
+
+
+def _linked(prints: DataFrame, radius: int, segments: int | None) -> DataFrame:
+    """prints (saved: doc_id, fingerprint and more) with component_id."""
     groups = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), parts_of(F.count("*")))
     linked = components(links(groups.select("fingerprint"), radius, segments).distinct())
     joined = linked.join(groups, linked["node"] == groups["fingerprint"]).select("node", "component", "least")
     least = joined.groupBy("component").agg(F.min("least").alias("least_all"))
     merged = joined.join(least, "component").select(F.col("node").alias("fingerprint"), "least_all")
     roots = groups.join(merged, "fingerprint", "left").select("fingerprint", F.coalesce("least_all", "least").alias("component_id"), "parts")
-    return rejoined(prints, roots, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return rejoined(prints, roots, "fingerprint")
+
+
+def first_of_linked(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """docs with one document of each component of near_duplicates(), that with the smallest id. Null ids, repeated rows and rows of one id are treated as by
+    keep_first()."""
+
+    def run(batches):
+        for b in batches:
+            got = fingerprint_block(W.as_bytes(b["text"]), shingle)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_key"], pa.array(got.view(np.int64))], ["doc_id", "text_key", "fingerprint"])
+
+    keyed = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return _without(docs, _linked(saved(keyed.mapInArrow(run, "doc_id long, text_key long, fingerprint long")), radius, None))
 
 
 # Similar documents: pairs that share one of their rarest shingles, judged by the exact similarity of their shingle sets.
@@ -426,10 +443,15 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMI
     return _similar(docs, similarity, shingle).select("doc_id", "component_id")
 
 
-def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """docs with one document of each component of similar ones, that with the smallest id. Rows with a null id are kept, as are repeated
-    rows of the id that stays; of rows with one id and several texts each is judged by its own text. The columns stay."""
-    found = saved(_similar(docs, similarity, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct())
+def _without(docs: DataFrame, linked: DataFrame) -> DataFrame:
+    """docs without the rows that linked (doc_id, text_key, component_id) names by another document than their own."""
+    found = saved(linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct())
     few = found.limit(MOST_SENT + 1).count() <= MOST_SENT
     gone = F.broadcast(found) if few else found
     return docs.join(gone, (docs["doc_id"] == gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left_anti")
+
+
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """docs with one document of each component of similar ones, that with the smallest id. Rows with a null id are kept, as are repeated
+    rows of the id that stays; of rows with one id and several texts each is judged by its own text. The columns stay."""
+    return _without(docs, _similar(docs, similarity, shingle))

@@ -18,10 +18,10 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id: five words a shingle, and a Jaccard
-    similarity of 0.8 or more of the shingle sets."""
+    """One document of each group of near-duplicates, the one with the smallest id: first of those whose SimHash fingerprints are linked (the operator of
+    op4_simhash), then, of what is left, of those with a Jaccard similarity of 0.8 or more of their sets of five-word shingles, which fingerprints miss."""
     small_batches(spark)
-    return simhash.keep_first(docs)
+    return simhash.keep_first(written(simhash.first_of_linked(docs)))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -314,6 +314,21 @@ def test_similar_documents_near_the_bound(spark, monkeypatch, limits):
     assert got == plain.groups(list(range(len(texts))), lambda a, b: alike(a, b) >= 0.8)
 
 
+@pytest.mark.parametrize("few", [0, components.FEW])
+def test_components_of_chains(spark, few):
+    rng = np.random.default_rng(3)
+    name = rng.permutation(4000).astype(int)
+    edges = [(int(name[i]), int(name[i + 1])) for i in range(3999) if i % 40 != 39] * 2
+    links = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    want = {int(n): int(name[i // 40 * 40 : i // 40 * 40 + 40].min()) for i, n in enumerate(name)}
+    made = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    got = components.components(links, few=few)
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - made
+    rows = got.collect()
+    assert len(rows) == 4000 and {r.node: r.component for r in rows} == want
+    assert few == 0 or jobs <= 16  # no round of joins for few links
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(500, 500), (None, 1)] + [(900, 1000 + i) for i in range(50)]

@@ -26,6 +26,17 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == kept[-1]
 
 
+def test_near_duplicates_follow_fingerprints(spark, folder):
+    """Texts with one fingerprint of which few distinct shingles are shared: op4's rule links them, the Jaccard similarity of sets does not."""
+    often = "alpha beta gamma " * 60
+    rows = [(i, often + " ".join(f"w{i}x{k}" for k in range(20)), "en", "src1", 0, "c", 1) for i in (3, 1, 2)] + [(9, "another text of its own", "en", "src1", 0, "c", 1)]
+    docs = spark.createDataFrame(rows, KIND)
+    from bridgewell.llm import simhash
+
+    assert simhash.keep_first(docs).count() == 4
+    assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, folder).collect()} == {1, 9}
+
+
 KIND = "doc_id long, text string, lang string, source string, n_chars int, copies string, node int"
 
 
