@@ -171,9 +171,7 @@ def _rounded(x: Column, name: str) -> Column:
 
 def bm25_lists(ev: DataFrame | C.Lists) -> DataFrame:
     """query_id, scored: BM25 among a query's candidates, with a bonus for the query's category."""
-    got = C.scored(_prepared(as_lists(ev, "text", "category"), same=_same_category), {"bm25": C.bm25_of}, ["label", "same"])
-    best = F.array_max(F.transform("scored", lambda x: _rounded(x, "bm25")))
-    return C.with_score(got.withColumn("_best", best), lambda x: R.category_bonus(_rounded(x, "bm25"), F.col("_best"), x["same"]))
+    return C.scored(as_lists(ev, "text", "category"), {"score": C.bonus_of}, ["label"])
 
 
 def embedding_lists(ev: DataFrame | C.Lists) -> DataFrame:
@@ -206,8 +204,9 @@ def hybrid_parts(ev: DataFrame | C.Lists) -> DataFrame:
     got = C.scored(_prepared(as_lists(ev, "text", "category", "specs", "v"), **made), {"bm25": C.bm25_of, "cosine": C.cosine_of}, ["label", "same", "attributes"])
     exact = got.withColumn("scored", F.transform("scored", lambda x: x.withField("bm25", _rounded(x, "bm25")).withField("cosine", _rounded(x, "cosine"))))
     best = F.array_max(F.transform("scored", lambda x: x["bm25"]))
-    part = lambda x: R.hybrid_score(x["bm25"], F.col("_best"), x["cosine"], x["attributes"], x["same"])
-    return exact.withColumn("_best", best).select("query_id", F.transform("scored", lambda x: F.struct(*[x[c].alias(c) for c in ("cand_id", "label", "bm25", "cosine")], part(x).alias("hybrid"))).alias("scored"))
+    part = lambda x, b: R.hybrid_score(x["bm25"], b, x["cosine"], x["attributes"], x["same"])
+    listed = lambda b: F.transform("scored", lambda x: F.struct(*[x[c].alias(c) for c in ("cand_id", "label", "bm25", "cosine")], part(x, b).alias("hybrid")))
+    return exact.select("query_id", C.let(best, listed).alias("scored"))
 
 
 def hybrid_lists(ev: DataFrame | C.Lists) -> DataFrame:

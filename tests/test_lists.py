@@ -85,3 +85,28 @@ def test_vectors_too_many_to_send_travel(spark):
     assert C.send_vectors(v, "vec_id", "v", 8) is None and C.send_vectors(v, "vec_id", "v") is not None
     ragged = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "vec_id long, v array<double>")
     assert C.send_vectors(ragged, "vec_id", "v") is None
+
+
+def test_best_scores_are_not_derived_again_for_each_candidate(both):
+    _, lists, _ = both
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for df in (L.scores(lists, "bm25"), L.scores(lists, "hybrid"), C.ranks(L.bm25_lists(lists))):
+        for best in ("array_max(", "array_min("):
+            assert plan(df).count(best) == plan(df).count("array(" + best)
+
+
+def test_rounded_is_what_spark_rounds_to(spark):
+    x = [0.0, -0.0, 1.0000005, -1.0000005, 0.1234565, 2.5e-7, 5e-7, -5e-7, 4.9999999e-7, 1.0049995, 123456789.1234565, 1e15 + 0.3, 1e300, float("inf"), float("nan"), *np.random.default_rng(1).normal(size=2000).tolist()]
+    want = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6).alias("y")).collect()]
+    got = C.rounded(np.array(x), 6)
+    assert [repr(float(v)) for v in got] == [repr(v) for v in want]
+
+
+def test_bonus_with_unknown_categories_and_scores_of_zero(spark):
+    rows = [(1, [(10, 1, "red hat", "a"), (11, 0, "blue", None), (12, 0, None, "b")], "red", "a"), (2, [(10, 1, "blue", "a"), (11, 0, "hat", "b")], "red", "a"), (3, [(10, 1, "red", "a")], "red", None)]
+    rows = spark.createDataFrame(rows, "query_id long, cands array<struct<cand_id: long, label: int, words: string, category: string>>, query_words string, query_category string")
+    plain = {(r.query_id, r.cand_id): round(r.s, 6) for r in C.unfold(C.scored(C.Lists(rows), {"s": C.bm25_of})).collect()}
+    got = {(r.query_id, r.cand_id): r.score for r in L.scores(C.Lists(rows), "bm25").collect()}
+    best = max(v for (q, _), v in plain.items() if q == 1)
+    bonus = {(1, 10): best if best > 0 else 1.0, (2, 10): 1.0}
+    assert got == {k: pytest.approx(0.7 * v + 0.3 * bonus.get(k, 0.0)) for k, v in plain.items()}
