@@ -39,6 +39,19 @@ def positives(queries: DataFrame, items: DataFrame, query_key: str, item_key: st
     return with_keys(queries, query_key).join(with_keys(items, item_key), F.col(query_key) == F.col(item_key)).withColumn("label", F.lit(1))
 
 
+MEET = 8192  # rows of one key that meet the other side in one place
+
+
+def same_key_pairs(a: DataFrame, b: DataFrame, on: str, key: str) -> DataFrame:
+    """Every row of a beside every row of b with the same `on`. key: a column of a by whose hash it is dealt. Rows of a are dealt to parts of their key and those of b go to each part, so that a
+    few large keys are joined in many places; the pairs themselves grow with the product of both sides of a key."""
+    parts = a.groupBy(on).agg(F.ceil(F.count("*") / MEET).cast("int").alias("_parts"))
+    dealt = b.join(parts, on).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    mine = a.join(parts, on).withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int")).drop("_parts")
+    places = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes and much work: not to be merged by their bytes
+    return mine.repartition(places, on, "_part").join(dealt, [on, "_part"]).drop("_part")
+
+
 def known(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(keys.select(on).distinct(), on, "left_semi")
 

@@ -26,8 +26,9 @@ def _(spark, d):
 
 @query("j2_same_category_pairs", "SELECT c.c_custkey, s.s_suppkey FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey AND c.c_custkey <> s.s_suppkey")
 def _(spark, d):
-    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    return c.join(s, (c.c_nationkey == s.s_nationkey) & (c.c_custkey != s.s_suppkey)).select("c_custkey", "s_suppkey")
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey")
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey")
+    return K.same_key_pairs(c, s, "nation", "c_custkey").where("c_custkey <> s_suppkey").select("c_custkey", "s_suppkey")
 
 
 @query("j4_inner", "SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON l_partkey = p_partkey")

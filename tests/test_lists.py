@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bridgewell.operators import keys as K
 from bridgewell.operators import lists as C
 from bridgewell.operators import ranking as R
 from bridgewell.operators import sampling as W
@@ -110,3 +111,12 @@ def test_bonus_with_unknown_categories_and_scores_of_zero(spark):
     best = max(v for (q, _), v in plain.items() if q == 1)
     bonus = {(1, 10): best if best > 0 else 1.0, (2, 10): 1.0}
     assert got == {k: pytest.approx(0.7 * v + 0.3 * bonus.get(k, 0.0)) for k, v in plain.items()}
+
+
+def test_pairs_of_one_large_key_are_made_in_many_places(spark):
+    a = spark.range(30_000).select(F.col("id").alias("a"), F.when(F.col("id") < 29_990, "x").when(F.col("id") < 29_995, "y").alias("k"))
+    b = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "z"), (5, None)], "b long, k string")
+    got = K.same_key_pairs(a, b, "k", "a")
+    assert got.groupBy("b").count().collect() and {r.b: r["count"] for r in got.groupBy("b").count().collect()} == {1: 29_990, 2: 29_990, 3: 5}
+    assert got.distinct().count() == 59_985
+    assert got.where("k = 'x'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
