@@ -103,13 +103,16 @@ def nearest_hyperedges(lists: DataFrame | Lists, k: int = 5) -> DataFrame:
     return within_lists(lists, choose, ("hyperedge", "node"))
 
 
-def convolved_lists(lists: DataFrame | Lists, above: float = 0.3) -> DataFrame:
-    """query_id, node, v after one graph-convolution step over the nodes of each list that are more similar than the bound: weights of 1 over the root of both degrees. Each node's
+def convolved_lists(lists: DataFrame | Lists, above: float = 0.3, told: dict[str, Callable[[np.ndarray], np.ndarray]] | None = None) -> DataFrame:
+    """query_id, node, v (or the numbers that `told` makes of the matrix of a list's vectors, so that these stay in their task) after one graph-convolution step over the nodes of each list that are more similar than the bound: weights of 1 over the root of both degrees. Each node's
     own loop is added to the similarities, where it stands already (but for a zero vector), so it weighs 2."""
 
     def each(nodes: np.ndarray, x: np.ndarray) -> tuple:
-        return nodes, _convolved(x, above)
+        made = _convolved(x, above)
+        return nodes, *([f(made) for f in told.values()] if told else [made])
 
+    if told:
+        return over_lists(lists, each, ["node", *told], [pa.int64(), *[pa.float64()] * len(told)])
     return over_lists(lists, each, ["node", "v"], [pa.int64(), pa.list_(pa.float64())])
 
 

@@ -100,7 +100,7 @@ def product(edges: DataFrame, vectors: DataFrame, shape: tuple[int, int] | None
 def over_lists(lists: DataFrame | Lists, each: Callable[[np.ndarray, np.ndarray], tuple], names: list[str], kinds: list[pa.DataType]) -> DataFrame:
     """query_id and the columns that each(nodes, vectors) gives, list by list, nodes in order. lists: query_id, node (long), v. Lists lie side by side in their tasks, many in a batch; a
     list, with its query and candidates, is bounded. Of Lists, whose cands are nodes with v, each is worked on where it lies."""
-    sql = {pa.int64(): "long", pa.list_(pa.float64()): "array<double>"}
+    sql = {pa.int64(): "long", pa.float64(): "double", pa.list_(pa.float64()): "array<double>"}
     if isinstance(lists, Lists):
         return _over_folded(lists, each, names, kinds, sql)
     kind = lists.schema["query_id"].dataType.simpleString()
@@ -155,7 +155,7 @@ def _over_folded(lists: Lists, each, names: list[str], kinds: list[pa.DataType],
                 found = each(own[order], v[order])
                 at.append(np.full(len(found[0]), k))
                 out.append(found)
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros((0, 1) if t != pa.int64() else 0) for t in kinds]
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros((0, 1) if pa.types.is_list(t) else 0) for t in kinds]
         at = np.concatenate(at) if at else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([block.batch["query_id"].take(pa.array(at)), *(arrays(c) if c.ndim == 2 else pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["query_id", *names])
 

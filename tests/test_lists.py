@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bridgewell.operators import graph as G
 from bridgewell.operators import keys as K
 from bridgewell.operators import lists as C
 from bridgewell.operators import ranking as R
@@ -113,6 +114,16 @@ def test_bonus_with_unknown_categories_and_scores_of_zero(spark):
     assert got == {k: pytest.approx(0.7 * v + 0.3 * bonus.get(k, 0.0)) for k, v in plain.items()}
 
 
+def test_sums_of_convolved_vectors_are_made_where_lists_lie(both):
+    _, lists, _ = both
+    nodes = L.graph_lists(lists)
+    told = G.convolved_lists(nodes, told={"total": lambda x: x.sum(axis=1), "last": lambda x: x[:, -1]})
+    assert dict(told.dtypes) == {"query_id": "bigint", "node": "bigint", "total": "double", "last": "double"}
+    got = {(r.query_id, r.node): (r.total, r["last"]) for r in told.collect()}
+    want = {(r.query_id, r.node): (sum(r.v), r.v[-1]) for r in G.convolved_lists(nodes).collect()}
+    assert len(got) == 104 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_pairs_of_one_large_key_are_made_in_many_places(spark):
     a = spark.range(30_000).select(F.col("id").alias("a"), F.when(F.col("id") < 29_990, "x").when(F.col("id") < 29_995, "y").alias("k"))
     b = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "z"), (5, None)], "b long, k string")
