@@ -1,5 +1,7 @@
 """A text encoder learned from the texts: TF-IDF rows projected on their leading right singular vectors.
 
+Texts are split for the document frequencies and once more to be coded; rounds read the saved codes of terms and their counts.
+
 The vectors are found by subspace iteration from a random start (a randomised range finder with power iterations): each round multiplies the terms' Gram matrix, summed
 over all texts in their tasks, with an orthonormal basis of a few dozen columns. Only matrices of terms by columns, whose size the vocabulary's bound sets, reach the driver.
 """
@@ -16,9 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from .products import add_up, arrays
+from .storage import saved
 
 DIMS, TERMS, ROUNDS, EXTRA = 64, 1 << 15, 3, 10  # of an embedding; most terms; passes over the texts; columns beyond the wanted ones
-ENTRIES = 1 << 16  # matrix entries multiplied at once
+ENTRIES = 1 << 12  # matrix entries multiplied at once: with so few columns they stay in a core's cache
 
 
 @dataclass
@@ -28,16 +31,24 @@ class Encoder:
     basis: np.ndarray  # terms x dims, in order of falling singular values
     singular: np.ndarray
 
-    def entries(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, term and value of the TF-IDF matrix, rows in order and at unit length: 1 + ln(count) times idf."""
+    def counts(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, term and count of the known terms, rows in order."""
         n = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
         code = pc.index_in(words.flatten(), value_set=pa.array(self.terms, pa.string()))
         hit = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
         pairs, count = np.unique(np.repeat(np.arange(len(n)), n)[hit] * max(1, len(self.terms)) + code.fill_null(0).to_numpy()[hit].astype(np.int64), return_counts=True)
-        row, term = np.divmod(pairs, max(1, len(self.terms)))
-        value = (1 + np.log(count)) * self.idf[term]
-        length = np.sqrt(np.bincount(row, weights=value**2, minlength=len(n)))
-        return row, term, value / length[row]
+        return *np.divmod(pairs, max(1, len(self.terms))), count
+
+    def entries(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, term and value of the TF-IDF matrix, rows in order."""
+        row, term, count = self.counts(words)
+        return row, term, _values(self.idf, row, term, count)
+
+
+def _values(idf: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """1 + ln(count) times idf, rows at unit length."""
+    value = (1 + np.log(count)) * idf[term]
+    return value / np.sqrt(np.bincount(row, weights=value**2))[row]
 
 
 def _rows(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
@@ -50,14 +61,30 @@ def _rows(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, basis: n
     return out
 
 
-def _gram(words: DataFrame, sent, shape: tuple[int, int]) -> np.ndarray:
+def _coded(words: DataFrame, model: Encoder) -> DataFrame:
+    """term and count of each text's known terms, as arrays."""
+    sent = words.sparkSession.sparkContext.broadcast(model)  # TERMS words
+
+    def run(batches):
+        m = sent.value
+        for b in batches:
+            row, term, count = m.counts(b["w"])
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=len(b)))), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (term, count)], ["term", "count"])
+
+    return words.mapInArrow(run, "term array<int>, count array<int>")
+
+
+def _gram(coded: DataFrame, sent, shape: tuple[int, int]) -> np.ndarray:
     """Transposed matrix times matrix times basis, over all texts."""
 
     def run(batches):
-        model, basis = sent.value
+        idf, basis = sent.value
         total = np.zeros(basis.shape)
         for b in batches:
-            row, term, value = model.entries(b["w"])
+            row = np.repeat(np.arange(len(b)), pc.list_value_length(b["term"]).to_numpy())
+            term, count = (b[c].flatten().to_numpy() for c in ("term", "count"))
+            value = _values(idf, row, term, count)
             here = _rows(row, term, value, len(b), basis)
             order = np.argsort(term, kind="stable")
             for lo in range(0, len(order), ENTRIES):
@@ -69,7 +96,7 @@ def _gram(words: DataFrame, sent, shape: tuple[int, int]) -> np.ndarray:
             part = own[lo : lo + 4096]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), arrays(total[part])], ["node", "v"])
 
-    out, got = np.zeros(shape), add_up(words.mapInArrow(run, "node long, v array<double>")).toArrow()
+    out, got = np.zeros(shape), add_up(coded.mapInArrow(run, "node long, v array<double>")).toArrow()
     if len(got):
         out[got["node"].to_numpy()] = got["v"].combine_chunks().flatten().to_numpy().reshape(len(got), -1)
     return out
@@ -85,10 +112,11 @@ def fit(texts: DataFrame, dims: int = DIMS, most_terms: int = TERMS, rounds: int
     columns = min(len(known), dims + extra)
     if not columns:
         return model
+    coded = saved(_coded(words, model))
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(known), columns)))[0]
     for r in range(rounds):
-        sent = texts.sparkSession.sparkContext.broadcast((model, basis))  # terms by columns
-        gram = _gram(words, sent, basis.shape)
+        sent = texts.sparkSession.sparkContext.broadcast((model.idf, basis))  # terms by columns
+        gram = _gram(coded, sent, basis.shape)
         sent.unpersist()
         if r + 1 < rounds:
             basis = np.linalg.qr(gram)[0]

@@ -325,6 +325,22 @@ def test_learned_encoder(spark, monkeypatch):
     assert encoder.encode(df, none).first().v == [0.0] * 4
 
 
+def test_encoder_splits_texts_twice_whatever_its_rounds(spark):
+    from pyspark.sql import functions as F
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.createDataFrame([(i, f"a{i % 7} b{i % 5} b{i % 5} c{i}") for i in range(200)] + [(200, None), (201, "")], "item_id long, text string")
+    few = encoder.fit(df.mapInArrow(told, df.schema), 4, rounds=5)
+    assert seen.value <= 3 * 202  # counted, split for frequencies, coded
+    plain = encoder.fit(df.withColumn("text", F.coalesce("text", F.lit(""))), 4, rounds=5)
+    assert np.allclose(few.basis, plain.basis) and np.allclose(few.singular, plain.singular) and len(few.terms) == 12
+
+
 def test_reports(spark):
     i = spark.createDataFrame([("u", "", 1.0), ("u", "p", None), (None, "p", 3.0)], "user_id string, product_id string, rating double")
     r = A.interaction_report(i).first()
