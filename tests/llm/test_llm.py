@@ -557,6 +557,67 @@ def test_alignment_under_noise(spark):
         assert all(r.rec_id == r.query_id for r in got)
 
 
+def _crowded(spark, n: int):
+    """Recordings over few integers, so that nearly all meet by chance; some excerpts of them as queries."""
+    rng = np.random.default_rng(n)
+    rows = [(i, rng.integers(-8, 9, size=int(rng.integers(1, 60))).tolist()) for i in range(n)]
+    rows += [(n, rows[0][1]), (n + 1, [7] * 200), (n + 2, [0] * 30)]
+    asks = [(1000 + i, v[3:]) for i, v in rows[::4] if len(v) > 8] + [(2000, [7] * 150), (2001, rows[1][1]), (2002, [0] * 9)]
+    schema = "rec_id long, prints array<int>"
+    return rows, asks, spark.createDataFrame(asks, schema).repartition(2), spark.createDataFrame(rows, schema).repartition(3)
+
+
+@pytest.mark.parametrize(("bundle", "most"), [(1 << 21, 1 << 20), (60, 1 << 20), (1 << 21, 50), (100, 7)])
+def test_alignment_counts_in_parts(spark, bundle, most):
+    rows, asks, asked, known = _crowded(spark, 24)
+    got = {(r.query_id, r.rec_id): (r.hits, r.offset, r.copies, r.error) for r in media.align(asked, known, 2, 0.9, 0.2, 0.1, bundle, most).collect()}
+    first, copies = {}, collections.Counter(tuple(v) for _, v in rows)
+    for i, v in rows:
+        first.setdefault(tuple(v), i)
+    want = {}
+    for q, x in asks:
+        for y, i in first.items():
+            votes = collections.Counter(j - k for k, a in enumerate(x) for j, b in enumerate(y) if a == b and a)
+            hits, back = max(((n, -o) for o, n in votes.items()), default=(0, 0))
+            if hits >= 2:
+                a, b = x[max(0, back) :], y[max(0, -back) :]
+                m = min(len(a), len(b))
+                error = sum(((u ^ w) & 0xFFFFFFFF).bit_count() for u, w in zip(a[:m], b[:m], strict=True)) / (32 * m)
+                if error <= 0.9 and (error <= 0.1 or hits >= 0.2 * m):
+                    want[q, i] = (hits, -back, copies[y], error)
+    assert got == want and len(want) > 50
+
+
+def test_alignment_with_null_integers(spark):
+    schema = "rec_id long, prints array<int>"
+    known = spark.createDataFrame([(1, [5, 6, 7, 8, 9, None]), (2, [5, 6, 7, 8, 9, 1])], schema)
+    got = media.align(spark.createDataFrame([(0, [5, 6, 7, 8, 9]), (3, [5, 6, 7, 8, 9, 1]), (4, None)], schema), known).collect()
+    assert {(r.query_id, r.rec_id) for r in got} == {(0, 1), (0, 2), (3, 2)}
+
+
+def _rows_made(df) -> tuple[int, int]:
+    """The rows of df, and the most rows that an operator of its plan makes."""
+    n = len(df.collect())
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif p.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(p.plan())
+        else:
+            made = p.metrics().get("numOutputRows")
+            most = max(most, made.get().value() if made.isDefined() else 0)
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    return n, most
+
+
+def test_chance_meetings_make_no_rows(spark):
+    _, asks, asked, known = _crowded(spark, 200)
+    n, made = _rows_made(media.align(asked, known))
+    assert made <= n + 200 + 3 + len(asks)
+
+
 def test_melody_plays_every_component(spark):
     rng = np.random.default_rng(15)
     x = rng.normal(size=64).clip(-0.3, 0.3).tolist()
