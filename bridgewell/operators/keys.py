@@ -39,17 +39,28 @@ def positives(queries: DataFrame, items: DataFrame, query_key: str, item_key: st
     return with_keys(queries, query_key).join(with_keys(items, item_key), F.col(query_key) == F.col(item_key)).withColumn("label", F.lit(1))
 
 
-MEET = 8192  # rows of one key that meet the other side in one place
+MEET = 4096  # rows of one key and side that meet those of the other in one place
+TILE = 256  # rows of the other side that follow one another beside each row: files then hold short cycles of values, which compress whatever the size of a key
+RUN = 16  # rows that are unfolded beside a tile at once: Spark holds all rows that one row unfolds into
 
 
 def same_key_pairs(a: DataFrame, b: DataFrame, on: str, key: str) -> DataFrame:
-    """Every row of a beside every row of b with the same `on`. key: a column of a by whose hash it is dealt. Rows of a are dealt to parts of their key and those of b go to each part, so that a
-    few large keys are joined in many places; the pairs themselves grow with the product of both sides of a key."""
-    parts = a.groupBy(on).agg(F.ceil(F.count("*") / MEET).cast("int").alias("_parts"))
-    dealt = b.join(parts, on).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    mine = a.join(parts, on).withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int")).drop("_parts")
+    """Every row of a beside every row of b with the same `on`. key: a column of a by whose hash it is dealt; rows of b are dealt by the hash of all their columns. Both sides of a key are
+    folded into blocks, each block of a meets each one of b in a place of its own, and pairs are unfolded there, tile by tile, without being kept. Their number grows with the product of both
+    sides of a key, what is shuffled with that of the blocks."""
+    blocks = lambda df, name: df.groupBy(on).agg(F.ceil(F.count("*") / MEET).cast("int").alias(name))
+    place = lambda n, *cols: F.pmod(F.xxhash64(*cols), F.col(n)).cast("int")
+    mine, theirs = [c for c in a.columns if c != on], [c for c in b.columns if c != on]
+    n = blocks(a, "_as").join(blocks(b, "_bs"), on)  # a row for each key
+    folded = lambda df, at, cols, *by: df.join(n, on).groupBy(on, "_as", "_bs", place(at, *by).alias(at[:2])).agg(F.collect_list(F.struct(*cols)).alias(at[:2] + "_rows"))
+    every = lambda at: F.explode(F.sequence(F.lit(0), F.col(at) - 1))
     places = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes and much work: not to be merged by their bytes
-    return mine.repartition(places, on, "_part").join(dealt, [on, "_part"]).drop("_part")
+    dealt = lambda df: df.drop("_as", "_bs").repartition(places, on, "_a", "_b")
+    met = dealt(folded(a, "_as", mine, key).withColumn("_b", every("_bs"))).join(dealt(folded(b, "_bs", theirs, *theirs).withColumn("_a", every("_as"))), [on, "_a", "_b"])
+    cut = lambda rows, most: F.explode(F.transform(F.sequence(F.lit(1), F.size(rows), F.lit(most)), lambda i: F.slice(rows, i, most)))
+    runs = met.select(on, "_a_rows", cut("_b_rows", TILE).alias("_tile")).select(on, "_tile", cut("_a_rows", RUN).alias("_run"))
+    pairs = runs.select(on, "_tile", F.explode("_run").alias("_x")).select(on, "_x", F.explode("_tile").alias("_y"))
+    return pairs.select(on, *[F.col(f"_x.{c}") for c in mine], *[F.col(f"_y.{c}") for c in theirs])
 
 
 def known(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:

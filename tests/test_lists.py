@@ -131,3 +131,24 @@ def test_pairs_of_one_large_key_are_made_in_many_places(spark):
     assert got.groupBy("b").count().collect() and {r.b: r["count"] for r in got.groupBy("b").count().collect()} == {1: 29_990, 2: 29_990, 3: 5}
     assert got.distinct().count() == 59_985
     assert got.where("k = 'x'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_pairs_of_a_large_other_side_lie_in_short_cycles(spark, tmp_path):
+    a = spark.range(300).select(F.col("id").alias("a"), F.lit(7).alias("k"))
+    b = spark.range(14_000).select((F.col("id") * 3).alias("b"), F.lit(7).alias("k"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are not sent to all
+    try:
+        K.same_key_pairs(a, b, "k", "a").select("a", "b").write.parquet(str(tmp_path / "pairs"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 4_200_000 / 2  # 1.8 bytes a pair, if the cycle is as long as the key
+    got = spark.read.parquet(str(tmp_path / "pairs"))
+    assert got.distinct().count() == got.count() == 4_200_000
+
+
+def test_pairs_of_copies_and_nulls_are_those_of_the_join(spark):
+    a = spark.createDataFrame([(i % 40, None if i % 7 == 0 else "n", i % 3 if i % 5 else None) for i in range(600)], "a long, more string, k int")
+    b = spark.createDataFrame([(None if i % 6 == 0 else i % 30, i % 4 if i % 5 else None) for i in range(700)], "b int, k int")
+    got, want = K.same_key_pairs(a, b, "k", "a"), a.join(b, "k")
+    assert got.columns == want.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
