@@ -374,8 +374,8 @@ def _(spark, d):
     return listed(L.eval_lists(pairs(spark, d), local(spark, d), "quota"))
 
 
-@query("q6_eval_same_category", _listed(f"""WITH {ITEMS}, {PAIRS}, {LOCAL}, few AS (SELECT * FROM placed WHERE rank < 500),
-n AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY md5('42|' || query_id || '|' || item_id), item_id) AS n FROM pairs JOIN few USING (category) WHERE item_id <> true_id),
+@query("q6_eval_same_category", _listed(f"""WITH {ITEMS}, {PAIRS}, {LOCAL},
+n AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY md5('42|' || query_id || '|' || item_id), item_id) AS n FROM pairs JOIN local USING (category) WHERE item_id <> true_id),
 taken_ AS MATERIALIZED (SELECT query_id, item_id FROM n WHERE n <= 99), listed AS ({TRUE})""", "listed"))
 def _(spark, d):
     return listed(L.eval_lists(pairs(spark, d), local(spark, d), "same_category"))

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bridgewell.functions import digests as D
+from bridgewell.operators import draws as B
 from bridgewell.operators import graph as G
 from bridgewell.operators import keys as K
 from bridgewell.operators import lists as C
@@ -152,3 +154,66 @@ def test_pairs_of_copies_and_nulls_are_those_of_the_join(spark):
     b = spark.createDataFrame([(None if i % 6 == 0 else i % 30, i % 4 if i % 5 else None) for i in range(700)], "b int, k int")
     got, want = K.same_key_pairs(a, b, "k", "a"), a.join(b, "k")
     assert got.columns == want.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def least(queries, items, most):
+    """Item by item: the first of all items of the category in the order of the digests."""
+    out = {}
+    for q, t, c in queries:
+        own = [i for i, k in items if k == c and c is not None and i is not None]
+        if own:
+            out[q] = sorted((i for i in own if t is not None and i != t), key=lambda i: md5(f"42|{q}|{i}"))[:most]
+    return out
+
+
+@pytest.mark.parametrize("places", ["1", "4"])
+def test_same_category_draws_from_all_items(spark, places, monkeypatch):
+    monkeypatch.setattr(B, "PART", 30)
+    items = [(i, "big") for i in range(-3, 2600)] + [(5000 + i, "few") for i in range(40)] + [(10**18 + 7, "one"), (9001, None), (9002, "unasked")]
+    queries = [(q, q if q % 9 else None, "big") for q in range(95, 160)] + [(10**15 + q, 5000 + q, "few") for q in range(70)] + [(3, 4, "one"), (4, 10**18 + 7, "one"), (5, 1, "none"), (6, 1, None)]
+    df, asks = spark.createDataFrame(items, "item_id long, category string"), spark.createDataFrame(queries, "query_id long, true_id long, category string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", places)
+    try:
+        got = W.same_category_lists(asks, df)
+        rows = got.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got.columns == ["query_id", "true_id", "category", "items"] and {(r.query_id, r.true_id, r.category) for r in rows} == {q for q in queries if q[2] not in ("none", None)}
+    assert {r.query_id: [x.item_id for x in r["items"]] for r in rows} == least(queries, items, 99)
+    assert len({x.item_id for r in rows if r.category == "big" for x in r["items"]}) > 500 + 99  # 500 were all that queries could draw from
+
+
+@pytest.mark.parametrize("kind", ["string", "double"])
+def test_same_category_of_other_ids(spark, kind):
+    make = (lambda i: "é" * (i % 40) + str(i)) if kind == "string" else float
+    items, queries = [(make(i), "c") for i in range(700)], [(q, make(q), "c") for q in (3, 40, 77, 10_000)]
+    df, asks = spark.createDataFrame(items, f"item_id {kind}, category string"), spark.createDataFrame(queries, f"query_id long, true_id {kind}, category string")
+    assert {r.query_id: [x.item_id for x in r["items"]] for r in W.same_category_lists(asks, df, most=20).collect()} == least(queries, items, 20)
+
+
+def test_items_of_equal_first_words_keep_the_order_of_their_digests(monkeypatch):
+    pa = pytest.importorskip("pyarrow")
+    monkeypatch.setattr(D.FirstWords, "of", lambda self, prefixes: np.zeros((len(prefixes), self.head.shape[1]), np.uint32))
+    held = B._Group(20)
+    q = pa.StructArray.from_arrays([pa.array([7, 8])], ["query_id"])
+    held.ask(pa.RecordBatch.from_arrays([q, pa.array(["42|7|", "42|8|"]), pa.array(["15", "600"])], ["_q", "_start", "_true"]))
+    for lo in range(0, 900, 300):
+        ids = pa.array(range(lo, lo + 300))
+        held.add(ids, ids.cast(pa.string()))
+    got = {r["query_id"]: [x["item_id"] for x in r["items"]] for r in held.done("items").to_pylist()}
+    assert got == least([(7, 15, "c"), (8, 600, "c")], [(i, "c") for i in range(900)], 20)
+
+
+def test_first_words_are_those_of_md5():
+    rng = np.random.default_rng(5)
+    for p, n in [(0, 0), (0, 5), (3, 7), (4, 4), (11, 7), (17, 19), (48, 7), (55, 0)]:
+        x, starts = rng.integers(0, 256, (6, n), dtype=np.uint8), rng.integers(0, 256, (3, p), dtype=np.uint8)
+        words = D.FirstWords(x, p, 4)
+        for some in (starts, starts[1:]):
+            want = [[int(hashlib.md5(s.tobytes() + t.tobytes()).hexdigest()[:8], 16) for t in x] for s in some]
+            assert words.of(some).tolist() == want == D.first_words(some, x).tolist()
