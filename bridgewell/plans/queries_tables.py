@@ -165,8 +165,8 @@ def _(spark, d):
     return W.cap_per_group(local(spark, d), "category", "item_id", 50)
 
 
-@query("w2_same_category", f"""WITH {ITEMS}, {PAIRS}, {LOCAL}, few AS (SELECT * FROM placed WHERE rank < 500),
-n AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY md5('42|' || query_id || '|' || item_id), item_id) AS n FROM pairs JOIN few USING (category) WHERE item_id <> true_id)
+@query("w2_same_category", f"""WITH {ITEMS}, {PAIRS}, {LOCAL},
+n AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY md5('42|' || query_id || '|' || item_id), item_id) AS n FROM pairs JOIN local USING (category) WHERE item_id <> true_id)
 SELECT query_id, item_id FROM n WHERE n <= 99""")
 def _(spark, d):
     return W.same_category_negatives(pairs(spark, d), local(spark, d))

@@ -217,3 +217,11 @@ def test_first_words_are_those_of_md5():
         for some in (starts, starts[1:]):
             want = [[int(hashlib.md5(s.tobytes() + t.tobytes()).hexdigest()[:8], 16) for t in x] for s in some]
             assert words.of(some).tolist() == want == D.first_words(some, x).tolist()
+
+
+def test_negatives_of_the_same_category_leave_no_item_out(spark):
+    items, queries = [(i, "c") for i in range(1200)], [(q, q, "c") for q in range(60)]
+    got = W.same_category_negatives(spark.createDataFrame(queries, "query_id long, true_id long, category string"), spark.createDataFrame(items, "item_id long, category string"))
+    want = least(queries, items, 99)
+    assert sorted((r.query_id, r.item_id) for r in got.collect()) == sorted((q, i) for q in want for i in want[q])
+    assert len({i for own in want.values() for i in own}) > 1100
